@@ -25,6 +25,19 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_components
+
+    return simhash_components(_read(spark, sf_dir, "documents"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit_quality, quality_rules
+
+    docs = _read(spark, sf_dir, "documents")
+    return quality_rules(docs, fit_quality(docs, _read(spark, sf_dir, "labels")))
+
+
 def op8_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sstable import token_tables
 
@@ -34,6 +47,8 @@ def op8_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
+    "op6_simhash": op6_simhash,
+    "op7_quality_rules": op7_quality_rules,
     "op8_token_tables": op8_token_tables,
 }
 
