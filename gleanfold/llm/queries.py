@@ -25,6 +25,20 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"))
 
 
+def op3_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .covertree import embedding_components
+
+    return embedding_components(_read(spark, sf_dir, "embeddings"))
+
+
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the number and checksum of its ids, and whether decoding them gives the text back."""
+    from .pieces import decode_pieces, encode_pieces
+
+    made = decode_pieces(encode_pieces(_read(spark, sf_dir, "documents")))
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_crc32", F.crc32("decoded").alias("decoded_crc32"), (F.crc32("decoded") == F.col("text_crc32")).alias("round_trip"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_components
 
@@ -61,6 +75,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
+    "op3_cover_tree": op3_cover_tree,
+    "op4_pieces": op4_pieces,
     "op6_simhash": op6_simhash,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_tables": op8_token_tables,
