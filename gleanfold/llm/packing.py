@@ -17,7 +17,7 @@ from bisect import bisect_right, insort
 
 from pyspark.sql import DataFrame
 
-from .tokens import TextEncoder, default_tokenizer
+from .tokens import default_tokenizer, encoder
 
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window int, step_group long"
 
@@ -124,7 +124,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode = TextEncoder(tokenizer)
+        encode = encoder(tokenizer)
         base = TaskContext.get().partitionId() << 40
         n_sequences = n_groups = held = 0
         block: list[tuple[int | None, bytes]] = []

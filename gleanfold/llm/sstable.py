@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import n_partitions, new_path
-from .tokens import TextEncoder, default_tokenizer
+from .tokens import default_tokenizer, encoder
 
 MAGIC = b"GLFSST01"
 _ENTRY = struct.Struct("<BBI")
@@ -171,7 +171,7 @@ def write_token_tables(docs: DataFrame, path: str, id_col: str = "doc_id", text_
         import numpy as np
         from pyspark import TaskContext
 
-        encode = TextEncoder(tokenizer)
+        encode = encoder(tokenizer)
         width = 2 if encode.vocab_size <= 1 << 16 else 4
         n_docs = 0
 

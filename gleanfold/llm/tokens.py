@@ -57,3 +57,13 @@ class TextEncoder:
     @property
     def vocab_size(self) -> int:
         return self.cache.tokenizer.get_vocab_size()
+
+
+_encoders: dict[str, TextEncoder] = {}
+
+
+def encoder(path: str) -> TextEncoder:
+    """This process's encoder: a Python worker keeps its word cache from task to task."""
+    if path not in _encoders:
+        _encoders[path] = TextEncoder(path)
+    return _encoders[path]
