@@ -39,6 +39,12 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_crc32", F.crc32("decoded").alias("decoded_crc32"), (F.crc32("decoded") == F.col("text_crc32")).alias("round_trip"))
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import remove_repeats
+
+    return remove_repeats(_read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_components
 
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_cover_tree": op3_cover_tree,
     "op4_pieces": op4_pieces,
+    "op5_suffix_array": op5_suffix_array,
     "op6_simhash": op6_simhash,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_tables": op8_token_tables,
