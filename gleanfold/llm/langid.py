@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -159,3 +160,14 @@ def identify(docs: DataFrame, model: BitmaskFilter, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def predict_column(model: BitmaskFilter, text_col: str) -> F.Column:
+    """struct<lang, score> of the text, to be used beside other columns."""
+
+    @F.pandas_udf("lang string, score double")
+    def predicted(texts: pd.Series) -> pd.DataFrame:
+        langs, scores = model.predict(texts.tolist())
+        return pd.DataFrame({"lang": pd.Series(langs, dtype=object), "score": pd.Series(scores, dtype=float)})
+
+    return predicted(F.col(text_col))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -192,3 +193,21 @@ def quality_rules(docs: DataFrame, forest: Forest, keep_at: float = 0.3, id_col:
     scored = statistics(docs, id_col, text_col, forest)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= keep_at)).select("doc_id", *BASE, "base_failed", "kept", "score")
+
+
+def base_failed(n_words: int, n_repeat_words: int) -> bool:
+    return n_words < 50 or 100 * n_repeat_words > 50 * n_words
+
+
+def verdict_column(forest: Forest, text_col: str, keep_at: float = 0.3) -> F.Column:
+    """Whether quality_rules keeps the text, to be used beside other columns."""
+
+    @F.pandas_udf("boolean")
+    def kept(texts: pd.Series) -> pd.Series:
+        import numpy as np
+
+        made = [text_statistics(t) for t in texts]
+        score = forest.score(np.array([m[1] for m in made], float).reshape(len(made), len(FEATURES)))
+        return pd.Series([not base_failed(m[0][0], m[0][4]) and bool(x >= keep_at) for m, x in zip(made, score)], dtype=bool)
+
+    return kept(F.col(text_col))

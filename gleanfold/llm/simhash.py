@@ -127,3 +127,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = named.join(roots, "root").select("fp", "component_id")
     return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows whose identifier is their component's smallest, one row for each. Rows without an identifier stay."""
+    groups = simhash_components(docs, id_col, text_col)
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    named = docs.where(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti")
+    again = F.struct(*sorted(docs.columns))
+    return named.groupBy(id_col).agg(F.min(again).alias("row")).select(*(F.col(f"row.{c}").alias(c) for c in docs.columns)).unionByName(docs.where(F.col(id_col).isNull()))

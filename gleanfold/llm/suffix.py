@@ -14,6 +14,7 @@ Only narrow rows are shuffled besides the texts, which are dealt once by their k
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -156,8 +157,10 @@ def _signed(x):
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, t and a 128-bit key of the row."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).select(F.xxhash64("doc_id", "t").alias("ref"), F.xxhash64("t", F.lit(1)).alias("ref2"), "doc_id", "t")
+    """doc_id, t, the other columns as one struct, and a 128-bit key of the row."""
+    rest = [F.col(c) for c in docs.columns if c not in (id_col, text_col)] or [F.lit(None).cast("int").alias("none")]
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"), F.struct(*rest).alias("rest"))
+    return rows.select(F.xxhash64("doc_id", "t").alias("ref"), F.xxhash64("t", F.lit(1)).alias("ref2"), "doc_id", "t", "rest")
 
 
 def _anchor_rows(texts: DataFrame) -> DataFrame:
@@ -227,8 +230,6 @@ def _by_suffix_arrays(cut: DataFrame, n_buckets: int) -> DataFrame:
     """(key, context, ranges) for contexts with some repeated windows."""
 
     def run(pdf):
-        import pandas as pd
-
         pdf = pdf.drop_duplicates(["key", "context"])
         found = repeated_windows(list(zip(pdf.offset.tolist(), map(bytes, pdf.bytes))))
         keep = [i for i, r in enumerate(found) if r]
@@ -264,7 +265,7 @@ def cover(raw: bytes, repeated: dict) -> list[tuple[int, int]]:
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_contexts: int = 4096, bucket_bytes: int = 1 << 20) -> DataFrame:
-    """Every row's text with what repeats: doc_id, t, repeated (array of key, context, ranges; null: nothing repeats)."""
+    """Every row's text with what repeats: ref, ref2, doc_id, t, rest, repeated (array of key, context, ranges; null: nothing)."""
     texts = keyed(docs, id_col, text_col)
     rows = materialize(_anchor_rows(texts), "anchors")
     contexts = rows.groupBy("key", "context").agg(F.sum("n").alias("n"), F.min(F.struct("ref", "ref2")).alias("one"), F.first("width").alias("width"))
@@ -278,7 +279,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = _by_suffix_arrays(cut, n_buckets).unionByName(_by_counting(cut)).join(contexts.where("twice").select("key", "context"), ["key", "context"], "left_anti")
     found = whole.unionByName(parts)
     repeated = rows.select("ref", "ref2", "key", "context").join(found, ["key", "context"]).groupBy("ref", "ref2").agg(F.collect_set(F.struct("key", "context", "ranges")).alias("repeated"))
-    return texts.join(repeated, ["ref", "ref2"], "left").select("doc_id", "t", "repeated")
+    return texts.join(repeated, ["ref", "ref2"], "left")
 
 
 def _covered(batch):
@@ -317,4 +318,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     kind = dict(docs.dtypes)[id_col]
-    return find_repeats(docs, id_col, text_col, **options).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    found = find_repeats(docs.select(id_col, text_col), id_col, text_col, **options).select("doc_id", "t", "repeated")
+    return found.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with the repeated passages taken out of the text. A character that is cut goes whole; a null text stays null."""
+
+    @F.pandas_udf("string")
+    def stripped(texts: pd.Series, repeated: pd.Series) -> pd.Series:
+        out = []
+        for text, found in zip(texts, repeated):
+            if text is not None and found is not None and len(found):
+                raw = text.encode()
+                text = _kept(raw, cover(raw, {(r["key"], r["context"]): r["ranges"] for r in found})).decode("utf-8", "ignore")
+            out.append(text)
+        return pd.Series(out, dtype=object)
+
+    found = find_repeats(docs, id_col, text_col, **options)
+    other = [F.col(f"rest.{c}").alias(c) for c in docs.columns if c not in (id_col, text_col)]
+    done = found.select(F.col("doc_id").alias(id_col), stripped("t", "repeated").alias(text_col), *other)
+    return done.select(*docs.columns)
