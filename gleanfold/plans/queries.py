@@ -1,6 +1,452 @@
-"""Queries of the search engine and their SQL counterparts."""
+"""Queries of the search engine, each over whole tables, and the same in DuckDB's SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .. import sinks
+from ..functions import canon, classify
+from ..operators import federate, listings, refine, userstate
+from ..sources import demo, feeds, pages
+from ..streaming import search
+from . import catalogs as C
+from .catalogs import DOC_LISTINGS_SQL, MERGED_SQL, NOW_MS, PARTS_SQL, read
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# ---- canonicalisation
+
+
+@query(f"SELECT id, name, size, size_text, seeders, leechers, date_ms, date_text, magnet, info_hash, provider, category, detail_url, files, needs_magnet FROM ({DOC_LISTINGS_SQL})")
+def normalize_listing(spark, sf_dir) -> DataFrame:
+    return C.doc_listings(spark, sf_dir).select(*listings.LISTING)
+
+
+_UNITS = ["B", "KB", "MiB", "G", "TB", "XB", "", "k", "PIB", "mb"]
+
+
+@query("""
+  SELECT p_partkey, raw, CASE WHEN u = 'XB' THEN NULL ELSE floor((p_size || '.' || p_partkey % 10)::DOUBLE * power(1024, CASE WHEN u IN ('B', '') THEN 0 WHEN u IN ('KB', 'k') THEN 1 WHEN u IN ('MiB', 'mb') THEN 2 WHEN u = 'G' THEN 3 WHEN u = 'TB' THEN 4 ELSE 5 END) + 0.5)::BIGINT END AS size
+  FROM (SELECT *, ['B', 'KB', 'MiB', 'G', 'TB', 'XB', '', 'k', 'PIB', 'mb'][p_partkey % 10 + 1] AS u, '1,' || p_size || '.' || p_partkey % 10 || ' ' || ['B', 'KB', 'MiB', 'G', 'TB', 'XB', '', 'k', 'PIB', 'mb'][p_partkey % 10 + 1] AS full_raw, p_size || '.' || p_partkey % 10 || ' ' || ['B', 'KB', 'MiB', 'G', 'TB', 'XB', '', 'k', 'PIB', 'mb'][p_partkey % 10 + 1] AS raw FROM part)
+""")
+def parse_size_units(spark, sf_dir) -> DataFrame:
+    p = read(spark, sf_dir, "part")
+    unit = F.get(F.array(*map(F.lit, _UNITS)), (F.col("p_partkey") % 10).cast("int"))
+    raw = F.concat(F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 10).cast("string"), F.lit(" "), unit)
+    return p.select("p_partkey", raw.alias("raw"), canon.parse_size(raw).alias("size"))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {C.size_text_sql('b')} AS size_text FROM (SELECT l_orderkey, l_linenumber, (l_orderkey + 1) * (l_partkey + 3) * power(10, l_linenumber)::BIGINT AS b FROM lineitem)")
+def format_size_text(spark, sf_dir) -> DataFrame:
+    n = (F.col("l_orderkey") + 1) * (F.col("l_partkey") + 3) * F.pow(F.lit(10.0), F.col("l_linenumber")).cast("bigint")
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", canon.format_size(n).alias("size_text"))
+
+
+_AGES = ["{n} hours ago", "{n} day ago", "{n} MINUTES ago", "a minute ago", "an hour ago", "{n} weeks ago", "Yesterday", "today", "2024-01-{d}", "{n} months ago", "last year", "nonsense", "{d} Mar 2021", "2023-05-{d} 10:20", "a day ago", "Tue, {d} Jan 2019 04:05:06 +0000"]
+
+
+@query(f"""
+  SELECT o_orderkey, CASE k WHEN 0 THEN {NOW_MS} - n * 3600000 WHEN 1 THEN {NOW_MS} - n * 86400000 WHEN 2 THEN {NOW_MS} - n * 60000 WHEN 3 THEN {NOW_MS} - 60000 WHEN 4 THEN {NOW_MS} - 3600000 WHEN 5 THEN {NOW_MS} - n * 604800000
+    WHEN 6 THEN {NOW_MS} - 86400000 WHEN 7 THEN {NOW_MS} - {NOW_MS} % 86400000 WHEN 8 THEN epoch_ms(make_timestamp(2024, 1, d, 0, 0, 0)) WHEN 9 THEN {NOW_MS} - n * 2629800000 WHEN 10 THEN {NOW_MS} - 31536000000
+    WHEN 12 THEN epoch_ms(make_timestamp(2021, 3, d, 0, 0, 0)) WHEN 13 THEN epoch_ms(make_timestamp(2023, 5, d, 10, 20, 0)) WHEN 15 THEN epoch_ms(make_timestamp(2019, 1, d, 4, 5, 6)) END AS date_ms
+  FROM (SELECT o_orderkey, o_orderkey % 16 AS k, o_custkey % 50 + 1 AS n, 10 + o_custkey % 19 AS d FROM orders)
+""")
+def parse_date_relative(spark, sf_dir) -> DataFrame:
+    n, d = (F.col("o_custkey") % 50 + 1).cast("string"), (10 + F.col("o_custkey") % 19).cast("string")
+    raw = F.replace(F.replace(F.get(F.array(*map(F.lit, _AGES)), (F.col("o_orderkey") % 16).cast("int")), F.lit("{n}"), n), F.lit("{d}"), d)
+    return read(spark, sf_dir, "orders").select("o_orderkey", canon.parse_date(raw, NOW_MS).alias("date_ms"))
+
+
+@query(f"SELECT doc_id, 'magnet:?xt=urn:btih:' || md5(text) || coalesce('&dn=' || {C.encode_sql('nullif(text, chr(39) || chr(39))')}, '') AS magnet FROM documents".replace("chr(39) || chr(39)", "''"))
+def build_magnet(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", canon.build_magnet(F.md5("text"), F.col("text")).alias("magnet"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 <> 2 THEN md5(text) END AS info_hash FROM documents")
+def extract_hash(spark, sf_dir) -> DataFrame:
+    kind = F.col("doc_id") % 3
+    link = F.concat(F.lit("magnet:?xt=urn:"), F.when(kind == 0, F.lit("btih:")).when(kind == 1, F.lit("BTIH:")).otherwise(F.lit("sha1:")), F.when(kind == 1, F.upper(F.md5("text"))).otherwise(F.md5("text")), F.lit("&dn=x"))
+    return read(spark, sf_dir, "documents").select("doc_id", canon.extract_info_hash(link).alias("info_hash"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 4 THEN o_custkey * 1000 END AS n FROM orders")
+def int_prefix(spark, sf_dir) -> DataFrame:
+    text = F.when(F.col("o_orderkey") % 5 != 4, F.concat(F.lit("  "), F.format_number(F.col("o_custkey") * 1000, 0), F.lit(" seeds"))).otherwise("n/a 7")
+    return read(spark, sf_dir, "orders").select("o_orderkey", canon.to_int(text).alias("n"))
+
+
+@query("SELECT o_orderkey, regexp_replace(strftime(o_orderdate, '%d %b %Y'), 'never', '') AS en FROM orders")
+def ru_dates(spark, sf_dir) -> DataFrame:
+    months = F.array(*(F.lit(ru if ru != "Май" else "мая") for ru, _ in canon._RU_MONTHS))
+    text = F.concat(F.date_format("o_orderdate", "dd "), F.get(months, F.month("o_orderdate") - 1), F.date_format("o_orderdate", " yyyy"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", canon.ru_date(text).alias("en"))
+
+
+@query("""
+  SELECT p_partkey, replace(replace(replace(replace(replace(p_name || ' & <' || p_brand || '> "x" ''y''', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS html,
+    CASE WHEN length(p_name || p_type || p_brand) > 20 THEN substr(p_name || p_type || p_brand, 1, 20) || '…' ELSE p_name || p_type || p_brand END AS short, lower(replace(replace(p_name, ' ', '-'), '#', '-')) || '-' || lower(replace(p_brand, '#', '-')) AS slug,
+    CASE WHEN p_partkey % 2 = 0 THEN '••••' || right(p_brand || p_type, 4) ELSE '' END AS masked, CASE WHEN p_partkey % 3 < 2 THEN ['http', 'HTTPS', 'ftp'][p_partkey % 3 + 1] || '://h.test/' || p_partkey END AS url
+  FROM part
+""")
+def text_functions(spark, sf_dir) -> DataFrame:
+    p = read(spark, sf_dir, "part")
+    long = F.concat("p_name", "p_type", "p_brand")
+    scheme = F.get(F.array(F.lit("http"), F.lit("HTTPS"), F.lit("ftp")), (F.col("p_partkey") % 3).cast("int"))
+    return p.select(
+        "p_partkey", canon.escape_html(F.concat("p_name", F.lit(" & <"), "p_brand", F.lit("> \"x\" 'y'"))).alias("html"), canon.shorten(long, 20).alias("short"),
+        canon.slug(F.concat(F.lit(" -"), "p_name", F.lit("#"), "p_brand", F.lit("!"))).alias("slug"), canon.mask_key(F.when(F.col("p_partkey") % 2 == 0, F.concat("p_brand", "p_type"))).alias("masked"),
+        canon.safe_http_url(F.concat(scheme, F.lit("://h.test/"), F.col("p_partkey").cast("string"))).alias("url"),
+    )
+
+
+# ---- duplicates and merging
+
+
+@query(f"SELECT id, name, ord FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord) AS rn FROM (SELECT provider || ':' || info_hash AS id, name, ord FROM ({DOC_LISTINGS_SQL}))) WHERE rn = 1")
+def dedupe_first_by_id(spark, sf_dir) -> DataFrame:
+    rows = C.doc_listings(spark, sf_dir).withColumn("id", F.concat_ws(":", "provider", "info_hash"))
+    return listings.dedupe_first(rows).select("id", "name", "ord")
+
+
+_MERGED = "key, ord, name, size, seeders, leechers, date_ms, category, files, info_hash, magnet"
+
+
+@query(f"SELECT {_MERGED} FROM ({MERGED_SQL.replace('arg_min_null', 'arg_min')})")
+def merge_by_hash(spark, sf_dir) -> DataFrame:
+    return listings.merge_sources(C.doc_listings(spark, sf_dir)).select(*_MERGED.split(", "))
+
+
+@query(f"SELECT key, source_list, n_rows FROM ({MERGED_SQL.replace('arg_min_null', 'arg_min')})")
+def merge_sources_array(spark, sf_dir) -> DataFrame:
+    merged = listings.merge_sources(C.doc_listings(spark, sf_dir))
+    return merged.select("key", F.array_join(F.transform("sources", lambda s: F.concat_ws("/", s["provider"], s["id"])), " ").alias("source_list"), F.size("sources").cast("long").alias("n_rows"))
+
+
+@query(f"SELECT provider, count(*) AS n_groups, sum(CASE WHEN n > 1 THEN 1 ELSE 0 END)::BIGINT AS n_shared FROM (SELECT DISTINCT provider, info_hash, count(*) OVER (PARTITION BY info_hash) AS n FROM ({DOC_LISTINGS_SQL})) GROUP BY provider")
+def shared_by_provider(spark, sf_dir) -> DataFrame:
+    merged = listings.merge_sources(C.doc_listings(spark, sf_dir))
+    return merged.select(F.size("sources").alias("n"), F.explode("providers").alias("provider")).groupBy("provider").agg(F.count("*").alias("n_groups"), F.count_if(F.col("n") > 1).alias("n_shared"))
+
+
+# ---- classification, filters, facets
+
+
+@query(f"SELECT ord, {C.raw_bucket_sql('category')} AS bucket FROM ({PARTS_SQL})")
+def classify_raw(spark, sf_dir) -> DataFrame:
+    return C.parts(spark, sf_dir).select("ord", classify.bucket_of_raw(F.col("category")).alias("bucket"))
+
+
+@query(f"SELECT ord, {C.title_bucket_sql('name')} AS bucket FROM ({PARTS_SQL})")
+def classify_title(spark, sf_dir) -> DataFrame:
+    return C.parts(spark, sf_dir).select("ord", classify.bucket_of_title(F.col("name")).alias("bucket"))
+
+
+_BUCKET_SQL = f"coalesce({C.raw_bucket_sql('category')}, {C.title_bucket_sql('name')})"
+
+
+@query(f"SELECT {_BUCKET_SQL} AS bucket, count(*) AS n FROM ({PARTS_SQL}) GROUP BY 1")
+def classify_bucket_facets(spark, sf_dir) -> DataFrame:
+    return refine.facets(C.parts(spark, sf_dir))
+
+
+@query(f"SELECT ord, regexp_matches(name, '(?i)\\b(2160p|4k|uhd)\\b') AS uhd, regexp_matches(name, '(?i)\\b1080p\\b') AS hd, regexp_matches(name, '(?i)\\b(hdr|hdr10|dolby\\s*vision|dovi|dv)\\b') AS hdr FROM ({PARTS_SQL})")
+def quality_filter(spark, sf_dir) -> DataFrame:
+    name = F.col("name")
+    return C.parts(spark, sf_dir).select("ord", classify.has_quality(name, "2160p").alias("uhd"), classify.has_quality(name, "1080p").alias("hd"), classify.has_quality(name, "hdr").alias("hdr"))
+
+
+@query(f"SELECT ord, seeders, size FROM ({PARTS_SQL}) WHERE (seeders IS NULL OR seeders >= 25) AND (size IS NULL OR size >= 3221225472)")
+def threshold_null_pass(spark, sf_dir) -> DataFrame:
+    return refine.refine(C.parts(spark, sf_dir), min_seeders=25, min_size=3 << 30).select("ord", "seeders", "size")
+
+
+@query(f"SELECT ord, name FROM ({DOC_LISTINGS_SQL}) WHERE contains(lower(name), 'tion')")
+def name_contains(spark, sf_dir) -> DataFrame:
+    return refine.refine(C.doc_listings(spark, sf_dir), contains=" Tion ").select("ord", "name")
+
+
+@query(f"SELECT ord, category, name FROM ({PARTS_SQL}) WHERE coalesce({_BUCKET_SQL} <> 'porn', true)")
+def safe_mode(spark, sf_dir) -> DataFrame:
+    return refine.refine(C.parts(spark, sf_dir), safe_mode=True).select("ord", "category", "name")
+
+
+@query("SELECT s, CASE " + " ".join(f"WHEN s IN ({', '.join(repr(i) for i in ids.split())}) THEN '{g}'" for g, ids in classify.SOURCE_GROUPS.items()) + " WHEN starts_with(s, 'torznab:') THEN 'custom' ELSE 'general' END AS source_group, count(*) AS n FROM (SELECT CASE WHEN event_id % 43 = 41 THEN 'torznab:x' WHEN event_id % 43 = 42 THEN 'unknown' ELSE [" + ", ".join(f"'{s}'" for s in federate.REGISTRY) + "][event_id % 43 + 1] END AS s FROM events) GROUP BY 1, 2")
+def source_groups(spark, sf_dir) -> DataFrame:
+    names = F.array(*map(F.lit, [*federate.REGISTRY, "torznab:x", "unknown"]))
+    s = F.get(names, (F.col("event_id") % 43).cast("int"))
+    return read(spark, sf_dir, "events").select(s.alias("s")).groupBy("s").agg(F.count("*").alias("n")).withColumn("source_group", classify.source_group(F.col("s")))
+
+
+_RANGES_SQL = "CASE " + " ".join(f"WHEN n >= {a} AND n < {b} THEN '{c}'" for a, b, c in feeds.CATEGORY_RANGES) + " END"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {_RANGES_SQL} AS bucket FROM (SELECT l_orderkey, l_linenumber, least(l_partkey * 9973 % 12000000, l_suppkey * 99991 % 12000000) AS n FROM lineitem)")
+def category_ranges(spark, sf_dir) -> DataFrame:
+    ids = F.array(F.col("l_partkey") * 9973 % 12000000, F.col("l_suppkey") * 99991 % 12000000)
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", classify.bucket_by_range(F.array_min(ids), feeds.CATEGORY_RANGES).alias("bucket"))
+
+
+# ---- rank, order, pages
+
+_SCORE_SQL = """
+  CASE WHEN contains(n, 'red widget') THEN 5.0 ELSE 0.0 END + CASE WHEN starts_with(n, 'red widget') THEN 3.0 ELSE 0.0 END
+  + CASE WHEN list_contains(t, 'red') THEN 2.0 WHEN len(list_filter(t, lambda x: starts_with(x, 'red'))) > 0 THEN 1.0 WHEN contains(n, 'red') THEN 0.5 ELSE 0.0 END
+  + CASE WHEN list_contains(t, 'widget') THEN 2.0 WHEN len(list_filter(t, lambda x: starts_with(x, 'widget'))) > 0 THEN 1.0 WHEN contains(n, 'widget') THEN 0.5 ELSE 0.0 END
+  + (CASE WHEN contains(n, 'red') THEN 1 ELSE 0 END + CASE WHEN contains(n, 'widget') THEN 1 ELSE 0 END) * 3.0::DOUBLE / 2.0
+"""
+_RANKED_SQL = f"SELECT *, round(({_SCORE_SQL})::DOUBLE, 6) AS score FROM (SELECT *, lower(name) AS n, list_filter(regexp_split_to_array(lower(name), '[^a-z0-9一-鿿]+'), lambda x: x <> '') AS t FROM ({PARTS_SQL}))"
+
+
+@query(f"SELECT ord, name, seeders, score FROM ({_RANKED_SQL})")
+def relevance_scores(spark, sf_dir) -> DataFrame:
+    return C.parts(spark, sf_dir).select("ord", "name", "seeders", F.round(refine.relevance(F.col("name"), "Red widget"), 6).alias("score"))
+
+
+_DOC_SCORE_SQL = """
+  CASE WHEN contains(n, 'the and') THEN 5.0 ELSE 0.0 END + CASE WHEN starts_with(n, 'the and') THEN 3.0 ELSE 0.0 END
+  + CASE WHEN list_contains(t, 'the') THEN 2.0 WHEN len(list_filter(t, lambda x: starts_with(x, 'the'))) > 0 THEN 1.0 WHEN contains(n, 'the') THEN 0.5 ELSE 0.0 END
+  + CASE WHEN list_contains(t, 'and') THEN 2.0 WHEN len(list_filter(t, lambda x: starts_with(x, 'and'))) > 0 THEN 1.0 WHEN contains(n, 'and') THEN 0.5 ELSE 0.0 END
+  + (CASE WHEN contains(n, 'the') THEN 1 ELSE 0 END + CASE WHEN contains(n, 'and') THEN 1 ELSE 0 END) * 3.0::DOUBLE / 2.0
+"""
+
+
+@query(f"""
+  SELECT key, name, seeders, score FROM (SELECT *, round(({_DOC_SCORE_SQL})::DOUBLE, 6) AS score FROM (SELECT *, lower(name) AS n, list_filter(regexp_split_to_array(lower(name), '[^a-z0-9一-鿿]+'), lambda x: x <> '') AS t
+  FROM ({MERGED_SQL.replace('arg_min_null', 'arg_min')}))) ORDER BY score DESC, coalesce(seeders, -1) DESC, ord LIMIT 20
+""")
+def relevance_topk(spark, sf_dir) -> DataFrame:
+    """The whole path: documents as listings, merged by hash, ranked by keyword, first page."""
+    merged = listings.merge_sources(C.doc_listings(spark, sf_dir)).withColumn("score", F.round(refine.relevance(F.col("name"), "the and"), 6))
+    return refine.page(merged.orderBy(F.desc("score"), F.desc(F.coalesce("seeders", F.lit(-1))), "ord"), 1).select("key", "name", "seeders", "score")
+
+
+@query(f"SELECT ord, row_number() OVER (ORDER BY coalesce(size, -1), ord) AS place FROM ({PARTS_SQL}) ORDER BY place LIMIT 100")
+def sort_null_last_key(spark, sf_dir) -> DataFrame:
+    top = refine.by_column(C.parts(spark, sf_dir), "size", ascending=True).limit(100).select(F.collect_list("ord").alias("o"))
+    return top.select(F.posexplode("o").alias("place", "ord")).select("ord", (F.col("place") + 1).cast("long").alias("place"))
+
+
+@query(f"SELECT ord, name, seeders FROM ({PARTS_SQL}) ORDER BY coalesce(seeders, -1) DESC, ord LIMIT 20 OFFSET 40")
+def page_slice(spark, sf_dir) -> DataFrame:
+    return refine.page(refine.by_column(C.parts(spark, sf_dir), "seeders"), 3).select("ord", "name", "seeders")
+
+
+# ---- federation
+
+_STATUS_SQL = "SELECT s.id, s.name, count(d.doc_id) AS count FROM (SELECT 'src' || i AS id, 'Source ' || i AS name FROM range(25) t(i)) s LEFT JOIN documents d ON d.source = s.id GROUP BY 1, 2"
+
+
+def _doc_sources(spark) -> DataFrame:
+    n = F.col("id").cast("string")
+    return spark.range(25).select(F.concat(F.lit("src"), n).alias("id"), F.concat(F.lit("Source "), n).alias("name"), (F.col("id") != 3).alias("enabled"), F.lit(False).alias("demo"), (F.col("id") % 4 == 0).alias("paginated"), F.col("id").cast("int").alias("rank"))
+
+
+@query(f"SELECT id, name FROM (SELECT * FROM (VALUES {', '.join(f'({s!r}, {s!r}, {str(s in federate.PAGINATED or s in federate.GENERATED).lower()})' for s in federate.REGISTRY)}) v(id, name, pages)) WHERE pages AND id IN ('nyaa', 'demo', 'tpb', 'rutor', 'nope')")
+def resolve_sources_semi(spark, sf_dir) -> DataFrame:
+    wanted = spark.createDataFrame([(i,) for i in ("nyaa", "demo", "tpb", "rutor", "nope")], "id string")
+    return federate.resolve(federate.registry(spark), wanted, page=2).select("id", "name")
+
+
+@query(f"SELECT id, name, CASE WHEN id = 'src5' THEN 0 ELSE count END AS count, CASE WHEN id = 'src5' THEN 'error' ELSE 'ok' END AS status, CASE WHEN id = 'src5' THEN 'ETIMEDOUT' END AS error FROM ({_STATUS_SQL}) WHERE id <> 'src3'")
+def source_status_counts(spark, sf_dir) -> DataFrame:
+    failed = spark.createDataFrame([("src5", "ETIMEDOUT")], "id string, error string")
+    return federate.status(federate.resolve(_doc_sources(spark)), C.doc_raw(spark, sf_dir), failed).select("id", "name", "count", "status", "error")
+
+
+@query("SELECT count(*) FILTER (WHERE source IN ('src0', 'src4', 'src8', 'src12', 'src16')) > 0 AS has_more, (SELECT count(DISTINCT source) FROM documents WHERE source <> 'src3') AS n_ok FROM documents")
+def has_more_any(spark, sf_dir) -> DataFrame:
+    s = federate.status(federate.resolve(_doc_sources(spark)), C.doc_raw(spark, sf_dir)).withColumn("has_more", F.lit(None).cast("boolean"))
+    return s.agg(federate.more_expected().alias("has_more"), F.count_if((F.col("status") == "ok") & (F.col("count") > 0)).alias("n_ok"))
+
+
+@query("SELECT doc_id, source, mirror_rank FROM (SELECT doc_id, source, doc_id % 3 AS mirror_rank, min(doc_id % 3) OVER (PARTITION BY source) AS first FROM documents WHERE (doc_id + substr(source, 4)::BIGINT) % 3 <> 0) WHERE mirror_rank = first")
+def mirror_first_nonempty(spark, sf_dir) -> DataFrame:
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", (F.col("doc_id") % 3).alias("mirror_rank"))
+    up = d.where((F.col("doc_id") + F.substring("source", 4, 9).cast("bigint")) % 3 != 0)
+    return federate.first_mirror(up)
+
+
+@query("SELECT source, 'M' || substr(source, 4) || ' unreachable (' || string_agg(error, '; ' ORDER BY mirror_rank) || ')' AS error FROM (SELECT DISTINCT source, doc_id % 5 AS mirror_rank, 'E' || doc_id % 5 AS error FROM documents WHERE source IN ('src1', 'src7')) GROUP BY source")
+def mirror_error_text(spark, sf_dir) -> DataFrame:
+    d = read(spark, sf_dir, "documents").where(F.col("source").isin("src1", "src7", "src9"))
+    k = F.col("doc_id") % 5
+    tries = d.select("source", F.concat(F.lit("M"), F.substring("source", 4, 9)).alias("name"), k.alias("mirror_rank"), F.when(F.col("source") == "src9", 4).otherwise(0).alias("n"), F.concat(F.lit("E"), k.cast("string")).alias("error")).distinct()
+    return federate.mirror_errors(tries)
+
+
+@query("SELECT 0 AS source_rank, 'part' AS provider, p_name AS name FROM part UNION ALL SELECT 1, 'page', url FROM pages UNION ALL SELECT 2, 'nation', n_name FROM nation")
+def union_all_sources(spark, sf_dir) -> DataFrame:
+    pick = lambda t, p, c: read(spark, sf_dir, t).select(F.lit(p).alias("provider"), F.col(c).alias("name"))
+    return federate.union_sources([pick("part", "part", "p_name"), pick("pages", "page", "url"), pick("nation", "nation", "n_name")])
+
+
+@query("SELECT r_name AS source_group, count(*) FILTER (WHERE n_nationkey % 2 = 0) AS n_selected, count(*) AS n_sources, bool_and(n_nationkey % 2 = 0) AS all_selected FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def group_counts(spark, sf_dir) -> DataFrame:
+    n = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    on = F.col("n_nationkey") % 2 == 0
+    return n.groupBy(F.col("r_name").alias("source_group")).agg(F.count_if(on).alias("n_selected"), F.count("*").alias("n_sources"), F.bool_and(on).alias("all_selected"))
+
+
+# ---- user state, enrichment
+
+
+@query("SELECT o_orderkey, o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AS favourite FROM orders")
+def favorites_left_flag(spark, sf_dir) -> DataFrame:
+    keys = read(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return userstate.flag(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), keys, "favourite", "o_custkey").select("o_orderkey", "favourite")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def selection_intersect(spark, sf_dir) -> DataFrame:
+    o = read(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    kept = read(spark, sf_dir, "customer").select("c_custkey").join(o.where("o_orderpriority = '1-URGENT'"), "c_custkey", "left_semi")
+    return userstate.remove(kept, o.where("o_orderstatus = 'P'"), "c_custkey")
+
+
+@query("""
+  SELECT user_id, query, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, query) AS rn FROM
+    (SELECT user_id, lower(q) AS lq, arg_max(q, struct_pack(a := ts, b := q)) AS query, max(ts) AS ts FROM (SELECT user_id, epoch_us(ts) AS ts, CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE event_type END || ' ' || event_id % 7 AS q FROM events) GROUP BY 1, 2)) WHERE rn <= 12
+""")
+def history_mru(spark, sf_dir) -> DataFrame:
+    e = read(spark, sf_dir, "events")
+    q = F.concat(F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.col("event_type")), F.lit(" "), (F.col("event_id") % 7).cast("string"))
+    h = e.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), q.alias("query"))
+    return userstate.recent(h, by=["user_id"]).select("user_id", "query", "ts")
+
+
+@query("SELECT ord, CASE WHEN ord % 2 = 0 THEN 'magnet:?xt=urn:btih:' || h WHEN ord % 9 <> 0 THEN 'magnet:?xt=urn:btih:r' || ord END AS magnet, (ord % 2 = 1 AND ord % 9 = 0) AS needs_magnet FROM (SELECT doc_id AS ord, md5(text) AS h FROM documents)")
+def lazy_magnet_enrich(spark, sf_dir) -> DataFrame:
+    d = read(spark, sf_dir, "documents")
+    raw = d.select(F.lit("x").alias("provider"), F.when(F.col("doc_id") % 2 == 0, F.md5("text")).alias("info_hash"), F.concat(F.lit("/d/"), F.col("doc_id").cast("string")).alias("detail_url"), F.col("doc_id").alias("ord"))
+    details = d.where("doc_id % 9 <> 0").select(F.concat(F.lit("/d/"), F.col("doc_id").cast("string")).alias("detail_url"), F.concat(F.lit("magnet:?xt=urn:btih:r"), F.col("doc_id").cast("string")).alias("resolved"), F.lit(None).cast("string").alias("resolved_hash"))
+    return listings.resolve_magnets(listings.normalize(raw, NOW_MS, "ord"), details).select("ord", "magnet", "needs_magnet")
+
+
+# ---- sinks
+
+
+@query("""
+  SELECT doc_id, CASE WHEN regexp_matches(s, '[",\n]') THEN '"' || replace(s, '"', '""') || '"' ELSE s END AS cell FROM (SELECT doc_id, CASE WHEN regexp_matches(v, '^[=+\\-@\t\r]') THEN '''' || v ELSE v END AS s FROM
+    (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '=' || text WHEN 1 THEN '"' || text || '"' WHEN 2 THEN '' WHEN 3 THEN '-' || doc_id ELSE text END AS v FROM documents))
+""")
+def csv_cells(spark, sf_dir) -> DataFrame:
+    k = F.col("doc_id") % 5
+    v = F.when(k == 0, F.concat(F.lit("="), "text")).when(k == 1, F.concat(F.lit('"'), "text", F.lit('"'))).when(k == 3, F.concat(F.lit("-"), F.col("doc_id").cast("string"))).when(k == 4, F.col("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", sinks.csv_cell(v).alias("cell"))
+
+
+@query(f"SELECT ord, magnet AS line FROM ({MERGED_SQL.replace('arg_min_null', 'arg_min')}) WHERE magnet IS NOT NULL")
+def magnet_list(spark, sf_dir) -> DataFrame:
+    return sinks.magnet_lines(listings.merge_sources(C.doc_listings(spark, sf_dir)))
+
+
+@query("SELECT p_partkey, regexp_replace(p_name || ' &lt;' || p_type || '&gt;', '(widget|red|eco)', '<span class=\"hl\">\\1</span>', 'gi') AS html FROM part")
+def highlight_name(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "part").select("p_partkey", canon.highlight(F.concat("p_name", F.lit(" <"), "p_type", F.lit(">")), "red Eco widget RED").alias("html"))
+
+
+@query(f"SELECT ord, p, CASE WHEN p > 66 THEN 'good' WHEN p > 33 THEN 'fair' WHEN p IS NOT NULL THEN 'poor' END AS band FROM (SELECT ord, CASE WHEN coalesce(seeders, 0) + leechers > 0 THEN floor(coalesce(seeders, 0) * 100 / (coalesce(seeders, 0) + leechers) + 0.5)::INT END AS p FROM ({DOC_LISTINGS_SQL}))")
+def seed_health(spark, sf_dir) -> DataFrame:
+    p = canon.health_percent(F.col("seeders"), F.col("leechers"))
+    return C.doc_listings(spark, sf_dir).select("ord", p.alias("p"), canon.health_band(p).alias("band"))
+
+
+@query("SELECT event_id, 'event: provider' || chr(10) || 'data: {\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\"}' || chr(10) || chr(10) AS frame FROM events")
+def sse_frames(spark, sf_dir) -> DataFrame:
+    e = read(spark, sf_dir, "events").select("event_id", "event_type")
+    return sinks.sse_events(e.withColumn("x", F.lit(None)).select("event_id", "event_type")).select(F.regexp_extract("frame", '"event_id":(\\d+)', 1).cast("bigint").alias("event_id"), "frame")
+
+
+# ---- formats
+
+
+@query("SELECT user_id, m.k AS k, count(*) AS n FROM (SELECT user_id, unnest([{'k': (props::JSON->>'k')::BIGINT}, {'k': (props::JSON->>'k')::BIGINT + 1}]) AS m FROM events) GROUP BY 1, 2")
+def json_explode_nested(spark, sf_dir) -> DataFrame:
+    """Nested arrays in JSON text: parsed by schema, exploded twice."""
+    doc = F.concat(F.lit('{"movies": [{"items": ['), F.col("props"), F.lit(', {"k": '), (F.get_json_object("props", "$.k").cast("bigint") + 1).cast("string"), F.lit("}]}]}"))
+    e = read(spark, sf_dir, "events").select("user_id", F.from_json(doc, "movies array<struct<items:array<struct<k:bigint>>>>").alias("j"))
+    return e.select("user_id", F.explode("j.movies").alias("m")).select("user_id", F.explode("m.items").alias("i")).groupBy("user_id", F.col("i.k").alias("k")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey, name, size FROM (SELECT c_custkey, unnest([c_name, c_mktsegment]) AS name, unnest([c_custkey * 3, CASE WHEN c_custkey % 2 = 0 THEN 77 END]) AS size FROM customer)")
+def json_map_explode(spark, sf_dir) -> DataFrame:
+    """A JSON object keyed by name: exploded as a map, sizes from the magnets' xl parameter."""
+    link = lambda x: F.concat(F.lit('{"magnet": "magnet:?xt=urn:btih:0'), x, F.lit('"}'))
+    xl = F.concat(F.lit("&xl="), (F.col("c_custkey") * 3).cast("string"))
+    doc = F.concat(F.lit('{"'), "c_name", F.lit('": '), link(xl), F.lit(', "'), "c_mktsegment", F.lit('": '), link(F.when(F.col("c_custkey") % 2 == 0, F.lit("&xl=77")).otherwise(F.lit(""))), F.lit("}"))
+    c = read(spark, sf_dir, "customer").select("c_custkey", F.from_json(doc, "map<string, struct<magnet: string>>").alias("j"))
+    return c.select("c_custkey", F.explode("j").alias("name", "v")).select("c_custkey", "name", canon.magnet_size(F.col("v.magnet")).alias("size"))
+
+
+@query("""
+  SELECT s_suppkey, 'Item ' || s_suppkey AS name, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_suppkey * 10 END AS size, s_suppkey % 11 + 1 AS seeders, CASE WHEN s_suppkey % 2 = 0 THEN 'magnet:?xt=urn:btih:ab' || s_suppkey ELSE NULL END AS magnet FROM supplier
+""")
+def rss_items(spark, sf_dir) -> DataFrame:
+    """RSS items in XML text: parsed by schema, repeated attributes resolved last wins."""
+    k = F.col("s_suppkey").cast("string")
+    xml = F.concat(
+        F.lit("<rss><channel><item><title> </title></item><item><title>Item "), k, F.lit("</title><guid>"), k, F.lit("</guid><size>x</size>"),
+        F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit('<link>magnet:?xt=urn:btih:ab'), k, F.lit("</link>"))).otherwise(F.lit("<link>http://h.test/</link>")),
+        F.when(F.col("s_suppkey") % 3 != 0, F.concat(F.lit('<enclosure url="u" length="'), (F.col("s_suppkey") * 10).cast("string"), F.lit('"/>'))).otherwise(F.lit("")),
+        F.lit('<torznab:attr name="seeders" value="1"/><torznab:attr name="SEEDERS" value="'), (F.col("s_suppkey") % 11 + 1).cast("string"), F.lit('"/></item></channel></rss>'),
+    )
+    raw = feeds.rss_listings(read(spark, sf_dir, "supplier").select("s_suppkey", xml.alias("xml")), "torznab:x", "s_suppkey")
+    return listings.normalize(raw, NOW_MS, "s_suppkey").select("s_suppkey", "name", "size", "seeders", "magnet")
+
+
+_UNESCAPE = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&')"
+
+
+@query(f"""
+  SELECT page_id, trim({_UNESCAPE.format("regexp_extract(html, '<title>([^<]*)</title>', 1)")}) AS title, trim({_UNESCAPE.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")}) AS heading, {_UNESCAPE.format("regexp_extract(html, '<a href=.([^>]*).>', 1)")} AS first_href,
+    len(regexp_extract_all(html, '<a href=')) AS n_links FROM pages
+""")
+def html_title_links(spark, sf_dir) -> DataFrame:
+    return pages.page_facts(read(spark, sf_dir, "pages"), "page_id").select("page_id", "title", "heading", "first_href", "n_links")
+
+
+@query("SELECT conv_id, pair, max(CASE WHEN rn % 2 = 0 THEN text END) AS question, max(CASE WHEN rn % 2 = 1 THEN text END) AS answer FROM (SELECT conv_id, rn, rn // 2 AS pair, text, n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS rn, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)) WHERE pair < n // 2 GROUP BY 1, 2")
+def row_pair_zip(spark, sf_dir) -> DataFrame:
+    c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    pairs = c.select("conv_id", F.posexplode(pages.row_pairs(F.col("t.text"))).alias("pair", "p"))
+    return pairs.select("conv_id", F.col("pair").cast("long").alias("pair"), F.col("p.first").alias("question"), F.col("p.second").alias("answer"))
+
+
+@query("SELECT o_orderkey, o_orderpriority AS size_cell, o_custkey::VARCHAR AS seeders_cell, NULL::VARCHAR AS leechers_cell FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, o_orderpriority, o_custkey::VARCHAR, o_orderkey::VARCHAR FROM orders WHERE o_orderkey % 2 = 1")
+def pattern_sniff(spark, sf_dir) -> DataFrame:
+    o = read(spark, sf_dir, "orders")
+    number = F.col("o_custkey").cast("string")
+    cells = F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit("x"), number, F.col("o_orderpriority"))).otherwise(F.array(F.col("o_orderpriority"), number, F.col("o_orderkey").cast("string"), F.lit("")))
+    return o.select("o_orderkey", pages.sniff(cells, "^[1-5]-").alias("size_cell"), pages.sniff(cells, r"^\d+$").alias("seeders_cell"), pages.sniff(cells, r"^\d+$", 1).alias("leechers_cell"))
+
+
+@query()
+def demo_pool(spark, sf_dir) -> DataFrame:
+    return listings.normalize(demo.pool(spark, "ubuntu", NOW_MS), NOW_MS, "ord")
+
+
+# ---- streaming
+
+
+@query(f"SELECT key, name, size, seeders, leechers, magnet, n_rows FROM ({MERGED_SQL.replace('arg_min_null', 'arg_min')})")
+def stream_merge_final(spark, sf_dir) -> DataFrame:
+    """Documents arrive file by file; the merged state at the end of the stream equals the batch merge."""
+    return search.merge_stream(spark, sf_dir)
+
+
+@query("SELECT source AS id, count(*) AS count, max(doc_id) AS last_ord FROM documents GROUP BY 1")
+def stream_status(spark, sf_dir) -> DataFrame:
+    return search.status_stream(spark, sf_dir)
