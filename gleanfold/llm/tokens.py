@@ -17,23 +17,34 @@ def default_tokenizer() -> str:
 
 
 class WordCache(dict):
-    """Word to its ids as little-endian unsigned 32-bit bytes; encodes on a miss."""
+    """Word to its ids as little-endian unsigned 32-bit bytes; encodes on a miss.
+
+    A run of Latin letters is a unit of its own to this tokenizer, in lower case, and so is what
+    punctuation follows it. Such units go straight to its BPE model; all other words go through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import numpy as np
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__()
-        self.tokenizer, self.array = Tokenizer.from_file(path), np.array
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        split = ByteLevel(add_prefix_space=False, use_regex=False)
+        #: the byte-level alphabet, read off the library for the bytes of two-byte letters and of ASCII
+        self.letters = {c: split.pre_tokenize_str(chr(c))[0][0] for c in range(0x250) if chr(c).isalpha()}
 
     def __missing__(self, word: str) -> bytes:
         stem = word.rstrip(".,")
-        if stem.isalpha() and stem.isascii() and (stem != word or not stem.islower()):
-            # a run of letters is a unit of its own, and ASCII lower-cases alike everywhere
-            out = self[stem.lower()] + (self[word[len(stem):]] if stem != word else b"")
+        low = stem.lower()
+        if low.isalpha() and stem.isalpha() and max(stem) < "\u0250" and max(low) < "\u0250":
+            if low != word:
+                out = self[low] + (self[word[len(stem):]] if stem != word else b"")
+            else:
+                out = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(low if low.isascii() else low.translate(self.letters))])
         else:
-            out = self.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            out = b"".join([i.to_bytes(4, "little") for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
         self[word] = out
         return out
 
@@ -44,7 +55,7 @@ class TextEncoder:
     Memory: at most ``cap`` words are kept; beyond it the cache starts anew between two texts.
     """
 
-    def __init__(self, path: str, cap: int = 1_000_000):
+    def __init__(self, path: str, cap: int = 400_000):
         self.cache, self.cap = WordCache(path), cap
 
     def __call__(self, text: str | None) -> bytes:
