@@ -15,7 +15,7 @@ CATEGORY_RANGES = [
     (6000000, 7000000, "Anime"), (7000000, 8000000, "Games"), (9000000, 10000000, "Books"), (10000000, 11000000, "Other"),
 ]
 # Media types of an archive and their buckets.
-MEDIA_TYPES = {"audio": "Music", "etree": "Music", "movies": "Movies", "texts": "Books", "software": "Apps", "image": "Other"}
+MEDIA_TYPES = {"software": "Apps", "texts": "Books", "movies": "Movies"}
 _RSS = "channel struct<item: array<struct<title: string, link: string, guid: string, comments: string, pubDate: string, size: string, enclosure: struct<_url: string, _length: string>, `torznab:attr`: array<struct<_name: string, _value: string>>>>>"
 
 
@@ -99,24 +99,25 @@ def subsplease(bodies: DataFrame, *keep: str) -> DataFrame:
 
 
 def bangumimoe(bodies: DataFrame, *keep: str) -> DataFrame:
-    j = "struct<torrents: array<struct<_id: string, title: string, infoHash: string, magnet: string, size: string, seeders: string, leechers: string, publish_time: string>>>"
-    rows = bodies.select(*keep, F.explode(F.from_json("body", j)["torrents"]).alias("r")).where("r.title <> ''")
-    return _raw(rows, "bangumimoe", keep, name=F.col("r.title"), info_hash=F.coalesce(canon.blank_to_null(F.col("r.infoHash")), canon.extract_info_hash(F.col("r.magnet"))), magnet=F.col("r.magnet"), size_raw=F.col("r.size"), seeders=F.col("r.seeders"), leechers=F.col("r.leechers"), date_raw=F.col("r.publish_time"), category=F.lit("Anime"), detail_url=F.concat(F.lit("https://bangumi.moe/torrent/"), F.col("r._id")))
+    j = "struct<torrents: array<struct<_id: string, title: string, infohash: string, magnet: string, size: string, seeders: string, leechers: string, publish_time: string>>>"
+    rows = bodies.select(*keep, F.explode(F.from_json("body", j)["torrents"]).alias("r")).where("r.title <> '' AND r.magnet <> ''")
+    return _raw(rows, "bangumimoe", keep, name=F.col("r.title"), info_hash=F.coalesce(canon.blank_to_null(F.col("r.infohash")), canon.extract_info_hash(F.col("r.magnet"))), magnet=F.col("r.magnet"), size_raw=canon.trim(F.col("r.size")), seeders=F.col("r.seeders"), leechers=F.col("r.leechers"), date_raw=F.col("r.publish_time"), category=F.lit("Anime"), detail_url=F.concat(F.lit("https://bangumi.moe/torrent/"), F.col("r._id")))
 
 
 def internetarchive(bodies: DataFrame, *keep: str) -> DataFrame:
     j = "struct<response: struct<docs: array<struct<identifier: string, title: string, mediatype: string, item_size: bigint, publicdate: string, btih: string>>>>"
-    rows = bodies.select(*keep, F.explode(F.from_json("body", j)["response"]["docs"]).alias("r")).where("r.btih <> ''")
-    return _raw(rows, "internetarchive", keep, name=F.coalesce("r.title", "r.identifier"), info_hash=F.col("r.btih"), size_num=F.col("r.item_size"), date_raw=F.col("r.publicdate"), category=classify.bucket_by_table(F.col("r.mediatype"), MEDIA_TYPES, "Other"), detail_url=F.concat(F.lit("https://archive.org/details/"), F.col("r.identifier")))
+    rows = bodies.select(*keep, F.explode(F.from_json("body", j)["response"]["docs"]).alias("r")).where("r.btih <> '' AND r.title <> ''")
+    return _raw(rows, "internetarchive", keep, name=F.col("r.title"), info_hash=canon.trim(F.lower("r.btih")), size_num=F.col("r.item_size"), date_raw=F.col("r.publicdate"), category=classify.bucket_by_table(F.col("r.mediatype"), MEDIA_TYPES, "Other"), detail_url=F.concat(F.lit("https://archive.org/details/"), F.col("r.identifier")))
 
 
 def anilibria(releases: DataFrame, details: DataFrame, most: int = 15) -> DataFrame:
-    """Dependent fetch as a join: the first releases of a search (id, name, place) with their downloads (id, body)."""
-    j = "struct<name: struct<main: string, english: string>, torrents: array<struct<hash: string, magnet: string, size: bigint, seeders: string, leechers: string, label: string, updated_at: string>>>"
-    top = releases.orderBy("place").limit(most)
-    rows = top.join(details.select(F.col("id"), F.from_json("body", j).alias("d")), "id").select("id", "d", F.explode("d.torrents").alias("t"))
-    name = F.coalesce(canon.blank_to_null(F.col("t.label")), F.col("d.name.english"), F.col("d.name.main"))
-    return _raw(rows, "anilibria", (), name=name, info_hash=F.col("t.hash"), magnet=F.col("t.magnet"), size_num=F.col("t.size"), seeders=F.col("t.seeders"), leechers=F.col("t.leechers"), date_raw=F.col("t.updated_at"), category=F.lit("Anime"), detail_url=F.concat(F.lit("https://anilibria.top/anime/releases/release/"), F.col("id").cast("string")))
+    """Dependent fetch as a join: the first releases of a search (id, place) with the answers for each (id, body)."""
+    j = "array<struct<hash: string, magnet: string, size: bigint, seeders: string, leechers: string, label: string, created_at: string, release: struct<alias: string, name: struct<main: string, english: string>>>>"
+    top = releases.where("id IS NOT NULL").orderBy("place").limit(most)
+    rows = top.join(details, "id").select("place", F.explode(F.from_json("body", j)).alias("t")).where("t.hash <> ''")
+    name = F.coalesce(*(canon.blank_to_null(F.col(c)) for c in ("t.label", "t.release.name.english", "t.release.name.main")))
+    page = F.concat(F.lit("https://anilibria.top/anime/releases/release/"), F.col("t.release.alias"))
+    return _raw(rows.where(name.isNotNull()), "anilibria", ("place",), name=name, info_hash=F.col("t.hash"), magnet=F.col("t.magnet"), size_num=F.col("t.size"), seeders=F.col("t.seeders"), leechers=F.col("t.leechers"), date_raw=F.col("t.created_at"), category=F.lit("Anime"), detail_url=page)
 
 
 JSON_SOURCES: dict[str, Callable] = {"tpb": tpb, "yts": yts, "knaben": knaben, "torrentscsv": torrentscsv, "subsplease": subsplease, "bangumimoe": bangumimoe, "internetarchive": internetarchive}

@@ -61,6 +61,8 @@ class _Builder(HTMLParser):
         self.root = self.at = Node("#root", {}, None)
 
     def handle_starttag(self, tag, attrs):
+        if tag in ("html", "head", "body") and self.at.tag not in ("#root", "html", "head"):
+            return  # a second one inside the page's body counts for nothing
         ends, n = _ENDS.get(tag, ()), self.at
         while ends and n.parent is not None and n.tag not in _FENCE:
             if n.tag in ends:
