@@ -4,7 +4,8 @@ Rows with equal text form an atomic group. Groups are ordered by hash and held i
 cells of that order (a group never spans two cells), so what the search sees is bounded at any
 input size. Cells larger than an even share become shards of their own, as no cut can make them
 smaller. Over the others, in order, a binary search finds the smallest capacity with which a greedy
-walk needs no more than the shards left, and the walk with that capacity makes the cuts.
+walk needs no more than the shards left. The cuts keep to that capacity; where it leaves room, a cut goes next to its
+even place, but never so early that what follows (known from a greedy walk from the end) wouldn't fit.
 
 ``slot`` numbers a shard's rows without gaps: rows before the cell (or, in a cell with many rows, before
 the salted part of it), plus the place within that part. So no window covers a whole shard.
@@ -52,10 +53,19 @@ def _search_sql(n_shards: int) -> str:
              struct(s.lo AS lo, (s.lo + s.hi) div 2 AS hi), struct((s.lo + s.hi) div 2 + 1 AS lo, s.hi AS hi))), s -> s.hi) AS capacity
       FROM bounds
     )
-    SELECT own, n, capacity, aggregate(cells, struct(0L AS held, array_repeat(0L, 0) AS cuts),
-             (g, c) -> IF(g.held + c.bytes > capacity, struct(c.bytes AS held, g.cuts || array(c.cell) AS cuts), struct(g.held + c.bytes AS held, g.cuts AS cuts)),
+    , from_the_end AS (
+      SELECT *, aggregate(reverse(cells), struct(0L AS held, -1L AS first, array_repeat(0L, 0) AS starts),
+               (g, c) -> IF(g.first >= 0 AND g.held + c.bytes > capacity, struct(c.bytes AS held, c.cell AS first, g.starts || array(g.first) AS starts), struct(g.held + c.bytes AS held, c.cell AS first, g.starts AS starts)),
+               g -> g.starts || array(g.first)) AS starts
+      FROM searched
+    )
+    SELECT own, n, capacity, aggregate(cells, struct(0L AS held, 0L AS before, array_repeat(0L, 0) AS cuts),
+             (g, c) -> IF(g.held > 0 AND (g.held + c.bytes > capacity
+                            OR size(g.cuts) < n - 1 AND 2 * g.before + c.bytes >= 2 * rest * (size(g.cuts) + 1) / n AND c.cell >= coalesce(get(starts, n - size(g.cuts) - 2), -1L)),
+                          struct(c.bytes AS held, g.before + c.bytes AS before, g.cuts || array(c.cell) AS cuts),
+                          struct(g.held + c.bytes AS held, g.before + c.bytes AS before, g.cuts AS cuts)),
              g -> g.cuts) AS cuts
-    FROM searched
+    FROM from_the_end
     """
 
 

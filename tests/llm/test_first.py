@@ -56,7 +56,19 @@ def test_search_is_minimax(spark):
         plan = spark.sql(_search_sql(n)).first()
         assert not plan.own and plan.capacity == least_capacity(sizes, n) and len(plan.cuts) <= n - 1
         cuts = [0, *plan.cuts, len(sizes)]
-        assert max(sum(sizes[a:b]) for a, b in zip(cuts, cuts[1:])) == plan.capacity
+        loads = [sum(sizes[a:b]) for a, b in zip(cuts, cuts[1:])]
+        assert max(loads) <= plan.capacity and min(loads) > sum(sizes) / n - 250
+    uneven = [5, 1, 1, 9, 9, 9, 1, 1, 1, 1, 1, 9]
+    spark.createDataFrame([([(i, s) for i, s in enumerate(uneven)],)], "cells array<struct<cell:bigint,bytes:bigint>>").createOrReplaceTempView("gathered")
+    for n in range(1, 13):
+        plan = spark.sql(_search_sql(n)).first()
+        rest = [(i, s) for i, s in enumerate(uneven) if i not in plan.own]
+        assert plan.capacity == least_capacity([s for _, s in rest], n - len(plan.own)) and len(plan.cuts) < n - len(plan.own)
+        loads = [0]
+        for i, s in rest:
+            loads = [*loads, 0] if i in plan.cuts else loads
+            loads[-1] += s
+        assert max(loads) <= plan.capacity
 
 
 def brute_ids(texts):
