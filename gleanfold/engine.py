@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,9 @@ from . import sinks
 from .functions.canon import page_number
 from .operators import federate, listings, refine
 from .sources import demo, feeds, layouts
+from .sources.http import TIMEOUT_S, fetch_pages
 from .sources.indexers import Indexers
+from .sources.requests import release_details, release_requests, requests_for
 
 
 @dataclass
@@ -47,6 +50,43 @@ class Engine:
             return feeds.rss_listings(own.withColumnRenamed("body", "xml"), source, "mirror_rank")
         return layouts.html_listings(own, source, "body", "mirror_rank")
 
+    def requests(self, query: str, page: int = 1, providers: list[str] | None = None) -> list[dict]:
+        """What a live search asks, for every target and mirror."""
+        wanted = self.spark.createDataFrame([(p,) for p in providers], "id string") if providers else None
+        own = {i["id"]: i for i in self.indexers.load()} if self.indexers else {}
+        targets = federate.resolve(self.sources(), wanted, page).orderBy("rank").select("id").collect()  # the registry's size
+        return [r for t in targets for r in requests_for(t.id, query, page, own.get(t.id))]
+
+    def fetch(self, query: str, page: int = 1, providers: list[str] | None = None, timeout: float = TIMEOUT_S) -> DataFrame:
+        """Pages of a live search, kept so that they are fetched once. The source with dependent requests is asked in two steps."""
+        pages = fetch_pages(self.spark, self.requests(query, page, providers), timeout)
+        return pages.persist()
+
+    def releases(self, query: str, timeout: float = TIMEOUT_S) -> DataFrame:
+        """Raw listings of the source whose search gives releases and whose releases give listings."""
+        first = fetch_pages(self.spark, release_requests(query), timeout)
+        ids = first.where("body IS NOT NULL").select("mirror_rank", F.posexplode(F.from_json("body", "array<struct<id: bigint>>")).alias("place", "r")).select("mirror_rank", "place", F.col("r.id").alias("id"))
+        found = federate.first_mirror(ids.withColumn("source", F.lit("anilibria"))).where("id IS NOT NULL").orderBy("place").limit(15).select("id", "place", "mirror_rank").collect()  # at most 15
+        asked = release_details([r.id for r in found], found[0].mirror_rank if found else 0)
+        bodies = fetch_pages(self.spark, asked, timeout)
+        by_url = self.spark.createDataFrame([(r["url"], r["id"]) for r in asked], "url string, id bigint")
+        places = self.spark.createDataFrame([(r.id, r.place) for r in found], "id bigint, place int")
+        return feeds.anilibria(places, bodies.join(by_url, "url").select("id", "body"))
+
+    def pages(self, query: str, fetch: Callable[[str, int], DataFrame], most: int = 10) -> Iterator[Response]:
+        """Page after page, until one adds no new row or no source has more."""
+        seen = None
+        for number in range(1, most + 1):
+            r = self.search(query, fetch(query, number), number)
+            new = r.results if seen is None else self.new_rows(seen, r)
+            if not new.limit(1).count():
+                return
+            yield r
+            if not r.has_more():
+                return
+            ids = r.results.select("id")
+            seen = ids if seen is None else seen.unionByName(ids)
+
     def search(self, query: str, pages: DataFrame, page: int = 1, providers: list[str] | None = None) -> Response:
         """All targets' listings in registry order; a source's rows are those of its first mirror that has any."""
         if not query or not query.strip():

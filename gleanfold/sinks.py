@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterable
@@ -50,10 +51,10 @@ def response_json(merged: DataFrame) -> DataFrame:
     return merged.select("ord", F.to_json(F.struct(*merged.columns)).alias("body"))
 
 
-Send = Callable[[str, bytes, dict], tuple[int, dict, bytes]]
+Send = Callable[[str, bytes | None, dict], tuple[int, dict, bytes]]
 
 
-def http_send(url: str, body: bytes, headers: dict, timeout: float = 10.0) -> tuple[int, dict, bytes]:
+def http_send(url: str, body: bytes | None, headers: dict, timeout: float = 10.0) -> tuple[int, dict, bytes]:
     try:
         with urllib.request.urlopen(urllib.request.Request(url, body, headers), timeout=timeout) as r:  # noqa: S310
             return r.status, dict(r.headers), r.read()
@@ -65,61 +66,102 @@ def _form(**fields: str) -> bytes:
     return urllib.parse.urlencode(fields).encode()
 
 
-def _to_qbittorrent(config: dict, magnet: str, send: Send) -> bool:
-    base, kind = config["url"].rstrip("/"), {"Content-Type": "application/x-www-form-urlencoded"}
-    code, headers, text = send(f"{base}/api/v2/auth/login", _form(username=config.get("username", ""), password=config.get("password", "")), kind | {"Referer": base})
-    cookie = {k.lower(): v for k, v in headers.items()}.get("set-cookie", "").split(";")[0]
-    if code != 200 or not text.startswith(b"Ok"):
+def _at(config: dict, path: str) -> str:
+    url = config["url"].rstrip("/")
+    return url if url.endswith(path) else url + path
+
+
+def _qbittorrent(config: dict, magnet: str | None, send: Send) -> bool:
+    """Log in for a session cookie, then add; without a magnet, the login alone."""
+    kind = {"Content-Type": "application/x-www-form-urlencoded", "Referer": config["url"]}
+    code, headers, _ = send(_at(config, "/api/v2/auth/login"), _form(username=config.get("user", ""), password=config.get("password", "")), kind)
+    cookie = next((v.split(";")[0] for k, v in headers.items() if k.lower() == "set-cookie" and "SID=" in v), None)
+    if code != 200 or cookie is None:
         return False
-    code, _, text = send(f"{base}/api/v2/torrents/add", _form(urls=magnet), kind | {"Cookie": cookie, "Referer": base})
+    if magnet is None:
+        return True
+    code, _, text = send(_at(config, "/api/v2/torrents/add"), _form(urls=magnet), kind | {"Cookie": cookie})
     return code == 200 and not text.startswith(b"Fails")
 
 
-def _to_transmission(config: dict, magnet: str, send: Send) -> bool:
-    url, body = config["url"].rstrip("/") + "/transmission/rpc", json.dumps({"method": "torrent-add", "arguments": {"filename": magnet}}).encode()
-    headers = {"Content-Type": "application/json"}
-    if config.get("username"):
-        headers["Authorization"] = "Basic " + base64.b64encode(f"{config['username']}:{config.get('password', '')}".encode()).decode()
+def _transmission(config: dict, magnet: str | None, send: Send) -> bool:
+    call = {"method": "session-get"} if magnet is None else {"method": "torrent-add", "arguments": {"filename": magnet}}
+    url, body, headers = _at(config, "/transmission/rpc"), json.dumps(call).encode(), {"Content-Type": "application/json"}
+    if config.get("user"):
+        headers["Authorization"] = "Basic " + base64.b64encode(f"{config['user']}:{config.get('password', '')}".encode()).decode()
     code, given, text = send(url, body, headers)
-    if code == 409:  # asks for its session's number
+    if code == 409:  # it wants its session's number back
         session = {k.lower(): v for k, v in given.items()}.get("x-transmission-session-id", "")
         code, _, text = send(url, body, headers | {"X-Transmission-Session-Id": session})
     return code == 200 and json.loads(text or b"{}").get("result") == "success"
 
 
-def _to_aria2(config: dict, magnet: str, send: Send) -> bool:
+def _aria2(config: dict, magnet: str | None, send: Send) -> bool:
     token = [f"token:{config['secret']}"] if config.get("secret") else []
-    body = json.dumps({"jsonrpc": "2.0", "id": "1", "method": "aria2.addUri", "params": [*token, [magnet]]}).encode()
-    code, _, text = send(config["url"].rstrip("/") + "/jsonrpc", body, {"Content-Type": "application/json"})
+    method, extra = ("aria2.getVersion", []) if magnet is None else ("aria2.addUri", [[magnet]])
+    body = json.dumps({"jsonrpc": "2.0", "id": "1", "method": method, "params": token + extra}).encode()
+    code, _, text = send(_at(config, "/jsonrpc"), body, {"Content-Type": "application/json"})
     return code == 200 and "error" not in json.loads(text or b'{"error": 1}')
 
 
-def _to_gopeed(config: dict, magnet: str, send: Send) -> bool:
+def _gopeed(config: dict, magnet: str | None, send: Send) -> bool:
     headers = {"Content-Type": "application/json"} | ({"X-Api-Token": config["secret"]} if config.get("secret") else {})
-    code, _, text = send(config["url"].rstrip("/") + "/api/v1/tasks", json.dumps({"req": {"url": magnet}}).encode(), headers)
-    return code == 200 and json.loads(text or b'{"code": 1}').get("code") == 0
+    body = None if magnet is None else json.dumps({"req": {"url": magnet}}).encode()
+    code, _, text = send(_at(config, "/api/v1/tasks"), body, headers)
+    return code == 200 and (magnet is None or json.loads(text or b'{"code": 1}').get("code") == 0)
 
 
-CLIENTS: dict[str, Callable[[dict, str, Send], bool]] = {"qbittorrent": _to_qbittorrent, "transmission": _to_transmission, "aria2": _to_aria2, "gopeed": _to_gopeed}
+CLIENTS: dict[str, Callable[[dict, str | None, Send], bool]] = {"qbittorrent": _qbittorrent, "transmission": _transmission, "aria2": _aria2, "gopeed": _gopeed}
 # Where clients listen by default, in order of trial.
-CANDIDATES = [("qbittorrent", 8080), ("qbittorrent", 8081), ("qbittorrent", 8090), ("transmission", 9091), ("aria2", 6800), ("aria2", 16800), ("gopeed", 9999)]
+CANDIDATES = [
+    {"client": "qbittorrent", "url": "http://localhost:8080", "user": "admin", "password": "adminadmin"},
+    {"client": "qbittorrent", "url": "http://localhost:8080", "user": "admin", "password": ""},
+    {"client": "qbittorrent", "url": "http://127.0.0.1:8080", "user": "admin", "password": "adminadmin"},
+    {"client": "qbittorrent", "url": "http://localhost:8081", "user": "admin", "password": "adminadmin"},
+    {"client": "transmission", "url": "http://localhost:9091"},
+    {"client": "transmission", "url": "http://127.0.0.1:9091"},
+    {"client": "aria2", "url": "http://localhost:16800/jsonrpc"},
+    {"client": "aria2", "url": "http://localhost:6800/jsonrpc"},
+    {"client": "gopeed", "url": "http://localhost:9999"},
+]
+
+
+def _client(name: str):
+    if name not in CLIENTS:
+        raise ValueError(f"unknown client {name}")
+    return CLIENTS[name]
+
+
+def reachable(client: str, config: dict, send: Send = http_send) -> bool:
+    """Whether the client answers to this configuration; a failure is just a no."""
+    try:
+        return bool(_client(client)(config, None, send))
+    except (OSError, json.JSONDecodeError):
+        return False
+
+
+def detect(send: Send = http_send) -> dict | None:
+    """The first of the candidates, in order, that answers."""
+    return next((c for c in CANDIDATES if reachable(c["client"], c, send)), None)
 
 
 def push(client: str, config: dict, magnets: Iterable[str], send: Send = http_send) -> int:
     """Hand magnets to a client one after the other; returns how many it took. A failure doesn't stop the rest."""
-    if client not in CLIENTS:
-        raise ValueError(f"unknown client {client}")
-    taken = 0
+    add, taken = _client(client), 0
     for m in magnets:
         try:
-            taken += bool(CLIENTS[client](config, m, send))
-        except (OSError, ValueError):
+            taken += bool(add(config, m, send))
+        except (OSError, json.JSONDecodeError):
             continue
     return taken
 
 
 def push_rows(merged: DataFrame, client: str, config: dict, send: Send = http_send) -> int:
-    """Push every row's magnet, partition by partition; returns how many were taken."""
+    """Push every row's magnet, partition by partition; returns how many were taken.
+
+    A task that is run again pushes again; clients take a known magnet only once.
+    """
+    _client(client)
 
     def run(batches):
         import pandas as pd
@@ -128,8 +170,3 @@ def push_rows(merged: DataFrame, client: str, config: dict, send: Send = http_se
             yield pd.DataFrame({"taken": [push(client, config, pdf.line, send)]})
 
     return magnet_lines(merged).mapInPandas(run, "taken long").agg(F.coalesce(F.sum("taken"), F.lit(0))).first()[0]
-
-
-def first_responder(answers: DataFrame) -> DataFrame:
-    """answers: ord, client, url, ok. The first candidate, in order, that answered."""
-    return answers.where("ok").orderBy("ord").limit(1)

@@ -105,7 +105,7 @@ def test_clients():
         if "transmission" in url:
             return 200, {}, b'{"result": "success"}'
         if "jsonrpc" in url:
-            return 200, {}, json.dumps({"result": "x"} if b"good" in body else {"error": 1}).encode()
+            return 200, {}, json.dumps({"error": 1} if b"bad" in body else {"result": "x"}).encode()
         return 200, {}, b'{"code": 0}' if "tasks" in url else b"Ok."
 
     c = {"url": "http://h/"}
@@ -113,3 +113,12 @@ def test_clients():
     assert log[1][2]["Cookie"] == "SID=1"
     with pytest.raises(ValueError):
         sinks.push("nope", c, [], send)
+    assert all(sinks.reachable(k, c, send) for k in sinks.CLIENTS)
+
+    def none(url, body, headers):
+        raise ConnectionRefusedError
+
+    def only_aria2(url, body, headers):
+        return send(url, body, headers) if ":6800" in url else (404, {}, b"")
+
+    assert sinks.detect(none) is None and sinks.detect(only_aria2)["url"] == "http://localhost:6800/jsonrpc" and len(sinks.CANDIDATES) == 9

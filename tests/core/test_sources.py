@@ -199,6 +199,26 @@ def test_engine(spark, tmp_path):
         engine.search(" ", pages_)
 
 
+def test_requests(spark, tmp_path):
+    from gleanfold.operators.federate import REGISTRY
+    from gleanfold.sources.requests import release_details, requests_for
+
+    assert [r["url"] for r in requests_for("rutor", "a b", 2)] == [f"https://rutor.{x}/search/1/0/010/2/a%20b" for x in ("info", "is", "ru")]
+    assert requests_for("knaben", "x")[0]["json"]["query"] == "x" and requests_for("demo", "x") == [] and "a-b" in requests_for("mypornclub", "a b")[0]["url"]
+    assert {s for s in REGISTRY if not requests_for(s, "q")} == {"demo", "anilibria"} and len(release_details(list(range(40)))) == 15
+    store = Indexers(f"{tmp_path}/i.json")
+    store.add("Own", "http://x", "k")
+    asked = Engine(spark, NOW, store).requests("q", 2)
+    assert {r["source"] for r in asked} == {"1337x", "nyaa", "dmhy", "bt4g", "limetorrents", "rutor", "bitsearch"}
+    assert Engine(spark, NOW, store).requests("q", 1, ["torznab:own"])[0]["url"].startswith("http://x/api?apikey=k")
+
+
+def test_paging(spark):
+    empty = spark.createDataFrame([], "source string, mirror_rank int, body string, error string")
+    pages_ = list(Engine(spark, NOW).pages("linux", lambda q, n: empty))
+    assert len(pages_) == 6 and not pages_[-1].has_more()
+
+
 def test_streams(spark, tmp_path):
     rows = [(1, "a:1", "s1", 1), (2, "b:1", "s2", 1), (3, "a:1", "s1", 1), (4, "old", "s1", 0)]
     spark.createDataFrame(rows, "ord int, id string, provider string, search_id int").repartition(2).write.parquet(f"{tmp_path}/in")
