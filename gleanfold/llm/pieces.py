@@ -53,10 +53,20 @@ class PieceModel:
         self.breaks = "".join(c for c in "\n\t\r" if not any(c in p for p in self.ids))
         self._words = re.compile(f"{MARK}*[^{MARK}{self.breaks}]+|[{self.breaks}]|{MARK}+" if self.breaks else f"{MARK}*[^{MARK}]+|{MARK}+")
         self._may: dict[tuple[str, str], bool] = {}
-        self._cache: dict[str, bytes] = {}
+        self._cache: dict[str, bytes] = {"": b""}
+        self._four = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
+
+    def _as_bytes(self, character: str) -> bytes:
+        """A character without a piece, as byte pieces."""
+        return b"".join([self.byte_ids[b].to_bytes(4, "little") for b in character.encode()])
 
     def words(self, text: str) -> list[str]:
-        return self._words.findall(MARK + text.replace(" ", MARK)) if text else []
+        """The text's marked words in order; empty strings may stand between them."""
+        if not text:
+            return []
+        if "  " in text or text[0] == " " or MARK in text or "\n" not in self.breaks:
+            return self._words.findall(MARK + text.replace(" ", MARK))
+        return (MARK + text).replace(" ", " " + MARK).replace("\n", " \n ").split(" ")  # single spaces: the same words, faster
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short string by merging the best-scored neighbours, leftmost first."""
@@ -77,7 +87,7 @@ class PieceModel:
         key = a, b
         known = self._may.get(key)
         if known is None:
-            if len(self._may) > 2_000_000:
+            if len(self._may) > 500_000:
                 self._may.clear()
             known = self._may[key] = self.merged(a + b) == ([a, b] if a else [b])
         return known
@@ -86,7 +96,7 @@ class PieceModel:
         """Yield (word, pieces) for distinct words in ascending order."""
         last = [""]  # last[i]: the last piece of the path over the first i characters
         before = ""
-        ids, may, longest = self.ids, self.may_follow, self.longest
+        ids, may, known, longest = self.ids, self.may_follow, self._may, self.longest
         for word in words:
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
@@ -96,7 +106,8 @@ class PieceModel:
                 for j in range(max(0, i - longest), i):
                     piece = word[j:i]
                     if piece in ids or j == i - 1:
-                        if may(last[j], piece):
+                        ok = known.get((last[j], piece))
+                        if may(last[j], piece) if ok is None else ok:
                             last.append(piece)
                             break
             before = word
@@ -106,21 +117,15 @@ class PieceModel:
                 i -= len(last[i])
             yield word, out[::-1]
 
-    def encode_batch(self, texts: list[str | None], cap: int = 1_000_000) -> list[bytes]:
+    def encode_batch(self, texts: list[str | None], cap: int = 500_000) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes."""
-        import numpy as np
-
         cut = [self.words(t or "") for t in texts]
         if len(self._cache) > cap:
-            self._cache.clear()
-        cache = self._cache
-        new = sorted({w for ws in cut for w in ws if w not in cache})
+            self._cache = {"": b""}
+        cache, four = self._cache, self._four
+        new = sorted(set().union(*cut) - cache.keys())
         for word, pieces in self.segment_sorted(new):
-            found: list[int] = []
-            for p in pieces:
-                i = self.ids.get(p)
-                found += [i] if i is not None else [self.byte_ids[b] for b in p.encode()]
-            cache[word] = np.array(found, "<u4").tobytes()
+            cache[word] = b"".join([four.get(p) or self._as_bytes(p) for p in pieces])
         return [b"".join(map(cache.__getitem__, ws)) for ws in cut]
 
     def decode(self, ids) -> str:
@@ -139,7 +144,7 @@ def model_of(path: str) -> PieceModel:
     return _models[path]
 
 
-def _blocks(texts, size: int = 4_000_000):
+def _blocks(texts, size: int = 1_000_000):
     """Lists of texts with about ``size`` characters each."""
     block, held = [], 0
     for t in texts:
@@ -153,12 +158,14 @@ def _blocks(texts, size: int = 4_000_000):
         yield block
 
 
-def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
-    """doc_id, ids, ids_crc32 (of little-endian unsigned 32-bit ids), text_crc32 for every row.
+def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, with_ids: bool = True, verify: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32 (of little-endian unsigned 32-bit ids) for every row; ids on demand.
 
+    ``verify`` decodes the ids again in the same task and adds decoded_crc32 and round_trip (whether the text came back).
     Null and empty texts have no ids. Repeated rows get a row each; an empty table gives none.
     """
     path = model or default_model()
+    fields = ["doc_id long", "n_tokens long", "ids_crc32 long", *["ids array<int>"] * with_ids, *["decoded_crc32 long", "round_trip boolean"] * verify]
 
     def run(batches):
         import zlib
@@ -171,15 +178,17 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             at = 0
             for block in _blocks(batch.column(1)):
                 made = m.encode_batch(block)
-                flat = np.frombuffer(b"".join(made), "<u4").astype(np.int32)
-                ends = np.cumsum([0, *(len(x) // 4 for x in made)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(at, len(block)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-                    pa.array([zlib.crc32(x) for x in made], pa.int64()), pa.array([zlib.crc32((t or "").encode()) for t in block], pa.int64()),
-                ], names=["doc_id", "ids", "ids_crc32", "text_crc32"])
+                cols = [batch.column(0).slice(at, len(block)), pa.array([len(x) // 4 for x in made], pa.int64()), pa.array([zlib.crc32(x) for x in made], pa.int64())]
+                if with_ids:
+                    ends = np.cumsum([0, *(len(x) // 4 for x in made)]).astype(np.int32)
+                    cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(made), "<u4").astype(np.int32))))
+                if verify:
+                    texts = [m.decode(np.frombuffer(x, "<u4").tolist()) for x in made]
+                    cols += [pa.array([zlib.crc32(t.encode()) for t in texts], pa.int64()), pa.array([t == (given or "") for t, given in zip(texts, block)])]
+                yield pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in fields])
                 at += len(block)
 
-    return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).mapInArrow(run, "doc_id long, ids array<int>, ids_crc32 long, text_crc32 long")
+    return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).mapInArrow(run, ", ".join(fields))
 
 
 def decode_pieces(encoded: DataFrame, model: str | None = None) -> DataFrame:
