@@ -433,9 +433,22 @@ def pattern_sniff(spark, sf_dir) -> DataFrame:
     return o.select("o_orderkey", pages.sniff(cells, "^[1-5]-").alias("size_cell"), pages.sniff(cells, r"^\d+$").alias("seeders_cell"), pages.sniff(cells, r"^\d+$", 1).alias("leechers_cell"))
 
 
-@query()
+_DEMO_LISTS = {n: "[" + ", ".join(f"'{v}'" for v in values) + "]" for n, values in (("category", demo.CATEGORIES), ("suffix", demo.SUFFIXES))}
+
+
+@query(f"""
+  WITH a AS (SELECT i, k, (({demo.seed_of('ubuntu')} + ({demo.DRAWS} * i + k + 1) * {demo.GAMMA}) % 4294967296)::HUGEINT AS s FROM range({demo.ROWS}) r(i), range({demo.DRAWS}) d(k)),
+  b AS (SELECT i, k, (xor(s::BIGINT, s::BIGINT >> 15)::HUGEINT * (s::BIGINT | 1) % 4294967296)::BIGINT AS t FROM a),
+  c AS (SELECT i, k, xor(t, ((t + xor(t, t >> 7)::HUGEINT * (t | 61)) % 4294967296)::BIGINT) AS t FROM b),
+  x AS (SELECT i, list(xor(t, t >> 14)::DOUBLE / 4294967296 ORDER BY k) AS v FROM c GROUP BY i)
+  SELECT i AS ord, 'ubuntu ' || {_DEMO_LISTS['suffix']}[floor(v[2] * 10)::INT + 1] || ' - S01E' || lpad((1 + floor(v[3] * 24)::INT)::VARCHAR, 2, '0') || ' [' || {_DEMO_LISTS['category']}[floor(v[1] * 6)::INT + 1] || ']' AS name,
+    floor((v[4] * 48 + 0.2::DOUBLE) * 1073741824)::BIGINT AS size, floor(v[5] * 5000)::BIGINT AS seeders, floor(v[6] * 1500)::BIGINT AS leechers, {NOW_MS} - floor(v[7] * 730)::BIGINT * 86400000 AS date_ms,
+    {_DEMO_LISTS['category']}[floor(v[1] * 6)::INT + 1] AS category, array_to_string(list_transform(v[8:47], lambda y: substr('0123456789abcdef', floor(y * 16)::INT + 1, 1)), '') AS info_hash
+  FROM x
+""")
 def demo_pool(spark, sf_dir) -> DataFrame:
-    return listings.normalize(demo.pool(spark, "ubuntu", NOW_MS), NOW_MS, "ord")
+    made = listings.normalize(demo.pool(spark, "ubuntu", NOW_MS), NOW_MS, "ord")
+    return made.select("ord", "name", "size", "seeders", "leechers", "date_ms", "category", "info_hash")
 
 
 # ---- streaming
