@@ -8,6 +8,8 @@ import re
 END_ID = 1
 #: Space characters that str.split() takes and the tokenizer's \s doesn't.
 _ODD = re.compile("[\x1c-\x1f]")
+#: A run of Latin letters, then a run of ASCII symbols other than the apostrophe.
+_LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 
 def default_tokenizer() -> str:
@@ -31,23 +33,40 @@ class WordCache(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.four = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         split = ByteLevel(add_prefix_space=False, use_regex=False)
-        #: the byte-level alphabet, read off the library for the bytes of two-byte letters and of ASCII
-        self.letters = {c: split.pre_tokenize_str(chr(c))[0][0] for c in range(0x250) if chr(c).isalpha()}
+        #: Latin letters in the library's byte-level alphabet
+        letters = {x for c in range(0x250) for x in chr(c).lower() if x.isalpha()}
+        self.letters = {ord(x): split.pre_tokenize_str(x)[0][0] for x in letters}
 
     def __missing__(self, word: str) -> bytes:
-        stem = word.rstrip(".,")
-        low = stem.lower()
-        if low.isalpha() and stem.isalpha() and max(stem) < "\u0250" and max(low) < "\u0250":
-            if low != word:
-                out = self[low] + (self[word[len(stem):]] if stem != word else b"")
-            else:
-                out = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(low if low.isascii() else low.translate(self.letters))])
+        m = _LATIN(word)
+        low = m[1].lower() if m else ""
+        if m is None or len(low) != m.end(1):
+            out = self.whole(word)
         else:
-            out = b"".join([i.to_bytes(4, "little") for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
+            out = self.get(low)
+            if out is None:
+                four = self.four
+                out = self[low] = b"".join([four[t.id] for t in self.model.tokenize(low if low.isascii() else low.translate(self.letters))])
+            if m[2]:
+                out += self[m[2]]
         self[word] = out
         return out
 
+    def whole(self, word: str) -> bytes:
+        return b"".join([self.four[i] for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
+
+
+def _plain(text: str) -> bool:
+    """Whether lower-casing at once is what the tokenizer does by itself: Latin-1 letters, and nothing like a special token."""
+    if "<|" in text:
+        return False
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
 
 class TextEncoder:
     """Encodes texts word by word. Valid for a tokenizer that drops white space and never looks across it.
@@ -62,7 +81,8 @@ class TextEncoder:
         """All ids of the text and the end id, as little-endian unsigned 32-bit bytes."""
         if len(self.cache) > self.cap:
             self.cache.clear()
-        words = [text] if text and _ODD.search(text) else (text or "").split()
+        text = text or ""
+        words = [text] if _ODD.search(text) else (text.lower() if _plain(text) else text).split()
         return b"".join(map(self.cache.__getitem__, words)) + END_ID.to_bytes(4, "little")
 
     @property
