@@ -64,6 +64,16 @@ def test_run(spark):
     assert P.run(spark, "/root/testdata/sf0.001").count() > 50
 
 
+def test_tables_in_the_shared_folder(spark):
+    from gleanfold.llm.common import materialize, remove, remove_all
+
+    kept, gone = materialize(spark.range(3), "a"), materialize(spark.range(4), "b")
+    assert kept.count() == 3 and gone.count() == 4
+    remove(spark, gone.inputFiles()[0].rpartition("/")[0])
+    assert spark.read.parquet(kept.inputFiles()[0]).count() >= 0
+    remove_all(spark)
+
+
 def test_empty_and_repeated_rows(spark, tmp_path):
     import corpus_pipeline as P
 
