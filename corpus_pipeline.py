@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanfold.llm.common import new_path
+from gleanfold.llm.common import new_path, remove
 from gleanfold.llm.langid import fit_languages, held_out, predict_column
 from gleanfold.llm.packing import pack_documents
 from gleanfold.llm.quality import fit_quality, verdict_column
@@ -59,9 +59,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole documents table; each result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    name = uuid.uuid4().hex
+    name, before = uuid.uuid4().hex, None
     for i, (stage, apply) in enumerate(STAGES):
         path = new_path(spark, f"pipeline-{name}-{i}-{stage}")
         apply(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)  # its successor is written
+        before = path
     return docs
