@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import classify
@@ -84,8 +85,8 @@ def page(ordered: DataFrame, number: int, size: int = 20) -> DataFrame:
 def facets(merged: DataFrame) -> DataFrame:
     """Rows per bucket; none at all if only one bucket occurs."""
     counts = merged.groupBy(classify.bucket(F.col("category"), F.col("name")).alias("bucket")).agg(F.count("*").alias("n")).where("bucket IS NOT NULL")
-    several = counts.agg((F.count("*") > 1).alias("several"))
-    return counts.join(F.broadcast(several), F.col("several")).drop("several")
+    all_of_them = W.partitionBy(F.lit(0))  # a row per bucket, of which there are nine
+    return counts.withColumn("buckets", F.count("*").over(all_of_them)).where("buckets > 1").drop("buckets")
 
 
 def selected_bucket(counts: DataFrame, wanted: str) -> str:
