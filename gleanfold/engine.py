@@ -62,6 +62,15 @@ class Engine:
         pages = fetch_pages(self.spark, self.requests(query, page, providers), timeout)
         return pages.persist()
 
+    def probe(self, indexer_id: str, timeout: float = 8.0) -> dict:
+        """Whether an indexer answers a request for its capabilities, and how long the answer is."""
+        own = self.indexers.get(indexer_id) if self.indexers else None
+        if own is None:
+            raise ValueError(f"no indexer {indexer_id}")
+        url = feeds.indexer_query(own["url"], own.get("apiKey", ""), "", "caps")
+        r = fetch_pages(self.spark, [{"source": indexer_id, "url": url}], timeout).first()
+        return {"ok": r.error is None and bool(r.body), "length": len(r.body or ""), "error": r.error}
+
     def releases(self, query: str, timeout: float = TIMEOUT_S) -> DataFrame:
         """Raw listings of the source whose search gives releases and whose releases give listings."""
         first = fetch_pages(self.spark, release_requests(query), timeout)

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPACE = r"[\s ﻿ -     　]"
+_SPACE = r"[\s\x0B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 _STEP = 1024
 UNITS = ["B", "KB", "MB", "GB", "TB", "PB"]
 

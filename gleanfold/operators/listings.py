@@ -75,7 +75,7 @@ def resolve_magnets(listings: DataFrame, details: DataFrame) -> DataFrame:
     found = details.groupBy("detail_url").agg(F.min("resolved").alias("resolved"), F.min("resolved_hash").alias("resolved_hash"))
     joined = listings.join(found.withColumnRenamed("detail_url", "_url"), F.col("needs_magnet") & (F.col("detail_url") == F.col("_url")), "left")
     magnet = F.coalesce("magnet", "resolved", canon.build_magnet(F.col("resolved_hash"), F.col("name")))
-    return joined.withColumn("magnet", magnet).withColumn("info_hash", F.coalesce("info_hash", "resolved_hash")).withColumn("needs_magnet", F.col("magnet").isNull() & F.col("detail_url").isNotNull()).drop("_url", "resolved", "resolved_hash")
+    return joined.withColumn("magnet", magnet).withColumn("info_hash", F.coalesce(F.col("info_hash"), F.col("resolved_hash"), canon.extract_info_hash(F.col("resolved")))).withColumn("needs_magnet", F.col("magnet").isNull() & F.col("detail_url").isNotNull()).drop("_url", "resolved", "resolved_hash")
 
 
 def any_magnet(merged: DataFrame) -> Column:

@@ -300,6 +300,20 @@ def group_counts(spark, sf_dir) -> DataFrame:
     return n.groupBy(F.col("r_name").alias("source_group")).agg(F.count_if(on).alias("n_selected"), F.count("*").alias("n_sources"), F.bool_and(on).alias("all_selected"))
 
 
+_GROUP_SQL = "CASE " + " ".join(f"WHEN id IN ({', '.join(repr(i) for i in ids.split())}) THEN '{g}'" for g, ids in classify.SOURCE_GROUPS.items()) + " END"
+
+
+@query(f"""
+  SELECT {_GROUP_SQL} AS source_group, count(*) FILTER (WHERE picked) AS n_selected, count(*) AS n_sources, bool_and(picked) AS all_selected
+  FROM (SELECT id, id IN (SELECT [{', '.join(repr(s) for s in federate.REGISTRY)}][user_id % 50 + 1] FROM events WHERE event_type = 'purchase') AS picked FROM (VALUES {', '.join(f'({s!r})' for s in federate.REGISTRY)}) v(id)) GROUP BY 1
+""")
+def group_selection(spark, sf_dir) -> DataFrame:
+    """Sources that purchases point at, counted per group of the registry."""
+    ids = F.get(F.array(*map(F.lit, federate.REGISTRY)), (F.col("user_id") % 50).cast("int"))
+    picked = read(spark, sf_dir, "events").where("event_type = 'purchase'").select(ids.alias("id")).where("id IS NOT NULL").distinct()
+    return federate.group_selection(federate.registry(spark), picked)
+
+
 # ---- user state, enrichment
 
 

@@ -32,7 +32,7 @@ def csv_lines(merged: DataFrame) -> DataFrame:
 def write_csv(merged: DataFrame, path: str, order: str = "ord") -> None:
     """Sorted part files of CRLF lines; the heading, with a byte-order mark, is the first line of the first."""
     spark = merged.sparkSession
-    head = spark.createDataFrame([(None, "﻿" + ",".join(CSV_HEADINGS))], f"{order} {dict(merged.dtypes)[order]}, line string")
+    head = spark.createDataFrame([(None, "\ufeff" + ",".join(CSV_HEADINGS))], f"{order} {dict(merged.dtypes)[order]}, line string")
     lines = head.unionByName(csv_lines(merged).select(order, "line")).orderBy(F.col(order).asc_nulls_first())
     lines.select("line").write.option("lineSep", "\r\n").text(path)
 

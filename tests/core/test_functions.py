@@ -61,3 +61,7 @@ def test_quality_and_groups(spark):
     assert values(spark, names, lambda c: classify.has_quality(c, "hdr")) == [False, False, False, False, False, True, True, False, False]
     assert values(spark, names, lambda c: classify.has_quality(c, "all")) == [True] * 9
     assert values(spark, ["nyaa", "torznab:x", "what", "sukebei"], classify.source_group) == ["anime", "custom", "general", "adult"]
+
+
+def test_trim(spark):
+    assert values(spark, ["  ﻿a b　\t\n", " x", "-a-", None], canon.trim) == ["a b", "x", "-a-", None]

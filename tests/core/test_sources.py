@@ -141,7 +141,7 @@ def test_row_helpers(spark):
     assert [[tuple(p) for p in r[0]] for r in df.select(pages.row_pairs(F.col("c"))).collect()] == [[("a", "b")], [], []]
 
 
-def test_fetch(spark):
+def test_fetch(spark, tmp_path):
     class Handler(http.server.BaseHTTPRequestHandler):
         def do_GET(self):
             if self.path == "/go":
@@ -163,6 +163,11 @@ def test_fetch(spark):
     base = f"http://127.0.0.1:{server.server_port}"
     reqs = [{"source": "a", "url": f"{base}/ok"}, {"source": "b", "mirror_rank": 1, "url": f"{base}/bad"}, {"source": "c", "url": "http://127.0.0.1:1/x"}, {"source": "d", "url": f"{base}/ok", "json": {"q": 1}}, {"source": "e", "url": f"{base}/go"}]
     got = {r.source: r for r in fetch_pages(spark, reqs, 3).collect()}
+    store = Indexers(f"{tmp_path}/i.json")
+    store.add("Here", base + "/ok?x=")
+    assert Engine(spark, NOW, store).probe("torznab:here") == {"ok": False, "length": 0, "error": "HTTP 500"}
+    with pytest.raises(ValueError):
+        Engine(spark, NOW, store).probe("torznab:gone")
     server.shutdown()
     assert got["a"].body == "hello" and got["d"].body == "hello" and got["b"].error == "HTTP 500" and got["b"].mirror_rank == 1
     assert "refused" in got["c"].error and got["e"].location == MAG
