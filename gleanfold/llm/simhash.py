@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, materialize, n_partitions
 
 N_BITS, LIMIT, SPLIT = 64, 3, 4096
 #: Parity masks of the Hamming code: bit i - 1 of mask j is set where position i has bit j.
@@ -75,6 +75,7 @@ def _anchors(half: F.Column) -> F.Column:
 def near_edges(distinct: DataFrame) -> DataFrame:
     """Distinct fingerprints (fp) to edges (src, dst) that join all within LIMIT bits; local stars, not all pairs."""
     low, high = F.col("fp").bitwiseAND(F.lit((1 << 31) - 1)), F.shiftright("fp", 32).bitwiseAND(F.lit((1 << 31) - 1))
+    distinct = distinct.repartition(n_partitions(distinct.sparkSession), F.xxhash64("fp"))  # a small table that grows 32-fold here; dealt anew, as its own partitions may be merged
     dealt = distinct.select("fp", F.explode(F.array(F.struct(F.lit(0).alias("side"), _anchors(low).alias("a")), F.struct(F.lit(1).alias("side"), _anchors(high).alias("a")))).alias("s")).select("fp", "s.side", F.explode("s.a").alias("a"))
     dealt = materialize(dealt.select("fp", "side", "a.anchor", "a.home"), "anchors")
     sizes = dealt.groupBy("side", "anchor").agg(F.count("*").alias("n"), F.max("home").alias("any_home")).where("n > 1 AND any_home").select("side", "anchor", "n")
