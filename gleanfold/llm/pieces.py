@@ -87,7 +87,7 @@ class PieceModel:
         key = a, b
         known = self._may.get(key)
         if known is None:
-            if len(self._may) > 500_000:
+            if len(self._may) > 1_000_000:
                 self._may.clear()
             known = self._may[key] = self.merged(a + b) == ([a, b] if a else [b])
         return known
@@ -117,7 +117,7 @@ class PieceModel:
                 i -= len(last[i])
             yield word, out[::-1]
 
-    def encode_batch(self, texts: list[str | None], cap: int = 500_000) -> list[bytes]:
+    def encode_batch(self, texts: list[str | None], cap: int = 1_000_000) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes."""
         cut = [self.words(t or "") for t in texts]
         if len(self._cache) > cap:
