@@ -16,6 +16,7 @@ from __future__ import annotations
 from bisect import bisect_right, insort
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .tokens import default_tokenizer, encoder
 
@@ -122,10 +123,9 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         import zlib
 
         import pyarrow as pa
-        from pyspark import TaskContext
 
         encode = encoder(tokenizer)
-        base = TaskContext.get().partitionId() << 40
+        base = 0
         n_sequences = n_groups = held = 0
         block: list[tuple[int | None, bytes]] = []
 
@@ -149,6 +149,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
         for batch in batches:
+            base = batch.column(2)[0].as_py() << 40 if batch.num_rows else base
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = encode(text.as_py())
                 block.append((doc_id, ids))
@@ -159,6 +160,4 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if block:
             yield packed()
 
-    from pyspark.sql import functions as F
-
-    return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).mapInArrow(pack, OUT)
+    return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"), F.spark_partition_id().alias("p")).mapInArrow(pack, OUT)

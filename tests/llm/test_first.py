@@ -85,7 +85,7 @@ def test_packing(spark):
     rows = [(i, *r[1:]) for i, r in enumerate(ROWS)]
     ids = dict(zip((r[0] for r in rows), brute_ids([r[1] for r in rows])))
     pieces, windows = defaultdict(list), defaultdict(list)
-    for r in pack_documents(frame(spark, rows), block_tokens=20000).collect():
+    for r in pack_documents(frame(spark, rows), block_tokens=20000).coalesce(1).collect():
         part = ids[r.doc_id][r.start : r.start + r.length]
         assert len(part) == r.length > 0 and r.ids_crc32 == crc(part.tobytes()) and r.doc_tokens == len(ids[r.doc_id])
         pieces[r.doc_id].append((r.start, r.length))
