@@ -190,9 +190,14 @@ def write_token_tables(docs: DataFrame, path: str, id_col: str = "doc_id", text_
         part_file = f"{where}.{uuid.uuid4().hex}.part"
         with fs.open_output_stream(part_file) as out:
             made = write_table(out, entries(), width)
-        if n_docs:
-            fs.move(part_file, where)
-        else:
+        try:
+            if n_docs:
+                fs.move(part_file, where)
+            else:
+                fs.delete_file(part_file)
+        except OSError:  # some stores don't rename onto a file: another run of this task has left the same one
+            if not fs.get_file_info(where).is_file:
+                raise
             fs.delete_file(part_file)
         import pyarrow as pa
 
