@@ -15,6 +15,7 @@ from .sources import demo, feeds, layouts
 from .sources.http import TIMEOUT_S, fetch_pages
 from .sources.indexers import Indexers
 from .sources.requests import release_details, release_requests, requests_for
+from .streaming.search import Search
 
 
 @dataclass
@@ -130,6 +131,25 @@ class Engine:
         more = F.when(F.col("demo"), F.lit(demo.has_more(page))).otherwise(F.lit(None).cast("boolean"))
         return Response(query, page, ordered, statuses.withColumn("has_more", more))
 
+    def stream(self, arrivals: DataFrame, on_source: Callable[[str, DataFrame, dict], None], search_id: int = 0) -> Search:
+        """Incremental search: ``arrivals`` is a stream of pages, in order of completion. For each source in a micro-batch,
+        on_source gets its id, its listings and its status. Cancelling the returned search drops what comes later;
+        rows with another search_id, if there is such a column, belong to an older search and are dropped."""
+
+        def each(pages: DataFrame, epoch: int) -> None:
+            pages = pages.persist()
+            try:
+                failed = {r["source"]: r["error"] for r in pages.where("error IS NOT NULL").groupBy("source").agg(F.max("error").alias("error")).collect()}  # a row per source
+                for (source,) in pages.select("source").distinct().orderBy("source").collect():
+                    rows = listings.normalize(self.raw(pages, source), self.now_ms, "mirror_rank")
+                    n = rows.count()
+                    error = None if n else failed.get(source)
+                    on_source(source, rows, {"status": "error" if error else "ok", "count": n, "error": error})
+            finally:
+                pages.unpersist()
+
+        return Search(arrivals, search_id, each)
+
     def merge(self, *responses: Response) -> DataFrame:
         """Pages of one query as merged rows: first arrivals of each identifier, then one row per content hash."""
         rows = responses[0].results

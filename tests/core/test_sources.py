@@ -237,3 +237,13 @@ def test_streams(spark, tmp_path):
     assert {r.provider: r["count"] for r in counts.collect()} == {"s1": 2, "s2": 1}
     timed = stream.withColumn("at", F.timestamp_seconds(F.col("ord")))
     assert search.first_arrivals(timed, "at").isStreaming
+
+
+def test_engine_stream(spark, tmp_path):
+    rows = [("1337x", 0, PAGES["1337x"][0], None, 7), ("yts", 0, None, "ETIMEDOUT", 7), ("rutor", 0, PAGES["rutor"][0], None, 6)]
+    schema = "source string, mirror_rank int, body string, error string, search_id int"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    got = {}
+    arrivals = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    Engine(spark, NOW).stream(arrivals, lambda s, df, status: got.update({s: ([r.name for r in df.collect()], status)}), 7).wait()
+    assert got == {"1337x": (["N1"], {"status": "ok", "count": 1, "error": None}), "yts": ([], {"status": "error", "count": 0, "error": "ETIMEDOUT"})}
