@@ -167,11 +167,20 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.98, id_col: st
     node = [*key, "block"]
     dealt = dealt.drop("blocks")
     nodes = materialize(dealt.groupBy(*node).agg(F.max("gap").alias("radius")).withColumn("node", F.xxhash64(*node)), "nodes")
-    apart = [(lab, dim, i, j, float(np.sqrt(max(0, 2 - 2 * a @ b)))) for (lab, dim), p in pivots.items() for i, a in enumerate(p) for j, b in enumerate(p)]
-    between = spark.createDataFrame([(lab if not hasattr(lab, "item") else lab.item(), int(dim), i, j, d) for lab, dim, i, j, d in apart], f"label {kind}, dim int, cell long, cell2 long, distance double")  # pivots of the bounded sample
     other = nodes.select("label", "dim", F.col("cell").alias("cell2"), F.col("radius").alias("radius2"), F.col("node").alias("node2"))
     limit = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    pairs = nodes.join(other, ["label", "dim"]).where("node <= node2").join(between, ["label", "dim", "cell", "cell2"], "left").where(F.coalesce("distance", F.lit(0.0)) <= F.col("radius") + F.col("radius2") + limit + _EPS)
+
+    def near(batches):
+        for pdf in batches:
+            distance = np.zeros(len(pdf))
+            for key, part in pdf.groupby(["label", "dim"]):
+                if key in pivots:
+                    dots = (pivots[key][part.cell] * pivots[key][part.cell2]).sum(axis=1)
+                    distance[pdf.index.get_indexer(part.index)] = np.sqrt(np.maximum(0, 2 - 2 * dots))
+            yield pdf.loc[distance <= pdf.radius + pdf.radius2 + limit + _EPS, ["node", "node2"]]
+
+    met_nodes = nodes.join(other, ["label", "dim"]).where("node <= node2").select("label", "dim", "cell", "cell2", "radius", "radius2", "node", "node2")
+    pairs = materialize(met_nodes.mapInPandas(near, "node long, node2 long"), "node-pairs")
     pairs = pairs.select("node", "node2", F.xxhash64("node", "node2", F.lit(5)).alias("pair"))
     sides = pairs.select("pair", F.col("node").alias("own"), F.lit(0).alias("side")).unionByName(pairs.where("node <> node2").select("pair", F.col("node2").alias("own"), F.lit(1).alias("side")))
     met = dealt.select("rep", "n", "v", F.xxhash64(*node).alias("own")).join(sides, "own").select("pair", "side", "rep", "n", "v")
