@@ -131,9 +131,29 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose identifier is their component's smallest, one row for each. Rows without an identifier stay."""
-    groups = simhash_components(docs, id_col, text_col)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti")
-    again = F.struct(*sorted(docs.columns))
-    return named.groupBy(id_col).agg(F.min(again).alias("row")).select(*(F.col(f"row.{c}").alias(c) for c in docs.columns)).unionByName(docs.where(F.col(id_col).isNull()))
+    """Of each group of near copies one row: the smallest identifier (nulls last), of equal ones the smallest text.
+
+    Rows are told apart by what they hold, not by identifier: other texts under a repeated identifier stay,
+    and copies without an identifier go.
+    """
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            fps = np.fromiter((text_fingerprint(t.as_py()) for t in batch.column(at)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=names)
+
+    names = [f"c{i}" for i in range(len(docs.columns))] + ["fp"]  # docs may have columns of any name
+    c = dict(zip(docs.columns, names))
+    given = docs.toDF(*names[:-1])
+    marked = given.mapInArrow(run, ", ".join(f"{x} {k}" for x, k in given.dtypes) + ", fp long")
+    order = [id_col, text_col, *sorted(set(docs.columns) - {id_col, text_col})]
+    row = F.struct(F.col(c[id_col]).isNull().alias("last"), *(c[x] for x in order))
+    # minima of rows have a partial stage, so no task holds the copies of one text or group
+    first = materialize(marked.groupBy("fp").agg(F.min(row).alias("row")), "firsts")
+    stars = connected_components(near_edges(first.select("fp")))
+    rooted = first.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "row")
+    return rooted.groupBy("root").agg(F.min("row").alias("row")).select(*(F.col(f"row.{c[x]}").alias(x) for x in docs.columns))

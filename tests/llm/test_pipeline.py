@@ -86,3 +86,16 @@ def test_empty_and_repeated_rows(spark, tmp_path):
     docs = spark.createDataFrame(rows, SCHEMA)
     once = P.near_copies(spark, docs, str(tmp_path)).collect()
     assert len(once) == 2 and np.sum([r.doc_id == 1 for r in once]) == 1
+
+
+def test_near_copies_are_rows(spark, tmp_path):
+    import corpus_pipeline as P
+
+    rng = random.Random(1)
+    a, b, c, d, e, f, g = (prose(rng, 300) for _ in range(7))
+    rows = [(7, a), (7, b), (3, c), (7, c), (9, c), (5, d), (5, d), (None, d), (None, e), (None, e), (4, f), (8, f + " "), (8, g), (None, None), (None, "")]
+    marks = [brute_fingerprint(t) for t in (a, b, c, d, e, f, g)]
+    assert min((x ^ y).bit_count() for i, x in enumerate(marks) for y in marks[:i]) > 3
+    docs = spark.createDataFrame([(i, t, None, "src", None) for i, t in rows], SCHEMA).repartition(3)
+    once = sorted(((r.doc_id, r.text) for r in P.near_copies(spark, docs, str(tmp_path)).collect()), key=str)
+    assert once == sorted([(7, a), (7, b), (3, c), (5, d), (None, e), (4, f), (8, g), (None, None)], key=str)
