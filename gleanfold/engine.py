@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,18 +52,30 @@ class Engine:
             return feeds.rss_listings(own.withColumnRenamed("body", "xml"), source, "mirror_rank")
         return layouts.html_listings(own, source, "body", "mirror_rank")
 
-    def requests(self, query: str, page: int = 1, providers: list[str] | None = None) -> list[dict]:
-        """What a live search asks, for every target and mirror."""
+    def _targets(self, page: int, providers: list[str] | None) -> list[str]:
         wanted = self.spark.createDataFrame([(p,) for p in providers], "id string") if providers else None
+        return [t.id for t in federate.resolve(self.sources(), wanted, page).orderBy("rank").select("id").collect()]  # the registry's size
+
+    def requests(self, query: str, page: int = 1, providers: list[str] | None = None) -> list[dict]:
+        """What a live search asks at once, for every target and mirror."""
         own = {i["id"]: i for i in self.indexers.load()} if self.indexers else {}
-        targets = federate.resolve(self.sources(), wanted, page).orderBy("rank").select("id").collect()  # the registry's size
-        return [r for t in targets for r in requests_for(t.id, query, page, own.get(t.id))]
+        return [r for t in self._targets(page, providers) for r in requests_for(t, query, page, own.get(t))]
 
     def fetch(self, query: str, page: int = 1, providers: list[str] | None = None, timeout: float = TIMEOUT_S) -> DataFrame:
         """Pages of a live search, kept so that they are fetched once. The source with dependent requests is asked in two steps."""
         pages = fetch_pages(self.spark, self.requests(query, page, providers), timeout)
+        if "anilibria" in self._targets(page, providers):
+            pages = pages.unionByName(self._release_pages(query, timeout))
         return pages.persist()
 
+    def _release_pages(self, query: str, timeout: float) -> DataFrame:
+        """Pages of both steps of the source whose search gives releases and whose releases give listings, at each mirror."""
+        first = fetch_pages(self.spark, release_requests(query), timeout).persist()
+        asked: dict[int, list[int]] = {}
+        for r in feeds.release_ids(first).orderBy("mirror_rank", "place").collect():  # at most 15 a mirror
+            asked.setdefault(r.mirror_rank, []).append(r.id)
+        return first.unionByName(fetch_pages(self.spark, [d for rank, ids in asked.items() for d in release_details(ids, rank)], timeout))
+
     def probe(self, indexer_id: str, timeout: float = 8.0) -> dict:
         """Whether an indexer answers a request for its capabilities, and how long the answer is."""
         own = self.indexers.get(indexer_id) if self.indexers else None
@@ -74,19 +87,12 @@ class Engine:
 
     def releases(self, query: str, timeout: float = TIMEOUT_S) -> DataFrame:
         """Raw listings of the source whose search gives releases and whose releases give listings."""
-        first = fetch_pages(self.spark, release_requests(query), timeout)
-        ids = first.where("body IS NOT NULL").select("mirror_rank", F.posexplode(F.from_json("body", "array<struct<id: bigint>>")).alias("place", "r")).select("mirror_rank", "place", F.col("r.id").alias("id"))
-        found = federate.first_mirror(ids.withColumn("source", F.lit("anilibria"))).where("id IS NOT NULL").orderBy("place").limit(15).select("id", "place", "mirror_rank").collect()  # at most 15
-        asked = release_details([r.id for r in found], found[0].mirror_rank if found else 0)
-        bodies = fetch_pages(self.spark, asked, timeout)
-        by_url = self.spark.createDataFrame([(r["url"], r["id"]) for r in asked], "url string, id bigint")
-        places = self.spark.createDataFrame([(r.id, r.place) for r in found], "id bigint, place int")
-        return feeds.anilibria(places, bodies.join(by_url, "url").select("id", "body"))
-
-    def pages(self, query: str, fetch: Callable[[str, int], DataFrame], most: int = 10) -> Iterator[Response]:
+        return federate.first_mirror(self.raw(self._release_pages(query, timeout).persist(), "anilibria"), "provider")
+
+    def pages(self, query: str, fetch: Callable[[str, int], DataFrame], most: int | None = None) -> Iterator[Response]:
         """Page after page, until one adds no new row or no source has more."""
         seen = None
-        for number in range(1, most + 1):
+        for number in count(1) if most is None else range(1, most + 1):
             r = self.search(query, fetch(query, number), number)
             new = r.results if seen is None else self.new_rows(seen, r)
             if not new.limit(1).count():

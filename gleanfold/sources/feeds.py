@@ -110,14 +110,39 @@ def internetarchive(bodies: DataFrame, *keep: str) -> DataFrame:
     return _raw(rows, "internetarchive", keep, name=F.col("r.title"), info_hash=canon.trim(F.lower("r.btih")), size_num=F.col("r.item_size"), date_raw=F.col("r.publicdate"), category=classify.bucket_by_table(F.col("r.mediatype"), MEDIA_TYPES, "Other"), detail_url=F.concat(F.lit("https://archive.org/details/"), F.col("r.identifier")))
 
 
+_RELEASE = "array<struct<hash: string, magnet: string, size: bigint, seeders: string, leechers: string, label: string, created_at: string, release: struct<alias: string, name: struct<main: string, english: string>>>>"
+
+
 def anilibria(releases: DataFrame, details: DataFrame, most: int = 15) -> DataFrame:
     """Dependent fetch as a join: the first releases of a search (id, place) with the answers for each (id, body)."""
-    j = "array<struct<hash: string, magnet: string, size: bigint, seeders: string, leechers: string, label: string, created_at: string, release: struct<alias: string, name: struct<main: string, english: string>>>>"
     top = releases.where("id IS NOT NULL").orderBy("place").limit(most)
-    rows = top.join(details, "id").select("place", F.explode(F.from_json("body", j)).alias("t")).where("t.hash <> ''")
+    return _torrents(top.join(details, "id").select("place", F.explode(F.from_json("body", _RELEASE)).alias("t")), ("place",), F.lit("https://anilibria.top"))
+
+
+def _torrents(rows: DataFrame, keep: tuple[str, ...], base: Column) -> DataFrame:
     name = F.coalesce(*(canon.blank_to_null(F.col(c)) for c in ("t.label", "t.release.name.english", "t.release.name.main")))
-    page = F.concat(F.lit("https://anilibria.top/anime/releases/release/"), F.col("t.release.alias"))
-    return _raw(rows.where(name.isNotNull()), "anilibria", ("place",), name=name, info_hash=F.col("t.hash"), magnet=F.col("t.magnet"), size_num=F.col("t.size"), seeders=F.col("t.seeders"), leechers=F.col("t.leechers"), date_raw=F.col("t.created_at"), category=F.lit("Anime"), detail_url=page)
+    page = F.concat(base, F.lit("/anime/releases/release/"), F.col("t.release.alias"))
+    return _raw(rows.where((F.col("t.hash") != "") & name.isNotNull()), "anilibria", keep, name=name, info_hash=F.col("t.hash"), magnet=F.col("t.magnet"), size_num=F.col("t.size"), seeders=F.col("t.seeders"), leechers=F.col("t.leechers"), date_raw=F.col("t.created_at"), category=F.lit("Anime"), detail_url=page)
+
+
+def release_ids(pages: DataFrame, most: int = 15) -> DataFrame:
+    """(mirror_rank, id, place): the first releases that each mirror's search found. pages: mirror_rank, url, body."""
+    found = pages.where("body IS NOT NULL AND url LIKE '%/app/search/releases?%'")
+    ids = found.select("mirror_rank", F.filter(F.from_json("body", "array<struct<id: bigint>>")["id"], lambda i: i.isNotNull()).alias("ids"))
+    return ids.select("mirror_rank", F.posexplode(F.slice("ids", 1, most)).alias("place", "id"))
+
+
+def anilibria_pages(pages: DataFrame, *keep: str) -> DataFrame:
+    """Listings from the pages of both steps (mirror_rank, url, body), in order of the search. Stored pages without a url count as the second step's."""
+    if "url" not in pages.columns:
+        pages = pages.withColumn("url", F.lit(None).cast("string"))
+    places = release_ids(pages).groupBy("mirror_rank", "id").agg(F.min("place").alias("first"))
+    details = pages.where("url IS NULL OR url NOT LIKE '%/app/search/releases?%'").withColumn("id", F.expr("try_cast(regexp_extract(url, '/release/([0-9]+)$', 1) AS bigint)"))
+    joined = details.join(places, ["mirror_rank", "id"], "left")
+    rows = joined.select(*keep, "url", "first", F.posexplode(F.from_json("body", _RELEASE)).alias("at", "t"))
+    place = F.shiftleft(F.coalesce("first", F.lit(1 << 20)).cast("long"), 20) + F.col("at")
+    base = F.coalesce(canon.blank_to_null(F.regexp_extract("url", "^(https?://[^/]+)", 1)), F.lit("https://anilibria.top"))
+    return _torrents(rows.withColumn("place", place).withColumn("base", base), (*keep, "place"), F.col("base"))
 
 
-JSON_SOURCES: dict[str, Callable] = {"tpb": tpb, "yts": yts, "knaben": knaben, "torrentscsv": torrentscsv, "subsplease": subsplease, "bangumimoe": bangumimoe, "internetarchive": internetarchive}
+JSON_SOURCES: dict[str, Callable] = {"tpb": tpb, "yts": yts, "knaben": knaben, "torrentscsv": torrentscsv, "subsplease": subsplease, "bangumimoe": bangumimoe, "internetarchive": internetarchive, "anilibria": anilibria_pages}

@@ -8,7 +8,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from gleanfold.engine import Engine
+from gleanfold.engine import Engine, Response
 from gleanfold.operators import listings
 from gleanfold.sources import demo, feeds, layouts, pages
 from gleanfold.sources.html import parse
@@ -247,3 +247,42 @@ def test_engine_stream(spark, tmp_path):
     arrivals = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
     Engine(spark, NOW).stream(arrivals, lambda s, df, status: got.update({s: ([r.name for r in df.collect()], status)}), 7).wait()
     assert got == {"1337x": (["N1"], {"status": "ok", "count": 1, "error": None}), "yts": ([], {"status": "error", "count": 0, "error": "ETIMEDOUT"})}
+
+
+def test_engine_fetches_releases(spark, monkeypatch):
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            torrents = [{"hash": f"{i}" * 40, "label": f"T{i}", "release": {"alias": f"r{i}"}} for i in (1, 2)]
+            bodies = {"/up/api/v1/app/search/releases?query=a%20b": [{"id": 9}, {"id": None}, {"id": 4}], "/up/api/v1/anime/torrents/release/9": torrents[:1], "/up/api/v1/anime/torrents/release/4": torrents[1:]}
+            self.send_response(200 if self.path in bodies else 500)
+            self.end_headers()
+            self.wfile.write(json.dumps(bodies.get(self.path)).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    engine = Engine(spark, NOW)
+    monkeypatch.setitem(layouts.MIRRORS, "anilibria", [f"{base}/down", f"{base}/up"])
+    r = engine.search("a b", engine.fetch("a b", 1, ["anilibria"], 3), providers=["anilibria"])
+    assert [(x.name, x.info_hash, x.mirror_rank) for x in r.results.orderBy("place").collect()] == [("T1", "1" * 40, 1), ("T2", "2" * 40, 1)]
+    assert [(s.id, s.status, s["count"], s.error) for s in r.statuses.collect()] == [("anilibria", "ok", 2, None)]
+    assert [x.name for x in engine.releases("a b", 3).orderBy("place").collect()] == ["T1", "T2"]
+    monkeypatch.setitem(layouts.MIRRORS, "anilibria", [f"{base}/down"])
+    r = engine.search("a b", engine.fetch("a b", 1, ["anilibria"], 3), providers=["anilibria"])
+    assert [(s.status, s["count"], s.error) for s in r.statuses.collect()] == [("error", 0, "anilibria unreachable (HTTP 500)")]
+    server.shutdown()
+
+
+def test_paging_has_no_cap(spark, monkeypatch):
+    engine = Engine(spark, NOW)
+
+    def made(query, pages, number):
+        results = spark.createDataFrame([(f"a:{number}",)], "id string")
+        statuses = spark.createDataFrame([("ok", 1, True, number < 12)], "status string, count int, paginated boolean, has_more boolean")
+        return Response(query, number, results, statuses)
+
+    monkeypatch.setattr(engine, "search", made)
+    assert len(list(engine.pages("x", lambda q, n: None))) == 12
