@@ -78,6 +78,20 @@ def by_column(merged: DataFrame, column: str, ascending: bool = False, order: st
     return merged.orderBy(key.asc() if ascending else key.desc(), order)
 
 
+def places(merged: DataFrame, column: str, ascending: bool = False, order: str = "ord") -> DataFrame:
+    """Every row with its ``place`` from 1 in the order of by_column: numbered within ranges, after the sizes of the ranges before."""
+    key = F.coalesce(F.col(column), F.lit(-1))
+    by = [key.asc() if ascending else key.desc(), F.col(order)]
+    n = int(merged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # kept, as another run of the range sampling might deal rows differently
+    dealt = merged.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()).persist()
+    part = F.shiftright("_at", 33)
+    sizes = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row per range
+    at = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return dealt.join(F.broadcast(before), part == F.col("_part")).withColumn("place", F.col("_before") + at + 1).drop("_at", "_part", "_before")
+
+
 def page(ordered: DataFrame, number: int, size: int = 20) -> DataFrame:
     return ordered.offset((number - 1) * size).limit(size)
 

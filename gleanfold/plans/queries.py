@@ -239,6 +239,12 @@ def sort_null_last_key(spark, sf_dir) -> DataFrame:
     return top.select(F.posexplode("o").alias("place", "ord")).select("ord", (F.col("place") + 1).cast("long").alias("place"))
 
 
+@query(f"SELECT ord, row_number() OVER (ORDER BY coalesce(size, -1), ord) AS place FROM ({PARTS_SQL})")
+def sort_null_last_places(spark, sf_dir) -> DataFrame:
+    """The place of every part; sort_null_last_key compares the first 100 only."""
+    return refine.places(C.parts(spark, sf_dir), "size", ascending=True).select("ord", "place")
+
+
 @query(f"SELECT ord, name, seeders FROM ({PARTS_SQL}) ORDER BY coalesce(seeders, -1) DESC, ord LIMIT 20 OFFSET 40")
 def page_slice(spark, sf_dir) -> DataFrame:
     return refine.page(refine.by_column(C.parts(spark, sf_dir), "seeders"), 3).select("ord", "name", "seeders")

@@ -122,3 +122,14 @@ def test_clients():
         return send(url, body, headers) if ":6800" in url else (404, {}, b"")
 
     assert sinks.detect(none) is None and sinks.detect(only_aria2)["url"] == "http://localhost:6800/jsonrpc" and len(sinks.CANDIDATES) == 9
+
+
+def test_places_of_all_rows(spark):
+    from gleanfold.operators import refine
+
+    rows = [(i, None if i % 3 == 0 else i * 7919 % 101) for i in range(1000)]
+    df = spark.createDataFrame(rows, "ord long, size long").repartition(5)
+    for ascending in (True, False):
+        got = {r.ord: r.place for r in refine.places(df, "size", ascending).collect()}
+        wanted = sorted(rows, key=lambda r: ((-1 if r[1] is None else r[1]) * (1 if ascending else -1), r[0]))
+        assert got == {r[0]: i for i, r in enumerate(wanted, 1)}
