@@ -41,9 +41,11 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its bytes, what was removed, and the text that is left (a character that was cut in two shows as U+FFFD)."""
     from .suffix import remove_repeats
 
-    return remove_repeats(_read(spark, sf_dir, "documents")).drop("kept")
+    found = remove_repeats(_read(spark, sf_dir, "documents"))
+    return found.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,12 +4,14 @@
 2. Counting (key, context) finds contexts that occur twice whole: all their windows repeat.
 3. Where a key has several contexts and one of them is unique, one copy of each context is cut into
    BLOCK-byte symbols from its anchor on, and a suffix array over a bucket of such keys is built by linear grouping.
-   Suffixes that agree in the 9 symbols inside a window are neighbours there, and windows
-   around them are compared exactly by the hash of their 400 bytes.
-4. A key with more than ``max_contexts`` contexts isn't brought into one task: its windows' hashes are counted by Spark.
+   Suffixes that agree in the whole symbols inside a window are neighbours there, and windows
+   around them are compared by two independent hashes of their bytes (one modulo 2^64, one modulo a prime).
+4. A key with more than ``max_contexts`` contexts isn't brought into one task: its windows' XXH64 are counted by Spark.
 5. Each text is covered by its repeated windows and what is left is returned.
 
-Only narrow rows are shuffled besides the texts, which are dealt once by their key.
+Only narrow rows are shuffled besides the texts, which are dealt by their key; keys that hold
+many rows (boilerplate, repeated rows) are salted. Equality rests on hashes: anchors meet by a 64-bit key
+and 64 more bits of their context's bytes.
 """
 
 from __future__ import annotations
@@ -18,11 +20,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import WINDOW, Hashes, anchors, mix
-from .common import materialize
+from .anchors import WINDOW, Hashes, PrimeHashes, anchors, mix
+from .common import hot_hashes, materialize, release, salted_join
 
 BLOCK = 40
-INNER = WINDOW // BLOCK - 1  # whole blocks in any window
 
 
 def suffix_array(symbols) -> list[int]:
@@ -98,14 +99,16 @@ def suffix_array(symbols) -> list[int]:
     return order[1:]
 
 
-def repeated_windows(contexts: list[tuple[int, bytes]]) -> list[list[int]]:
+def repeated_windows(contexts: list[tuple[int, bytes]], window: int = WINDOW) -> list[list[int]]:
     """For each (anchor's offset, bytes) context: [first, end) pairs of the window starts found elsewhere too, flattened."""
     import numpy as np
 
     offset = np.array([c[0] for c in contexts], np.int64)
     size = np.array([len(c[1]) for c in contexts], np.int64)
     base = np.cumsum(size) - size
-    h = Hashes(b"".join(c[1] for c in contexts))
+    inner = window // BLOCK - 1  # whole blocks in any window
+    joined = b"".join(c[1] for c in contexts)
+    h, second = Hashes(joined), PrimeHashes(joined)
     lead = offset % BLOCK  # bytes before the first whole block
     n_blocks = (size - lead) // BLOCK
     owner = np.repeat(np.arange(len(contexts)), n_blocks + 1)
@@ -117,12 +120,12 @@ def repeated_windows(contexts: list[tuple[int, bytes]]) -> list[list[int]]:
     _, symbols = np.unique(hashed, return_inverse=True)
     symbols = np.where(ends, 0, symbols + 1)
     order = np.array(suffix_array(symbols.tolist()), np.int64)
-    order = order[nth[order] + INNER <= n_blocks[owner[order]]]  # with all inner blocks in the context
+    order = order[nth[order] + inner <= n_blocks[owner[order]]]  # with all inner blocks in the context
     if not len(order):
         return [[] for _ in contexts]
     same = np.ones(len(order), bool)
     same[0] = False
-    for k in range(INNER):
+    for k in range(inner):
         same[1:] &= symbols[order[1:] + k] == symbols[order[:-1] + k]
     cls = np.cumsum(~same) - 1
     many = np.bincount(cls)[cls] > 1
@@ -131,9 +134,9 @@ def repeated_windows(contexts: list[tuple[int, bytes]]) -> list[list[int]]:
     begin = (start[order][:, None] - np.arange(BLOCK)[None, :]).ravel()
     who = np.repeat(owner[order], BLOCK)
     kind = np.repeat(cls, BLOCK) * BLOCK + np.tile(np.arange(BLOCK), len(order))
-    ok = (begin >= base[who]) & (begin + WINDOW <= base[who] + size[who])
+    ok = (begin >= base[who]) & (begin + window <= base[who] + size[who])
     begin, who, kind = begin[ok], who[ok], kind[ok]
-    value = mix(h.at(begin, begin + WINDOW) + kind.astype(np.uint64))
+    value = mix(h.at(begin, begin + window) + kind.astype(np.uint64)) ^ second.at(begin, begin + window) << np.uint64(33)
     rank = np.argsort(value, kind="stable")
     equal = value[rank[1:]] == value[rank[:-1]]
     twice = np.zeros(len(rank), bool)
@@ -163,7 +166,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(F.xxhash64("doc_id", "t").alias("ref"), F.xxhash64("t", F.lit(1)).alias("ref2"), "doc_id", "t", "rest")
 
 
-def _anchor_rows(texts: DataFrame) -> DataFrame:
+def _anchor_rows(texts: DataFrame, window: int) -> DataFrame:
     """(ref, ref2, key, context, n, width) of every text's anchors; equal ones of a text are one row."""
 
     def run(batches):
@@ -173,7 +176,7 @@ def _anchor_rows(texts: DataFrame) -> DataFrame:
         for batch in batches:
             parts = []
             for ref, ref2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                _, first, last, key, context = anchors((text.as_py() or "").encode())
+                _, first, last, key, context = anchors((text.as_py() or "").encode(), window)
                 if not len(key):
                     continue
                 if len(key) > 1:
@@ -184,40 +187,42 @@ def _anchor_rows(texts: DataFrame) -> DataFrame:
                     n, pick = np.diff(np.append(at, len(k))), order[at]
                 else:
                     n, pick = np.ones(1, np.int64), np.zeros(1, np.int64)
-                parts.append((np.full(len(pick), ref), np.full(len(pick), ref2), _signed(key[pick]), _signed(context[pick]), n, (last - first)[pick] + WINDOW))
+                parts.append((np.full(len(pick), ref), np.full(len(pick), ref2), _signed(key[pick]), _signed(context[pick]), n, (last - first)[pick] + window))
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*parts)], names=["ref", "ref2", "key", "context", "n", "width"])
 
     return texts.select("ref", "ref2", "t").mapInArrow(run, "ref long, ref2 long, key long, context long, n long, width long")
 
 
-def _cut_contexts(met: DataFrame) -> DataFrame:
-    """Rows (t, wanted) to the wanted contexts' bytes, or for keys in many contexts to their windows' hashes."""
+def _cut_contexts(met: DataFrame, window: int) -> DataFrame:
+    """Rows (t, wanted) to the wanted contexts' bytes, or for keys in many contexts to their windows' hashes; each once a task."""
 
     def run(batches):
         import pyarrow as pa
+        import xxhash
 
         schema = pa.schema([("key", pa.int64()), ("context", pa.int64()), ("offset", pa.int32()), ("bytes", pa.binary()), ("windows", pa.list_(pa.int64()))])
+        done = set()
         for batch in batches:
             rows, held = [], 0
             for text, wanted in zip(batch.column(0), batch.column(1)):
                 raw = text.as_py().encode()
-                many = {(w["key"], w["context"]): w["many"] for w in wanted.as_py()}
-                place, first, last, key, context = anchors(raw)
-                h = None
+                many = {at: w["many"] for w in wanted.as_py() if (at := (w["key"], w["context"])) not in done}
+                if not many:
+                    continue
+                done.update(many)
+                view = memoryview(raw)
+                place, first, last, key, context = anchors(raw, window)
                 for p, a, b, k, c in zip(place.tolist(), first.tolist(), last.tolist(), _signed(key).tolist(), _signed(context).tolist()):
                     kind = many.pop((k, c), None)
                     if kind is False:
-                        rows.append({"key": k, "context": c, "offset": p - a, "bytes": raw[a : b + WINDOW], "windows": None})
+                        rows.append({"key": k, "context": c, "offset": p - a, "bytes": raw[a : b + window], "windows": None})
                     elif kind:
-                        import numpy as np
-
-                        h = h or Hashes(raw)
-                        s = np.arange(a, b + 1)
-                        rows.append({"key": k, "context": c, "offset": p - a, "bytes": None, "windows": _signed(h.at(s, s + WINDOW)).tolist()})
+                        hashes = [xxhash.xxh64_intdigest(view[x : x + window]) for x in range(a, b + 1)]
+                        rows.append({"key": k, "context": c, "offset": p - a, "bytes": None, "windows": [x - (1 << 64) if x >> 63 else x for x in hashes]})
                     else:
                         continue
-                    held += 2 * (b - a + WINDOW)
+                    held += 2 * (b - a + window)
                 if held > 8_000_000:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
                     rows, held = [], 0
@@ -226,12 +231,12 @@ def _cut_contexts(met: DataFrame) -> DataFrame:
     return met.select("t", "wanted").mapInArrow(run, "key long, context long, offset int, bytes binary, windows array<long>")
 
 
-def _by_suffix_arrays(cut: DataFrame, n_buckets: int) -> DataFrame:
+def _by_suffix_arrays(cut: DataFrame, n_buckets: int, window: int) -> DataFrame:
     """(key, context, ranges) for contexts with some repeated windows."""
 
     def run(pdf):
         pdf = pdf.drop_duplicates(["key", "context"])
-        found = repeated_windows(list(zip(pdf.offset.tolist(), map(bytes, pdf.bytes))))
+        found = repeated_windows(list(zip(pdf.offset.tolist(), map(bytes, pdf.bytes))), window)
         keep = [i for i, r in enumerate(found) if r]
         return pd.DataFrame({"key": pdf.key.to_numpy()[keep], "context": pdf.context.to_numpy()[keep], "ranges": pd.Series([found[i] for i in keep], dtype=object)})
 
@@ -241,52 +246,71 @@ def _by_suffix_arrays(cut: DataFrame, n_buckets: int) -> DataFrame:
 
 def _by_counting(cut: DataFrame) -> DataFrame:
     """The same for keys in many contexts, by counting window hashes."""
-    windows = cut.where("windows IS NOT NULL").select("key", "context", F.posexplode("windows").alias("at", "w"))
-    windows = windows.distinct()
-    twice = windows.groupBy("key", "w").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    starts = windows.join(twice, ["key", "w"]).groupBy("key", "context").agg(F.collect_set("at").alias("at"))
+    windows = cut.where("windows IS NOT NULL").select("key", "context", F.posexplode("windows").alias("at", "w")).distinct()
+    twice = materialize(windows.groupBy("key", "w").agg(F.count("*").alias("n")).where("n > 1"), "windows")
+    hot = hot_hashes(twice, ["key", "w"], "n", twice.agg(F.sum("n")).first()[0] or 0)
+    starts = salted_join(windows, twice.drop("n"), ["key", "w"], hot, ["context", "at"]).groupBy("key", "context").agg(F.collect_set("at").alias("at"))
     return starts.select("key", "context", F.flatten(F.transform(F.array_sort("at"), lambda x: F.array(x, x + 1))).alias("ranges"))
 
 
-def cover(raw: bytes, repeated: dict) -> list[tuple[int, int]]:
-    """Maximal [start, end) runs under the repeated windows; repeated: (key, context) to ranges, or None for all."""
-    _, first, last, key, context = anchors(raw)
+def cover(raw: bytes, repeated: dict, window: int = WINDOW, least_words: int = 0) -> list[tuple[int, int]]:
+    """Maximal [start, end) runs under the repeated windows; repeated: (key, context) to ranges, or None for all.
+
+    Runs with fewer than ``least_words`` words (parts of words count) are left out.
+    """
+    _, first, last, key, context = anchors(raw, window)
     runs: list[list[int]] = []
     for a, b, k, c in zip(first.tolist(), last.tolist(), _signed(key).tolist(), _signed(context).tolist()):
         ranges = repeated.get((k, c), ())
         ranges = [0, b - a + 1] if ranges is None else ranges
         for x, y in zip(ranges[::2], ranges[1::2]):
-            x, y = a + x, a + y - 1 + WINDOW
+            x, y = a + x, a + y - 1 + window
             if runs and x <= runs[-1][1]:
                 runs[-1][1] = max(y, runs[-1][1])
             else:
                 runs.append([x, y])
-    return [tuple(r) for r in runs]
+    return [(x, y) for x, y in runs if not least_words or len(raw[x:y].split()) >= least_words]
 
 
-def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_contexts: int = 4096, bucket_bytes: int = 1 << 20) -> DataFrame:
+def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, max_contexts: int = 4096, bucket_bytes: int = 1 << 20) -> DataFrame:
     """Every row's text with what repeats: ref, ref2, doc_id, t, rest, repeated (array of key, context, ranges; null: nothing)."""
+    if window < 2 * BLOCK:
+        raise ValueError(f"window must be {2 * BLOCK} bytes or more")
     texts = keyed(docs, id_col, text_col)
-    rows = materialize(_anchor_rows(texts), "anchors")
-    contexts = rows.groupBy("key", "context").agg(F.sum("n").alias("n"), F.min(F.struct("ref", "ref2")).alias("one"), F.first("width").alias("width"))
+    ref, at = ["ref", "ref2"], ["key", "context"]
+    rows = materialize(_anchor_rows(texts, window), "anchors")
+    contexts = rows.groupBy(*at).agg(F.sum("n").alias("n"), F.count("*").alias("n_rows"), F.min(F.struct(*ref)).alias("one"), F.first("width").alias("width"))
     contexts = materialize(contexts.withColumn("twice", F.col("n") > 1), "contexts")
-    shared = contexts.groupBy("key").agg(F.count("*").alias("d"), F.min("n").alias("least")).where("d > 1 AND least = 1").select("key", (F.col("d") > max_contexts).alias("many"))
-    wanted = materialize(contexts.join(shared, "key").select("one.ref", "one.ref2", "key", "context", "many", "width"), "wanted")
-    n_buckets = 1 + (wanted.agg(F.sum("width")).first()[0] or 0) // bucket_bytes
-    lists = wanted.groupBy("ref", "ref2").agg(F.collect_list(F.struct("key", "context", "many")).alias("wanted"))
-    cut = materialize(_cut_contexts(texts.join(lists, ["ref", "ref2"])), "cut")
-    whole = contexts.where("twice").select("key", "context", F.lit(None).cast("array<int>").alias("ranges"))
-    parts = _by_suffix_arrays(cut, n_buckets).unionByName(_by_counting(cut)).join(contexts.where("twice").select("key", "context"), ["key", "context"], "left_anti")
-    found = whole.unionByName(parts)
-    repeated = rows.select("ref", "ref2", "key", "context").join(found, ["key", "context"]).groupBy("ref", "ref2").agg(F.collect_set(F.struct("key", "context", "ranges")).alias("repeated"))
-    return texts.join(repeated, ["ref", "ref2"], "left")
-
-
-def _covered(batch):
+    shared = contexts.groupBy("key").agg(F.count("*").alias("d"), F.min("n").alias("least")).where("d > 1 AND least = 1").select("key", "d", (F.col("d") > max_contexts).alias("many"))
+    shared = materialize(shared, "shared")
+    n_contexts, n_rows = contexts.agg(F.count("*"), F.sum("n_rows")).first()
+    wanted = salted_join(contexts, shared.drop("d"), ["key"], hot_hashes(shared, ["key"], "d", n_contexts), ["context"])
+    wanted = materialize(wanted.select("one.ref", "one.ref2", *at, "many", "width"), "wanted")
+    release(shared)
+    width, any_many = wanted.agg(F.sum("width"), F.coalesce(F.max("many"), F.lit(False))).first()
+    n_buckets = 1 + (width or 0) // bucket_bytes
+    counts = texts.groupBy(*ref).count()
+    hot_rows = hot_hashes(counts, ref, "count", docs.count())
+    lists = wanted.groupBy(*ref).agg(F.collect_list(F.struct(*at, "many")).alias("wanted"))
+    cut = materialize(_cut_contexts(salted_join(texts, lists, ref, hot_rows, ["doc_id"]), window), "cut")
+    release(wanted)
+    whole = contexts.where("twice").select(*at, F.lit(None).cast("array<int>").alias("ranges"))
+    parts = _by_suffix_arrays(cut, n_buckets, window)
+    if any_many:
+        parts = parts.unionByName(_by_counting(cut))
+    found = whole.unionByName(parts.join(contexts.where("twice").select(*at), at, "left_anti"))
+    hot = hot_hashes(contexts.where("twice"), at, "n_rows", n_rows or 0)
+    repeated = salted_join(rows.select(*ref, *at), found, at, hot, ref).groupBy(*ref).agg(F.collect_set(F.struct(*at, "ranges")).alias("repeated"))
+    repeated = materialize(repeated, "repeated")
+    release(rows, contexts, cut)
+    return salted_join(texts, repeated, ref, hot_rows, ["doc_id"], "left")
+
+
+def _covered(batch, window: int):
     for text, repeated in zip(batch.column(1), batch.column(2)):
         raw = (text.as_py() or "").encode()
         found = repeated.as_py()
-        yield raw, cover(raw, {(r["key"], r["context"]): r["ranges"] for r in found}) if found else []
+        yield raw, cover(raw, {(r["key"], r["context"]): r["ranges"] for r in found}, window) if found else []
 
 
 def _kept(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
@@ -297,11 +321,12 @@ def _kept(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, raw[at:]])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, **options) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left).
 
     A null text counts as empty. Texts shorter than the window keep everything; copies of longer ones go whole. Matches within
-    one text count. Repeated rows count as copies of each other. An empty table gives no rows.
+    one text count. Repeated rows count as copies of each other. An empty table gives no rows. Other columns are ignored,
+    whatever their names. Very long texts are read in segments.
     """
 
     def run(batches):
@@ -311,19 +336,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         for batch in batches:
             cols: list[list] = [[], [], [], [], []]
-            for raw, runs in _covered(batch):
+            for raw, runs in _covered(batch, window):
                 kept = _kept(raw, runs) if runs else raw
                 for c, v in zip(cols, (len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept)):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     kind = dict(docs.dtypes)[id_col]
-    found = find_repeats(docs.select(id_col, text_col), id_col, text_col, **options).select("doc_id", "t", "repeated")
+    found = find_repeats(docs.select(id_col, text_col), id_col, text_col, window, **options).select("doc_id", "t", "repeated")
     return found.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with the repeated passages taken out of the text. A character that is cut goes whole; a null text stays null."""
+def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, least_words: int = 0, **options) -> DataFrame:
+    """docs with the repeated passages taken out of the text: maximal runs under repeated windows, of ``least_words`` words or more.
+
+    A character that is cut goes whole. A null text stays null, an empty one empty; a text that repeats as a whole becomes empty.
+    """
 
     @F.pandas_udf("string")
     def stripped(texts: pd.Series, repeated: pd.Series) -> pd.Series:
@@ -331,11 +359,11 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for text, found in zip(texts, repeated):
             if text is not None and found is not None and len(found):
                 raw = text.encode()
-                text = _kept(raw, cover(raw, {(r["key"], r["context"]): r["ranges"] for r in found})).decode("utf-8", "ignore")
+                text = _kept(raw, cover(raw, {(r["key"], r["context"]): r["ranges"] for r in found}, window, least_words)).decode("utf-8", "ignore")
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    found = find_repeats(docs, id_col, text_col, **options)
+    found = find_repeats(docs, id_col, text_col, window, **options)
     other = [F.col(f"rest.{c}").alias(c) for c in docs.columns if c not in (id_col, text_col)]
     done = found.select(F.col("doc_id").alias(id_col), stripped("t", "repeated").alias(text_col), *other)
     return done.select(*docs.columns)
