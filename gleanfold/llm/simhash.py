@@ -9,7 +9,9 @@ fingerprints are compared with all that came. No pair is missed, and each group
 of the space.
 
 At an anchor with more than ``SPLIT`` fingerprints the comparison is dealt out by equal parts of
-the other half: of four parts, one at least is equal in any pair within 3 bits.
+the other half: of four parts, one at least is equal in any pair within 3 bits. A part that still holds more
+(a dense cluster) is cut into blocks: every block of home fingerprints meets every chunk of the
+part in a group of its own, so no row or task holds more than two times ``SPLIT``.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, n_partitions
+from .anchors import mix
+from .common import connected_components, hot_hashes, materialize, n_partitions, release, salted_join
 
 N_BITS, LIMIT, SPLIT = 64, 3, 4096
 #: Parity masks of the Hamming code: bit i - 1 of mask j is set where position i has bit j.
@@ -72,69 +75,112 @@ def _anchors(half: F.Column) -> F.Column:
     return F.concat(home, others)
 
 
+def _star_edges(x, role):
+    """Spanning edges, by positions, between values within LIMIT bits: those with role bit 1 are compared with those with role bit 2."""
+    import numpy as np
+
+    values, at = np.unique(x, return_inverse=True)
+    others = np.unique(at[(role & 2) > 0])
+    group = np.arange(len(values))
+    for i in np.unique(at[(role & 1) > 0]):
+        near = others[np.bitwise_count(values[others] ^ values[i]) <= LIMIT]
+        kinds, place = np.unique(group[near], return_index=True)
+        for kind, j in zip(kinds, near[place]):
+            if kind != group[i]:
+                group[group == kind] = group[i]
+                yield values[i], values[j]
+
+
 def near_edges(distinct: DataFrame) -> DataFrame:
     """Distinct fingerprints (fp) to edges (src, dst) that join all within LIMIT bits; local stars, not all pairs."""
+    spark, at = distinct.sparkSession, ["side", "anchor"]
     low, high = F.col("fp").bitwiseAND(F.lit((1 << 31) - 1)), F.shiftright("fp", 32).bitwiseAND(F.lit((1 << 31) - 1))
-    distinct = distinct.repartition(n_partitions(distinct.sparkSession), F.xxhash64("fp"))  # a small table that grows 32-fold here; dealt anew, as its own partitions may be merged
+    distinct = distinct.repartition(n_partitions(spark), F.xxhash64("fp"))  # a small table that grows 32-fold here; dealt anew, as its own partitions may be merged
     dealt = distinct.select("fp", F.explode(F.array(F.struct(F.lit(0).alias("side"), _anchors(low).alias("a")), F.struct(F.lit(1).alias("side"), _anchors(high).alias("a")))).alias("s")).select("fp", "s.side", F.explode("s.a").alias("a"))
     dealt = materialize(dealt.select("fp", "side", "a.anchor", "a.home"), "anchors")
-    sizes = dealt.groupBy("side", "anchor").agg(F.count("*").alias("n"), F.max("home").alias("any_home")).where("n > 1 AND any_home").select("side", "anchor", "n")
-    met = dealt.join(sizes, ["side", "anchor"])
-    #: the 33 bits outside the side's code, in four parts
-    rest = F.when(F.col("side") == 0, F.call_function("shiftrightunsigned", F.col("fp"), F.lit(31))).otherwise(F.col("fp").bitwiseAND(F.lit((1 << 32) - 1)) * 2 + F.call_function("shiftrightunsigned", F.col("fp"), F.lit(63)))
-    parts = F.when(F.col("n") <= SPLIT, F.array(F.lit(0).cast("long"))).otherwise(F.array(*(F.lit(i << 40).cast("long") + F.call_function("shiftrightunsigned", rest, F.lit(9 * i)).bitwiseAND(F.lit(511)) + 1 for i in range(4))))
-    lists = met.select("side", "anchor", "fp", "home", F.explode(parts).alias("part")).groupBy("side", "anchor", "part").agg(F.collect_list("fp").alias("fps"), F.collect_list("home").alias("homes")).where("size(fps) > 1").select("fps", "homes")
+    sizes = materialize(dealt.groupBy(*at).agg(F.count("*").alias("n"), F.max("home").alias("any_home")).where("n > 1 AND any_home").select(*at, "n"), "anchor-sizes")
+    total, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    met = salted_join(dealt, sizes, at, hot_hashes(sizes, at, "n", total), ["fp"])
+    role = F.when(F.col("home"), 3).otherwise(2).alias("role")
+    zero = F.lit(0).cast("long")
+    groups = met.where(F.col("n") <= SPLIT).select(*at, zero.alias("part"), zero.alias("block"), zero.alias("chunk"), "fp", role)
+    if most > SPLIT:
+        # the 33 bits outside the side's code, in four parts
+        rest = F.when(F.col("side") == 0, F.call_function("shiftrightunsigned", F.col("fp"), F.lit(31))).otherwise(F.col("fp").bitwiseAND(F.lit((1 << 32) - 1)) * 2 + F.call_function("shiftrightunsigned", F.col("fp"), F.lit(63)))
+        parts = F.array(*(F.lit(i << 40).cast("long") + F.call_function("shiftrightunsigned", rest, F.lit(9 * i)).bitwiseAND(F.lit(511)) + 1 for i in range(4)))
+        crowded = met.where(F.col("n") > SPLIT).select(*at, "fp", "home", F.explode(parts).alias("part"))
+        key = [*at, "part"]
+        dense = materialize(crowded.groupBy(*key).agg(F.count("*").alias("m")).where("m > 1"), "part-sizes")
+        crowded = salted_join(crowded, dense, key, hot_hashes(dense, key, "m", dense.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]), ["fp"])
+        k = F.ceil(F.col("m") / SPLIT)
+        own, many = F.pmod(F.xxhash64("fp"), k), F.sequence(F.lit(0).cast("long"), k - 1)
+        place = lambda b, c, r: F.struct(b.alias("block"), c.alias("chunk"), F.lit(r).alias("role"))
+        none = F.array().cast("array<struct<block:bigint,chunk:bigint,role:int>>")
+        cells = F.concat(F.when(F.col("home"), F.transform(many, lambda c: place(own, c, 1))).otherwise(none), F.transform(many, lambda b: place(b, own, 2)))
+        crowded = crowded.select(*key, "fp", F.explode(cells).alias("c")).select(*key, "c.block", "c.chunk", "fp", "c.role")
+        groups = groups.unionByName(crowded)
+    lists = groups.groupBy(*at, "part", "block", "chunk").agg(F.collect_list("fp").alias("fps"), F.collect_list("role").alias("roles")).where("size(fps) > 1").select("fps", "roles")
 
     def compare(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            src, dst = [], []
-            for fps, homes in zip(batch.column(0), batch.column(1)):
-                x = np.array(fps.as_py(), np.int64).view(np.uint64)
-                home = np.flatnonzero(homes.as_py())
-                root = np.arange(len(x))
-
-                def find(i):
-                    while root[i] != i:
-                        root[i] = root[root[i]]
-                        i = root[i]
-                    return i
-
-                for i in home:
-                    for j in np.flatnonzero(np.bitwise_count(x ^ x[i]) <= LIMIT):
-                        a, b = find(i), find(j)
-                        if a != b:
-                            root[b] = a
-                            src.append(x[i])
-                            dst.append(x[j])
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.uint64).view(np.int64)) for c in (src, dst)], names=["src", "dst"])
-
-    return lists.mapInArrow(compare, "src long, dst long")
+            found = [e for fps, roles in zip(batch.column(0), batch.column(1)) for e in _star_edges(np.array(fps.as_py(), np.int64).view(np.uint64), np.array(roles.as_py()))]
+            ends = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["src", "dst"])
+
+    edges = materialize(lists.mapInArrow(compare, "src long, dst long").distinct(), "near")
+    release(dealt, sizes)
+    return edges
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
 
     Null, empty and wordless texts have fingerprint zero and link like any other; a text of fewer
-    than three words hashes whole. Copies share a fingerprint and are compared once. Null
-    identifiers are kept and are never a component's smallest unless it has no other. Empty table: no rows.
+    than three words hashes whole, a very long one is hashed in blocks. Copies share a fingerprint and are compared once. Null
+    identifiers are kept and are never a component's smallest unless it has no other; repeated identifiers get a row each.
+    Other columns are ignored. Empty table: no rows.
     """
     fps = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    least = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
+    hot = hot_hashes(least, ["fp"], "n", least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     stars = connected_components(near_edges(least.select("fp")))
     named = least.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(roots, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = materialize(named, "roots")
+    roots = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    hot_roots = hot_hashes(roots, ["root"], "n", named.count())
+    by_fp = salted_join(named.select("fp", "root"), roots.drop("n"), ["root"], hot_roots, ["fp"]).select("fp", "component_id")
+    return salted_join(fps, by_fp, ["fp"], hot, ["doc_id"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def word_fingerprints(text: str | None, n: int = 3, seed: int = 42) -> list[int]:
+    """n SimHashes of the text's distinct words (not shingles), by independent mixes of each word's XXH64; zeros without a word."""
+    import numpy as np
+    import xxhash
+
+    words = sorted(set((text or "").encode().lower().split()))
+    digest = xxhash.xxh64_intdigest
+    h = np.fromiter((digest(w, seed) for w in words), np.uint64, len(words))
+    ones = np.zeros((n, 64), np.int64)
+    for at in range(0, len(h), 1 << 14):  # bounded memory for very long texts
+        part = h[at : at + (1 << 14)]
+        for i in range(n):
+            ones[i] += np.unpackbits(mix(part + np.uint64(i)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h), axis=1, bitorder="little").view("<u8").ravel().tolist()
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_marks: int = 3) -> DataFrame:
     """Of each group of near copies one row: the smallest identifier (nulls last), of equal ones the smallest text.
 
+    Two texts are near copies if one of their ``n_marks`` fingerprints of distinct words differs in 3 bits or
+    fewer. A word that is changed moves one feature here but five five-word shingles, so this finds most
+    copies whose shingles agree to 0.8, where 3 bits of a shingle fingerprint find a tenth of them. Null, empty and wordless texts
+    are copies of each other.
+
     Rows are told apart by what they hold, not by identifier: other texts under a repeated identifier stay,
-    and copies without an identifier go.
+    and copies without an identifier go. Other columns stay, whatever their names. Empty table: no rows.
     """
     at = docs.columns.index(text_col)
 
@@ -143,17 +189,31 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         import pyarrow as pa
 
         for batch in batches:
-            fps = np.fromiter((text_fingerprint(t.as_py()) for t in batch.column(at)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=names)
+            fps = np.array([word_fingerprints(t.as_py(), n_marks) for t in batch.column(at)], np.uint64).reshape(-1, n_marks).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(fps[:, i])) for i in range(n_marks))], names=names)
 
-    names = [f"c{i}" for i in range(len(docs.columns))] + ["fp"]  # docs may have columns of any name
+    marks = [f"fp{i}" for i in range(n_marks)]
+    names = [f"c{i}" for i in range(len(docs.columns))] + marks  # docs may have columns of any name
     c = dict(zip(docs.columns, names))
-    given = docs.toDF(*names[:-1])
-    marked = given.mapInArrow(run, ", ".join(f"{x} {k}" for x, k in given.dtypes) + ", fp long")
-    order = [id_col, text_col, *sorted(set(docs.columns) - {id_col, text_col})]
+    given = docs.toDF(*names[: len(docs.columns)])
+    marked = given.mapInArrow(run, ", ".join([*(f"{x} {k}" for x, k in given.dtypes), *(f"{m} long" for m in marks)]))
+    order = [id_col, text_col, *sorted(x for x in set(docs.columns) - {id_col, text_col} if not dict(docs.dtypes)[x].startswith("map"))]
+    rest = F.struct(*(F.col(c[x]) for x in docs.columns if x not in order), F.lit(0).alias("none"))
     row = F.struct(F.col(c[id_col]).isNull().alias("last"), *(c[x] for x in order))
     # minima of rows have a partial stage, so no task holds the copies of one text or group
-    first = materialize(marked.groupBy("fp").agg(F.min(row).alias("row")), "firsts")
-    stars = connected_components(near_edges(first.select("fp")))
-    rooted = first.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "row")
-    return rooted.groupBy("root").agg(F.min("row").alias("row")).select(*(F.col(f"row.{c[x]}").alias(x) for x in docs.columns))
+    first = marked.groupBy(*marks).agg(F.min_by(F.struct(row.alias("row"), rest.alias("rest")), row).alias("r"))
+    first = materialize(first.select(F.xxhash64(*marks).alias("node"), *marks, "r.row", "r.rest"), "firsts")
+    edges = None
+    for m in marks:
+        hubs = materialize(first.groupBy(F.col(m).alias("fp")).agg(F.min("node").alias("hub"), F.count("*").alias("n")), "hubs")
+        hot = hot_hashes(hubs, ["fp"], "n", hubs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+        same = salted_join(first.select("node", F.col(m).alias("fp")), hubs.where("n > 1").drop("n"), ["fp"], hot, ["node"]).select(F.col("node").alias("src"), F.col("hub").alias("dst"))
+        near = near_edges(hubs.select("fp"))
+        ends = [hubs.select(F.col("fp").alias(x), F.col("hub").alias(f"{x}_hub")) for x in ("src", "dst")]
+        near = near.join(ends[0], "src").join(ends[1], "dst").select(F.col("src_hub").alias("src"), F.col("dst_hub").alias("dst"))
+        found = same.unionByName(near)
+        edges = found if edges is None else edges.unionByName(found)
+    stars = connected_components(edges)
+    rooted = first.join(stars, "node", "left").select(F.coalesce("root", "node").alias("root"), "row", "rest")
+    kept = rooted.groupBy("root").agg(F.min_by(F.struct("row", "rest"), F.col("row")).alias("r"))
+    return kept.select(*(F.col(f"r.row.{c[x]}" if x in order else f"r.rest.{c[x]}").alias(x) for x in docs.columns))
