@@ -1,15 +1,46 @@
 """The pipeline against brute force, stage by stage, and what it does with planted rows."""
 
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
+import xxhash
 
 from .helpers import SCHEMA, awkward_rows, crc, prose, roots
-from .test_first import brute_base, brute_fingerprint, brute_ids
+from .test_first import brute_base, brute_ids
 from .test_second import brute_cover, repeated_texts
 
 
+def brute_marks(text):
+    """Three SimHashes of distinct words, bit by bit."""
+    words = set(re.findall(rb"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode()))
+    full = 2**64 - 1
+
+    def mixed(h):
+        h = (h ^ h >> 32) * 0xFF51AFD7ED558CCD & full
+        h = (h ^ h >> 29) * 0xC4CEB9FE1A85EC53 & full
+        return h ^ h >> 32
+
+    made = [[mixed(xxhash.xxh64_intdigest(w, 42) + i & full) for w in words] for i in range(3)]
+    return [sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) for h in made]
+
+
+def near(a, b):
+    return any((x ^ y).bit_count() <= 3 for x, y in zip(a, b))
+
+
+def varied(rng, n):
+    """Prose of many different words."""
+    return " ".join("".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+
+
+def stripped(raw, mark):
+    """What is left of raw without marked runs of 50 words or more."""
+    gone = [m.span() for m in re.finditer(b"\1+", mark) if len(raw[slice(*m.span())].split()) >= 50]
+    return bytes(c for i, c in enumerate(raw) if not any(a <= i < b for a, b in gone)).decode("utf-8", "ignore")
+
+
 def test_stages(spark, tmp_path):
     import corpus_pipeline as P
 
@@ -39,15 +70,15 @@ def test_stages(spark, tmp_path):
         assert not (failed and d in good)
         assert failed or labels.get(d) != 1 or d in good
         assert labels.get(d) != 0 or d not in good
-    fp = {d: brute_fingerprint(texts[d]) for d in good}
+    fp = {d: brute_marks(texts[d]) for d in good}
     ids = sorted(fp)
-    root = roots(ids, [(a, b) for a in ids for b in ids if a < b and (fp[a] ^ fp[b]).bit_count() <= 3])
+    root = roots(ids, [(a, b) for a in ids for b in ids if a < b and near(fp[a], fp[b])])
     assert set(single) == {d for d in ids if root[d] == d}
     raw = {d: texts[d].encode() for d in sorted(single)}
-    marks = dict(zip(raw, brute_cover(list(raw.values()))))
+    marks = dict(zip(raw, brute_cover(list(raw.values()), 240)))
     assert set(left) == set(single) and any(map(any, marks.values()))
     for d, r in left.items():
-        assert r.text == bytes(c for c, m in zip(raw[d], marks[d]) if not m).decode("utf-8", "ignore") and r.n_chars == len(r.text)
+        assert r.text == stripped(raw[d], marks[d]) and r.n_chars == len(r.text)
         assert (r.lang, r.source) == (single[d].lang, single[d].source)
     tokens = dict(zip(left, brute_ids([r.text for r in left.values()])))
     pieces = defaultdict(int)
@@ -82,7 +113,7 @@ def test_empty_and_repeated_rows(spark, tmp_path):
     for _, f in P.STAGES:
         assert f(spark, docs, str(tmp_path)).count() == 0
     rng = random.Random(0)
-    rows = [(1, prose(rng, 90), "en", None, None)] * 3 + [(None, prose(rng, 90), None, None, None)]
+    rows = [(1, varied(rng, 90), "en", None, None)] * 3 + [(None, varied(rng, 90), None, None, None)]
     docs = spark.createDataFrame(rows, SCHEMA)
     once = P.near_copies(spark, docs, str(tmp_path)).collect()
     assert len(once) == 2 and np.sum([r.doc_id == 1 for r in once]) == 1
@@ -92,10 +123,58 @@ def test_near_copies_are_rows(spark, tmp_path):
     import corpus_pipeline as P
 
     rng = random.Random(1)
-    a, b, c, d, e, f, g = (prose(rng, 300) for _ in range(7))
+    a, b, c, d, e, f, g = (varied(rng, 300) for _ in range(7))
     rows = [(7, a), (7, b), (3, c), (7, c), (9, c), (5, d), (5, d), (None, d), (None, e), (None, e), (4, f), (8, f + " "), (8, g), (None, None), (None, "")]
-    marks = [brute_fingerprint(t) for t in (a, b, c, d, e, f, g)]
-    assert min((x ^ y).bit_count() for i, x in enumerate(marks) for y in marks[:i]) > 3
+    marks = [brute_marks(t) for t in (a, b, c, d, e, f, g)]
+    assert not any(near(x, y) for i, x in enumerate(marks) for y in marks[:i])
     docs = spark.createDataFrame([(i, t, None, "src", None) for i, t in rows], SCHEMA).repartition(3)
     once = sorted(((r.doc_id, r.text) for r in P.near_copies(spark, docs, str(tmp_path)).collect()), key=str)
     assert once == sorted([(7, a), (7, b), (3, c), (5, d), (None, e), (4, f), (8, g), (None, None)], key=str)
+
+
+def test_planted_passages(spark, tmp_path):
+    """Passages of 51 to 60 words in otherwise unlike documents go; all other words and all other documents stay."""
+    import corpus_pipeline as P
+
+    rng = random.Random(8)
+    passages = [varied(rng, n) for n in range(51, 61)]
+    short = varied(rng, 30)
+    rows, own = [], {}
+    for i in range(200):
+        head, tail = varied(rng, rng.randrange(60, 120)), varied(rng, rng.randrange(60, 120))
+        middle = passages[i % 10] if i < 60 else short if i < 90 else varied(rng, 55)
+        rows.append((i, f"{head} {middle} {tail}", None, None, None))
+        own[i] = f"{head} {'' if i < 60 else middle} {tail}".split()
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = {r.doc_id: r.text for r in P.passages(spark, docs, str(tmp_path)).collect()}
+    assert len(got) == 200
+    for i, words in own.items():
+        left = got[i].split()
+        assert left == words if i >= 60 else abs(len(left) - len(words)) <= 1 and not any(p in got[i] for p in passages)
+
+
+def agreement(a, b):
+    """Jaccard similarity of five-word shingles."""
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_recall_of_near_copies(spark, tmp_path):
+    """Nine in ten copies whose five-word shingles agree to 0.8 or more go; unlike documents of the same words stay."""
+    import corpus_pipeline as P
+
+    rng = random.Random(3)
+    lexicon = [varied(rng, 1) for _ in range(3000)]
+    weights = [1 / (i + 5) for i in range(3000)]
+    rows, copies = [], 0
+    for i in range(300):
+        words = rng.choices(lexicon, weights, k=rng.randrange(120, 400))
+        rows.append((1000 * i, " ".join(words), None, None, None))
+        rate = rng.uniform(0, 1 / 40)
+        copy = [rng.choice(lexicon) if rng.random() < rate else w for w in words]
+        if agreement(words, copy) >= 0.8:
+            rows.append((1000 * i + 1, " ".join(copy), None, None, None))
+            copies += 1
+    kept = {r.doc_id for r in P.near_copies(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect()}
+    assert all(1000 * i in kept for i in range(300))
+    assert copies > 200 and copies - sum(d % 1000 == 1 for d in kept) >= 0.9 * copies
