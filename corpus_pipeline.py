@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanfold.llm.common import new_path, remove
+from gleanfold.llm.common import mark, new_path, remove, remove_since
 from gleanfold.llm.langid import fit_languages, held_out, predict_column
 from gleanfold.llm.packing import pack_documents
 from gleanfold.llm.quality import fit_quality, verdict_column
@@ -21,29 +21,31 @@ from gleanfold.llm.suffix import strip_repeats
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Below this coverage by the predicted language's n-grams a text counts as no language.
 LEAST_COVERAGE = 0.25
+#: A passage is a repeated run of at least PASSAGE_WORDS words; PASSAGE_BYTES is below the length of so many words (4.8 bytes each, space included).
+PASSAGE_WORDS, PASSAGE_BYTES = 50, 240
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter and texts that no learned language covers."""
+    """Drops null and empty texts, texts without a letter and texts that no learned language covers."""
     found = predict_column(fit_languages(docs.where(~held_out())), "text")
     judged = docs.withColumn("found", found)
     return judged.where((F.col("found.lang") != "und") & (F.col("found.score") >= LEAST_COVERAGE)).select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what the base rules or the trees reject."""
+    """Drops what the base rules or the trees reject; null and empty texts fail the base rules."""
     forest = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.where(verdict_column(forest, "text")).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near copies."""
+    """Keeps one row of each group of near copies: the one with the smallest doc_id (see keep_one)."""
     return keep_one(docs).select(*COLUMNS)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated passages out of the texts; every document stays, n_chars follows its text."""
-    return strip_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Takes repeated passages of PASSAGE_WORDS words or more out of the texts; every document stays, n_chars follows its text."""
+    return strip_repeats(docs, window=PASSAGE_BYTES, least_words=PASSAGE_WORDS).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,8 +63,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     name, before = uuid.uuid4().hex, None
     for i, (stage, apply) in enumerate(STAGES):
-        path = new_path(spark, f"pipeline-{name}-{i}-{stage}")
+        path, made = new_path(spark, f"pipeline-{name}-{i}-{stage}"), mark()
         apply(spark, docs, sf_dir).write.parquet(path)
+        remove_since(spark, made)
         docs = spark.read.parquet(path)
         if before:
             remove(spark, before)  # its successor is written
