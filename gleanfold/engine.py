@@ -43,8 +43,14 @@ class Engine:
     def sources(self) -> DataFrame:
         return federate.registry(self.spark, self.indexers.load() if self.indexers else None)
 
-    def raw(self, pages: DataFrame, source: str) -> DataFrame:
+    def parsed(self, pages: DataFrame) -> DataFrame:
+        """Rows of all HTML sources' pages, read in one pass and kept."""
+        return layouts.page_rows(pages.where("body IS NOT NULL"), "source", "body", "mirror_rank").persist()
+
+    def raw(self, pages: DataFrame, source: str, parsed: DataFrame | None = None) -> DataFrame:
         """Raw listings of one source's pages, with mirror_rank."""
+        if parsed is not None and source in layouts.LAYOUTS:
+            return layouts.row_listings(parsed.where(F.col("source") == source), source, "mirror_rank")
         own = pages.where((F.col("source") == source) & F.col("body").isNotNull())
         if source in feeds.JSON_SOURCES:
             return feeds.JSON_SOURCES[source](own, "mirror_rank")
@@ -103,8 +109,12 @@ class Engine:
             ids = r.results.select("id")
             seen = ids if seen is None else seen.unionByName(ids)
 
-    def search(self, query: str, pages: DataFrame, page: int = 1, providers: list[str] | None = None) -> Response:
-        """All targets' listings in registry order; a source's rows are those of its first mirror that has any."""
+    def search(self, query: str, pages: DataFrame, page: int = 1, providers: list[str] | None = None, match: bool | None = None) -> Response:
+        """All targets' listings in registry order; a source's rows are those of its first mirror that has any.
+
+        With ``match``, only listings whose name holds every token of the query count. By default that is so for stored
+        tables (without the url column of fetched pages, which the sources themselves have searched).
+        """
         if not query or not query.strip():
             raise ValueError("missing query")
         query, page = query.strip(), page_number(page)
@@ -112,12 +122,12 @@ class Engine:
         targets = federate.resolve(self.sources(), wanted, page)
         ranks = {r.id: r["rank"] for r in targets.select("id", "rank").collect()}  # the registry's size
         present = [r[0] for r in pages.select("source").distinct().collect() if r[0] in ranks]
-        parts = []
+        parts, match = [], "url" not in pages.columns if match is None else match
+        parsed = self.parsed(pages) if any(s in layouts.LAYOUTS for s in present) else None
         for source in sorted(present, key=ranks.get):
-            raw = self.raw(pages, source)
-            place = F.col("place").cast("long") if "place" in raw.columns else F.monotonically_increasing_id()
-            rows = listings.normalize(raw.withColumn("place", place), self.now_ms, "mirror_rank", "place")
-            parts.append(rows.withColumn("source_rank", F.lit(ranks[source])))
+            raw = self.raw(pages, source, parsed)
+            rows = listings.normalize(raw.withColumn("place", F.col("place").cast("long")), self.now_ms, "mirror_rank", "place")
+            parts.append((rows.where(refine.matches(query)) if match else rows).withColumn("source_rank", F.lit(ranks[source])))
         if "demo" in ranks:
             pool = refine.page(demo.pool(self.spark, query, self.now_ms).orderBy("ord"), page, demo.PAGE)
             made = listings.normalize(pool, self.now_ms, "ord").withColumn("mirror_rank", F.lit(0)).withColumn("place", F.col("ord").cast("long")).drop("ord")
@@ -133,28 +143,32 @@ class Engine:
         ordered = found.withColumn("ord", F.struct(F.lit(page).alias("page"), "source_rank", "place"))
         failed = federate.mirror_errors(pages.select("source", F.col("source").alias("name"), "mirror_rank", F.lit(0).alias("n"), "error").where("error IS NOT NULL")).withColumnRenamed("source", "id")
         answered = found.select(F.col("provider").alias("id")).distinct()
-        statuses = federate.status(targets, found, failed.join(answered, "id", "left_anti"))
+        statuses = federate.status(targets, found, failed.join(answered, "id", "left_anti"), pages)
         more = F.when(F.col("demo"), F.lit(demo.has_more(page))).otherwise(F.lit(None).cast("boolean"))
         return Response(query, page, ordered, statuses.withColumn("has_more", more))
 
-    def stream(self, arrivals: DataFrame, on_source: Callable[[str, DataFrame, dict], None], search_id: int = 0) -> Search:
-        """Incremental search: ``arrivals`` is a stream of pages, in order of completion. For each source in a micro-batch,
-        on_source gets its id, its listings and its status. Cancelling the returned search drops what comes later;
+    def stream(self, arrivals: DataFrame, on_source: Callable[[str, DataFrame, dict], None], search_id: int = 0, live: bool = False) -> Search:
+        """Incremental search: ``arrivals`` is a stream of pages, in order of completion. For each source in a micro-batch, the
+        quickest first where pages say how long they took, on_source gets its id, its listings and its status. It ends with what
+        has arrived or, if ``live``, when it is cancelled. Cancelling the returned search drops what comes later;
         rows with another search_id, if there is such a column, belong to an older search and are dropped."""
 
         def each(pages: DataFrame, epoch: int) -> None:
             pages = pages.persist()
             try:
-                failed = {r["source"]: r["error"] for r in pages.where("error IS NOT NULL").groupBy("source").agg(F.max("error").alias("error")).collect()}  # a row per source
-                for (source,) in pages.select("source").distinct().orderBy("source").collect():
-                    rows = listings.normalize(self.raw(pages, source), self.now_ms, "mirror_rank")
+                took = F.max("ms") if "ms" in pages.columns else F.lit(None).cast("long")
+                seen = pages.groupBy("source").agg(F.max("error").alias("error"), took.alias("ms")).orderBy(F.col("ms").asc_nulls_last(), "source").collect()  # a row per source
+                parsed = self.parsed(pages)
+                for source, failure, ms in seen:
+                    rows = listings.normalize(self.raw(pages, source, parsed), self.now_ms, "mirror_rank")
                     n = rows.count()
-                    error = None if n else failed.get(source)
-                    on_source(source, rows, {"status": "error" if error else "ok", "count": n, "error": error})
+                    error = None if n else failure
+                    on_source(source, rows, {"status": "error" if error else "ok", "count": n, "error": error, "ms": ms})
+                parsed.unpersist()
             finally:
                 pages.unpersist()
 
-        return Search(arrivals, search_id, each)
+        return Search(arrivals, search_id, each, live)
 
     def merge(self, *responses: Response) -> DataFrame:
         """Pages of one query as merged rows: first arrivals of each identifier, then one row per content hash."""

@@ -37,11 +37,11 @@ TITLE_RULES = [
 QUALITIES = {"2160p": r"\b(2160p|4k|uhd)\b", "1080p": r"\b1080p\b", "720p": r"\b720p\b", "hdr": r"\b(hdr|hdr10|dolby\s*vision|dovi|dv)\b"}
 # Groups of sources.
 SOURCE_GROUPS = {
-    "anime": "nyaa anilibria animetosho anirena bangumimoe dmhy mikan subsplease tokyotoshokan nekobt",
-    "video": "eztv yts therarbg torrent9 oxtorrent rutor megapeer",
-    "general": "1337x tpb knaben torrentscsv bt4g btdigg limetorrents torrentdownload torrentdownloads torrentdatabase torrentkitty uindex zeromagnet bitsearch internetarchive filemood demo",
-    "adult": "sukebei mypornclub xxxclub xxxtracker",
-    "other": "audiobookbay blueroms linuxtracker",
+    "anime": ["nyaa", "anilibria", "animetosho", "anirena", "bangumimoe", "dmhy", "mikan", "subsplease", "tokyotoshokan", "nekobt"],
+    "video": ["eztv", "yts", "therarbg", "torrent9", "oxtorrent", "rutor", "megapeer"],
+    "general": ["1337x", "tpb", "knaben", "torrentscsv", "bt4g", "btdigg", "limetorrents", "torrentdownload", "torrentdownloads", "torrentdatabase", "torrentkitty", "uindex", "zeromagnet", "bitsearch", "internetarchive", "filemood", "demo"],
+    "adult": ["sukebei", "mypornclub", "xxxclub", "xxxtracker"],
+    "other": ["audiobookbay", "blueroms", "linuxtracker"],
 }
 
 
@@ -83,7 +83,7 @@ def has_quality(name: Column, quality: str) -> Column:
 def source_group(source: Column) -> Column:
     out = F.when(source.startswith("torznab:"), "custom")
     for group, ids in SOURCE_GROUPS.items():
-        out = out.when(source.isin(*ids.split()), group)
+        out = out.when(source.isin(*ids), group)
     return out.otherwise("general")
 
 

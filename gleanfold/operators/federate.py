@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The static registry in order; those that take a page number; and the generated one.
-REGISTRY = (
-    "tpb 1337x nyaa yts knaben torrentscsv anilibria anirena animetosho bangumimoe dmhy mikan subsplease sukebei tokyotoshokan nekobt bt4g btdigg eztv limetorrents "
-    "therarbg rutor torrent9 torrentdownload torrentdownloads torrentdatabase torrentkitty uindex zeromagnet bitsearch oxtorrent audiobookbay blueroms filemood internetarchive linuxtracker megapeer "
-    "mypornclub xxxclub xxxtracker demo"
-).split()
-PAGINATED = set("1337x nyaa dmhy bt4g limetorrents rutor bitsearch".split())
+REGISTRY = [
+    "tpb", "1337x", "nyaa", "yts", "knaben", "torrentscsv", "anilibria", "anirena", "animetosho", "bangumimoe", "dmhy", "mikan",
+    "subsplease", "sukebei", "tokyotoshokan", "nekobt", "bt4g", "btdigg", "eztv", "limetorrents", "therarbg", "rutor", "torrent9", "torrentdownload",
+    "torrentdownloads", "torrentdatabase", "torrentkitty", "uindex", "zeromagnet", "bitsearch", "oxtorrent", "audiobookbay", "blueroms", "filemood", "internetarchive", "linuxtracker",
+    "megapeer", "mypornclub", "xxxclub", "xxxtracker", "demo",
+]
+PAGINATED = {"1337x", "nyaa", "dmhy", "bt4g", "limetorrents", "rutor", "bitsearch"}
 GENERATED = {"demo"}
 
 
@@ -43,11 +44,15 @@ def union_sources(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def status(targets: DataFrame, listings: DataFrame, errors: DataFrame | None = None) -> DataFrame:
-    """id, name, status, count, error for every source asked, those without rows included."""
+def status(targets: DataFrame, listings: DataFrame, errors: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
+    """id, name, status, count, error, ms for every source asked, those without rows included; ms: the slowest of its requests in ``pages`` (source, ms)."""
     counts = listings.groupBy(F.col("provider").alias("id")).agg(F.count("*").alias("count"))
     out = targets.join(counts, "id", "left")
     out = out.join(errors.select("id", "error"), "id", "left") if errors is not None else out.withColumn("error", F.lit(None).cast("string"))
+    if pages is not None and "ms" in pages.columns:
+        out = out.join(pages.groupBy(F.col("source").alias("id")).agg(F.max("ms").alias("ms")), "id", "left")
+    else:
+        out = out.withColumn("ms", F.lit(None).cast("long"))
     return out.withColumn("count", F.when(F.col("error").isNull(), F.coalesce("count", F.lit(0))).otherwise(0)).withColumn("status", F.when(F.col("error").isNull(), "ok").otherwise("error"))
 
 
@@ -72,5 +77,5 @@ def group_selection(sources: DataFrame, selected: DataFrame) -> DataFrame:
     """Selected and all sources of each group, and whether all are selected."""
     from ..functions.classify import source_group
 
-    marked = sources.join(F.broadcast(selected.select("id", F.lit(True).alias("on"))), "id", "left").withColumn("on", F.coalesce("on", F.lit(False)))
+    marked = sources.join(selected.select("id").distinct().withColumn("on", F.lit(True)), "id", "left").withColumn("on", F.coalesce("on", F.lit(False)))
     return marked.groupBy(source_group(F.col("id")).alias("source_group")).agg(F.count_if("on").alias("n_selected"), F.count("*").alias("n_sources"), F.bool_and("on").alias("all_selected"))

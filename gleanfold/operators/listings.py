@@ -38,9 +38,9 @@ def normalize(raw: DataFrame, now_ms: int, *keep: str) -> DataFrame:
 
 
 def dedupe_first(listings: DataFrame, order: str = "ord", key: str = "id") -> DataFrame:
-    """The first arrival of each identifier; ``order`` is total within one. A numeric minimum, then one join back."""
-    first = listings.groupBy(key).agg(F.min(order).alias("_first"))
-    return listings.join(first.withColumnRenamed(key, "_key"), (F.col(key) == F.col("_key")) & (F.col(order) == F.col("_first"))).drop("_key", "_first")
+    """The first arrival of each identifier; one aggregate, combined before its one shuffle. A null identifier counts as one; of rows with equal ``order`` one stays."""
+    row = F.struct(*listings.columns)
+    return listings.groupBy(F.col(key).alias("_key")).agg(F.min_by(row, F.col(order)).alias("_row")).select("_row.*")
 
 
 def merge_key() -> Column:
@@ -70,6 +70,22 @@ def merge_sources(listings: DataFrame, order: str = "ord") -> DataFrame:
     )
 
 
+def sources_of(listings: DataFrame, order: str = "ord") -> DataFrame:
+    """One row per source of a content hash instead of an array: key, place (from 1, by arrival), provider, id, n_rows of the hash."""
+    from .refine import numbered
+
+    rows = numbered(listings.select(merge_key().alias("key"), order, "provider", "id"), F.col("key"), F.col(order))
+    firsts = rows.groupBy("key").agg(F.count("*").alias("n_rows"), F.min("place").alias("_first"))
+    return rows.join(firsts, "key").select("key", (F.col("place") - F.col("_first") + 1).alias("place"), "provider", "id", "n_rows")
+
+
+def provider_overlap(listings: DataFrame) -> DataFrame:
+    """provider, n_groups (content hashes it has), n_shared (those with more than one row): from counts, no arrays."""
+    by_pair = listings.groupBy(merge_key().alias("key"), "provider").agg(F.count("*").alias("n"))  # combined before the shuffle
+    by_key = by_pair.groupBy("key").agg(F.sum("n").alias("total"))
+    return by_pair.join(by_key, "key").groupBy("provider").agg(F.count("*").alias("n_groups"), F.count_if(F.col("total") > 1).alias("n_shared"))
+
+
 def resolve_magnets(listings: DataFrame, details: DataFrame) -> DataFrame:
     """Second fetch as an enrichment join: rows without a magnet take that of their detail page (detail_url, resolved, resolved_hash)."""
     found = details.groupBy("detail_url").agg(F.min("resolved").alias("resolved"), F.min("resolved_hash").alias("resolved_hash"))

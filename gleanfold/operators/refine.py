@@ -20,6 +20,14 @@ def name_contains(text: str) -> Column:
     return F.contains(F.lower("name"), F.lit(text.strip().lower()))
 
 
+def matches(query: str) -> Column:
+    """Names that hold every token of the query, for tables that no source has searched yet."""
+    out = F.lit(True)
+    for token in query.lower().split():
+        out = out & F.contains(F.lower("name"), F.lit(token))
+    return out
+
+
 def safe(strict_compat: bool = False) -> Column:
     """Without adult content, by bucket; ``strict_compat`` compares the raw category only, letter for letter."""
     if strict_compat:
@@ -27,7 +35,7 @@ def safe(strict_compat: bool = False) -> Column:
     return F.coalesce(classify.bucket(F.col("category"), F.col("name")) != "porn", F.lit(True))
 
 
-def refine(merged: DataFrame, min_seeders: int = 0, min_size: int = 0, contains: str = "", quality: str = "all", bucket: str = "all", safe_mode: bool = False) -> DataFrame:
+def refine(merged: DataFrame, min_seeders: int = 0, min_size: int = 0, contains: str = "", quality: str = "all", bucket: str = "all", safe_mode: bool = False, strict_compat: bool = False) -> DataFrame:
     out = merged
     if min_seeders:
         out = out.where(at_least("seeders", min_seeders))
@@ -39,7 +47,7 @@ def refine(merged: DataFrame, min_seeders: int = 0, min_size: int = 0, contains:
         out = out.where(classify.has_quality(F.col("name"), quality))
     if bucket != "all":
         out = out.where(classify.bucket(F.col("category"), F.col("name")) == bucket)
-    return out.where(safe()) if safe_mode else out
+    return out.where(safe(strict_compat)) if safe_mode else out
 
 
 def _tokens(text: str) -> list[str]:
@@ -81,7 +89,11 @@ def by_column(merged: DataFrame, column: str, ascending: bool = False, order: st
 def places(merged: DataFrame, column: str, ascending: bool = False, order: str = "ord") -> DataFrame:
     """Every row with its ``place`` from 1 in the order of by_column: numbered within ranges, after the sizes of the ranges before."""
     key = F.coalesce(F.col(column), F.lit(-1))
-    by = [key.asc() if ascending else key.desc(), F.col(order)]
+    return numbered(merged, key.asc() if ascending else key.desc(), F.col(order))
+
+
+def numbered(merged: DataFrame, *by: Column) -> DataFrame:
+    """Every row with its ``place`` from 1 in a total order, without bringing all rows, or those of one key, into one task."""
     n = int(merged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # kept, as another run of the range sampling might deal rows differently
     dealt = merged.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()).persist()

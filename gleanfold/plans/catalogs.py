@@ -19,7 +19,7 @@ def doc_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a raw listing: its source is the provider, its text's MD5 the content hash."""
     d = read(spark, sf_dir, "documents")
     return d.select(
-        F.col("source").alias("provider"), F.concat_ws(":", "source", "doc_id").alias("id"), F.substring("text", 1, 80).alias("name"), F.md5("text").alias("info_hash"),
+        F.col("source").alias("provider"), F.concat_ws(":", "source", "doc_id").alias("id"), F.col("text").alias("name"), F.md5("text").alias("info_hash"),
         F.col("n_chars").alias("size_num"), F.concat(F.pmod("doc_id", F.lit(700)).cast("string"), F.lit(" hours ago")).alias("date_raw"),
         F.when(F.col("doc_id") % 7 != 0, F.concat((F.col("n_chars") % 97).cast("string"), F.lit(" up"))).alias("seeders"), (F.col("n_chars") % 31).cast("string").alias("leechers"),
         F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("https://mirror.test/"), F.col("doc_id").cast("string"))).alias("detail_url"),
@@ -48,10 +48,10 @@ def encode_sql(c: str) -> str:
 
 
 DOC_LISTINGS_SQL = f"""
-  SELECT source || ':' || doc_id AS id, coalesce(nullif(substr(text, 1, 80), ''), '(untitled)') AS name, n_chars AS size, {size_text_sql('n_chars')} AS size_text,
+  SELECT source || ':' || doc_id AS id, coalesce(nullif(text, ''), '(untitled)') AS name, n_chars AS size, {size_text_sql('n_chars')} AS size_text,
     CASE WHEN doc_id % 7 <> 0 THEN n_chars % 97 END AS seeders, n_chars % 31 AS leechers,
     {NOW_MS} - (doc_id % 700) * 3600000 AS date_ms, strftime(make_timestamp(({NOW_MS} - (doc_id % 700) * 3600000) * 1000), '%Y-%m-%d') AS date_text,
-    'magnet:?xt=urn:btih:' || md5(text) || coalesce('&dn=' || {encode_sql("nullif(substr(text, 1, 80), '')")}, '') AS magnet, md5(text) AS info_hash, source AS provider, lang AS category,
+    'magnet:?xt=urn:btih:' || md5(text) || coalesce('&dn=' || {encode_sql("nullif(text, '')")}, '') AS magnet, md5(text) AS info_hash, source AS provider, lang AS category,
     CASE WHEN doc_id % 3 = 0 THEN 'https://mirror.test/' || doc_id END AS detail_url, CASE WHEN doc_id % 5 = 0 THEN 1234 END AS files, false AS needs_magnet, doc_id AS ord
   FROM documents
 """

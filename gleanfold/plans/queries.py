@@ -11,6 +11,7 @@ from ..operators import federate, listings, refine, userstate
 from ..sources import demo, feeds, pages
 from ..streaming import search
 from . import catalogs as C
+from . import sites
 from .catalogs import DOC_LISTINGS_SQL, MERGED_SQL, NOW_MS, PARTS_SQL, read
 
 QUERIES: dict = {}
@@ -129,16 +130,15 @@ def merge_by_hash(spark, sf_dir) -> DataFrame:
     return listings.merge_sources(C.doc_listings(spark, sf_dir)).select(*_MERGED.split(", "))
 
 
-@query(f"SELECT key, source_list, n_rows FROM ({MERGED_SQL.replace('arg_min_null', 'arg_min')})")
+@query(f"SELECT 'hash:' || lower(info_hash) AS key, row_number() OVER (PARTITION BY info_hash ORDER BY ord) AS place, provider, id, count(*) OVER (PARTITION BY info_hash) AS n_rows FROM ({DOC_LISTINGS_SQL})")
 def merge_sources_array(spark, sf_dir) -> DataFrame:
-    merged = listings.merge_sources(C.doc_listings(spark, sf_dir))
-    return merged.select("key", F.array_join(F.transform("sources", lambda s: F.concat_ws("/", s["provider"], s["id"])), " ").alias("source_list"), F.size("sources").cast("long").alias("n_rows"))
+    """The sources of every content hash in order of arrival, a row each, so that no hash's sources are one value."""
+    return listings.sources_of(C.doc_listings(spark, sf_dir))
 
 
 @query(f"SELECT provider, count(*) AS n_groups, sum(CASE WHEN n > 1 THEN 1 ELSE 0 END)::BIGINT AS n_shared FROM (SELECT DISTINCT provider, info_hash, count(*) OVER (PARTITION BY info_hash) AS n FROM ({DOC_LISTINGS_SQL})) GROUP BY provider")
 def shared_by_provider(spark, sf_dir) -> DataFrame:
-    merged = listings.merge_sources(C.doc_listings(spark, sf_dir))
-    return merged.select(F.size("sources").alias("n"), F.explode("providers").alias("provider")).groupBy("provider").agg(F.count("*").alias("n_groups"), F.count_if(F.col("n") > 1).alias("n_shared"))
+    return listings.provider_overlap(C.doc_listings(spark, sf_dir))
 
 
 # ---- classification, filters, facets
@@ -183,7 +183,7 @@ def safe_mode(spark, sf_dir) -> DataFrame:
     return refine.refine(C.parts(spark, sf_dir), safe_mode=True).select("ord", "category", "name")
 
 
-@query("SELECT s, CASE " + " ".join(f"WHEN s IN ({', '.join(repr(i) for i in ids.split())}) THEN '{g}'" for g, ids in classify.SOURCE_GROUPS.items()) + " WHEN starts_with(s, 'torznab:') THEN 'custom' ELSE 'general' END AS source_group, count(*) AS n FROM (SELECT CASE WHEN event_id % 43 = 41 THEN 'torznab:x' WHEN event_id % 43 = 42 THEN 'unknown' ELSE [" + ", ".join(f"'{s}'" for s in federate.REGISTRY) + "][event_id % 43 + 1] END AS s FROM events) GROUP BY 1, 2")
+@query("SELECT s, CASE " + " ".join(f"WHEN s IN ({', '.join(repr(i) for i in ids)}) THEN '{g}'" for g, ids in classify.SOURCE_GROUPS.items()) + " WHEN starts_with(s, 'torznab:') THEN 'custom' ELSE 'general' END AS source_group, count(*) AS n FROM (SELECT CASE WHEN event_id % 43 = 41 THEN 'torznab:x' WHEN event_id % 43 = 42 THEN 'unknown' ELSE [" + ", ".join(f"'{s}'" for s in federate.REGISTRY) + "][event_id % 43 + 1] END AS s FROM events) GROUP BY 1, 2")
 def source_groups(spark, sf_dir) -> DataFrame:
     names = F.array(*map(F.lit, [*federate.REGISTRY, "torznab:x", "unknown"]))
     s = F.get(names, (F.col("event_id") % 43).cast("int"))
@@ -233,16 +233,16 @@ def relevance_topk(spark, sf_dir) -> DataFrame:
     return refine.page(merged.orderBy(F.desc("score"), F.desc(F.coalesce("seeders", F.lit(-1))), "ord"), 1).select("key", "name", "seeders", "score")
 
 
-@query(f"SELECT ord, row_number() OVER (ORDER BY coalesce(size, -1), ord) AS place FROM ({PARTS_SQL}) ORDER BY place LIMIT 100")
+@query(f"SELECT ord, row_number() OVER (ORDER BY coalesce(size, -1), ord) AS place FROM ({PARTS_SQL})")
 def sort_null_last_key(spark, sf_dir) -> DataFrame:
-    top = refine.by_column(C.parts(spark, sf_dir), "size", ascending=True).limit(100).select(F.collect_list("ord").alias("o"))
-    return top.select(F.posexplode("o").alias("place", "ord")).select("ord", (F.col("place") + 1).cast("long").alias("place"))
+    """The place of every part by size, ascending; unknown sizes come first."""
+    return refine.places(C.parts(spark, sf_dir), "size", ascending=True).select("ord", "place")
 
 
-@query(f"SELECT ord, row_number() OVER (ORDER BY coalesce(size, -1), ord) AS place FROM ({PARTS_SQL})")
+@query(f"SELECT ord, row_number() OVER (ORDER BY coalesce(seeders, -1) DESC, ord) AS place FROM ({PARTS_SQL})")
 def sort_null_last_places(spark, sf_dir) -> DataFrame:
-    """The place of every part; sort_null_last_key compares the first 100 only."""
-    return refine.places(C.parts(spark, sf_dir), "size", ascending=True).select("ord", "place")
+    """The place of every part by seeders, descending; unknown ones come last."""
+    return refine.places(C.parts(spark, sf_dir), "seeders").select("ord", "place")
 
 
 @query(f"SELECT ord, name, seeders FROM ({PARTS_SQL}) ORDER BY coalesce(seeders, -1) DESC, ord LIMIT 20 OFFSET 40")
@@ -285,11 +285,11 @@ def mirror_first_nonempty(spark, sf_dir) -> DataFrame:
     return federate.first_mirror(up)
 
 
-@query("SELECT source, 'M' || substr(source, 4) || ' unreachable (' || string_agg(error, '; ' ORDER BY mirror_rank) || ')' AS error FROM (SELECT DISTINCT source, doc_id % 5 AS mirror_rank, 'E' || doc_id % 5 AS error FROM documents WHERE source IN ('src1', 'src7')) GROUP BY source")
+@query("SELECT source, 'M' || substr(source, 4) || ' unreachable (' || string_agg(error, '; ' ORDER BY mirror_rank) || ')' AS error FROM (SELECT DISTINCT source, doc_id % 5 AS mirror_rank, 'E' || doc_id % 5 AS error FROM documents WHERE substr(source, 4)::BIGINT % 3 = 1) GROUP BY source")
 def mirror_error_text(spark, sf_dir) -> DataFrame:
-    d = read(spark, sf_dir, "documents").where(F.col("source").isin("src1", "src7", "src9"))
-    k = F.col("doc_id") % 5
-    tries = d.select("source", F.concat(F.lit("M"), F.substring("source", 4, 9)).alias("name"), k.alias("mirror_rank"), F.when(F.col("source") == "src9", 4).otherwise(0).alias("n"), F.concat(F.lit("E"), k.cast("string")).alias("error")).distinct()
+    """Every source's attempts at five mirrors; those with a number of 1 modulo 3 found nothing."""
+    d, k, number = read(spark, sf_dir, "documents"), F.col("doc_id") % 5, F.substring("source", 4, 9)
+    tries = d.select("source", F.concat(F.lit("M"), number).alias("name"), k.alias("mirror_rank"), F.when(number.cast("bigint") % 3 == 1, 0).otherwise(4).alias("n"), F.concat(F.lit("E"), k.cast("string")).alias("error")).distinct()
     return federate.mirror_errors(tries)
 
 
@@ -306,7 +306,7 @@ def group_counts(spark, sf_dir) -> DataFrame:
     return n.groupBy(F.col("r_name").alias("source_group")).agg(F.count_if(on).alias("n_selected"), F.count("*").alias("n_sources"), F.bool_and(on).alias("all_selected"))
 
 
-_GROUP_SQL = "CASE " + " ".join(f"WHEN id IN ({', '.join(repr(i) for i in ids.split())}) THEN '{g}'" for g, ids in classify.SOURCE_GROUPS.items()) + " END"
+_GROUP_SQL = "CASE " + " ".join(f"WHEN id IN ({', '.join(repr(i) for i in ids)}) THEN '{g}'" for g, ids in classify.SOURCE_GROUPS.items()) + " END"
 
 
 @query(f"""
@@ -483,3 +483,126 @@ def stream_merge_final(spark, sf_dir) -> DataFrame:
 @query("SELECT source AS id, count(*) AS count, max(doc_id) AS last_ord FROM documents GROUP BY 1")
 def stream_status(spark, sf_dir) -> DataFrame:
     return search.status_stream(spark, sf_dir)
+
+
+# ---- sources' pages, read by their adapters
+
+
+def _html_sites(group: str) -> None:
+    sources = sites.SITE_GROUPS[group]
+
+    def run(spark, sf_dir) -> DataFrame:
+        return sites.html_sites(spark, sf_dir, sources)
+
+    run.__name__, run.__doc__ = f"html_sites_{group}", f"Pages of {', '.join(sources)}, through their layouts."
+    query(sites.html_sites_sql(sources))(run)
+
+
+for _group in sites.SITE_GROUPS:
+    _html_sites(_group)
+query(sites.JSON_SITES_SQL)(sites.json_sites)
+query(sites.DEPENDENT_RELEASES_SQL)(sites.dependent_releases)
+query(sites.DETAIL_PAGES_SQL)(sites.detail_pages)
+
+
+@query("SELECT n_nationkey, 'http://h.test/' || n_nationkey || CASE WHEN n_nationkey % 3 = 1 THEN '/x' ELSE '' END || '/api?apikey=k%2B' || n_nationkey || '&extended=1&t=search&q=' || replace(n_name || '+a%26b', ' ', '+') AS address FROM nation")
+def indexer_addresses(spark, sf_dir) -> DataFrame:
+    n = F.col("n_nationkey").cast("string")
+    ending = F.when(F.col("n_nationkey") % 3 == 0, "/api?t=caps").when(F.col("n_nationkey") % 3 == 1, "/x//").otherwise("/")
+    return read(spark, sf_dir, "nation").select("n_nationkey", feeds.indexer_addresses(F.concat(F.lit("http://h.test/"), n, ending), F.concat(F.lit("k+"), n), F.concat("n_name", F.lit(" a&b"))).alias("address"))
+
+
+# ---- further dates, filters, lookups, counts and sinks
+
+
+_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss'Z'", "d MMM yy", "MMM d, yyyy HH:mm", "yyyy/MM/dd HH:mm:ss", "d MMMM yyyy", "M/d/yyyy", "'Thu, 'd MMM yyyy HH:mm:ss' +0000'", "'someday'"]
+
+
+@query("SELECT o_orderkey, CASE WHEN k = 9 THEN NULL ELSE epoch_ms(day::TIMESTAMP) + CASE WHEN k IN (1, 2, 4, 5, 8) THEN 36660000 ELSE 0 END END AS date_ms FROM (SELECT o_orderkey, o_orderkey % 10 AS k, '2001-01-01'::DATE + (o_orderkey % 9000)::INTEGER AS day FROM orders)")
+def parse_date_absolute(spark, sf_dir) -> DataFrame:
+    """Dates of 2001 to 2025 in nine ways of writing them, and one that is none."""
+    at = F.expr("CAST(date_add(DATE'2001-01-01', CAST(o_orderkey % 9000 AS INT)) AS TIMESTAMP) + INTERVAL '10:11' HOUR TO MINUTE")
+    raw = F.lit(None).cast("string")
+    for i, form in enumerate(_FORMATS):
+        raw = F.when(F.col("o_orderkey") % 10 == i, F.date_format(at, form)).otherwise(raw)
+    return read(spark, sf_dir, "orders").select("o_orderkey", canon.parse_date(raw, NOW_MS).alias("date_ms"))
+
+
+@query(f"SELECT ord FROM ({DOC_LISTINGS_SQL}) WHERE contains(lower(name), 'the') AND contains(lower(name), 'and')")
+def keyword_match(spark, sf_dir) -> DataFrame:
+    """What a keyword search keeps of a stored table: texts that hold every token."""
+    return C.doc_listings(spark, sf_dir).where(refine.matches("The and")).select("ord")
+
+
+@query(f"SELECT ord, name FROM ({PARTS_SQL}) WHERE {_BUCKET_SQL} = 'series'")
+def bucket_filter(spark, sf_dir) -> DataFrame:
+    return refine.refine(C.parts(spark, sf_dir), bucket="series").select("ord", "name")
+
+
+@query("SELECT p_partkey AS key, p_name AS name, 100000000 - p_partkey AS pick_order FROM part WHERE p_partkey % 5 = 0")
+def checked_items(spark, sf_dir) -> DataFrame:
+    """Picked parts that exist, with their order; picks of parts that don't exist are dropped."""
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"))
+    order = (F.lit(100_000_000) - F.col("key")).alias("pick_order")
+    picks = p.where("key % 5 = 0").select("key", order).unionByName(p.select((F.col("key") + 10_000_000).alias("key"), order))
+    return userstate.checked(p, picks)
+
+
+@query("SELECT p_partkey AS key, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'stored ' || p_name END AS name FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0")
+def lookup_items(spark, sf_dir) -> DataFrame:
+    """Parts that a search found or, where it didn't, as they were stored as favourites."""
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"))
+    return userstate.lookup(p.where("key % 2 = 0"), p.where("key % 3 = 0").withColumn("name", F.concat(F.lit("stored "), "name")))
+
+
+@query("SELECT 'g:' || md5(text) AS key, bool_and(doc_id % 4 <> 0) AND count(*) FILTER (doc_id % 3 = 0) > 0 AS needs_magnet FROM documents GROUP BY text")
+def merged_needs_magnet(spark, sf_dir) -> DataFrame:
+    d, k = read(spark, sf_dir, "documents"), F.col("doc_id")
+    raw = d.select(F.col("source").alias("provider"), F.concat(F.lit("g:"), F.md5("text")).alias("id"), F.col("source").alias("name"), F.when(k % 4 == 0, "magnet:?xt=urn:btih:0").alias("magnet"), F.when(k % 3 == 0, "https://mirror.test/x").alias("detail_url"), k.alias("ord"))
+    return listings.merge_sources(listings.normalize(raw, NOW_MS, "ord")).select("key", "needs_magnet")
+
+
+@query(f"SELECT s.id, max(d.doc_id % 1000) AS ms, any_value(s.count) AS count FROM ({_STATUS_SQL}) s LEFT JOIN documents d ON d.source = s.id WHERE s.id <> 'src3' GROUP BY s.id")
+def source_status_ms(spark, sf_dir) -> DataFrame:
+    """Rows and slowest request of each source asked."""
+    d = C.doc_raw(spark, sf_dir)
+    times = d.select(F.col("provider").alias("source"), (F.col("ord") % 1000).alias("ms"))
+    return federate.status(federate.resolve(_doc_sources(spark)), d, pages=times).select("id", "ms", "count")
+
+
+@query("SELECT 23::BIGINT AS n_ok, 24::BIGINT AS n_total")
+def responded_counts(spark, sf_dir) -> DataFrame:
+    failed = spark.createDataFrame([("src5", "ETIMEDOUT")], "id string, error string")
+    statuses = federate.status(federate.resolve(_doc_sources(spark)), C.doc_raw(spark, sf_dir), failed)
+    return statuses.agg(F.count_if(F.col("status") == "ok").alias("n_ok"), F.count("*").alias("n_total"))
+
+
+@query(f"SELECT ord, provider || ord % 100 AS id FROM ({PARTS_SQL}) WHERE provider || ord % 100 NOT IN (SELECT provider || ord % 100 FROM ({PARTS_SQL}) WHERE ord % 3 = 0)")
+def paging_new_rows(spark, sf_dir) -> DataFrame:
+    """What a further page adds to those seen; nothing would end the paging."""
+    from ..engine import Engine, Response
+
+    p = C.parts(spark, sf_dir).select("ord", F.concat("provider", (F.col("ord") % 100).cast("string")).alias("id"))
+    return Engine(spark, NOW_MS).new_rows(p.where("ord % 3 = 0"), Response("x", 2, p, p)).select("ord", "id")
+
+
+def _csv_sql(c: str) -> str:
+    v = f"coalesce(({c})::VARCHAR, '')"
+    v = f"(CASE WHEN regexp_matches({v}, '^[=+\\-@\t\r]') THEN '''' || {v} ELSE {v} END)"
+    return f"""(CASE WHEN regexp_matches({v}, '[",\n]') THEN '"' || replace({v}, '"', '""') || '"' ELSE {v} END)"""
+
+
+_CSV_CELLS = ["name", "seeders", "NULL", C.size_text_sql("size"), "'2024-01-02'", "category", "provider || ' | a,b'", "NULL", "'=x'"]
+
+
+@query(f"SELECT ord, {' || chr(44) || '.join(_csv_sql(c) for c in _CSV_CELLS)} AS line FROM ({PARTS_SQL})")
+def csv_lines(spark, sf_dir) -> DataFrame:
+    """Whole lines of the export: quoted cells, guarded formulas, joined sources, unknown values."""
+    none = F.lit(None).cast("string")
+    merged = C.parts(spark, sf_dir).withColumns({"leechers": none, "size_text": canon.format_size(F.col("size")), "date_text": F.lit("2024-01-02"), "providers": F.array("provider", F.lit("a,b")), "info_hash": none, "magnet": F.lit("=x")})
+    return sinks.csv_lines(merged).select("ord", "line")
+
+
+@query(f"""SELECT ord, '{{"ord":' || ord || ',"name":"' || name || '"' || CASE WHEN seeders IS NULL THEN '' ELSE ',"seeders":' || seeders END || '}}' AS body FROM ({PARTS_SQL})""")
+def json_responses(spark, sf_dir) -> DataFrame:
+    return sinks.response_json(C.parts(spark, sf_dir).select("ord", "name", "seeders"))

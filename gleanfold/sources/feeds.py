@@ -20,7 +20,8 @@ _RSS = "channel struct<item: array<struct<title: string, link: string, guid: str
 
 
 def _raw(df: DataFrame, provider: str, keep: tuple[str, ...], **columns: Column) -> DataFrame:
-    return df.select(*keep, F.lit(provider).alias("provider"), *(c.alias(n) for n, c in columns.items()))
+    place = ["place"] if "place" in df.columns and "place" not in keep else []  # where the body had the row
+    return df.select(*keep, *place, F.lit(provider).alias("provider"), *(c.alias(n) for n, c in columns.items()))
 
 
 def _attr(item: Column, name: str) -> Column:
@@ -31,7 +32,7 @@ def _attr(item: Column, name: str) -> Column:
 def rss_listings(feeds: DataFrame, provider: str, *keep: str, xml_col: str = "xml") -> DataFrame:
     """Items of an indexer's RSS text: magnet from the enclosure, else the link; size from the enclosure, else the size element."""
     item = F.col("item")
-    parsed = feeds.select(*keep, F.explode(F.from_xml(xml_col, _RSS, {"rowTag": "rss"})["channel"]["item"]).alias("item"))
+    parsed = feeds.select(*keep, F.posexplode(F.from_xml(xml_col, _RSS, {"rowTag": "rss"})["channel"]["item"]).alias("place", "item"))
     text = lambda n: canon.blank_to_null(canon.trim(item[n]))
     url, length = item["enclosure"]["_url"], item["enclosure"]["_length"]
     magnet = F.coalesce(F.when(url.startswith("magnet:"), url), F.when(text("link").startswith("magnet:"), text("link")))
@@ -46,6 +47,13 @@ def indexer_url(url: str) -> str:
     return base if base.endswith("/api") else base + "/api"
 
 
+def indexer_addresses(url: Column, api_key: Column, query: Column) -> Column:
+    """indexer_query over columns: the address of a search at a user's indexer."""
+    base = F.rtrim(F.regexp_replace(url, r"\?.*$", ""), F.lit("/"))
+    api = F.when(base.endswith("/api"), base).otherwise(F.concat(base, F.lit("/api")))
+    return F.concat(api, F.lit("?apikey="), F.url_encode(api_key), F.lit("&extended=1&t=search&q="), F.url_encode(query))
+
+
 def indexer_query(url: str, api_key: str, query: str, mode: str = "search") -> str:
     from urllib.parse import urlencode
 
@@ -60,7 +68,7 @@ def tpb(bodies: DataFrame, *keep: str) -> DataFrame:
         F.when(first == "1", F.when(code == "102", "Books").otherwise("Music")).when(first == "2", F.when(code.isin("205", "208"), "Series").otherwise("Movies")).when(first == "3", "Apps")
         .when(first == "4", "Games").when(first == "5", "Porn").when(first == "6", F.when(code.isin("601", "602"), "Books").otherwise("Other"))
     )
-    rows = bodies.select(*keep, F.explode(F.from_json("body", "array<struct<id: string, name: string, info_hash: string, size: string, seeders: string, leechers: string, num_files: string, added: string, category: string, error: string>>")).alias("r")).where("r.error IS NULL")
+    rows = bodies.select(*keep, F.posexplode(F.from_json("body", "array<struct<id: string, name: string, info_hash: string, size: string, seeders: string, leechers: string, num_files: string, added: string, category: string, error: string>>")).alias("place", "r")).where("r.error IS NULL")
     page = F.concat(F.lit("https://thepiratebay.org/description.php?id="), F.col("r.id"))
     return _raw(rows, "tpb", keep, name=F.col("r.name"), info_hash=F.col("r.info_hash"), size_raw=F.col("r.size"), seeders=F.col("r.seeders"), leechers=F.col("r.leechers"), date_num=F.col("r.added").try_cast("bigint") * 1000, category=bucket, files=F.col("r.num_files"), detail_url=F.when(F.col("r.id") != "", page))
 
@@ -68,7 +76,7 @@ def tpb(bodies: DataFrame, *keep: str) -> DataFrame:
 def yts(bodies: DataFrame, *keep: str) -> DataFrame:
     """Movies that hold releases: exploded twice, names put together."""
     j = "struct<data: struct<movies: array<struct<id: bigint, title: string, title_long: string, url: string, torrents: array<struct<hash: string, quality: string, type: string, video_codec: string, size_bytes: bigint, seeds: string, peers: string, date_uploaded_unix: bigint>>>>>>"
-    movies = bodies.select(*keep, F.explode(F.from_json("body", j)["data"]["movies"]).alias("m")).select(*keep, "m", F.explode("m.torrents").alias("t"))
+    movies = bodies.select(*keep, F.posexplode(F.from_json("body", j)["data"]["movies"]).alias("movie", "m")).select(*keep, "movie", "m", F.posexplode("m.torrents").alias("at", "t")).withColumn("place", F.col("movie") * 1000 + F.col("at"))
     title = F.coalesce(canon.blank_to_null(F.col("m.title_long")), canon.blank_to_null(F.col("m.title")))
     info_hash = canon.blank_to_null(F.lower("t.hash"))
     dash = lambda c: F.coalesce(canon.blank_to_null(F.col(c)), F.lit("-"))
@@ -80,33 +88,33 @@ def yts(bodies: DataFrame, *keep: str) -> DataFrame:
 def knaben(bodies: DataFrame, *keep: str) -> DataFrame:
     """Hits with several category numbers, of which the smallest counts."""
     j = "struct<hits: array<struct<title: string, hash: string, magnetUrl: string, bytes: bigint, seeders: string, peers: string, date: string, categoryId: array<bigint>, details: string>>>"
-    hits = bodies.select(*keep, F.explode(F.from_json("body", j)["hits"]).alias("r"))
+    hits = bodies.select(*keep, F.posexplode(F.from_json("body", j)["hits"]).alias("place", "r"))
     return _raw(hits, "knaben", keep, name=F.col("r.title"), info_hash=F.coalesce(canon.blank_to_null(F.col("r.hash")), canon.extract_info_hash(F.col("r.magnetUrl"))), magnet=F.col("r.magnetUrl"), size_num=F.col("r.bytes"), seeders=F.col("r.seeders"), leechers=F.col("r.peers"), date_raw=F.col("r.date"), category=classify.bucket_by_range(F.array_min("r.categoryId"), CATEGORY_RANGES), detail_url=F.col("r.details"))
 
 
 def torrentscsv(bodies: DataFrame, *keep: str) -> DataFrame:
     j = "struct<torrents: array<struct<name: string, infohash: string, size_bytes: bigint, seeders: string, leechers: string, created_unix: bigint>>>"
-    rows = bodies.select(*keep, F.explode(F.from_json("body", j)["torrents"]).alias("r"))
+    rows = bodies.select(*keep, F.posexplode(F.from_json("body", j)["torrents"]).alias("place", "r"))
     return _raw(rows, "torrentscsv", keep, name=F.col("r.name"), info_hash=F.col("r.infohash"), size_num=F.col("r.size_bytes"), seeders=F.col("r.seeders"), leechers=F.col("r.leechers"), date_num=F.col("r.created_unix"), category=F.lit("Other"))
 
 
 def subsplease(bodies: DataFrame, *keep: str) -> DataFrame:
     """An object keyed by show: exploded as a map, sizes out of the magnets."""
     j = "map<string, struct<release_date: string, episode: string, page: string, downloads: array<struct<res: string, magnet: string>>>>"
-    shows = bodies.select(*keep, F.explode(F.from_json("body", j)).alias("show", "a")).select(*keep, "show", "a", F.explode("a.downloads").alias("d")).where("d.magnet <> ''")
+    shows = bodies.select(*keep, F.posexplode(F.from_json("body", j)).alias("nth", "show", "a")).select(*keep, "nth", "show", "a", F.posexplode("a.downloads").alias("at", "d")).where("d.magnet <> ''").withColumn("place", F.col("nth") * 1000 + F.col("at"))
     page = F.concat(F.lit("https://subsplease.org/"), F.col("a.page"), F.lit("?ep="), canon.encode_component(F.coalesce("a.episode", F.lit(""))), F.lit("&res="), canon.encode_component(F.col("d.res")))
     return _raw(shows, "subsplease", keep, name=F.concat("show", F.lit(" ["), "d.res", F.lit("p]")), size_num=canon.magnet_size(F.col("d.magnet")), date_raw=F.col("a.release_date"), info_hash=canon.extract_info_hash(F.col("d.magnet")), magnet=F.col("d.magnet"), category=F.lit("Anime"), detail_url=page)
 
 
 def bangumimoe(bodies: DataFrame, *keep: str) -> DataFrame:
     j = "struct<torrents: array<struct<_id: string, title: string, infohash: string, magnet: string, size: string, seeders: string, leechers: string, publish_time: string>>>"
-    rows = bodies.select(*keep, F.explode(F.from_json("body", j)["torrents"]).alias("r")).where("r.title <> '' AND r.magnet <> ''")
+    rows = bodies.select(*keep, F.posexplode(F.from_json("body", j)["torrents"]).alias("place", "r")).where("r.title <> '' AND r.magnet <> ''")
     return _raw(rows, "bangumimoe", keep, name=F.col("r.title"), info_hash=F.coalesce(canon.blank_to_null(F.col("r.infohash")), canon.extract_info_hash(F.col("r.magnet"))), magnet=F.col("r.magnet"), size_raw=canon.trim(F.col("r.size")), seeders=F.col("r.seeders"), leechers=F.col("r.leechers"), date_raw=F.col("r.publish_time"), category=F.lit("Anime"), detail_url=F.concat(F.lit("https://bangumi.moe/torrent/"), F.col("r._id")))
 
 
 def internetarchive(bodies: DataFrame, *keep: str) -> DataFrame:
     j = "struct<response: struct<docs: array<struct<identifier: string, title: string, mediatype: string, item_size: bigint, publicdate: string, btih: string>>>>"
-    rows = bodies.select(*keep, F.explode(F.from_json("body", j)["response"]["docs"]).alias("r")).where("r.btih <> '' AND r.title <> ''")
+    rows = bodies.select(*keep, F.posexplode(F.from_json("body", j)["response"]["docs"]).alias("place", "r")).where("r.btih <> '' AND r.title <> ''")
     return _raw(rows, "internetarchive", keep, name=F.col("r.title"), info_hash=canon.trim(F.lower("r.btih")), size_num=F.col("r.item_size"), date_raw=F.col("r.publicdate"), category=classify.bucket_by_table(F.col("r.mediatype"), MEDIA_TYPES, "Other"), detail_url=F.concat(F.lit("https://archive.org/details/"), F.col("r.identifier")))
 
 

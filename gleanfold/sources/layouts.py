@@ -60,10 +60,6 @@ def _by_prefix(pairs: list[tuple[str, str]]) -> Fix:
     return fix
 
 
-def _flat_table(groups: dict[str, str]) -> dict[str, str]:
-    return {label: bucket for bucket, labels in groups.items() for label in labels.split()}
-
-
 _RU_UNITS = [("(?iu)ГБ", "GB"), ("(?iu)МБ", "MB"), ("(?iu)КБ", "KB")]
 
 
@@ -82,12 +78,12 @@ LAYOUTS: dict[str, Layout] = {
     "animetosho": Layout("https://animetosho.org", "div.home_list_entry", {"name": "div.link > a", "href": "div.link > a | @href", "size": "div.size", "peers": "div.links span[title]", "date": "div.date | @title", "magnet": "div.links a[href^=magnet:] | @href"}, need=("name", "size", "date", "magnet"), category="Anime",
         fix={"date": _sub("Date/time submitted:")}, date=lambda c: canon.parse_date_as(F.regexp_extract(c, r"(\d+/\d+/\d+)", 1), "d/M/yyyy")),
     "dmhy": Layout("https://share.dmhy.org", "table#topic_list > tbody > tr", {"name": "td.title > a | own", "href": "td.title > a | @href", "magnet": "td:nth-child(4) > a:nth-child(1) | @href", "size": "td:nth-child(5) | own", "seeders": "td:nth-child(6)", "leechers": "td:nth-child(7)", "date": "td:nth-child(1) > span | own", "category": "td:nth-child(2) > a | @class"}, need=("name", "magnet"),
-        table=_flat_table({"Anime": "2 7 31", "Books": "3", "Series": "41 42 6", "Music": "4 43 44 15", "Games": "9 17 18 19 20 21"}), fix={"category": lambda c: canon.trim(F.regexp_replace(c, "sort-", ""))}),
+        table={"2": "Anime", "7": "Anime", "31": "Anime", "3": "Books", "41": "Series", "42": "Series", "6": "Series", "4": "Music", "43": "Music", "44": "Music", "15": "Music", "9": "Games", "17": "Games", "18": "Games", "19": "Games", "20": "Games", "21": "Games"}, fix={"category": lambda c: canon.trim(F.regexp_replace(c, "sort-", ""))}),
     "mikan": Layout("https://mikanani.me", "tr.js-search-results-row", {"name": "td:nth-child(2) > a:nth-child(1) | own", "href": "td:nth-child(2) > a:nth-child(1) | @href", "magnet": "td:nth-child(2) > a[data-clipboard-text] | @data-clipboard-text", "size": "td:nth-child(3) | own", "date": "td:nth-child(4) | own"}, need=("name", "magnet"), category="Anime"),
     "sukebei": Layout("https://sukebei.nyaa.si", "table.torrent-list > tbody > tr", {"name": "td:nth-child(2) > a:not(.comments)", "href": "td:nth-child(2) > a:not(.comments) | @href", "magnet": "td:nth-child(3) > a:nth-child(2) | @href", "size": "td:nth-child(4)", "date": "td:nth-child(5) | @data-timestamp", "seeders": "td:nth-child(6)", "leechers": "td:nth-child(7)", "category": "td:nth-child(1) a | @title"}, need=("name", "magnet"),
         table={"1": "Anime", "2": "Anime", "3": "Movies", "4": "Porn", "5": "Other", "6": "Other"}, default=None, fix={"category": lambda c: F.substring_index(canon.trim(c), "_", 1)}),
     "tokyotoshokan": Layout("https://tokyotosho.info", "table.listing > tbody > tr:nth-child(n+2)", {"name": "td.desc-top > a:nth-child(2)", "magnet": "td.desc-top > a:nth-child(1) | @href", "href": "td.web > a:last-child | @href", "category": "td:nth-child(1) > a | @href", "both": "2:td.desc-bot", "seeders": "2:td.stats > span:nth-child(1)", "leechers": "2:td.stats > span:nth-child(2)"}, need=("name", "magnet"), pairs=True,
-        table=_flat_table({"Anime": "1 7 8 10 11", "Books": "3", "Music": "2 9", "Porn": "4 12 13 14 15"}), fix={"category": lambda c: F.replace(c, F.lit("/?cat="), F.lit(""))}),
+        table={"1": "Anime", "7": "Anime", "8": "Anime", "10": "Anime", "11": "Anime", "3": "Books", "2": "Music", "9": "Music", "4": "Porn", "12": "Porn", "13": "Porn", "14": "Porn", "15": "Porn"}, fix={"category": lambda c: F.replace(c, F.lit("/?cat="), F.lit(""))}),
     "nekobt": Layout("https://nekobt.to", "table.table > tbody > tr", {"name": "td:nth-child(3) > div:nth-child(1) > div > a span > span:nth-child(1)", "href": "td:nth-child(3) > div:nth-child(1) > div > a | @href", "magnet": "td:nth-child(4) > div > a:nth-child(1) | @href", "size": "td:nth-child(5) > span", "date": "td:nth-child(6) > span", "seeders": "td:nth-child(7) > span", "leechers": "td:nth-child(8) > span"}, need=("name", "magnet"), category="Anime"),
     "bt4g": Layout("https://bt4gprx.com", "div.notion-list-item", {"name": "div.notion-list-item-title > a", "href": "div.notion-list-item-title > a | @href", "size": "div.notion-list-item-meta > span:nth-child(5) > b", "seeders": "div.notion-list-item-meta span#seeders", "leechers": "div.notion-list-item-meta span#leechers", "date": "div.notion-list-item-meta > span:nth-child(2)", "category": "div.notion-list-item-meta span.notion-tag"},
         table={"Video": "Movies", "Movie": "Movies", "Audio": "Music", "Doc": "Books", "App": "Apps", "Application": "Apps"}, fix={"date": _sub(r"^Creation Time:\s*")}),
@@ -100,11 +96,7 @@ LAYOUTS: dict[str, Layout] = {
     "rutor": Layout("https://rutor.info", "div#index > table > tbody > tr", {"name": "td:nth-child(2) > a:nth-child(3)", "href": "td:nth-child(2) > a:nth-child(3) | @href", "magnet": "td:nth-child(2) > a:nth-child(2) | @href", "date": "td:nth-child(1)", "seeders": "td span:first-child", "leechers": "td span:nth-child(n+2)"}, need=("name", "magnet"), skip=1, cells="td", fix={"date": canon.ru_date, "size": _ru_size}),
     "torrent9": Layout("https://www6.torrent9.to", "table > tbody > tr", {"name": "td:nth-child(1) > a", "href": "td:nth-child(1) > a | @href"}, need=("href",)),
     "torrentdownload": Layout("https://torrentdownload.info", "div.wrapper > table.table2:last-of-type > tbody > tr", {"name": "td:nth-child(1) > div.tt-name > a", "href": "td:nth-child(1) > div.tt-name > a | @href", "hash": "td:nth-child(1) > div.tt-name > a | @href", "size": "td:nth-child(3)", "seeders": "td:nth-child(4)", "leechers": "td:nth-child(5)", "date": "td:nth-child(2)", "category": "td:nth-child(1) > div.tt-name > span"}, need=("name", "href", "hash"),
-        table=_flat_table({
-            "Porn": "XXX XXXVideo XXXHDVideo XXXPictures Adult AdultPornHDVideo AdultPornPictures AdultPornVideo", "Anime": "Anime AnimeEnglishtranslated AnimeAnimeOther", "Apps": "Applications ApplicationsAndroid ApplicationsWindows Software",
-            "Books": "BooksAcademic BooksComics BooksEbooks BooksEducational BooksMagazines BooksFiction BooksNonfiction BooksTextbooks Ebooks OtherEbooks OtherComics AudioBooks AudioAudiobooks", "Games": "Games GamesWindows",
-            "Movies": "Movies MoviesAction MoviesConcerts MoviesCrime MoviesDocumentary MoviesDubbedMovies MoviesHighresMovies MoviesMusicvideos MoviesThriller VideoMovies", "Music": "Music MusicHardrock MusicMp MusicFLAC MusicLossless MusicRB MusicTranceHouseDance VideoMusic AudioMusic", "Series": "TV TVBBC TVshows Television",
-        }), fix={"category": _sub("[^A-Za-z]+"), "hash": lambda c: F.lower(F.try_element_at(F.filter(F.split(c, "/"), lambda x: x != ""), F.lit(-2)))}),
+        table={"XXX": "Porn", "XXXVideo": "Porn", "XXXHDVideo": "Porn", "XXXPictures": "Porn", "Adult": "Porn", "AdultPornHDVideo": "Porn", "AdultPornPictures": "Porn", "AdultPornVideo": "Porn", "Anime": "Anime", "AnimeEnglishtranslated": "Anime", "AnimeAnimeOther": "Anime", "Applications": "Apps", "ApplicationsAndroid": "Apps", "ApplicationsWindows": "Apps", "Software": "Apps", "BooksAcademic": "Books", "BooksComics": "Books", "BooksEbooks": "Books", "BooksEducational": "Books", "BooksMagazines": "Books", "BooksFiction": "Books", "BooksNonfiction": "Books", "BooksTextbooks": "Books", "Ebooks": "Books", "OtherEbooks": "Books", "OtherComics": "Books", "AudioBooks": "Books", "AudioAudiobooks": "Books", "Games": "Games", "GamesWindows": "Games", "Movies": "Movies", "MoviesAction": "Movies", "MoviesConcerts": "Movies", "MoviesCrime": "Movies", "MoviesDocumentary": "Movies", "MoviesDubbedMovies": "Movies", "MoviesHighresMovies": "Movies", "MoviesMusicvideos": "Movies", "MoviesThriller": "Movies", "VideoMovies": "Movies", "Music": "Music", "MusicHardrock": "Music", "MusicMp": "Music", "MusicFLAC": "Music", "MusicLossless": "Music", "MusicRB": "Music", "MusicTranceHouseDance": "Music", "VideoMusic": "Music", "AudioMusic": "Music", "TV": "Series", "TVBBC": "Series", "TVshows": "Series", "Television": "Series"}, fix={"category": _sub("[^A-Za-z]+"), "hash": lambda c: F.lower(F.try_element_at(F.filter(F.split(c, "/"), lambda x: x != ""), F.lit(-2)))}),
     "torrentdownloads": Layout("https://torrentdownloads.pro", "div.grey_bar3", {"name": "p:nth-child(1) > a:nth-child(2)", "href": "p:nth-child(1) > a:nth-child(2) | @href", "size": "span:nth-child(5)", "seeders": "span:nth-child(4)", "leechers": "span:nth-child(3)", "category": "p:nth-child(1) > img:nth-child(1) | @src"}, need=("name", "href"), skip=2, inside="div.inner_container",
         table={"menu_icon0.png": "All", "menu_icon1.png": "Anime", "menu_icon2.png": "Books", "menu_icon3.png": "Games", "menu_icon4.png": "Movies", "menu_icon5.png": "Music", "menu_icon7.png": "Apps", "menu_icon8.png": "Series", "menu_icon9.png": "Other"}, fix={"category": _sub("^.*/templates/new/images/icons/")}),
     "torrentdatabase": Layout("https://developify.ca", "table.torrent-table > tbody > tr", {"name": "td:nth-child(1) > a:nth-child(2)", "hash": "td:nth-child(1) > a:nth-child(2) | @href", "href": "td:nth-child(1) > a:nth-child(1) | @href", "category": "td:nth-child(2) > span.category-bubble", "size": "td.size-cell", "date": "td.date-cell", "seeders": "td:nth-child(5) > div > span:nth-child(1)", "leechers": "td:nth-child(5) > div > span:nth-child(2)"}, need=("name", "hash"),
@@ -181,28 +173,49 @@ def extract(html: str | None, layout: Layout) -> list[tuple[dict[str, str], list
     return out
 
 
-def page_rows(pages: DataFrame, source: str, html_col: str = "html", *keep: str) -> DataFrame:
-    """Pages of one source to rows (place, f map of fields, cells)."""
-    layout = LAYOUTS[source]
+def page_rows(pages: DataFrame, source_col: str = "source", html_col: str = "html", *keep: str) -> DataFrame:
+    """Pages of any sources to rows (source, place, f map of fields, cells), each by its own layout, in one pass."""
     kinds = dict(pages.dtypes)
-    plain = Layout(layout.base, layout.rows, layout.fields, skip=layout.skip, pairs=layout.pairs, least_cells=layout.least_cells, cells=layout.cells, inside=layout.inside)
+    plain = {s: Layout(x.base, x.rows, x.fields, skip=x.skip, pairs=x.pairs, least_cells=x.least_cells, cells=x.cells, inside=x.inside) for s, x in LAYOUTS.items()}
+    n = len(keep)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keep), "source string, place int, f map<string,string>, cells array<string>"])
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
-        for pdf in batches:
-            rows = [(*(pdf[k].iloc[i] for k in keep), n, f, c) for i in range(len(pdf)) for n, (f, c) in enumerate(extract(pdf[html_col].iloc[i], plain))]
-            yield pd.DataFrame(rows, columns=[*keep, "place", "f", "cells"])
+        for batch in batches:
+            kind = pa.schema([*(batch.schema.field(i).with_name(k) for i, k in enumerate(keep)), ("source", pa.string()), ("place", pa.int32()), ("f", pa.map_(pa.string(), pa.string())), ("cells", pa.list_(pa.string()))])
+            which, place, fields, cells = [], [], [], []
 
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keep), "place int, f map<string,string>, cells array<string>"])
-    return pages.select(*keep, html_col).mapInPandas(run, schema)
+            def made():
+                kept = batch.take(pa.array(which, pa.int64()))
+                out = [*kept.columns[:n], kept.column(n), pa.array(place, pa.int32()), pa.array(fields, kind.field("f").type), pa.array(cells, kind.field("cells").type)]
+                return pa.RecordBatch.from_arrays(out, schema=kind)
+
+            for i, (source, html) in enumerate(zip(batch.column(n), batch.column(n + 1))):
+                for at, (f, c) in enumerate(extract(html.as_py(), plain[source.as_py()])):
+                    which.append(i)
+                    place.append(at)
+                    fields.append(list(f.items()))
+                    cells.append(c)
+                if len(which) >= 5000:  # so that the rows of many pages aren't held at once
+                    yield made()
+                    which, place, fields, cells = [], [], [], []
+            yield made()
+
+    known = pages.where(F.col(source_col).isin(*LAYOUTS))
+    return known.select(*keep, F.col(source_col).alias("_source"), F.col(html_col).alias("_html")).mapInArrow(run, schema)
 
 
 def html_listings(pages: DataFrame, source: str, html_col: str = "html", *keep: str) -> DataFrame:
     """Raw listings of one source's pages; rows without a needed field are dropped."""
+    return row_listings(page_rows(pages.withColumn("_own", F.lit(source)), "_own", html_col, *keep), source, *keep)
+
+
+def row_listings(rows: DataFrame, source: str, *keep: str) -> DataFrame:
+    """Raw listings of one source's rows (place, f, cells), as expressions."""
     layout = LAYOUTS[source]
     names = dict.fromkeys([*layout.fields, "size", "seeders", "leechers", "date", "stamp", "magnet", "hash", "category", "href", *layout.fix])
-    rows = page_rows(pages, source, html_col, *keep)
     cols = {n: canon.blank_to_null(canon.trim(F.try_element_at("f", F.lit(n)))) for n in names}
     if source in ("rutor", "bitsearch"):
         pattern = r"(?iu)\d.*(GB|MB|KB|TB|ГБ|МБ|КБ|ТБ)" if source == "rutor" else r"(?i)\d[\d,.]+\s*(TB|GB|MB|KB)"

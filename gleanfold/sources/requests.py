@@ -15,15 +15,19 @@ PATHS = {
     "torrentkitty": "/search/{q}", "uindex": "/search.php?search={q}&c=0", "zeromagnet": "/search?q={q}", "bitsearch": "/search?q={q}&page={page}&sortBy=seeders", "oxtorrent": "/recherche/{q}", "audiobookbay": "/?s={q}", "blueroms": "/search?g=0&p=0&q={q}", "filemood": "/result?q={q}+in%3Atitle",
     "linuxtracker": "/index.php?page=torrents&search={q}&category=0&active=0", "megapeer": "/browse.php?search={q}&age=&cat=0&stype=0&sort=0&ascdesc=0", "mypornclub": "/s/{dashed}/seeders", "xxxclub": "/torrents/search/all/{q}", "xxxtracker": "/b.php?search={q}",
 }
+# As the sources demand them.
 APIS = {
     "tpb": "https://apibay.org/q.php?q={q}", "yts": "https://movies-api.accel.li/api/v2/list_movies.json?query_term={q}&limit=50", "torrentscsv": "https://torrents-csv.com/service/search?q={q}", "subsplease": "https://subsplease.org/api?f=search&tz=$&s={q}",
     "internetarchive": "https://archive.org/advancedsearch.php?q=title:{q}&fl[]=title,item_size,publicdate,mediatype,identifier,btih&rows=100&page=1&output=json",
 }
+# As the sources demand them.
 POSTS = {
     "knaben": ("https://api.knaben.org/v1", {"size": 300, "order_by": "seeders", "order_direction": "desc", "hide_unsafe": True, "hide_xxx": False}),
     "bangumimoe": ("https://bangumi.moe/api/v2/torrent/search", {}),
 }
+# As the sources demand them.
 COOKIES = {"eztv": {"Cookie": "layout=def_wlinks"}}
+# As the sources demand them.
 ENCODINGS = {"megapeer": "windows-1251"}
 
 

@@ -71,7 +71,7 @@ def run_to_end(state: DataFrame, name: str, on_batch: Callable[[DataFrame, int],
 def merge_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = listing_stream(spark, sf_dir)
     docs = raw.select(
-        F.col("source").alias("provider"), F.concat_ws(":", "source", "doc_id").alias("id"), F.substring("text", 1, 80).alias("name"), F.md5("text").alias("info_hash"), F.col("n_chars").alias("size_num"),
+        F.col("source").alias("provider"), F.concat_ws(":", "source", "doc_id").alias("id"), F.col("text").alias("name"), F.md5("text").alias("info_hash"), F.col("n_chars").alias("size_num"),
         F.when(F.col("doc_id") % 7 != 0, F.concat((F.col("n_chars") % 97).cast("string"), F.lit(" up"))).alias("seeders"), (F.col("n_chars") % 31).cast("string").alias("leechers"), F.col("doc_id").alias("ord"),
     )
     arrived = first_arrivals(normalize(docs, catalogs.NOW_MS, "ord"))
@@ -84,12 +84,15 @@ def status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Search:
-    """A running search: stopping it is the cancellation, and rows of an older search are dropped by its number."""
+    """A running search: stopping it is the cancellation, and rows of an older search are dropped by its number.
 
-    def __init__(self, stream: DataFrame, search_id: int, on_batch: Callable[[DataFrame, int], None]):
+    It ends with what has arrived, or, if ``live``, goes on until it is cancelled.
+    """
+
+    def __init__(self, stream: DataFrame, search_id: int, on_batch: Callable[[DataFrame, int], None], live: bool = False):
         spark = stream.sparkSession
         current = stream.where(F.col("search_id") == search_id) if "search_id" in stream.columns else stream
-        self.query = current.writeStream.option("checkpointLocation", _work_dir(spark, "search") + "/checkpoint").foreachBatch(on_batch).trigger(availableNow=True).start()
+        self.query = current.writeStream.option("checkpointLocation", _work_dir(spark, "search") + "/checkpoint").foreachBatch(on_batch).trigger(**({"processingTime": "1 second"} if live else {"availableNow": True})).start()
 
     def cancel(self) -> None:
         self.query.stop()

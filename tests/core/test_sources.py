@@ -191,14 +191,16 @@ def test_engine(spark, tmp_path):
     rows = [("1337x", 0, None, "ECONNRESET"), ("1337x", 1, PAGES["1337x"][0], None), ("rutor", 0, PAGES["rutor"][0], None), ("yts", 0, None, "ETIMEDOUT"), ("torznab:own", 0, rss, None), ("tpb", 0, json.dumps([{"name": "P", "info_hash": H.upper(), "seeders": "99"}]), None)]
     pages_ = spark.createDataFrame(rows, "source string, mirror_rank int, body string, error string")
     engine = Engine(spark, NOW, store)
-    r = engine.search(" linux ", pages_)
+    r = engine.search(" linux ", pages_, match=False)
     status = {s.id: (s.status, s["count"], s.error) for s in r.statuses.collect()}
     assert status["1337x"] == ("ok", 1, None) and status["yts"] == ("error", 0, "yts unreachable (ETIMEDOUT)") and status["demo"][1] == 20 and r.has_more() and r.responded() == (41, 42)
     merged = {m.key: m for m in engine.merge(r).collect()}
     m = merged[f"hash:{H}"]
     assert m.providers == ["tpb", "rutor", "torznab:own"] and (m.name, m.seeders) == ("P", 99)
-    again = engine.search("linux", pages_, page=2, providers=["demo", "tpb"])
+    again = engine.search("linux", pages_, page=2, providers=["demo", "tpb"], match=False)
     assert again.results.count() == 20 and engine.new_rows(r.results, again).count() == 20 and engine.new_rows(r.results, r).count() == 0
+    stored = engine.search("ONE", pages_, providers=["torznab:own", "tpb", "rutor"])  # a stored table: names must hold the query
+    assert [x.name for x in stored.results.collect()] == ["One"] and stored.statuses.where("count > 0").count() == 1
     assert engine.search("x", pages_, providers=["mikan"]).results.count() == 0
     with pytest.raises(ValueError):
         engine.search(" ", pages_)
@@ -246,7 +248,7 @@ def test_engine_stream(spark, tmp_path):
     got = {}
     arrivals = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
     Engine(spark, NOW).stream(arrivals, lambda s, df, status: got.update({s: ([r.name for r in df.collect()], status)}), 7).wait()
-    assert got == {"1337x": (["N1"], {"status": "ok", "count": 1, "error": None}), "yts": ([], {"status": "error", "count": 0, "error": "ETIMEDOUT"})}
+    assert got == {"1337x": (["N1"], {"status": "ok", "count": 1, "error": None, "ms": None}), "yts": ([], {"status": "error", "count": 0, "error": "ETIMEDOUT", "ms": None})}
 
 
 def test_engine_fetches_releases(spark, monkeypatch):
