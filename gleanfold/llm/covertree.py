@@ -2,10 +2,11 @@
 
 Vectors are compared on the unit sphere, where cosine c is the distance sqrt(2 - 2c). Equal vectors of
 a label are one class and are compared once. Spark holds the top of the tree: a label with more than ``node_rows``
-classes is dealt to pivots (from a bounded sample, farthest first), a crowded pivot's cell to blocks, and node
-pairs further apart than their covering radii and the limit allow are dropped. Each remaining node pair
-is one group of at most about twice ``node_rows`` vectors; in it, two cover trees (nested levels,
-radii halved from level to level) are traversed together, dropping child pairs by the same bound.
+classes is dealt to pivots (from a bounded sample, farthest first). A vector belongs to the cell of its nearest pivot, and visits
+an earlier cell only if neither that cell's covering radius nor the plane between the two pivots rules out a partner there. So what
+is shipped depends on each vector's own distances, not on pairs of cells. In a cell, blocks of at most about ``node_rows`` of its
+own vectors meet each other and chunks of its visitors; in such a group two cover trees (nested levels,
+radii halved from level to level) are traversed together, dropping child pairs by their covering radii.
 A group returns link counts and a local spanning forest, never its pairs, so dense clusters stay linear.
 """
 
@@ -14,9 +15,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, materialize, release
 
-_EPS = 1e-9
+#: Distances come from 1 less a dot product near 1, whose rounding is about 3e-8 after the root.
+_EPS = 1e-6
+
+
+def units(m):
+    """Rows scaled to length 1; by their largest component first, so that no square over- or underflows."""
+    import numpy as np
+
+    m = m / np.abs(m).max(axis=1, keepdims=True)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
 class CoverTree:
@@ -78,10 +88,9 @@ def link_group(x, y, n_x, n_y, threshold: float):
     """Links between rows of x and of y (or within x, if y is None): counts for both sides and a root for each row of both."""
     import numpy as np
 
-    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
     within = y is None
-    ux = unit(x)
-    uy = ux if within else unit(y)
+    ux = units(x)
+    uy = ux if within else units(y)
     ta = CoverTree(ux)
     tb = ta if within else CoverTree(uy)
     shift = 0 if within else len(x)
@@ -112,7 +121,7 @@ def _farthest_first(sample, k: int):
     """k rows of the sample, each the farthest from those before it."""
     import numpy as np
 
-    s = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    s = units(sample)
     picked, best = [0], s @ s[0]
     while len(picked) < min(k, len(s)):
         i = int(best.argmin())
@@ -128,7 +137,8 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.98, id_col: st
 
     Only equal, non-null labels are compared, and only vectors of equal length. A vector that is null, empty or zero, or holds
     a null or non-finite component, links with nothing, as does one without an identifier. Copies link with
-    each other. Rows that share an identifier are one vertex of the component graph. An empty table gives no rows.
+    each other. Rows that share an identifier are one vertex of the component graph. An empty table gives no rows. Other columns
+    are ignored, whatever their names. Vectors are scaled by their largest component first, so tiny and huge ones compare rightly.
     """
     import numpy as np
 
@@ -138,7 +148,7 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.98, id_col: st
     valid = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & v.isNotNull() & F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(v, lambda e: e != 0)
     rows = rows.withColumn("k1", F.when(valid, F.xxhash64("label", "v"))).withColumn("k2", F.when(valid, F.xxhash64("v", "label", F.lit(1))))
     keyed = rows.where("k1 IS NOT NULL")
-    classes = materialize(keyed.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first(v.cast("array<double>")).alias("v")).withColumn("dim", F.size("v")), "classes")
+    classes = materialize(keyed.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v")).withColumn("dim", F.size("v")), "classes")
 
     crowded = {(r["label"], r["dim"]): r["count"] for r in classes.groupBy("label", "dim").count().where(F.col("count") > node_rows).collect()}  # at most 1/node_rows of the rows
     pivots = {}
@@ -146,58 +156,82 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.98, id_col: st
         sample = classes.select("label", "dim", "v").orderBy(F.xxhash64("rep")).limit(sample_rows).toPandas()
         for key, part in sample.groupby(["label", "dim"]):
             if key in crowded:
-                pivots[key] = _farthest_first(np.array(part.v.tolist()), -(-crowded[key] // node_rows))
-    kind = classes.schema["label"].dataType.simpleString()
+                pivots[key] = _farthest_first(np.array(part.v.tolist(), float), -(-crowded[key] // node_rows))
+    kinds = dict(classes.dtypes)
+    shape = f"rep long, n long, label {kinds['label']}, dim int, v {kinds['v']}, cell int"
+    limit = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
 
     def deal(batches):
+        """Each vector's cell, that of its nearest pivot, and its distance to it."""
         for pdf in batches:
-            cell, gap = np.zeros(len(pdf), np.int64), np.full(len(pdf), 2.0)
+            cell, gap = np.zeros(len(pdf), np.int32), np.full(len(pdf), 2.0)
             for key, part in pdf.groupby(["label", "dim"]):
                 if key in pivots:
-                    x = np.array(part.v.tolist())
-                    dots = x @ pivots[key].T / np.linalg.norm(x, axis=1, keepdims=True)
+                    dots = units(np.array(part.v.tolist(), float)) @ pivots[key].T
                     at = pdf.index.get_indexer(part.index)
                     cell[at], gap[at] = dots.argmax(axis=1), np.sqrt(np.maximum(0, 2 - 2 * dots.max(axis=1)))
             yield pdf.assign(cell=cell, gap=gap)[["rep", "n", "label", "dim", "v", "cell", "gap"]]
 
-    cells = materialize(classes.select("rep", "n", "label", "dim", "v").mapInPandas(deal, f"rep long, n long, label {kind}, dim int, v array<double>, cell long, gap double"), "cells")
-    key = ["label", "dim", "cell"]
-    blocks = F.broadcast(cells.groupBy(*key).count().where(F.col("count") > node_rows).select(*key, F.ceil(F.col("count") / node_rows).alias("blocks")))
-    dealt = cells.join(blocks, key, "left").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), F.coalesce("blocks", F.lit(1))))
-    node = [*key, "block"]
-    dealt = dealt.drop("blocks")
-    nodes = materialize(dealt.groupBy(*node).agg(F.max("gap").alias("radius")).withColumn("node", F.xxhash64(*node)), "nodes")
-    other = nodes.select("label", "dim", F.col("cell").alias("cell2"), F.col("radius").alias("radius2"), F.col("node").alias("node2"))
-    limit = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+    cells = materialize(classes.select("rep", "n", "label", "dim", "v").mapInPandas(deal, shape + ", gap double"), "cells")
+    reach = {}  # a cell's covering radius; at most sample_rows of them
+    if pivots:
+        for r in cells.where("cell > 0 OR gap < 2").groupBy("label", "dim", "cell").agg(F.max("gap").alias("radius")).collect():
+            if (r["label"], r["dim"]) in pivots:
+                reach[r["label"], r["dim"], r["cell"]] = r["radius"]
 
-    def near(batches):
+    def visits(batches):
+        """The earlier cells in which a vector may have a partner: those that neither the covering radius nor the plane between the pivots rules out."""
         for pdf in batches:
-            distance = np.zeros(len(pdf))
+            out = [()] * len(pdf)
             for key, part in pdf.groupby(["label", "dim"]):
-                if key in pivots:
-                    dots = (pivots[key][part.cell] * pivots[key][part.cell2]).sum(axis=1)
-                    distance[pdf.index.get_indexer(part.index)] = np.sqrt(np.maximum(0, 2 - 2 * dots))
-            yield pdf.loc[distance <= pdf.radius + pdf.radius2 + limit + _EPS, ["node", "node2"]]
-
-    met_nodes = nodes.join(other, ["label", "dim"]).where("node <= node2").select("label", "dim", "cell", "cell2", "radius", "radius2", "node", "node2")
-    pairs = materialize(met_nodes.mapInPandas(near, "node long, node2 long"), "node-pairs")
-    pairs = pairs.select("node", "node2", F.xxhash64("node", "node2", F.lit(5)).alias("pair"))
-    sides = pairs.select("pair", F.col("node").alias("own"), F.lit(0).alias("side")).unionByName(pairs.where("node <> node2").select("pair", F.col("node2").alias("own"), F.lit(1).alias("side")))
-    met = dealt.select("rep", "n", "v", F.xxhash64(*node).alias("own")).join(sides, "own").select("pair", "side", "rep", "n", "v")
+                if key not in pivots:
+                    continue
+                p = pivots[key]
+                dots = units(np.array(part.v.tolist(), float)) @ p.T
+                home = part.cell.to_numpy()
+                radius = np.array([reach.get((*key, c), -9.0) for c in range(len(p))])
+                apart = np.sqrt(np.maximum(0, 2 - 2 * (p @ p.T)))[home]
+                ok = np.sqrt(np.maximum(0, 2 - 2 * dots)) <= radius + limit + _EPS
+                ok &= dots[np.arange(len(home)), home][:, None] - dots <= limit * apart + _EPS
+                ok &= np.arange(len(p))[None, :] < home[:, None]
+                for i, row in zip(pdf.index.get_indexer(part.index), ok):
+                    out[i] = np.flatnonzero(row).tolist()
+            yield pdf.assign(visited=out)[["rep", "n", "label", "dim", "v", "cell", "visited"]]
+
+    dealt = materialize(cells.drop("gap").mapInPandas(visits, shape + ", visited array<int>"), "dealt")
+    release(cells)
+    key = ["label", "dim", "cell"]
+    guests = dealt.select("rep", "n", "label", "dim", "v", F.explode("visited").alias("cell"))
+    sizes = dealt.select(*key, F.lit(1).alias("home")).unionByName(dealt.select("label", "dim", F.explode("visited").alias("cell"), F.lit(0).alias("home")))
+    sizes = sizes.groupBy(*key).agg(F.sum("home").alias("homes"), F.count("*").alias("all")).where("homes > 0 AND all > 1")
+    sizes = materialize(sizes.select(*key, F.ceil(F.col("homes") / node_rows).alias("kh"), F.ceil((F.col("all") - F.col("homes")) / node_rows).alias("kg")), "sizes")
+    part = lambda a, b, kind, side: F.struct(a.alias("a"), b.alias("b"), F.lit(kind).alias("kind"), side.alias("side"))
+    steps = lambda n: F.slice(F.sequence(F.lit(0).cast("long"), n), 1, n.cast("int"))
+    own = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("kh"))
+    blocks = F.concat(F.transform(steps(F.col("kh")), lambda j: part(F.least(own, j), F.greatest(own, j), 0, (own > j).cast("int"))), F.transform(steps(F.col("kg")), lambda c: part(own, c, 1, F.lit(0))))
+    chunk = F.pmod(F.xxhash64("rep", F.lit(5)), F.col("kg"))
+    blocks2 = F.transform(steps(F.col("kh")), lambda j: part(j, chunk, 1, F.lit(1)))
+    cols = [*key, "rep", "n", "v"]
+    met = dealt.join(sizes, key).select(*cols, F.explode(blocks).alias("p")).unionByName(guests.join(sizes, key).select(*cols, F.explode(blocks2).alias("p")))
+    met = met.select(F.xxhash64(*key, "p.a", "p.b", "p.kind").alias("pair"), (F.col("p.kind") == 0) .alias("homes"), (F.col("p.a") == F.col("p.b")).alias("same"), "p.side", "rep", "n", "v")
 
     def link(pdf):
         import pandas as pd
 
-        a, b = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        both = pd.concat([a, b])
-        x = np.array(a.v.tolist())
-        y = np.array(b.v.tolist()) if len(b) else None
-        links, root = link_group(x, y, a.n.to_numpy(), b.n.to_numpy(), threshold)
+        first, second = pdf[pdf.side == 0], pdf[pdf.side == 1]
+        alone = bool(pdf.homes.iloc[0] and pdf.same.iloc[0])
+        none = pd.DataFrame({"rep": [], "links": [], "root": []}, dtype="int64")
+        if not len(first) or not alone and not len(second):
+            return none
+        both = first if alone else pd.concat([first, second])
+        y = None if alone else np.array(second.v.tolist(), float)
+        links, root = link_group(np.array(first.v.tolist(), float), y, first.n.to_numpy(), second.n.to_numpy(), threshold)
         reps = both.rep.to_numpy()
-        found = links > 0
-        return pd.DataFrame({"rep": reps[found], "links": links[found], "root": reps[np.array(root)][found]})
+        linked = links > 0
+        return pd.DataFrame({"rep": reps[linked], "links": links[linked], "root": reps[np.array(root)][linked]})
 
     found = materialize(met.groupBy("pair").applyInPandas(link, "rep long, links long, root long"), "links")
+    release(dealt, sizes)
     stars = connected_components(found.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
     linked = found.groupBy("rep").agg(F.sum("links").alias("links")).join(stars, F.col("rep") == F.col("node"), "left").select("rep", "links", "root")
     named = classes.select("k1", "k2", "rep", "n").join(linked, "rep", "left")
