@@ -123,7 +123,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         hot = hot_hashes(both.groupBy("u").count(), ["u"], "count", 2 * state[0])
         large = salted_join(both.where("v > u"), low.withColumnRenamed("k", "u"), ["u"], hot, ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        small = large.join(low, F.col("u") == F.col("k"))
+        small = salted_join(large, low.select(F.col("k").alias("u"), "m"), ["u"], hot, ["v"])
         pairs = small.select(F.col("v").alias("src"), F.col("m").alias("dst")).unionByName(low.select(F.col("k").alias("src"), F.col("m").alias("dst")))
         before = e
         e, after = stored(pairs)
