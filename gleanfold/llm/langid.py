@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 N = 4  # bytes of an n-gram
@@ -111,11 +112,16 @@ class BitmaskFilter:
         return [self.languages[b] if k else UNDETERMINED for b, k in zip(best, known)], [float(s) if k else 0.0 for s, k in zip(top, known)]
 
 
-def fit_languages(labelled: DataFrame, sample_docs: int = 4000, ratio: float = 0.25, least: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> BitmaskFilter:
-    """Learn from at most ``sample_docs`` labelled documents, those with the smallest hashed identifiers."""
+def fit_languages(labelled: DataFrame, docs_per_lang: int = 1500, ratio: float = 0.25, least: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> BitmaskFilter:
+    """Learn from at most ``docs_per_lang`` labelled documents of each language, those with the smallest hashed identifiers, so that rare languages are learned too.
+
+    Languages stand in order of their documents in that sample, the most first, then by name: ties are decided so.
+    """
     sample = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    chosen = sample.select("i").distinct().orderBy(F.xxhash64("i"), "i").limit(sample_docs)
-    sample = sample.join(F.broadcast(chosen), "i", "left_semi")
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("i"), "i"))  # limited within partitions before the shuffle
+    chosen = sample.groupBy("i").agg(F.min("lang").alias("lang")).withColumn("rank", rank).where(F.col("rank") <= docs_per_lang)
+    sizes = {r["lang"]: r["count"] for r in chosen.groupBy("lang").count().collect()}  # a row per language
+    sample = sample.join(F.broadcast(chosen.select("i")), "i", "left_semi")  # at most docs_per_lang a language
 
     def count(batches):
         import numpy as np
@@ -130,15 +136,18 @@ def fit_languages(labelled: DataFrame, sample_docs: int = 4000, ratio: float = 0
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "code", "n"])
 
     counts = sample.select("lang", "text").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    made = counts.toPandas()  # distinct n-grams of the sample
-    languages = sorted(made.lang.unique())
-    if not languages:
-        import numpy as np
+    counts = counts.persist()
+    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    made = counts.where(F.col("n") >= least).toPandas()  # distinct n-grams of the sample
+    counts.unpersist()
+    languages = sorted(totals, key=lambda x: (-sizes.get(x, 0), x))
+    import numpy as np
 
+    if not languages:
         return BitmaskFilter.build([], np.zeros(0, np.uint32), np.zeros((0, 0), bool))
-    table = made.pivot_table(index="code", columns="lang", values="n", fill_value=0)[languages].sort_index()
+    table = made.pivot_table(index="code", columns="lang", values="n", fill_value=0).reindex(columns=languages, fill_value=0).sort_index()
     n = table.to_numpy(float)
-    rate = n / n.sum(axis=0)
+    rate = n / np.array([max(totals[x], 1) for x in languages], float)
     return BitmaskFilter.build(languages, table.index.to_numpy().astype("uint32"), (n >= least) & (rate >= ratio * rate.max(axis=1, keepdims=True)))
 
 
@@ -149,7 +158,9 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 def identify(docs: DataFrame, model: BitmaskFilter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score (coverage by the predicted language's filter, 0 to 1) for every row.
 
-    Null texts and texts without a letter give 'und' and score 0; so does everything where nothing could be learned.
+    Null texts and texts without a letter give 'und' and score 0; so does everything where nothing could be learned. Of languages
+    with equal coverage, none included, the model's first counts: the one learned from the most documents, then by name. Whole
+    texts are read, long ones in blocks. Repeated rows get a row each, other columns are ignored; an empty table gives no rows.
     """
 
     def run(batches):

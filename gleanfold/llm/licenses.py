@@ -9,6 +9,8 @@ counts if it holds enough of the template's 2-grams. The template table is fixed
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,10 +49,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Null texts count as empty. Without a place, first_word and last_word are null; without a label, the labels are
     empty strings. score is 1 with a base label, else the largest share of a notice's 2-grams found in a
-    span (0 if none reaches ``share``). Repeated rows get a row each; an empty table gives none.
+    span (0 if none reaches ``share``). Repeated rows get a row each; an empty table gives none. Other columns are ignored, whatever
+    their names. Very long texts are read whole; only A-Z are lower-cased.
     """
     spark = docs.sparkSession
-    words = F.array_remove(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), _SEPARATORS, -1), "")
+    words = F.array_remove(F.split(F.translate(F.coalesce(F.col(text_col), F.lit("")), ascii_uppercase, ascii_lowercase), _SEPARATORS, -1), "")
     split = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("uid"), words.alias("w"))
     n = F.size("w")
     grams = split.select("doc_id", "uid", n.cast("long").alias("n_words"), F.posexplode_outer(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(n, F.lit(1))).alias("b"))).alias("pos", "g"))

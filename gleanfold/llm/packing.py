@@ -115,7 +115,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per piece; sequence_id and step_group are unique over the job (partition in the high bits).
 
     Null text: the end id alone. Empty table: no rows. Repeated rows are packed each. Extra columns
-    are ignored. Very long texts are cut into full windows.
+    are ignored, whatever their names. Very long texts are cut into full windows; pieces of equal length go by their place in the block.
     """
     tokenizer = tokenizer or default_tokenizer()
 

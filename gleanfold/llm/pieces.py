@@ -5,10 +5,11 @@ another character, so no piece spans two words). A batch's distinct words are so
 lays them out as a trie in depth-first order: forward states of the prefix that a word shares with the one before it
 are kept, and only the rest is computed.
 
-The model is a BPE model, whose result isn't the path of the highest total score. So the lattice has a
-transition constraint instead: piece b may follow piece a only if merging a + b by the model's scores gives
-(a, b). Exactly one path of such transitions exists for each prefix, and it is the model's own segmentation; a
-forward state is the last piece of that path. Characters without a piece become byte pieces.
+The model is a BPE model, whose result isn't the path of the highest total score. So the lattice's transitions have
+weights: 0 if piece b may follow piece a, which is so if merging a + b by the model's scores gives (a, b), else minus infinity.
+The Viterbi recursion takes the best sum of piece scores and transition weights over the paths to each prefix. Exactly one path is
+finite for each prefix, and it is the model's own segmentation; a forward state is that path's score and last piece. So the
+search for a prefix's best transition ends at the first finite one. Characters without a piece become byte pieces.
 """
 
 from __future__ import annotations
@@ -94,14 +95,15 @@ class PieceModel:
 
     def segment_sorted(self, words: list[str]):
         """Yield (word, pieces) for distinct words in ascending order."""
-        last = [""]  # last[i]: the last piece of the path over the first i characters
+        last, forward = [""], [0.0]  # forward[i], last[i]: score and last piece of the best path over the first i characters
+        scores = self.scores
         before = ""
         ids, may, known, longest = self.ids, self.may_follow, self._may, self.longest
         for word in words:
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del last[shared + 1 :]
+            del last[shared + 1 :], forward[shared + 1 :]
             for i in range(shared + 1, len(word) + 1):
                 for j in range(max(0, i - longest), i):
                     piece = word[j:i]
@@ -109,6 +111,7 @@ class PieceModel:
                         ok = known.get((last[j], piece))
                         if may(last[j], piece) if ok is None else ok:
                             last.append(piece)
+                            forward.append(forward[j] + scores.get(piece, 0.0))
                             break
             before = word
             out, i = [], len(word)
@@ -162,7 +165,8 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, n_tokens, ids_crc32 (of little-endian unsigned 32-bit ids) for every row; ids on demand.
 
     ``verify`` decodes the ids again in the same task and adds decoded_crc32 and round_trip (whether the text came back).
-    Null and empty texts have no ids. Repeated rows get a row each; an empty table gives none.
+    Null and empty texts have no ids. Repeated rows get a row each; an empty table gives none. Other columns are ignored, whatever their
+    names. Very long texts are encoded whole, in a block of their own.
     """
     path = model or default_model()
     fields = ["doc_id long", "n_tokens long", "ids_crc32 long", *["ids array<int>"] * with_ids, *["decoded_crc32 long", "round_trip boolean"] * verify]

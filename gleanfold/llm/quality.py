@@ -188,7 +188,8 @@ def quality_rules(docs: DataFrame, forest: Forest, keep_at: float = 0.3, id_col:
 
     Base rule: fewer than 50 words, or over half of them in repeated 3-word windows, fails. Otherwise
     the trees decide: kept from a probability of ``keep_at`` on, so that a doubtful document stays. Null
-    and empty texts fail by the base rule. Repeated rows get a row each; an empty table gives none.
+    and empty texts fail by the base rule. Repeated rows get a row each; an empty table gives none. Other columns are ignored, whatever
+    their names. Very long texts are read whole. Equal statistics give equal scores, so ties don't arise.
     """
     scored = statistics(docs, id_col, text_col, forest)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

@@ -46,29 +46,41 @@ def test_shards(spark, n):
     assert max(load.values()) <= max(max(groups.values()), sum(groups.values()) / n + sorted(groups.values())[-min(2, len(groups))])
 
 
-def test_search_is_minimax(spark):
-    from gleanfold.llm.sharding import _search_sql
-
-    rng = np.random.default_rng(3)
-    for n in (2, 3, 7):
-        sizes = rng.integers(80, 120, 100).tolist()  # none larger than an even share
-        spark.createDataFrame([([(i, s) for i, s in enumerate(sizes)],)], "cells array<struct<cell:bigint,bytes:bigint>>").createOrReplaceTempView("gathered")
-        plan = spark.sql(_search_sql(n)).first()
-        assert not plan.own and plan.capacity == least_capacity(sizes, n) and len(plan.cuts) <= n - 1
-        cuts = [0, *plan.cuts, len(sizes)]
-        loads = [sum(sizes[a:b]) for a, b in zip(cuts, cuts[1:])]
-        assert max(loads) <= plan.capacity and min(loads) > sum(sizes) / n - 250
-    uneven = [5, 1, 1, 9, 9, 9, 1, 1, 1, 1, 1, 9]
-    spark.createDataFrame([([(i, s) for i, s in enumerate(uneven)],)], "cells array<struct<cell:bigint,bytes:bigint>>").createOrReplaceTempView("gathered")
-    for n in range(1, 13):
-        plan = spark.sql(_search_sql(n)).first()
-        rest = [(i, s) for i, s in enumerate(uneven) if i not in plan.own]
-        assert plan.capacity == least_capacity([s for _, s in rest], n - len(plan.own)) and len(plan.cuts) < n - len(plan.own)
-        loads = [0]
-        for i, s in rest:
-            loads = [*loads, 0] if i in plan.cuts else loads
-            loads[-1] += s
-        assert max(loads) <= plan.capacity
+@pytest.mark.parametrize("n_groups,n_cells,n", [(100_000, 64, 40), (3000, 64, 7), (500, 1 << 15, 3), (12, 4, 13), (40, 64, 1)])
+def test_capacity_is_least_over_groups(spark, n_groups, n_cells, n):
+    """However coarse the cells at first, the capacity is that of the exact search over all groups in order."""
+    from pyspark.sql import functions as F
+
+    from gleanfold.llm.sharding import best_cuts
+
+    rng = np.random.default_rng(n_groups)
+    sizes = rng.integers(16, 4000, n_groups)
+    sizes[: min(3, n_groups // 10)] = sizes.sum() // 5  # larger than an even share, if there are many shards
+    groups = spark.createDataFrame([(i, int(x)) for i, x in enumerate(sizes)], "i long, bytes long").select(F.xxhash64("i").alias("h"), "bytes")
+    own, cuts, capacity = best_cuts(groups, n, n_cells)
+    rows = sorted((r.h, r.bytes) for r in groups.collect())
+    big = sorted(rows, key=lambda r: (-r[1], r[0]))
+    left, alone = sum(r[1] for r in rows), []
+    while len(alone) < n - 1 and big and big[0][1] * (n - len(alone)) > left:
+        left -= big[0][1]
+        alone.append(big.pop(0)[0])
+    rest = [(h, x) for h, x in rows if h not in alone]
+    assert own == alone and capacity == (least_capacity([x for _, x in rest], n - len(own)) if rest else 0) and len(cuts) < n - len(own)
+    loads = [0] * (len(cuts) + 1)
+    for h, x in rest:
+        loads[sum(c <= h for c in cuts)] += x
+    assert max(loads) <= capacity and cuts == sorted(cuts)
+    if n_groups == 100_000:
+        assert min(loads) > 0.9 * sum(loads) / len(loads) and len(loads) == n - len(own)
+
+
+def test_two_shardings_at_once(spark):
+    """Nothing of one call, nor a view of the user's, stands in another's way."""
+    from gleanfold.llm.sharding import minimax_shards
+
+    spark.range(3).createOrReplaceTempView("gathered_cells")
+    a, b = (minimax_shards(frame(spark, ROWS[k:]), 4) for k in (0, 30))
+    assert a.count() == len(ROWS) and b.count() == len(ROWS) - 30 and spark.table("gathered_cells").count() == 3
 
 
 def brute_ids(texts):
@@ -216,6 +228,27 @@ def test_quality(spark):
     assert np.all(np.diff(held.score(grid)) >= -1e-12) and not np.all(np.diff(free.score(grid)) >= -1e-12)
 
 
+def test_flat_forest_is_its_trees():
+    """Vectorised scoring equals walking every tree node by node, and verdicts follow from it."""
+    from gleanfold.llm.quality import train_forest
+
+    rng = np.random.default_rng(7)
+    x = rng.random((600, 4))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(float)
+    forest = train_forest(x, y, [0, 0, 1, -1])
+    probes = np.vstack([rng.random((200, 4)), x[:50], np.full((1, 4), np.inf), np.zeros((1, 4))])
+
+    def walk(row):
+        total = forest.bias
+        for at in forest.roots:
+            while forest.left[at] != at:
+                at = forest.left[at] if row[forest.feature[at]] <= forest.threshold[at] else forest.right[at]
+            total += forest.value[at]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(forest.score(probes), [walk(r) for r in probes], atol=1e-12) and np.mean((forest.score(x) > 0.5) == y) > 0.95
+
+
 def test_empty_tables(spark):
     from gleanfold.llm.packing import pack_documents
     from gleanfold.llm.quality import fit_quality, quality_rules

@@ -22,6 +22,15 @@ def vectors(seed=2):
     return rows
 
 
+def test_tiny_and_huge_vectors(spark):
+    """Squares that under- or overflow make no links: (1, 2) and (2, 1) have cosine 0.8 at any scale."""
+    from gleanfold.llm.covertree import embedding_components
+
+    rows = [(0, [1e-200, 2e-200], 1), (1, [2e-200, 1e-200], 1), (2, [1e-200, 2.01e-200], 1), (3, [1e200, 2e200], 1), (4, [2.0, 1.0], 1), (5, [-1e300, -2e300], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {0: (2, 0), 1: (1, 1), 2: (2, 0), 3: (2, 0), 4: (1, 1), 5: (0, 5)}
+
+
 @pytest.mark.parametrize("node_rows", [2048, 16])
 def test_cover_tree(spark, node_rows):
     from gleanfold.llm.covertree import embedding_components
@@ -155,6 +164,30 @@ def test_language(spark):
     assert identify(docs.limit(3), none).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
+def test_language_against_exact_sets(spark):
+    """The filters' decision is that of exact sets of n-grams, but for false positives; rare languages, ties and uncovered texts."""
+    from gleanfold.llm.langid import _codes, fit_languages, identify
+
+    rng = random.Random(6)
+    alphabets = {"aa": "abcdefgh", "bb": "ghijklmn", "cc": "nopqrstu"}
+    text = lambda lang, n: " ".join("".join(rng.choice(alphabets[lang]) for _ in range(3)) for _ in range(n))
+    rows = [(i, text(x, 300), x, None, None) for i, x in enumerate(["aa"] * 60 + ["bb"] * 30 + ["cc"] * 2)]
+    model = fit_languages(spark.createDataFrame(rows, SCHEMA), docs_per_lang=100)
+    assert model.languages == ["aa", "bb", "cc"]
+    counts = {x: Counter() for x in alphabets}
+    picked = {x: [r for r in rows if r[2] == x] for x in alphabets}
+    for x, rs in picked.items():
+        for r in rs:
+            counts[x].update(_codes(r[1]).tolist())
+    probes = [(1000 + i, text(rng.choice("abc") * 2, rng.randrange(5, 60)), None, None, None) for i in range(80)] + [(2000, "\u0416\u0416\u0416\u0416", None, None, None), (2001, "\u0416 xyz wvz", None, None, None), (2002, "12 !", None, None, None)]
+    got = {r.doc_id: r for r in identify(spark.createDataFrame(probes, SCHEMA), model).collect()}
+    for i, t, *_ in probes[:80]:
+        share = {x: sum(counts[x][c] >= 2 for c in _codes(t).tolist()) / len(_codes(t)) for x in alphabets}
+        best = max(share.values())
+        assert share[got[i].lang_pred] > best - 0.1 and abs(got[i].score - share[got[i].lang_pred]) < 0.15, (share, got[i])
+    assert (got[2000].lang_pred, got[2000].score) == ("aa", 0.0) and got[2001].lang_pred == "aa" and got[2002].lang_pred == "und"
+
+
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
 
