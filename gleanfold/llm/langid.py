@@ -16,7 +16,6 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 N = 4  # bytes of an n-gram
@@ -113,15 +112,16 @@ class BitmaskFilter:
 
 
 def fit_languages(labelled: DataFrame, docs_per_lang: int = 1500, ratio: float = 0.25, least: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> BitmaskFilter:
-    """Learn from at most ``docs_per_lang`` labelled documents of each language, those with the smallest hashed identifiers, so that rare languages are learned too.
+    """Learn from about ``docs_per_lang`` labelled documents of each language (all of a rarer one), chosen by hash, so that rare languages are learned too.
 
-    Languages stand in order of their documents in that sample, the most first, then by name: ties are decided so.
+    Languages stand in order of their documents, the most first, then by name: ties are decided so.
     """
     sample = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("i"), "i"))  # limited within partitions before the shuffle
-    chosen = sample.groupBy("i").agg(F.min("lang").alias("lang")).withColumn("rank", rank).where(F.col("rank") <= docs_per_lang)
-    sizes = {r["lang"]: r["count"] for r in chosen.groupBy("lang").count().collect()}  # a row per language
-    sample = sample.join(F.broadcast(chosen.select("i")), "i", "left_semi")  # at most docs_per_lang a language
+    sizes = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}  # a row per language
+    if sizes:
+        limits = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1 << 31, (docs_per_lang << 31) // n))))
+        sample = sample.where(F.pmod(F.xxhash64("i", "text"), F.lit(1 << 31)) < limits[F.col("lang")])
+    sample = sample.dropDuplicates(["i", "lang", "text"])  # repeated rows count once
 
     def count(batches):
         import numpy as np

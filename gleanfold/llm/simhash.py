@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import mix
-from .common import connected_components, hot_hashes, materialize, n_partitions, release, salted_join
+from .common import connected_components, hot_hashes, materialize, n_partitions, salted_join
 
 N_BITS, LIMIT, SPLIT = 64, 3, 4096
 #: Parity masks of the Hamming code: bit i - 1 of mask j is set where position i has bit j.
@@ -91,35 +91,89 @@ def _star_edges(x, role):
                 yield values[i], values[j]
 
 
+def _by_anchor(batches, split: int):
+    """Rows (fp, at) in order of at, which is an anchor and whether the row is a guest there, to edges; rows of crowded anchors go through."""
+    import numpy as np
+    import pyarrow as pa
+
+    def out(edges, fp, at):
+        ends = np.array(edges, np.uint64).reshape(-1, 2).view(np.int64)
+        n, m = len(ends), len(fp)
+        given = lambda x, before, after: pa.concat_arrays([pa.nulls(before, pa.int64()), pa.array(x, pa.int64()), pa.nulls(after, pa.int64())])
+        return pa.RecordBatch.from_arrays([given(ends[:, 0], 0, m), given(ends[:, 1], 0, m), given(fp, n, 0), given(at, n, 0)], names=["src", "dst", "fp", "at"])
+
+    def compared(fp, at):
+        """Edges of whole groups."""
+        anchor = at >> 1
+        first = np.concatenate(([0], np.flatnonzero(np.diff(anchor)) + 1))
+        size = np.diff(np.append(first, len(anchor)))
+        some = (size > 1) & (at[first] & 1 == 0)  # homes come first
+        two = first[some & (size == 2)]
+        x = fp.view(np.uint64)
+        two = two[np.bitwise_count(x[two] ^ x[two + 1]) <= LIMIT]
+        edges = list(zip(x[two].tolist(), x[two + 1].tolist()))
+        for i, n in zip(first[some & (size > 2)].tolist(), size[some & (size > 2)].tolist()):
+            edges += _star_edges(x[i : i + n], np.where(at[i : i + n] & 1, 2, 3))
+        return edges
+
+    held_fp, held_at, crowded = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+    for batch in batches:
+        fp = np.concatenate((held_fp, batch.column(0).to_numpy()))
+        at = np.concatenate((held_at, batch.column(1).to_numpy()))
+        if not len(at):
+            continue
+        through = np.zeros(len(at), bool)
+        if crowded is not None:
+            through = at >> 1 == crowded
+        last = np.searchsorted(at, at[-1] >> 1 << 1)  # the last group may go on
+        first = np.concatenate(([0], np.flatnonzero(np.diff(at >> 1)) + 1))
+        size = np.diff(np.append(first, len(at)))
+        for i, n in zip(first[size > split].tolist(), size[size > split].tolist()):
+            through[i : i + n] = True
+        if through[-1]:
+            crowded = at[-1] >> 1
+        ready = ~through
+        ready[last:] = False
+        yield out(compared(fp[ready], at[ready]) if ready.any() else [], fp[through], at[through])
+        keep = ~through
+        keep[:last] = False
+        held_fp, held_at = fp[keep], at[keep]
+    if len(held_at):
+        yield out(compared(held_fp, held_at), held_fp[:0], held_at[:0])
+
+
 def near_edges(distinct: DataFrame) -> DataFrame:
-    """Distinct fingerprints (fp) to edges (src, dst) that join all within LIMIT bits; local stars, not all pairs."""
-    spark, at = distinct.sparkSession, ["side", "anchor"]
+    """Distinct fingerprints (fp) to edges (src, dst) that join all within LIMIT bits; local stars, not all pairs.
+
+    The anchors' rows are shuffled once and read in order, group by group; no group of more than SPLIT rows is held.
+    """
+    spark = distinct.sparkSession
+    n, split = n_partitions(spark), SPLIT
     low, high = F.col("fp").bitwiseAND(F.lit((1 << 31) - 1)), F.shiftright("fp", 32).bitwiseAND(F.lit((1 << 31) - 1))
-    distinct = distinct.repartition(n_partitions(spark), F.xxhash64("fp"))  # a small table that grows 32-fold here; dealt anew, as its own partitions may be merged
-    dealt = distinct.select("fp", F.explode(F.array(F.struct(F.lit(0).alias("side"), _anchors(low).alias("a")), F.struct(F.lit(1).alias("side"), _anchors(high).alias("a")))).alias("s")).select("fp", "s.side", F.explode("s.a").alias("a"))
-    dealt = materialize(dealt.select("fp", "side", "a.anchor", "a.home"), "anchors")
-    sizes = materialize(dealt.groupBy(*at).agg(F.count("*").alias("n"), F.max("home").alias("any_home")).where("n > 1 AND any_home").select(*at, "n"), "anchor-sizes")
-    total, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
-    met = salted_join(dealt, sizes, at, hot_hashes(sizes, at, "n", total), ["fp"])
-    role = F.when(F.col("home"), 3).otherwise(2).alias("role")
-    zero = F.lit(0).cast("long")
-    groups = met.where(F.col("n") <= SPLIT).select(*at, zero.alias("part"), zero.alias("block"), zero.alias("chunk"), "fp", role)
-    if most > SPLIT:
-        # the 33 bits outside the side's code, in four parts
-        rest = F.when(F.col("side") == 0, F.call_function("shiftrightunsigned", F.col("fp"), F.lit(31))).otherwise(F.col("fp").bitwiseAND(F.lit((1 << 32) - 1)) * 2 + F.call_function("shiftrightunsigned", F.col("fp"), F.lit(63)))
-        parts = F.array(*(F.lit(i << 40).cast("long") + F.call_function("shiftrightunsigned", rest, F.lit(9 * i)).bitwiseAND(F.lit(511)) + 1 for i in range(4)))
-        crowded = met.where(F.col("n") > SPLIT).select(*at, "fp", "home", F.explode(parts).alias("part"))
-        key = [*at, "part"]
-        dense = materialize(crowded.groupBy(*key).agg(F.count("*").alias("m")).where("m > 1"), "part-sizes")
-        crowded = salted_join(crowded, dense, key, hot_hashes(dense, key, "m", dense.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]), ["fp"])
-        k = F.ceil(F.col("m") / SPLIT)
-        own, many = F.pmod(F.xxhash64("fp"), k), F.sequence(F.lit(0).cast("long"), k - 1)
-        place = lambda b, c, r: F.struct(b.alias("block"), c.alias("chunk"), F.lit(r).alias("role"))
-        none = F.array().cast("array<struct<block:bigint,chunk:bigint,role:int>>")
-        cells = F.concat(F.when(F.col("home"), F.transform(many, lambda c: place(own, c, 1))).otherwise(none), F.transform(many, lambda b: place(b, own, 2)))
-        crowded = crowded.select(*key, "fp", F.explode(cells).alias("c")).select(*key, "c.block", "c.chunk", "fp", "c.role")
-        groups = groups.unionByName(crowded)
-    lists = groups.groupBy(*at, "part", "block", "chunk").agg(F.collect_list("fp").alias("fps"), F.collect_list("role").alias("roles")).where("size(fps) > 1").select("fps", "roles")
+    places = lambda half, side: F.transform(_anchors(half), lambda a: (F.lit(side << 31).cast("long") + a["anchor"]) * 2 + F.when(a["home"], 0).otherwise(1))
+    distinct = distinct.repartition(n, F.xxhash64("fp"))  # a small table that grows 32-fold here; dealt anew, as its own partitions may be merged
+    dealt = distinct.select("fp", F.explode(F.concat(places(low, 0), places(high, 1))).alias("at"))
+    read = dealt.repartition(n, F.shiftright("at", 1)).sortWithinPartitions("at").mapInArrow(lambda batches: _by_anchor(batches, split), "src long, dst long, fp long, at long")
+    read = materialize(read, "by-anchor")
+    edges = read.where("src IS NOT NULL").select("src", "dst")
+    crowded = read.where("fp IS NOT NULL").select("fp", F.shiftright("at", 1).alias("anchor"), (F.col("at") % 2 == 0).alias("home"))
+    if not crowded.limit(1).count():
+        return edges.distinct()
+    side = F.shiftright("anchor", 31)
+    # the 33 bits outside the side's code, in four parts
+    rest = F.when(side == 0, F.call_function("shiftrightunsigned", F.col("fp"), F.lit(31))).otherwise(F.col("fp").bitwiseAND(F.lit((1 << 32) - 1)) * 2 + F.call_function("shiftrightunsigned", F.col("fp"), F.lit(63)))
+    parts = F.array(*(F.lit(i << 40).cast("long") + F.call_function("shiftrightunsigned", rest, F.lit(9 * i)).bitwiseAND(F.lit(511)) for i in range(4)))
+    crowded = crowded.select("anchor", "fp", "home", F.explode(parts).alias("part"))
+    key = ["anchor", "part"]
+    dense = materialize(crowded.groupBy(*key).agg(F.count("*").alias("m"), F.max("home").alias("any_home")).where("m > 1 AND any_home").drop("any_home"), "part-sizes")
+    crowded = salted_join(crowded, dense, key, hot_hashes(dense, key, "m", dense.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]), ["fp"])
+    k = F.ceil(F.col("m") / SPLIT)
+    own, many = F.pmod(F.xxhash64("fp"), k), F.sequence(F.lit(0).cast("long"), k - 1)
+    place = lambda b, c, r: F.struct(b.alias("block"), c.alias("chunk"), F.lit(r).alias("role"))
+    none = F.array().cast("array<struct<block:bigint,chunk:bigint,role:int>>")
+    cells = F.concat(F.when(F.col("home"), F.transform(many, lambda c: place(own, c, 1))).otherwise(none), F.transform(many, lambda b: place(b, own, 2)))
+    groups = crowded.select(*key, "fp", F.explode(cells).alias("c")).select(*key, "c.block", "c.chunk", "fp", "c.role")
+    lists = groups.groupBy(*key, "block", "chunk").agg(F.collect_list("fp").alias("fps"), F.collect_list("role").alias("roles")).where("size(fps) > 1").select("fps", "roles")
 
     def compare(batches):
         import numpy as np
@@ -130,9 +184,7 @@ def near_edges(distinct: DataFrame) -> DataFrame:
             ends = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["src", "dst"])
 
-    edges = materialize(lists.mapInArrow(compare, "src long, dst long").distinct(), "near")
-    release(dealt, sizes)
-    return edges
+    return edges.unionByName(lists.mapInArrow(compare, "src long, dst long")).distinct()
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
