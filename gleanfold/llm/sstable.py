@@ -157,8 +157,10 @@ def write_token_tables(docs: DataFrame, path: str, id_col: str = "doc_id", text_
     """Encode every whole text and write one shard file per range of identifiers under path.
 
     Returns the manifest, one entry per non-empty shard in key order, with ``start``, the number of
-    ids in all shards before it. Null texts count as empty; every document ends with the end id.
-    Null identifiers come first; rows with the same identifier are all kept. A task that is run
+    ids in all shards before it, and its first and last key. Null texts count as empty; every document ends with the end id.
+    Null identifiers come first; rows with the same identifier are all kept, in order of their texts' hash. An identifier with
+    very many rows is spread over several shards, also if the rows are equal. Very long texts are encoded whole; other columns
+    are ignored, whatever their names; an empty table gives no shard. A task that is run
     again writes the same bytes to a name of its own and renames it, so readers see whole files only.
     """
     tokenizer = tokenizer or default_tokenizer()
@@ -173,15 +175,16 @@ def write_token_tables(docs: DataFrame, path: str, id_col: str = "doc_id", text_
 
         encode = encoder(tokenizer)
         width = 2 if encode.vocab_size <= 1 << 16 else 4
-        n_docs = 0
+        n_docs, first, last = 0, b"", b""
 
         def entries():
-            nonlocal n_docs
+            nonlocal n_docs, first, last
             for batch in batches:
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                     ids = encode(text.as_py())
-                    n_docs += 1
-                    yield encode_key(doc_id), ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+                    n_docs, last = n_docs + 1, encode_key(doc_id)
+                    first = first or last
+                    yield last, ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
 
         part = TaskContext.get().partitionId()
         name = f"{path}/shard-{part:06d}.sst"
@@ -201,16 +204,35 @@ def write_token_tables(docs: DataFrame, path: str, id_col: str = "doc_id", text_
             fs.delete_file(part_file)
         import pyarrow as pa
 
-        yield pa.RecordBatch.from_pylist([{"shard": part, "path": name, "n_docs": n_docs, "n_tokens": made["n_tokens"]}] if n_docs else [], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+        row = {"shard": part, "path": name, "n_docs": n_docs, "n_tokens": made["n_tokens"], "first": first.hex(), "last": last.hex()}
+        yield pa.RecordBatch.from_pylist([row] if n_docs else [], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("first", pa.string()), ("last", pa.string())]))
 
-    dealt = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).repartitionByRange(n, F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), "t")
-    manifest = sorted((r.asDict() for r in dealt.mapInArrow(write, "shard int, path string, n_docs long, n_tokens long").collect()), key=lambda r: r["shard"])  # a row per file
+    # the text's hash and the partition split the rows of one identifier; both are the same if a task runs again
+    order = [F.col("k").asc_nulls_first(), "h", "part"]
+    rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).withColumns({"h": F.xxhash64("t"), "part": F.spark_partition_id()})
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    manifest = sorted((r.asDict() for r in dealt.mapInArrow(write, "shard int, path string, n_docs long, n_tokens long, first string, last string").collect()), key=lambda r: r["shard"])  # a row per file
     at = 0
     for r in manifest:
         r["start"], at = at, at + r["n_tokens"]
     return manifest
 
 
+def lookup(manifest: list[dict], doc_id: int | None) -> list[list[int]]:
+    """The ids of every document with this identifier: binary search among the shards, then in each that may hold it."""
+    import numpy as np
+
+    key, found = encode_key(doc_id), []
+    i = bisect.bisect_left(manifest, key.hex(), key=lambda r: r["last"])
+    while i < len(manifest) and manifest[i]["first"] <= key.hex():
+        fs, where = _filesystem(manifest[i]["path"])
+        with fs.open_input_file(where) as f:
+            table = TableReader(f)
+            found += [np.frombuffer(ids, f"<u{table.width}").tolist() for ids in table.get(key)]
+        i += 1
+    return found
+
+
 def read_token_tables(spark, manifest: list[dict], with_ids: bool = False) -> DataFrame:
     """One row per document from the files: doc_id, start, n_tokens, ids_crc32, and ids on demand."""
     import pyarrow as pa

@@ -131,6 +131,24 @@ def test_token_tables(spark):
     assert all(r.ids_crc32 == crc(np.array(r.ids, "<u4").tobytes()) and r.n_tokens == len(r.ids) for r in got)
 
 
+def test_token_tables_hot_identifier(spark):
+    from gleanfold.llm.common import new_path
+    from gleanfold.llm.sstable import decode_key, lookup, read_token_tables, write_token_tables
+
+    rows = [(i, f"text {i}") for i in range(1000, 1200)] + [(7, f"other text {i}") for i in range(100)] + [(7, "the same text")] * 100 + [(None, None), (None, "no name")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    manifest = write_token_tables(docs, new_path(spark, "hot"), n_shards=8)
+    holding = [m for m in manifest if decode_key(bytes.fromhex(m["first"])) in (None, 7) and decode_key(bytes.fromhex(m["last"])) is not None]
+    assert len(holding) >= 3 and max(m["n_docs"] for m in manifest) < 150
+    got = sorted(read_token_tables(spark, manifest, with_ids=True).collect(), key=lambda r: r.start)
+    assert [-1 if r.doc_id is None else r.doc_id for r in got] == sorted(-1 if r[0] is None else r[0] for r in rows)
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    expected = {(r[0], tuple(i.tolist())) for r, i in zip(rows, brute_ids([r[1] for r in rows]))}
+    assert {(r.doc_id, tuple(r.ids)) for r in got} == expected and len(got) == len(rows)
+    for k, n in ((7, 200), (None, 2), (1100, 1), (5, 0), (5000, 0)):
+        assert sorted(lookup(manifest, k)) == sorted(r.ids for r in got if r.doc_id == k) and len(lookup(manifest, k)) == n
+
+
 def test_table_lookup():
     from gleanfold.llm.sstable import TableReader, decode_key, encode_key, write_table
 
