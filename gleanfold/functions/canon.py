@@ -61,10 +61,13 @@ _AGO_MS = {"min": 60_000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000
 
 
 def _absolute_ms(s: Column) -> Column:
-    """The absolute formats that sources use: ISO dates and date-times, year first with slashes, month first as number or name, RFC 1123, 'd MMM yy'; with a zone or without."""
+    """The absolute formats that sources use: ISO dates and date-times, year first with slashes, month first as number or name, RFC 1123, 'd MMM yy', the text of a JavaScript date, a month or a year alone;
+    with a zone or without, times also of twelve hours."""
     bare = F.regexp_replace(s, r"^(?i:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,?\s+", "")
-    tries = [F.try_to_timestamp(s, F.lit(p)) for p in ("yyyy-MM-dd'T'HH:mm[:ss][.SSS]XXX", "yyyy-MM-dd'T'HH:mm[:ss][.SSS]", "yyyy-MM-dd[ HH:mm[:ss][ z]]", "yyyy-MM-dd HH:mm[:ss][ ]XX", "yyyy/M/d[ HH:mm[:ss]]", "M/d/yyyy[ HH:mm[:ss]]")]
-    tries += [F.try_to_timestamp(bare, F.lit(p)) for p in ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy[ HH:mm[:ss]]", "d MMM yy", "d MMMM yyyy[ HH:mm[:ss]]", "MMM d, yyyy[ HH:mm[:ss]]", "MMM d yyyy[ HH:mm[:ss]]", "MMMM d, yyyy[ HH:mm[:ss]]", "MMMM d yyyy[ HH:mm[:ss]]")]
+    tries = [F.try_to_timestamp(s, F.lit(p)) for p in ("yyyy-MM-dd'T'HH:mm[:ss][.SSS]XXX", "yyyy-MM-dd'T'HH:mm[:ss][.SSS]", "yyyy-MM-dd[ HH:mm[:ss][ z]]", "yyyy-MM-dd HH:mm[:ss][ ]XX", "yyyy/M/d[ HH:mm[:ss]]", "M/d/yyyy[ HH:mm[:ss]]", "M/d/yyyy[,] h:mm[:ss] a", "yyyy-MM", "yyyy")]
+    tries += [F.try_to_timestamp(bare, F.lit(p)) for p in ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy[ HH:mm[:ss]]", "d MMM yy", "d MMMM yyyy[ HH:mm[:ss]]", "MMM d, yyyy[ HH:mm[:ss]]", "MMM d yyyy[ HH:mm[:ss]]", "MMMM d, yyyy[ HH:mm[:ss]]", "MMMM d yyyy[ HH:mm[:ss]]", "MMM d, yyyy[,] h:mm[:ss] a", "MMMM d, yyyy[,] h:mm[:ss] a", "MMM yyyy", "MMMM yyyy")]
+    script = F.regexp_replace(bare, r"\s*\([^)]*\)$", "")  # such a text ends with the zone's name
+    tries += [F.try_to_timestamp(script, F.lit("MMM d yyyy HH:mm:ss 'GMT'XX"))]
     return F.unix_millis(F.coalesce(*tries))
 
 

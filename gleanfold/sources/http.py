@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "source string, mirror_rank int, url string, status int, body string, location string, error string, ms long"
-# Limits of the client, and its names.
+# Limits of the client, its names, and what it accepts.
 TIMEOUT_S, REDIRECTS = 10.0, 5
 AGENTS = [
     "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/124.0 Safari/537.36",
@@ -18,6 +18,7 @@ AGENTS = [
     "Mozilla/5.0 (X11; Linux x86_64; rv:125.0) Gecko/20100101 Firefox/125.0",
     "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/124.0 Safari/537.36 Edg/124.0",
 ]
+ACCEPTED = {"Accept": "text/html,application/xhtml+xml,application/xml;q=0.9,*/*;q=0.8", "Accept-Language": "en-US,en;q=0.9"}
 
 
 def fetch(request: dict, timeout: float = TIMEOUT_S) -> tuple:
@@ -28,7 +29,7 @@ def fetch(request: dict, timeout: float = TIMEOUT_S) -> tuple:
 
     began = time.monotonic()
     body = json.dumps(request["json"]).encode() if request.get("json") is not None else None
-    headers = {"User-Agent": random.choice(AGENTS)} | ({"Content-Type": "application/json"} if body else {}) | request.get("headers", {})
+    headers = ACCEPTED | {"User-Agent": random.choice(AGENTS)} | ({"Content-Type": "application/json"} if body else {}) | request.get("headers", {})
 
     class Limited(urllib.request.HTTPRedirectHandler):
         max_redirections = REDIRECTS

@@ -24,6 +24,8 @@ def test_sizes(spark):
 def test_dates(spark):
     cases = {"2024-01-15": 1705276800000, None: None, "": None, "not a date": None, "a day ago": None, "3 hours ago": NOW - 3 * 3600000, "an hour ago": NOW - 3600000, "A Minute Ago": NOW - 60000, "2 months ago": NOW - 2 * 2629800000, "yesterday": NOW - 86400000, "today": 1749945600000, "Tue, 15 Jan 2019 04:05:06 +0000": 1547525106000, "2024-01-15T01:02:03Z": 1705280523000, "1652877231": None, "3 May 21": 1620000000000}
     assert values(spark, cases, lambda c: canon.parse_date(c, NOW)) == list(cases.values())
+    absolute = {"2024": 1704067200000, "2024-03": 1709251200000, "Mar 2024": 1709251200000, "March 2024": 1709251200000, "1/15/2024, 3:04:05 PM": 1705331045000, "1/15/2024 12:30 AM": 1705278600000, "Jan 15, 2024 3:04 PM": 1705331040000, "Mon Jan 15 2024 05:04:05 GMT+0200 (Some Time)": 1705287845000, "Mon Jan 15 2024 03:04:05 GMT+0000": 1705287845000, "13/45/2024, 3:04 PM": None, "20240": None}
+    assert values(spark, absolute, lambda c: canon.parse_date(c, NOW)) == list(absolute.values())
     assert values(spark, [1652877231, 1652877231000, None], lambda c: canon.parse_date(F.lit(None).cast("string"), NOW, c), "bigint") == [1652877231000, 1652877231000, None]
     assert values(spark, [1705276800000, None], canon.format_date, "bigint") == ["2024-01-15", "—"]
     assert values(spark, ["Сегодня", "вчера в 3", "12 мая 2020", "3 Янв 21", "5 окт", "other"], canon.ru_date) == ["Today", "Yesterday в 3", "12 May 2020", "3 Jan 21", "5 Oct", "other"]

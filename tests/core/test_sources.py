@@ -142,8 +142,13 @@ def test_row_helpers(spark):
 
 
 def test_fetch(spark, tmp_path):
+    from gleanfold.sources.http import ACCEPTED, AGENTS
+
+    seen = []
+
     class Handler(http.server.BaseHTTPRequestHandler):
         def do_GET(self):
+            seen.append((self.headers["Accept"], self.headers["Accept-Language"], self.headers["User-Agent"] in AGENTS))
             if self.path == "/go":
                 self.send_response(302)
                 self.send_header("Location", MAG)
@@ -171,6 +176,7 @@ def test_fetch(spark, tmp_path):
     server.shutdown()
     assert got["a"].body == "hello" and got["d"].body == "hello" and got["b"].error == "HTTP 500" and got["b"].mirror_rank == 1
     assert "refused" in got["c"].error and got["e"].location == MAG
+    assert set(seen) == {(*ACCEPTED.values(), True)}
     assert fetch_pages(spark, []).count() == 0
 
 
