@@ -72,7 +72,11 @@ def test_stages(spark, tmp_path):
         assert labels.get(d) != 0 or d not in good
     fp = {d: brute_marks(texts[d]) for d in good}
     ids = sorted(fp)
-    root = roots(ids, [(a, b) for a in ids for b in ids if a < b and near(fp[a], fp[b])])
+    pairs = [(a, b) for a in ids for b in ids if a < b]
+    group = roots(ids, [(a, b) for a, b in pairs if near(fp[a], fp[b])])
+    words = {d: texts[d].encode().lower().split() for d in ids}
+    root = roots(ids, [(a, b) for a, b in pairs if group[a] == group[b] and agreement(words[a], words[b]) >= 0.8])
+    assert any(root[d] != group[d] for d in ids)  # candidates that don't agree
     assert set(single) == {d for d in ids if root[d] == d}
     raw = {d: texts[d].encode() for d in sorted(single)}
     marks = dict(zip(raw, brute_cover(list(raw.values()), 240)))
@@ -154,9 +158,38 @@ def test_planted_passages(spark, tmp_path):
 
 
 def agreement(a, b):
-    """Jaccard similarity of five-word shingles."""
-    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
-    return len(x & y) / len(x | y)
+    """Jaccard similarity of five-word shingles; of a shorter text, its whole sequence."""
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, bool(w)))} for w in (a, b))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def test_sketches_agree_as_shingles_do():
+    from gleanfold.llm.simhash import shingle_sketch, sketch_agreement
+
+    rng = random.Random(5)
+    for n, slack in ((0, 0), (3, 0), (5, 0), (400, 0), (5000, 0.07)):
+        a = [varied(rng, 1) for _ in range(n)]
+        for rate in (0, 0.01, 0.03, 0.2):
+            b = [varied(rng, 1) if rng.random() < rate else w for w in a]
+            got = sketch_agreement(*(shingle_sketch(" ".join(w)) for w in (a, b)))
+            assert abs(got - agreement(a, b)) <= slack + 1e-9
+    assert sketch_agreement(shingle_sketch("one"), shingle_sketch(None)) == 0.0 and shingle_sketch(" \t") == b""
+
+
+def test_candidates_below_the_similarity_stay(spark, tmp_path):
+    """The same words in another order share all fingerprints but no shingle; a copy in another case and spacing goes."""
+    import corpus_pipeline as P
+
+    rng = random.Random(6)
+    texts = [varied(rng, 200).split() for _ in range(4)]
+    rows = []
+    for i, words in enumerate(texts):
+        turned = words[100:] + words[:100]
+        half = [w for at in range(0, 200, 4) for w in reversed(words[at : at + 4])]
+        assert agreement(words, turned) >= 0.8 > 0.1 > agreement(words, half)
+        rows += [(10 * i, " ".join(words)), (10 * i + 1, " ".join(turned)), (10 * i + 2, " ".join(half)), (10 * i + 3, "\n".join(words).upper())]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA).repartition(3)
+    assert sorted(r.doc_id for r in P.near_copies(spark, docs, str(tmp_path)).collect()) == [10 * i + j for i in range(4) for j in (0, 2)]
 
 
 def test_recall_of_near_copies(spark, tmp_path):
