@@ -81,6 +81,26 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_read(spark, sf_dir, "documents"))
 
 
+def op11_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .slack import pack_fullest
+
+    return pack_fullest(_read(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectorcodes import books_sha256, compress_vectors, with_label_error
+
+    codes, books = compress_vectors(_read(spark, sf_dir, "embeddings"))
+    digits = F.array_join(F.transform("code", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    return with_label_error(codes).select(F.col("id").alias("vec_id"), digits.alias("code"), "error", "label_error", F.lit(books_sha256(books)).alias("codebooks_sha256"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .convtrie import conversation_trie, rebuilt_turns
+
+    return conversation_trie(*rebuilt_turns(_read(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
@@ -92,6 +112,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_tables": op8_token_tables,
     "op9_language_id": op9_language_id,
     "op10_license_scan": op10_license_scan,
+    "op11_bin_slack": op11_bin_slack,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_cover_tree": oracles.COVER_TREE, "op10_license_scan": oracles.LICENSE_SCAN}
