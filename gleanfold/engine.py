@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import count
@@ -16,6 +17,7 @@ from .sources import demo, feeds, layouts
 from .sources.http import TIMEOUT_S, fetch_pages
 from .sources.indexers import Indexers
 from .sources.requests import release_details, release_requests, requests_for
+from .streaming import arrivals
 from .streaming.search import Search
 
 
@@ -170,6 +172,21 @@ class Engine:
 
         return Search(arrivals, search_id, each, live)
 
+    def live(self, query: str, on_source: Callable[[str, DataFrame, dict], None], page: int = 1, providers: list[str] | None = None, transport: Callable | None = None) -> None:
+        """A search whose sources are reported as they complete: one task asks a source's mirrors, and its pages arrive when it is done.
+
+        on_source as of ``stream``. transport: instead of the network, what gives the pages of a row (source, requests).
+        """
+        asked: dict[str, list[dict]] = {}
+        for r in self.requests(query, page, providers):
+            asked.setdefault(r["source"], []).append(r)
+        if not asked:
+            return
+        rows = arrivals.a_task_each(self.spark, [(s, json.dumps(r)) for s, r in asked.items()], "source string, requests string")
+        coming = arrivals.Arrivals(rows, transport, size=1)
+        coming.finish(self.stream(coming.stream, on_source, live=True).query)
+        coming.remove()
+
     def merge(self, *responses: Response) -> DataFrame:
         """Pages of one query as merged rows: first arrivals of each identifier, then one row per content hash."""
         rows = responses[0].results

@@ -16,8 +16,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def doc_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a raw listing: its source is the provider, its text's MD5 the content hash."""
-    d = read(spark, sf_dir, "documents")
+    """Every document as a raw listing."""
+    return doc_columns(read(spark, sf_dir, "documents"))
+
+
+def doc_columns(d: DataFrame) -> DataFrame:
+    """Documents, a table or a stream, as raw listings: the source is the provider, the text's MD5 the content hash."""
     return d.select(
         F.col("source").alias("provider"), F.concat_ws(":", "source", "doc_id").alias("id"), F.col("text").alias("name"), F.md5("text").alias("info_hash"),
         F.col("n_chars").alias("size_num"), F.concat(F.pmod("doc_id", F.lit(700)).cast("string"), F.lit(" hours ago")).alias("date_raw"),

@@ -13,20 +13,7 @@ from ..streaming import search
 from . import catalogs as C
 from . import sites
 from .catalogs import DOC_LISTINGS_SQL, MERGED_SQL, NOW_MS, PARTS_SQL, read
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
+from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 
 # ---- canonicalisation
 

@@ -7,7 +7,8 @@ import os
 import duckdb
 import pytest
 
-from gleanfold.plans import queries as Q
+from gleanfold.plans import indexes, queries, streams  # noqa: F401  they fill the registry
+from gleanfold.plans import registry as Q
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
