@@ -1 +1,28 @@
 """Queries over indexes, ledgers and tables that are built first, and the same in DuckDB's SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .. import pushing
+from ..shared import work_dir
+from . import catalogs as C
+from .catalogs import DOC_LISTINGS_SQL
+from .registry import query
+
+
+def stand_in_client(url: str, body: bytes | None, headers: dict) -> tuple[int, dict, bytes]:
+    """Answers as a client would that refuses content hashes beginning with 0."""
+    if url.endswith("/auth/login"):
+        return 200, {"Set-Cookie": "SID=1; path=/"}, b"Ok."
+    return 200, {}, b"Fails." if b"btih%3A0" in body else b"Ok."
+
+
+@query(f"SELECT DISTINCT sha256(magnet) AS digest, info_hash[1] <> '0' AS taken FROM ({DOC_LISTINGS_SQL})")
+def push_ledger(spark, sf_dir) -> DataFrame:
+    """Every document's magnet is pushed to a client once; what the ledger says of each."""
+    ledger = work_dir(spark, "ledger")
+    config = {"url": "http://client.test", "user": "u", "password": "p"}
+    pushing.push_once(C.doc_listings(spark, sf_dir), "qbittorrent", config, ledger, chunk=256, send="gleanfold.plans.indexes:stand_in_client")
+    return pushing.ledger_rows(spark, ledger).select("digest", "taken")
