@@ -20,11 +20,11 @@ def name_contains(text: str) -> Column:
     return F.contains(F.lower("name"), F.lit(text.strip().lower()))
 
 
-def matches(query: str) -> Column:
+def matches(query: str, column: str = "name") -> Column:
     """Names that hold every token of the query, for tables that no source has searched yet."""
     out = F.lit(True)
     for token in query.lower().split():
-        out = out & F.contains(F.lower("name"), F.lit(token))
+        out = out & F.contains(F.lower(column), F.lit(token))
     return out
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import pushing
+from ..operators import textindex
 from ..shared import work_dir
 from . import catalogs as C
 from .catalogs import DOC_LISTINGS_SQL
@@ -26,3 +27,17 @@ def push_ledger(spark, sf_dir) -> DataFrame:
     config = {"url": "http://client.test", "user": "u", "password": "p"}
     pushing.push_once(C.doc_listings(spark, sf_dir), "qbittorrent", config, ledger, chunk=256, send="gleanfold.plans.indexes:stand_in_client")
     return pushing.ledger_rows(spark, ledger).select("digest", "taken")
+
+
+_SEARCHES = ["The and", "lamp ember", "licensed", "é d", "zzzqqq"]
+
+
+@query(" UNION ALL ".join("SELECT '{0}' AS query, doc_id FROM documents WHERE {1}".format(q, " AND ".join(f"contains(lower(text), '{t}')" for t in q.lower().split())) for q in _SEARCHES))
+def keyword_index(spark, sf_dir) -> DataFrame:
+    """Searches of a trigram index over all texts: what a scan of them would find."""
+    index = textindex.build_index(C.read(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    found = None
+    for q in _SEARCHES:
+        rows = index.search(q).select(F.lit(q).alias("query"), "doc_id")
+        found = rows if found is None else found.unionByName(rows)
+    return found
