@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import listings
-from ..shared import delete, work_dir
+from ..shared import work_dir
 from ..streaming import arrivals, search, upserts
 from . import catalogs as C
 from .catalogs import MERGED_SQL, NOW_MS, read
@@ -50,6 +50,15 @@ def fetch_stream(spark, sf_dir) -> DataFrame:
     return arrivals.completions(arrived).drop("error").join(digests, "source")
 
 
+@query("SELECT 'site' || page_id % 5 AS source, count(*) AS n_pages, coalesce(sum(strlen(html)), 0)::BIGINT AS n_bytes FROM pages WHERE page_id % 5 IN (1, 4) GROUP BY 1")
+def source_pruning(spark, sf_dir) -> DataFrame:
+    """All pages landed by source; a query for two sources plans and reads only their files."""
+    k = (F.col("page_id") % 5).cast("string")
+    asked = read(spark, sf_dir, "pages").select(F.concat(F.lit("site"), k).alias("source"), "url", F.col("html").alias("body"), F.lit(0).alias("wait"))
+    stored = arrivals.stored_pages(asked.repartition(8, "url").sortWithinPartitions("source", "url"), stored_transport(0.0), size=256)
+    return stored.where(F.col("source").isin("site1", "site4")).groupBy("source").agg(F.count("*").alias("n_pages"), F.coalesce(F.sum(F.octet_length("body").cast("long")), F.lit(0)).alias("n_bytes"))
+
+
 @query(f"SELECT key, ord, name, size, seeders, leechers, category, info_hash, magnet, n_rows, false AS needs_magnet FROM ({MERGED_SQL.replace('arg_min_null', 'arg_min')})")
 def stream_upserts(spark, sf_dir) -> DataFrame:
     """Documents arrive file by file; each batch writes only the merged rows that it changes. What they come to equals the batch merge."""

@@ -7,7 +7,7 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 SCHEMA = "source string, mirror_rank int, url string, status int, body string, location string, error string, ms long"
 # Limits of the client, its names, and what it accepts.
@@ -54,12 +54,37 @@ class _Request(InputPartition):
         self.request = request
 
 
+def sources_of(filters: list[Filter], wanted: set[str] | None) -> tuple[set[str] | None, list[Filter]]:
+    """The sources that filters on the column source leave (None: all), and the filters that say anything else."""
+    rest = []
+    for f in filters:
+        if isinstance(f, (EqualTo, In)) and f.attribute == ("source",):
+            named = {f.value} if isinstance(f, EqualTo) else set(f.value)
+            wanted = named if wanted is None else wanted & named
+        else:
+            rest.append(f)
+    return wanted, rest
+
+
+def prune_sources(spark: SparkSession, source: type[DataSource]) -> None:
+    """Register a data source whose readers leave out the sources that a filter rules out."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(source)
+
+
 class _Reader(DataSourceReader):
+    wanted: set[str] | None = None
+
     def __init__(self, options):
         self.requests, self.timeout = json.loads(options.get("requests", "[]")), float(options.get("timeout", TIMEOUT_S))
 
+    def pushFilters(self, filters):  # noqa: N802
+        """A filter on the source spares the requests to all others."""
+        self.wanted, rest = sources_of(filters, self.wanted)
+        return rest
+
     def partitions(self):
-        return [_Request(r) for r in self.requests] or [_Request({})]
+        return [_Request(r) for r in self.requests if self.wanted is None or r["source"] in self.wanted] or [_Request({})]
 
     def read(self, partition):
         if partition.request:
@@ -81,7 +106,7 @@ class ListingPages(DataSource):
 
 
 def fetch_pages(spark: SparkSession, requests: list[dict], timeout: float = TIMEOUT_S) -> DataFrame:
-    spark.dataSource.register(ListingPages)
+    prune_sources(spark, ListingPages)
     return spark.read.format("listing_pages").option("requests", json.dumps(requests)).option("timeout", str(timeout)).load()
 
 

@@ -12,15 +12,16 @@ import json
 import time
 from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
+from urllib.parse import quote, unquote
 
 from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..shared import delete, get, names, opened, put, work_dir
-from ..sources.http import SCHEMA, TIMEOUT_S, fetch
+from ..sources.http import SCHEMA, TIMEOUT_S, fetch, prune_sources, sources_of
 
 ARRIVED = f"{SCHEMA}, arrival long"
 _COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -52,11 +53,22 @@ def _units(batches, size: int) -> Iterator[list[dict]]:
             yield unit
 
 
+def stored_pages(requests: DataFrame, transport: Callable[[dict], Iterable[tuple]], size: int = 64) -> DataFrame:
+    """Make all requests and wait; their pages as a table that reads the files of the sources that a query filters for."""
+    spark = requests.sparkSession
+    prune_sources(spark, LandedPages)
+    folder = work_dir(spark, "stored")
+    files, path = opened(folder)
+    files.create_dir(f"{path}/pages", recursive=True)
+    land(requests, folder, transport, size)
+    return spark.read.format("landed_pages").option("folder", folder).load()
+
+
 def land(requests: DataFrame, folder: str, transport: Callable[[dict], Iterable[tuple]], size: int = 64) -> None:
     """Make all requests (column source, and what the transport wants) and land their pages, up to ``size`` rows of one source in a file.
 
     transport: a row to its pages, as of http.SCHEMA; it should not raise, as a source's failure is a row. Files are
-    named by time, task and number. A task that runs again leaves out what its first run landed, so a request may be made
+    named by time, task, number and source. A task that runs again leaves out what its first run landed, so a request may be made
     twice, but its pages arrive once.
     """
 
@@ -72,7 +84,7 @@ def land(requests: DataFrame, folder: str, transport: Callable[[dict], Iterable[
         schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in SCHEMA.split(", ")])
         landed = 0
         for n, unit in enumerate(_units(batches, size)):
-            name = f"{task:06d}-{n:06d}.parquet"
+            name = f"{task:06d}-{n:06d}-{quote(unit[0]['source'] or '', safe='')}.parquet"
             if name in there:
                 continue
             rows = [page for row in unit for page in transport(row)]
@@ -134,8 +146,27 @@ class _Landed(DataSourceStreamReader):
                 yield batch
 
 
+class _Stored(DataSourceReader):
+    """The folder as a table: its files in the order of completion, but only those of the sources that are asked for."""
+
+    def __init__(self, folder: str):
+        self.stream, self.wanted = _Landed(folder), None
+
+    def pushFilters(self, filters):  # noqa: N802
+        self.wanted, rest = sources_of(filters, self.wanted)
+        return rest
+
+    def partitions(self) -> list[_Files]:
+        files, pages, _ = self.stream._place()
+        found = names(files, pages)
+        return [_Files(i, [n]) for i, n in enumerate(found) if self.wanted is None or unquote(n.split("-", 3)[3].removesuffix(".parquet")) in self.wanted] or [_Files(0, [])]
+
+    def read(self, partition: _Files):
+        return self.stream.read(partition)
+
+
 class LandedPages(DataSource):
-    """spark.readStream.format("landed_pages").option("folder", ...): pages with ``arrival``, the place of their file in the order of completion."""
+    """Format "landed_pages", option folder: pages with ``arrival``, the place of their file in the order of completion; as a table or a stream."""
 
     @classmethod
     def name(cls):
@@ -144,6 +175,9 @@ class LandedPages(DataSource):
     def schema(self):
         return ARRIVED
 
+    def reader(self, schema):
+        return _Stored(self.options["folder"])
+
     def streamReader(self, schema):  # noqa: N802
         return _Landed(self.options["folder"])
 
@@ -153,7 +187,7 @@ class Arrivals:
 
     def __init__(self, requests: DataFrame, transport: Callable[[dict], Iterable[tuple]] | None = None, size: int = 64):
         spark = requests.sparkSession
-        spark.dataSource.register(LandedPages)
+        prune_sources(spark, LandedPages)
         self.spark, self.folder, self.failure = spark, work_dir(spark, "arrivals"), None
         files, path = opened(self.folder)
         files.create_dir(f"{path}/pages", recursive=True)
@@ -177,6 +211,10 @@ class Arrivals:
         if self.failure is not None:
             raise self.failure
 
+    def pages(self) -> DataFrame:
+        """What has landed so far, as a table."""
+        return self.spark.read.format("landed_pages").option("folder", self.folder).load()
+
     def remove(self) -> None:
         delete(self.spark, self.folder)
 

@@ -63,6 +63,25 @@ def test_completion_order(spark):
     assert len({epoch for _, _, epoch in seen}) > 1
 
 
+def test_filters_on_the_source_plan_its_files_only(spark):
+    rows = [(f"s/{i % 4}", f"u{i}", f"body {i}", None) for i in range(40)]
+    asked = spark.createDataFrame(rows, PAGES).repartition(3).sortWithinPartitions("source")
+    stored = arrivals.stored_pages(asked, answered, size=100)
+    assert stored.rdd.getNumPartitions() == 12  # four sources in each of three tasks
+    for some in (stored.where("source = 's/2'"), stored.where(F.col("source").isin("s/2", "s/9")), stored.where("source = 's/2' AND source IN ('s/2', 's/3') AND length(url) > 0")):
+        assert some.rdd.getNumPartitions() == 3 and sorted(r.url for r in some.collect()) == sorted(f"u{i}" for i in range(40) if i % 4 == 2)
+    assert stored.where("source = 's/2' AND source = 's/3'").count() == 0 and stored.where("source IS NULL").count() == 0
+    assert stored.where("source = 's/1' OR url = 'u2'").count() == 11
+
+
+def test_filters_spare_requests(spark):
+    from gleanfold.sources.http import fetch_pages
+
+    pages = fetch_pages(spark, [{"source": f"s{i % 3}", "url": f"http://127.0.0.1:9/{i}"} for i in range(9)], timeout=1)
+    assert pages.rdd.getNumPartitions() == 9 and pages.where("source = 's1'").rdd.getNumPartitions() == 3
+    assert {r.url[-1] for r in pages.where("source = 's1'").collect()} == {"1", "4", "7"}
+
+
 def test_failing_transport(spark):
     def broken(row):
         raise ValueError("no transport")
