@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,6 +61,19 @@ class Engine:
             return feeds.rss_listings(own.withColumnRenamed("body", "xml"), source, "mirror_rank")
         return layouts.html_listings(own, source, "body", "mirror_rank")
 
+    def attempts(self, pages: DataFrame, listed: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
+        """source, mirror_rank, n, failure, reason of each source's mirrors asked; listed: provider and mirror_rank of every listing found."""
+        there = F.coalesce(F.col("body") != "", F.lit(False))
+        own = pages.groupBy("source", "mirror_rank").agg(F.count_if(there).alias("n_bodies"), F.max("error").alias("error"), F.max(F.when(there, feeds.answer_fault(F.col("source"), F.col("body")))).alias("fault"))
+        n = listed.groupBy(F.col("provider").alias("source"), "mirror_rank").agg(F.count("*").alias("n"))
+        none = own.select("source", "mirror_rank").limit(0).withColumn("none", F.lit(None).cast("string")) if parsed is None else parsed.where("place < 0").groupBy("source", "mirror_rank").agg(F.max(F.try_element_at("f", F.lit("none"))).alias("none"))
+        both = own.join(n, ["source", "mirror_rank"], "left").join(none, ["source", "mirror_rank"], "left")
+        said = lambda names: F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col("source"))
+        silent = F.coalesce(said(layouts.NO_PAGE), F.when(F.col("source").startswith("torznab:"), "empty_response"))
+        failure = F.when(F.col("n_bodies") == 0, F.coalesce("error", silent))
+        reason = F.when(F.col("n_bodies") > 0, F.coalesce("fault", F.when(F.col("none") != "", F.col("none")), F.when(F.col("none").isNull() & F.col("n").isNull(), said(layouts.NO_LISTING))))
+        return both.select("source", "mirror_rank", F.coalesce("n", F.lit(0)).alias("n"), failure.alias("failure"), reason.alias("reason"))
+
     def _targets(self, page: int, providers: list[str] | None) -> list[str]:
         wanted = self.spark.createDataFrame([(p,) for p in providers], "id string") if providers else None
         return [t.id for t in federate.resolve(self.sources(), wanted, page).orderBy("rank").select("id").collect()]  # the registry's size
@@ -124,11 +138,12 @@ class Engine:
         targets = federate.resolve(self.sources(), wanted, page)
         ranks = {r.id: r["rank"] for r in targets.select("id", "rank").collect()}  # the registry's size
         present = [r[0] for r in pages.select("source").distinct().collect() if r[0] in ranks]
-        parts, match = [], "url" not in pages.columns if match is None else match
+        parts, listed, match = [], [], "url" not in pages.columns if match is None else match
         parsed = self.parsed(pages) if any(s in layouts.LAYOUTS for s in present) else None
         for source in sorted(present, key=ranks.get):
             raw = self.raw(pages, source, parsed)
             rows = listings.normalize(raw.withColumn("place", F.col("place").cast("long")), self.now_ms, "mirror_rank", "place")
+            listed.append(rows.select("provider", "mirror_rank"))
             parts.append((rows.where(refine.matches(query)) if match else rows).withColumn("source_rank", F.lit(ranks[source])))
         if "demo" in ranks:
             pool = refine.page(demo.pool(self.spark, query, self.now_ms).orderBy("ord"), page, demo.PAGE)
@@ -143,9 +158,11 @@ class Engine:
                 found = found.unionByName(p)
         found = federate.first_mirror(found, "provider")
         ordered = found.withColumn("ord", F.struct(F.lit(page).alias("page"), "source_rank", "place"))
-        failed = federate.mirror_errors(pages.select("source", F.col("source").alias("name"), "mirror_rank", F.lit(0).alias("n"), "error").where("error IS NOT NULL")).withColumnRenamed("source", "id")
-        answered = found.select(F.col("provider").alias("id")).distinct()
-        statuses = federate.status(targets, found, failed.join(answered, "id", "left_anti"), pages)
+        failed = None
+        if listed:
+            every = reduce(DataFrame.unionByName, listed)
+            failed = federate.source_errors(self.attempts(pages.where(F.col("source").isin(present)), every, parsed)).withColumnRenamed("source", "id")
+        statuses = federate.status(targets, found, failed, pages)
         more = F.when(F.col("demo"), F.lit(demo.has_more(page))).otherwise(F.lit(None).cast("boolean"))
         return Response(query, page, ordered, statuses.withColumn("has_more", more))
 
@@ -159,12 +176,16 @@ class Engine:
             pages = pages.persist()
             try:
                 took = F.max("ms") if "ms" in pages.columns else F.lit(None).cast("long")
-                seen = pages.groupBy("source").agg(F.max("error").alias("error"), took.alias("ms")).orderBy(F.col("ms").asc_nulls_last(), "source").collect()  # a row per source
+                seen = pages.groupBy("source").agg(took.alias("ms")).orderBy(F.col("ms").asc_nulls_last(), "source").collect()  # a row per source
                 parsed = self.parsed(pages)
-                for source, failure, ms in seen:
-                    rows = listings.normalize(self.raw(pages, source, parsed), self.now_ms, "mirror_rank")
-                    n = rows.count()
-                    error = None if n else failure
+                found = {s: listings.normalize(self.raw(pages, s, parsed), self.now_ms, "mirror_rank") for s, _ in seen}
+                errors = {}
+                if found:
+                    every = reduce(DataFrame.unionByName, [rows.select("provider", "mirror_rank") for rows in found.values()])
+                    errors = dict(federate.source_errors(self.attempts(pages, every, parsed)).collect())  # a row per source
+                for source, ms in seen:
+                    rows = federate.first_mirror(found[source], "provider")
+                    n, error = rows.count(), errors.get(source)
                     on_source(source, rows, {"status": "error" if error else "ok", "count": n, "error": error, "ms": ms})
                 parsed.unpersist()
             finally:

@@ -187,7 +187,7 @@ def mask_key(c: Column) -> Column:
     return F.when(c != "", F.concat(F.lit("••••"), F.right(c, F.lit(4)))).otherwise("")
 
 
-def absolute_url(href: Column, base: str) -> Column:
+def absolute_url(href: Column, base: str | Column) -> Column:
     return F.when(href.startswith("http"), href).otherwise(F.concat(F.lit(base), href))
 
 

@@ -14,11 +14,20 @@ REGISTRY = [
 ]
 PAGINATED = {"1337x", "nyaa", "dmhy", "bt4g", "limetorrents", "rutor", "bitsearch"}
 GENERATED = {"demo"}
+# The sources' names; the names that errors of sources without mirrors bear; sources whose errors bear their id.
+LABELS = {
+    "tpb": "The Pirate Bay", "1337x": "1337x", "nyaa": "NYAA", "yts": "YTS", "knaben": "Knaben", "torrentscsv": "TorrentsCSV", "anilibria": "AniLibria", "anirena": "AniRena", "animetosho": "AnimeTosho", "bangumimoe": "Bangumi.Moe", "dmhy": "DMHY", "mikan": "Mikan",
+    "subsplease": "SubsPlease", "sukebei": "Sukebei", "tokyotoshokan": "TokyoToshokan", "nekobt": "NekoBT", "bt4g": "Bt4g", "btdigg": "BTDigg", "eztv": "EZTV", "limetorrents": "LimeTorrents", "therarbg": "TheRarBg", "rutor": "Rutor", "torrent9": "Torrent9",
+    "torrentdownload": "TorrentDownload", "torrentdownloads": "TorrentDownloads", "torrentdatabase": "TorrentDatabase", "torrentkitty": "TorrentKitty", "uindex": "UIndex", "zeromagnet": "ZeroMagnet", "bitsearch": "BitSearch", "oxtorrent": "OxTorrent",
+    "audiobookbay": "AudioBookBay", "blueroms": "BlueRoms", "filemood": "FileMood", "internetarchive": "InternetArchive", "linuxtracker": "LinuxTracker", "megapeer": "MegaPeer", "mypornclub": "MyPornClub", "xxxclub": "XXXClub", "xxxtracker": "XXXTracker", "demo": "Demo (offline)",
+}
+SINGLE = {"nyaa": "NYAA", "tpb": "TPB", "yts": "YTS", "knaben": "Knaben", "torrentscsv": "TorrentsCSV", "subsplease": "SubsPlease", "internetarchive": "internetarchive"}
+BY_ID = {"anilibria", "animetosho", "anirena", "audiobookbay", "bangumimoe", "blueroms", "dmhy", "filemood", "linuxtracker", "megapeer", "mikan", "mypornclub", "xxxclub", "xxxtracker"}
 
 
 def registry(spark: SparkSession, indexers: list[dict] | None = None) -> DataFrame:
     """id, name, enabled, demo, paginated, rank: static sources, then the user's indexers."""
-    rows = [(s, s, True, s in GENERATED, s in PAGINATED) for s in REGISTRY]
+    rows = [(s, LABELS[s], True, s in GENERATED, s in PAGINATED) for s in REGISTRY]
     rows += [(i["id"], i.get("name") or i["id"], i.get("enabled", True), False, False) for i in indexers or []]
     return spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "id string, name string, enabled boolean, demo boolean, paginated boolean, rank int")
 
@@ -73,6 +82,25 @@ def mirror_errors(attempts: DataFrame) -> DataFrame:
     return failed.select("source", F.concat("name", F.lit(" unreachable ("), F.array_join("errors.error", "; "), F.lit(")")).alias("error"))
 
 
+def _named(source: Column, names: dict[str, str]) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), source)
+
+
+def source_errors(attempts: DataFrame) -> DataFrame:
+    """attempts: source, mirror_rank, n (listings found), failure (of the transport), reason (why an answer holds none). Per source its error text.
+
+    A source with mirrors fails if none has listings, whatever they say; one without only if it says why; an indexer's
+    words stand as they are.
+    """
+    single = F.col("source").isin(*SINGLE) | F.col("source").startswith("torznab:")
+    name = F.when(F.col("source").isin(*BY_ID), F.col("source")).otherwise(F.coalesce(_named(F.col("source"), LABELS), F.col("source")))
+    mirrored = mirror_errors(attempts.where(~single).select("source", name.alias("name"), "mirror_rank", "n", F.coalesce("failure", "reason").alias("error")))
+    alone = attempts.where(single).groupBy("source").agg(F.max("n").alias("n"), F.max("failure").alias("failure"), F.max("reason").alias("reason")).where("n = 0 AND (failure IS NOT NULL OR reason IS NOT NULL)")
+    own = _named(F.col("source"), SINGLE)
+    text = F.when(own.isNotNull() & F.col("failure").isNotNull(), F.concat(own, F.lit(" unreachable ("), "failure", F.lit(")"))).otherwise(F.coalesce("failure", "reason"))
+    return mirrored.unionByName(alone.select("source", text.alias("error")))
+
+
 def group_selection(sources: DataFrame, selected: DataFrame) -> DataFrame:
     """Selected and all sources of each group, and whether all are selected."""
     from ..functions.classify import source_group

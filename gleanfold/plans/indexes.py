@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import pushing
-from ..operators import textindex
+from ..operators import listings, ordered, textindex
 from ..shared import work_dir
 from . import catalogs as C
-from .catalogs import DOC_LISTINGS_SQL
+from .catalogs import DOC_LISTINGS_SQL, PARTS_SQL
 from .registry import query
 
 
@@ -41,3 +41,32 @@ def keyword_index(spark, sf_dir) -> DataFrame:
         rows = index.search(q).select(F.lit(q).alias("query"), "doc_id")
         found = rows if found is None else found.unionByName(rows)
     return found
+
+
+_PAGES = [1, 2, 7, 40, 100, 1000]
+
+
+@query(f"SELECT (place - 1) // 20 + 1 AS page, place, ord, name, seeders FROM (SELECT *, row_number() OVER (ORDER BY coalesce(seeders, -1) DESC, ord) AS place FROM ({PARTS_SQL})) WHERE (place - 1) // 20 + 1 IN ({', '.join(map(str, _PAGES))})")
+def deep_pages(spark, sf_dir) -> DataFrame:
+    """Pages from all over the order, each read from the ranges that hold it."""
+    table = ordered.ordered_table(C.parts(spark, sf_dir), F.coalesce("seeders", F.lit(-1)).desc(), F.col("ord"))
+    found = None
+    for number in _PAGES:
+        rows = table.page(number).select(F.lit(number).cast("long").alias("page"), "place", "ord", "name", "seeders")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+_HOT_SQL = f"SELECT * REPLACE (CASE WHEN ord % 3 = 0 THEN 'HotHash' ELSE info_hash END AS info_hash) FROM ({DOC_LISTINGS_SQL})"
+
+
+@query(f"""
+  SELECT 'hash:' || lower(info_hash) AS key, min(ord) AS ord, arg_min(name, ord) AS name, arg_min(size, ord) AS size, max(seeders) AS seeders, max(leechers) AS leechers, arg_min(date_ms, ord) AS date_ms, arg_min(magnet, ord) AS magnet,
+    array_to_string(list(provider || '/' || id ORDER BY ord)[1:5], ' ') AS source_list, count(*) AS n_sources, count(DISTINCT provider) AS n_providers
+  FROM ({_HOT_SQL}) GROUP BY 1
+""")
+def merge_hot_hash(spark, sf_dir) -> DataFrame:
+    """A merge in which one content hash has a third of all rows: its first five sources, and how many there are."""
+    d = C.doc_listings(spark, sf_dir).withColumn("info_hash", F.when(F.col("ord") % 3 == 0, "HotHash").otherwise(F.col("info_hash")))
+    names = F.array_join(F.transform("sources", lambda s: F.concat(s["provider"], F.lit("/"), s["id"])), " ")
+    return listings.merge_first(d, 5).select("key", "ord", "name", "size", "seeders", "leechers", "date_ms", "magnet", names.alias("source_list"), "n_sources", "n_providers")

@@ -247,7 +247,7 @@ def _doc_sources(spark) -> DataFrame:
     return spark.range(25).select(F.concat(F.lit("src"), n).alias("id"), F.concat(F.lit("Source "), n).alias("name"), (F.col("id") != 3).alias("enabled"), F.lit(False).alias("demo"), (F.col("id") % 4 == 0).alias("paginated"), F.col("id").cast("int").alias("rank"))
 
 
-@query(f"SELECT id, name FROM (SELECT * FROM (VALUES {', '.join(f'({s!r}, {s!r}, {str(s in federate.PAGINATED or s in federate.GENERATED).lower()})' for s in federate.REGISTRY)}) v(id, name, pages)) WHERE pages AND id IN ('nyaa', 'demo', 'tpb', 'rutor', 'nope')")
+@query(f"SELECT id, name FROM (SELECT * FROM (VALUES {', '.join(f'({s!r}, {federate.LABELS[s]!r}, {str(s in federate.PAGINATED or s in federate.GENERATED).lower()})' for s in federate.REGISTRY)}) v(id, name, pages)) WHERE pages AND id IN ('nyaa', 'demo', 'tpb', 'rutor', 'nope')")
 def resolve_sources_semi(spark, sf_dir) -> DataFrame:
     wanted = spark.createDataFrame([(i,) for i in ("nyaa", "demo", "tpb", "rutor", "nope")], "id string")
     return federate.resolve(federate.registry(spark), wanted, page=2).select("id", "name")
@@ -492,6 +492,18 @@ query(sites.DEPENDENT_RELEASES_SQL)(sites.dependent_releases)
 query(sites.DETAIL_PAGES_SQL)(sites.detail_pages)
 
 
+@query(sites.MIRROR_LISTINGS_SQL)
+def mirror_listings(spark, sf_dir) -> DataFrame:
+    """A search over mirrors: the first that has listings counts, and detail addresses lead to it."""
+    return sites.mirror_search(spark, sf_dir).results.select("id", "name", "provider", "detail_url")
+
+
+@query(sites.MIRROR_STATUS_SQL)
+def mirror_statuses(spark, sf_dir) -> DataFrame:
+    """What the same search says of each source: its name, rows, and why there are none."""
+    return sites.mirror_search(spark, sf_dir).statuses.select("id", "name", "status", "count", "error")
+
+
 @query("SELECT n_nationkey, 'http://h.test/' || n_nationkey || CASE WHEN n_nationkey % 3 = 1 THEN '/x' ELSE '' END || '/api?apikey=k%2B' || n_nationkey || '&extended=1&t=search&q=' || replace(n_name || '+a%26b', ' ', '+') AS address FROM nation")
 def indexer_addresses(spark, sf_dir) -> DataFrame:
     n = F.col("n_nationkey").cast("string")

@@ -7,7 +7,7 @@ What its listings must be is said in SQL on the same values, so an adapter is co
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -247,3 +247,46 @@ DEPENDENT_RELEASES_SQL = f"""
     'https://m' || (k // 20) || '.test/anime/releases/release/a-' || k AS detail_url, false AS needs_magnet
   FROM r, (VALUES (' HD'), ('')) e(ending) WHERE place <= 15
 """
+
+
+# A page that is no search result, and one whose table holds no listing.
+ANTI_BOT, NO_LISTINGS = "<html><body><p>Checking your browser</p></body></html>", "<table><tbody><tr><td>menu</td></tr></tbody></table>"
+
+
+def mirror_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of sources with mirrors: (source, mirror_rank, body, error), the first mirror of some without listings."""
+    none = F.lit(None).cast("string")
+
+    def filled(source: str, rank: int) -> DataFrame:
+        site = SITES[source]
+        if source in ("uindex", "xxxclub"):  # a second container, whose rows don't count
+            head, tail = site.around.split("{rows}")
+            site = replace(site, around=site.around + head + site.row.replace("{name}", "second {name}") + tail)
+            site = replace(site, around=re.sub(r"\{(?!rows)\w+\}", "1", site.around))
+        return site.pages(spark, sf_dir).select(F.lit(source).alias("source"), F.lit(rank).alias("mirror_rank"), F.col("html").alias("body"), none.alias("error"))
+
+    told = spark.createDataFrame([
+        ("1337x", 0, ANTI_BOT, None), ("limetorrents", 0, None, "ETIMEDOUT"), ("limetorrents", 1, "", None), ("eztv", 0, NO_LISTINGS, None), ("eztv", 1, NO_LISTINGS, None), ("torrentdownloads", 0, ANTI_BOT, None), ("torrentdownloads", 1, None, "ECONNRESET"),
+        ("bt4g", 0, ANTI_BOT, None), ("anirena", 0, "", None), ("nyaa", 0, ANTI_BOT, None), ("tpb", 0, None, "ECONNRESET"), ("yts", 0, "{}", None), ("bangumimoe", 0, "{}", None), ("torrent9", 0, NO_LISTINGS, None),
+    ], "source string, mirror_rank int, body string, error string")
+    return _union([told, filled("1337x", 1), filled("1337x", 3), filled("limetorrents", 2), filled("uindex", 1), filled("xxxclub", 0)])
+
+
+MIRRORED = ["1337x", "limetorrents", "eztv", "torrentdownloads", "bt4g", "anirena", "nyaa", "tpb", "yts", "bangumimoe", "torrent9", "uindex", "xxxclub", "knaben"]
+
+
+def mirror_search(spark: SparkSession, sf_dir: str):
+    from ..engine import Engine
+
+    return Engine(spark, NOW_MS).search("anything", mirror_pages(spark, sf_dir), providers=MIRRORED, match=False)
+
+
+MIRROR_LISTINGS_SQL = f"WITH v AS ({VALUES_SQL}) " + " UNION ALL ".join(f"SELECT id, name, provider, detail_url FROM ({SITES[s].sql(s, base)})" for s, base in (("1337x", "https://1337x.st"), ("limetorrents", "https://limetorrents.pro"), ("uindex", "https://uindex.to"), ("xxxclub", "https://xxxclub.to")))
+# What the sources' errors must read.
+MIRROR_STATUS_SQL = """
+  WITH n AS (SELECT count(*) AS n FROM supplier), s(id, name, error) AS (VALUES
+    ('1337x', '1337x', NULL), ('limetorrents', 'LimeTorrents', NULL), ('eztv', 'EZTV', 'EZTV unreachable (no_results_parsed; no_results_parsed)'), ('torrentdownloads', 'TorrentDownloads', 'TorrentDownloads unreachable (no_container; ECONNRESET)'),
+    ('bt4g', 'Bt4g', 'Bt4g unreachable ()'), ('anirena', 'AniRena', 'anirena unreachable (no_html)'), ('nyaa', 'NYAA', NULL), ('tpb', 'The Pirate Bay', 'TPB unreachable (ECONNRESET)'), ('yts', 'YTS', NULL), ('bangumimoe', 'Bangumi.Moe', 'bangumimoe unreachable (bad_response)'),
+    ('torrent9', 'Torrent9', 'Torrent9 unreachable (no_results_parsed)'), ('uindex', 'UIndex', NULL), ('xxxclub', 'XXXClub', NULL), ('knaben', 'Knaben', NULL))
+  SELECT id, name, CASE WHEN error IS NULL THEN 'ok' ELSE 'error' END AS status, CASE WHEN id IN ('1337x', 'limetorrents', 'uindex', 'xxxclub') THEN n ELSE 0 END AS count, error FROM s, n
+"""

@@ -154,3 +154,12 @@ def anilibria_pages(pages: DataFrame, *keep: str) -> DataFrame:
 
 
 JSON_SOURCES: dict[str, Callable] = {"tpb": tpb, "yts": yts, "knaben": knaben, "torrentscsv": torrentscsv, "subsplease": subsplease, "bangumimoe": bangumimoe, "internetarchive": internetarchive, "anilibria": anilibria_pages}
+
+
+def answer_fault(source, body):
+    """What a source that doesn't send HTML says of an answer in another shape; null if the shape is right."""
+    starts = lambda c: F.coalesce(F.startswith(F.ltrim(c), F.lit("[")), F.lit(False))
+    return (
+        F.when((source == "tpb") & ~starts(body), "unexpected response").when((source == "anilibria") & ~starts(body), "bad_response")
+        .when((source == "bangumimoe") & ~starts(F.get_json_object(body, "$.torrents")), "bad_response").when((source == "internetarchive") & ~starts(F.get_json_object(body, "$.response.docs")), "no_docs")
+    )

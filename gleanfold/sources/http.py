@@ -6,7 +6,6 @@ import json
 import time
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 SCHEMA = "source string, mirror_rank int, url string, status int, body string, location string, error string, ms long"
@@ -108,9 +107,3 @@ class ListingPages(DataSource):
 def fetch_pages(spark: SparkSession, requests: list[dict], timeout: float = TIMEOUT_S) -> DataFrame:
     prune_sources(spark, ListingPages)
     return spark.read.format("listing_pages").option("requests", json.dumps(requests)).option("timeout", str(timeout)).load()
-
-
-def attempts(pages: DataFrame, rows: DataFrame) -> DataFrame:
-    """source, mirror_rank, n, error of each request; rows: the listings found, with source and mirror_rank."""
-    n = rows.groupBy("source", "mirror_rank").agg(F.count("*").alias("n"))
-    return pages.join(n, ["source", "mirror_rank"], "left").select("source", F.col("source").alias("name"), "mirror_rank", F.coalesce("n", F.lit(0)).alias("n"), "error", "ms")

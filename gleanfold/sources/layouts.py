@@ -30,6 +30,7 @@ class Layout:
     least_cells: int = 0
     cells: str = ""
     inside: str = ""  # only rows of the last element of this kind
+    first: str = ""  # only rows of the first element of this kind
     category: str | None = None
     table: dict[str, str] | None = None
     default: str | None = "Other"
@@ -102,7 +103,7 @@ LAYOUTS: dict[str, Layout] = {
     "torrentdatabase": Layout("https://developify.ca", "table.torrent-table > tbody > tr", {"name": "td:nth-child(1) > a:nth-child(2)", "hash": "td:nth-child(1) > a:nth-child(2) | @href", "href": "td:nth-child(1) > a:nth-child(1) | @href", "category": "td:nth-child(2) > span.category-bubble", "size": "td.size-cell", "date": "td.date-cell", "seeders": "td:nth-child(5) > div > span:nth-child(1)", "leechers": "td:nth-child(5) > div > span:nth-child(2)"}, need=("name", "hash"),
         table={"Software": "Apps", "E-Books": "Books", "AudioBooks": "Books", "Games": "Games", "Movies": "Movies", "Music": "Music", "Porn": "Porn", "TV": "Series"}, fix={"hash": lambda c: canon.blank_to_null(canon.trim(F.substring_index(F.regexp_replace(c, "^/track/magnet/", ""), "?", 1)))}),
     "torrentkitty": Layout("https://torrentkitty.tv", "table#archiveResult > tbody > tr", {"name": "td.name", "magnet": "td.action > a:nth-child(2) | @href", "href": "td.action > a:nth-child(1) | @href", "size": "td.size", "date": "td.date"}, skip=1, fix={"size": F.upper}),
-    "uindex": Layout("https://uindex.org", "table.sr-table > tbody > tr, table.top-table > tbody > tr", {"name": "td.sr-col-name > a.sr-torrent-link", "href": "td.sr-col-name > a.sr-torrent-link | @href", "magnet": "td.sr-col-name > a.sr-magnet | @href", "size": "td.sr-col-size", "seeders": "td.sr-col-seeders > span.sr-seed", "leechers": "td.sr-col-leechers > span.sr-leech", "date": "td.sr-col-uploaded", "category": "td.sr-col-cat > a.sr-cat-badge"},
+    "uindex": Layout("https://uindex.org", "tbody > tr", first="table.sr-table, table.top-table", fields={"name": "td.sr-col-name > a.sr-torrent-link", "href": "td.sr-col-name > a.sr-torrent-link | @href", "magnet": "td.sr-col-name > a.sr-magnet | @href", "size": "td.sr-col-size", "seeders": "td.sr-col-seeders > span.sr-seed", "leechers": "td.sr-col-leechers > span.sr-leech", "date": "td.sr-col-uploaded", "category": "td.sr-col-cat > a.sr-cat-badge"},
         table={"Anime": "Anime", "Apps": "Apps", "Games": "Games", "Movies": "Movies", "Music": "Music", "XXX": "Porn", "TV": "Series", "Other": "Other"}),
     "zeromagnet": Layout("https://9mag.net", "table.file-list > tbody > tr", {"name": "td:nth-child(1) > a", "href": "td:nth-child(1) > a | @href"}, need=("name", "href"), category="Porn"),
     "bitsearch": Layout("https://bitsearch.to", "div.space-y-4 > div > div:nth-child(1)", {"name": "h3", "href": "h3 > a | @href", "magnet": "a[href^=magnet:] | @href", "category": "[class*=category], [class*=tag], [class*=badge]"}, cells="div", fix={"category": _by_prefix([("TV", "Series"), ("XXX", "Porn"), ("Movies", "Movies"), ("Anime", "Anime"), ("Softwares", "Apps"), ("Games", "Games"), ("Music", "Music"), ("AudioBook", "Books"), ("Ebook", "Books")])}),
@@ -113,7 +114,7 @@ LAYOUTS: dict[str, Layout] = {
     "linuxtracker": Layout("https://linuxtracker.org", "tr", {"name": "td.lista a[href*=torrent-details]", "href": "td.lista a[href*=torrent-details] | @href", "hash": "td.lista a[href*=torrent-details] | @href", "date": "td:nth-child(4)", "size": "td:nth-child(5)", "seeders": "td:nth-child(7)", "leechers": "td:nth-child(8)"}, least_cells=6, category="Apps", fix={"hash": _lower_group("(?i)[?&]id=([a-f0-9]{40})")}, date=lambda c: canon.parse_date_as(c, "d/M/yyyy")),
     "megapeer": Layout("https://megapeer.vip", "div#index > table > tbody > tr.table_fon", {"name": "td:nth-child(2) > a:nth-child(2)", "href": "td:nth-child(2) > a:nth-child(2) | @href", "size": "td:nth-child(3)", "seeders": "td:nth-child(4) > font:nth-child(2)", "leechers": "td:nth-child(4) > font:nth-child(4)", "date": "td:nth-child(1)"}, need=("name", "href"), fix={"date": canon.ru_date}),
     "mypornclub": Layout("https://myporn.club", "div.torrents_list > div.torrent_element", {"name": "div.torrent_element_text_div > a:nth-child(2) > span.torrent_element_text_span", "href": "div.torrent_element_text_div > a:nth-child(2) | @href", "size": "div.torrent_element_info > span.teiv:nth-child(4)", "seeders": "div.torrent_element_info > span.teiv.teiv_seeders", "leechers": "div.torrent_element_info > span.teiv.teiv_leechers", "date": "div.torrent_element_info > span.teiv:nth-child(2)"}, need=("name", "href"), category="Porn"),
-    "xxxclub": Layout("https://xxxclub.to", "div.browsetableinside ul > li, div.divtableinside ul > li", {"name": "span:nth-child(2) > a[href^=/torrents/details]", "href": "span:nth-child(2) > a[href^=/torrents/details] | @href", "size": "span.siz", "seeders": "span.see", "leechers": "span.lee", "date": "span.adde"}, need=("name", "href"), category="Porn"),
+    "xxxclub": Layout("https://xxxclub.to", "ul > li", first="div.browsetableinside, div.divtableinside", fields={"name": "span:nth-child(2) > a[href^=/torrents/details]", "href": "span:nth-child(2) > a[href^=/torrents/details] | @href", "size": "span.siz", "seeders": "span.see", "leechers": "span.lee", "date": "span.adde"}, need=("name", "href"), category="Porn"),
     "xxxtracker": Layout("https://xxxtor.com", "table > tbody > tr", {"name": "td:nth-child(2) > a:nth-child(3)", "href": "td:nth-child(2) > a:nth-child(3) | @href", "magnet": "td:nth-child(2) > a[href^=magnet:]:nth-child(1) | @href", "size": "td:nth-child(3)", "seeders": "td:nth-child(4) > span:nth-child(1)", "leechers": "td:nth-child(4) > span:nth-child(2)", "date": "td:nth-child(1)"}, need=("name", "magnet"), skip=1, category="Porn", fix={"date": canon.ru_date}),
 }
 # Further addresses of sources with mirrors, in order of preference.
@@ -123,6 +124,15 @@ MIRRORS: dict[str, list[str]] = {
     "torrent9": ["https://www6.torrent9.to", "https://www.torrent9.to", "https://torrent9.so", "https://ww1.torrent9.to"], "torrentdownload": ["https://torrentdownload.info", "https://torrentdownload.me"], "torrentdownloads": ["https://torrentdownloads.pro", "https://torrentdownloads.me", "https://torrentdownloads.org"],
     "torrentkitty": ["https://torrentkitty.tv", "https://torrentkitty.to", "https://torrentkitty.is"], "uindex": ["https://uindex.org", "https://uindex.to"], "bitsearch": ["https://bitsearch.to", "https://bitsearch.am"], "oxtorrent": ["https://oxtorrent.co", "https://oxtorrent.so"], "anilibria": ["https://anilibria.top", "https://www.anilibria.top"],
 }
+# What sources say of a page without rows; without their container; whose rows hold no listing; and of an answer without a page.
+NO_ROWS = {
+    "1337x": "no_results_parsed", "audiobookbay": "no_results_parsed", "bitsearch": "no_results", "blueroms": "no_results_parsed", "eztv": "no_results_parsed", "filemood": "no_results_parsed", "limetorrents": "no_results_parsed", "linuxtracker": "no_results_parsed",
+    "megapeer": "no_results_parsed", "mypornclub": "no_results_parsed", "oxtorrent": "no_results", "rutor": "no_results_parsed", "therarbg": "no_results_parsed", "torrent9": "no_results_parsed", "torrentdatabase": "no_results", "torrentdownload": "no_results_parsed",
+    "torrentdownloads": "no_results", "torrentkitty": "no_results", "uindex": "no_results", "xxxclub": "no_results_parsed", "xxxtracker": "no_results_parsed", "zeromagnet": "no_results",
+}
+NO_CONTAINER = {"torrentdownloads": "no_container", "uindex": "no_container", "xxxclub": "no_results_parsed"}
+NO_LISTING = {"audiobookbay": "no_results_parsed", "blueroms": "no_results_parsed", "mypornclub": "no_results_parsed", "torrent9": "no_results_parsed", "xxxclub": "no_results_parsed"}
+NO_PAGE = {"anirena": "no_html", "animetosho": "no_html", "dmhy": "no_html", "mikan": "no_html", "nyaa": "null", "internetarchive": "no_data", "subsplease": "no_data"}
 # Where a detail page has its magnet or hash.
 DETAILS: dict[str, tuple[str, str]] = {
     "1337x": ("a[href^=magnet:] | @href", "magnet"), "anirena": ("div.td-actions > a:nth-child(1) | @href", "redirect"), "bt4g": ("a[href^=//downloadtorrentfile.com/hash/] | @href", "hash_link"), "therarbg": ("a[href^=magnet:?] | @href", "magnet"), "torrent9": ("a[href^=magnet:?] | @href", "magnet"),
@@ -157,12 +167,14 @@ def _value(row: Node, second: Node | None, spec: str) -> str | None:
     return node.own_text() if what == "own" else node.text()
 
 
-def extract(html: str | None, layout: Layout) -> list[tuple[dict[str, str], list[str]]]:
-    """(fields, cells) of each row of one page."""
+def extract(html: str | None, layout: Layout) -> tuple[list[tuple[dict[str, str], list[str]]], bool]:
+    """(fields, cells) of each row of one page, and whether the page has what its rows stand in."""
     page = parse(html)
-    if layout.inside:
-        boxes = page.select(layout.inside)
-        page = boxes[-1] if boxes else Node("#none", {}, None)
+    if layout.inside or layout.first:
+        boxes = page.select(layout.inside) if layout.inside else [page.first(layout.first)]
+        if not boxes or boxes[-1] is None:
+            return [], False
+        page = boxes[-1]
     rows, out = page.select(layout.rows)[layout.skip :], []
     steps = zip(rows[::2], rows[1::2]) if layout.pairs else ((r, None) for r in rows)
     for row, second in steps:
@@ -170,13 +182,16 @@ def extract(html: str | None, layout: Layout) -> list[tuple[dict[str, str], list
             continue
         found = {k: v for k, spec in layout.fields.items() if (v := _value(row, second, spec)) is not None}
         out.append((found, [c.text().strip() for c in row.select(layout.cells)] if layout.cells else []))
-    return out
+    return out, True
 
 
 def page_rows(pages: DataFrame, source_col: str = "source", html_col: str = "html", *keep: str) -> DataFrame:
-    """Pages of any sources to rows (source, place, f map of fields, cells), each by its own layout, in one pass."""
+    """Pages of any sources to rows (source, place, f map of fields, cells), each by its own layout, in one pass.
+
+    A page without rows gives one with place -1, whose field "none" is what its source says of such a page.
+    """
     kinds = dict(pages.dtypes)
-    plain = {s: Layout(x.base, x.rows, x.fields, skip=x.skip, pairs=x.pairs, least_cells=x.least_cells, cells=x.cells, inside=x.inside) for s, x in LAYOUTS.items()}
+    plain = {s: Layout(x.base, x.rows, x.fields, skip=x.skip, pairs=x.pairs, least_cells=x.least_cells, cells=x.cells, inside=x.inside, first=x.first) for s, x in LAYOUTS.items()}
     n = len(keep)
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keep), "source string, place int, f map<string,string>, cells array<string>"])
 
@@ -193,7 +208,15 @@ def page_rows(pages: DataFrame, source_col: str = "source", html_col: str = "htm
                 return pa.RecordBatch.from_arrays(out, schema=kind)
 
             for i, (source, html) in enumerate(zip(batch.column(n), batch.column(n + 1))):
-                for at, (f, c) in enumerate(extract(html.as_py(), plain[source.as_py()])):
+                name = source.as_py()
+                found, whole = extract(html.as_py(), plain[name])
+                if not found:
+                    none = NO_ROWS.get(name, "") if whole else NO_CONTAINER.get(name, NO_ROWS.get(name, ""))
+                    which.append(i)
+                    place.append(-1)
+                    fields.append([("none", none)])
+                    cells.append([])
+                for at, (f, c) in enumerate(found):
                     which.append(i)
                     place.append(at)
                     fields.append(list(f.items()))
@@ -214,7 +237,7 @@ def html_listings(pages: DataFrame, source: str, html_col: str = "html", *keep:
 
 def row_listings(rows: DataFrame, source: str, *keep: str) -> DataFrame:
     """Raw listings of one source's rows (place, f, cells), as expressions."""
-    layout = LAYOUTS[source]
+    layout, rows = LAYOUTS[source], rows.where("place >= 0")
     names = dict.fromkeys([*layout.fields, "size", "seeders", "leechers", "date", "stamp", "magnet", "hash", "category", "href", *layout.fix])
     cols = {n: canon.blank_to_null(canon.trim(F.try_element_at("f", F.lit(n)))) for n in names}
     if source in ("rutor", "bitsearch"):
@@ -251,11 +274,13 @@ def row_listings(rows: DataFrame, source: str, *keep: str) -> DataFrame:
     magnet = F.col("magnet")
     if source == "torrentdatabase":
         magnet = F.concat(F.lit("magnet:?xt=urn:btih:"), "hash", F.lit("&tr=https%3A%2F%2Fdevelopify.ca%2Fannounce"))
-    stamp = F.col("stamp").try_cast("bigint")
+    stamp, base = F.col("stamp").try_cast("bigint"), layout.base
+    if "mirror_rank" in keep and source in MIRRORS:  # addresses lead to the mirror that answered
+        base = F.coalesce(F.get(F.array(*map(F.lit, MIRRORS[source])), F.col("mirror_rank").cast("int")), F.lit(layout.base))
     return rows.select(
         *keep, "place", F.lit(source).alias("provider"), "name", info_hash.alias("info_hash"), F.col("size").alias("size_raw"), F.col("date").alias("date_raw"),
         F.coalesce(stamp, layout.date(F.col("date")) if layout.date else F.lit(None).cast("bigint")).alias("date_num"), "seeders", "leechers", magnet.alias("magnet"),
-        category.alias("category"), canon.absolute_url(F.col("href"), layout.base).alias("detail_url"),
+        category.alias("category"), canon.absolute_url(F.col("href"), base).alias("detail_url"),
     )
 
 

@@ -199,7 +199,7 @@ def test_engine(spark, tmp_path):
     engine = Engine(spark, NOW, store)
     r = engine.search(" linux ", pages_, match=False)
     status = {s.id: (s.status, s["count"], s.error) for s in r.statuses.collect()}
-    assert status["1337x"] == ("ok", 1, None) and status["yts"] == ("error", 0, "yts unreachable (ETIMEDOUT)") and status["demo"][1] == 20 and r.has_more() and r.responded() == (41, 42)
+    assert status["1337x"] == ("ok", 1, None) and status["yts"] == ("error", 0, "YTS unreachable (ETIMEDOUT)") and status["demo"][1] == 20 and r.has_more() and r.responded() == (41, 42)
     merged = {m.key: m for m in engine.merge(r).collect()}
     m = merged[f"hash:{H}"]
     assert m.providers == ["tpb", "rutor", "torznab:own"] and (m.name, m.seeders) == ("P", 99)
@@ -254,7 +254,7 @@ def test_engine_stream(spark, tmp_path):
     got = {}
     arrivals = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
     Engine(spark, NOW).stream(arrivals, lambda s, df, status: got.update({s: ([r.name for r in df.collect()], status)}), 7).wait()
-    assert got == {"1337x": (["N1"], {"status": "ok", "count": 1, "error": None, "ms": None}), "yts": ([], {"status": "error", "count": 0, "error": "ETIMEDOUT", "ms": None})}
+    assert got == {"1337x": (["N1"], {"status": "ok", "count": 1, "error": None, "ms": None}), "yts": ([], {"status": "error", "count": 0, "error": "YTS unreachable (ETIMEDOUT)", "ms": None})}
 
 
 def test_engine_fetches_releases(spark, monkeypatch):
@@ -294,3 +294,26 @@ def test_paging_has_no_cap(spark, monkeypatch):
 
     monkeypatch.setattr(engine, "search", made)
     assert len(list(engine.pages("x", lambda q, n: None))) == 12
+
+
+def test_pages_without_listings_are_errors(spark):
+    """A page that holds no listing is an error where the source says so, with its own words."""
+    rows = [("eztv", 0, "<p>x</p>", None), ("eztv", 1, "<table><tbody><tr></tr><tr></tr></tbody></table>", None), ("xxxclub", 0, "<p>x</p>", None), ("1337x", 0, "<html>just a moment</html>", None), ("sukebei", 0, "<p>x</p>", None), ("nyaa", 0, "<p>x</p>", None), ("nyaa", 0, None, None), ("subsplease", 0, None, None), ("torznab:a", 0, "", None)]
+    pages = spark.createDataFrame(rows, "source string, mirror_rank int, body string, error string")
+    from gleanfold.operators import federate
+
+    engine = Engine(spark, NOW)
+    none = spark.createDataFrame([], "provider string, mirror_rank int")
+    said = {r.source: r.error for r in federate.source_errors(engine.attempts(pages, none, engine.parsed(pages))).collect()}
+    assert said == {
+        "eztv": "EZTV unreachable (no_results_parsed; no_results_parsed)", "xxxclub": "xxxclub unreachable (no_results_parsed)", "1337x": "1337x unreachable (no_results_parsed)", "sukebei": "Sukebei unreachable ()",
+        "subsplease": "SubsPlease unreachable (no_data)", "torznab:a": "empty_response",
+    }
+
+
+def test_first_container_and_mirror_address(spark):
+    row = "<tr><td class=sr-col-name><a class=sr-torrent-link href=/t/{0}>{0}</a></td></tr>"
+    page = "<table class=top-table><tbody>" + row.format("a") + "</tbody></table><table class=sr-table><tbody>" + row.format("b") + "</tbody></table>"
+    df = spark.createDataFrame([(1, page), (7, page)], "mirror_rank int, html string")
+    got = layouts.html_listings(df, "uindex", "html", "mirror_rank").collect()
+    assert [(r.mirror_rank, r.name, r.detail_url) for r in got] == [(1, "a", "https://uindex.to/t/a"), (7, "a", "https://uindex.org/t/a")]
