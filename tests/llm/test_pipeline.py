@@ -163,17 +163,37 @@ def agreement(a, b):
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def test_sketches_agree_as_shingles_do():
-    from gleanfold.llm.simhash import shingle_sketch, sketch_agreement
+def test_sets_agree_as_shingles_do():
+    from gleanfold.llm.simhash import set_agreement, shingle_set
 
     rng = random.Random(5)
-    for n, slack in ((0, 0), (3, 0), (5, 0), (400, 0), (5000, 0.07)):
+    for n in (0, 3, 5, 400, 5000, 40000):
         a = [varied(rng, 1) for _ in range(n)]
         for rate in (0, 0.01, 0.03, 0.2):
             b = [varied(rng, 1) if rng.random() < rate else w for w in a]
-            got = sketch_agreement(*(shingle_sketch(" ".join(w)) for w in (a, b)))
-            assert abs(got - agreement(a, b)) <= slack + 1e-9
-    assert sketch_agreement(shingle_sketch("one"), shingle_sketch(None)) == 0.0 and shingle_sketch(" \t") == b""
+            got = set_agreement(*(shingle_set(" ".join(w)) for w in (a, b)))
+            assert abs(got - agreement(a, b)) <= 1e-4
+    assert set_agreement(shingle_set("one"), shingle_set(None)) == 0.0 and shingle_set(" \t") == b""
+
+
+def test_long_texts_near_the_threshold(spark):
+    """Texts of thousands of shingles just below and just above 0.8: an estimate could not tell them apart."""
+    from gleanfold.llm.simhash import shingle_set, verified_edges
+
+    rng = random.Random(8)
+    texts, edges, want = {}, [], set()
+    for i in range(12):
+        words = [varied(rng, 1) + str(k) for k in range(3000)]
+        copy = words[:]
+        for k in range(66 + i % 3):  # every changed word takes five of 2,996 shingles: 0.8016, 0.7989, 0.7962
+            copy[10 + 44 * k] = f"changed{i}"
+        texts |= {2 * i: " ".join(words), 2 * i + 1: " ".join(copy)}
+        edges.append((2 * i, 2 * i + 1))
+        if agreement(words, copy) >= 0.8:
+            want.add((2 * i, 2 * i + 1))
+    sets = spark.createDataFrame([(k, bytearray(shingle_set(t))) for k, t in texts.items()], "node long, shingles binary")
+    got = verified_edges(spark.createDataFrame(edges, "src long, dst long"), sets, 0.8)
+    assert len(want) == 4 and {tuple(r) for r in got.collect()} == want
 
 
 def test_candidates_below_the_similarity_stay(spark, tmp_path):
