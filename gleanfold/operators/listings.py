@@ -70,29 +70,26 @@ def merge_sources(listings: DataFrame, order: str = "ord") -> DataFrame:
     )
 
 
-def merge_first(listings: DataFrame, most: int = 32, order: str = "ord") -> DataFrame:
+def merge_first(listings: DataFrame, most: int = 32, order: str = "ord", fields: tuple[str, ...] = ("provider", "magnet", "detail_url", "id")) -> DataFrame:
     """merge_sources for hashes of any size: ``sources`` has the first ``most`` in order of arrival, n_sources and n_providers count all.
 
-    Every task keeps at most ``most`` rows of a key (the window's group limit) before the shuffle, numbers are
-    combined before it, and the texts of a key are those of its first row. So a hash that a third of all rows have keeps tasks bounded.
+    Every task keeps at most ``most`` rows of a key (the window's group limit), and one of each text, before
+    the shuffle. So a hash that a third of all rows have keeps tasks bounded. Texts are shuffled once, unless ``fields``, what is said of a source, has some.
     """
-    keyed = listings.withColumn("key", merge_key())
-    ord_ = F.col(order)
-    at = lambda c: F.min(F.when(F.col(c).isNotNull(), ord_)).alias(f"_{c}_at")
-    numbers = keyed.groupBy("key").agg(F.count("*").alias("n_sources"), F.max("seeders").alias("seeders"), F.max("leechers").alias("leechers"), *(F.min_by(c, F.when(F.col(c).isNotNull(), ord_)).alias(c) for c in ("size", "date_ms", "files")), at("magnet"), F.count("detail_url").alias("_details"))
-    distinct = keyed.groupBy("key", "provider").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("provider").alias("n_providers"))
+    keyed, ord_ = listings.withColumn("key", merge_key()), F.col(order)
+    known = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), ord_)).alias(c)
+    first = F.min_by(F.struct("name", "category", "info_hash"), ord_)
+    merged = keyed.groupBy("key").agg(
+        F.min(ord_).alias("ord"), first.alias("first"), F.count("*").alias("n_sources"), F.max("seeders").alias("seeders"), F.max("leechers").alias("leechers"), known("size"), known("date_ms"), known("files"), known("magnet"), (F.count("detail_url") > 0).alias("_details"),
+    )
     n = F.row_number().over(Window.partitionBy("key").orderBy(ord_))
-    first = keyed.select("key", ord_.alias("ord"), "name", "category", "info_hash", "magnet", "provider", "detail_url", "id", n.alias("_n")).where(F.col("_n") <= most)
-    lead = lambda c: F.max(F.when(F.col("_n") == 1, F.col(c))).alias(c)
-    sources = F.array_sort(F.collect_list(F.struct("_n", "provider", "magnet", "detail_url", "id")))
-    heads = first.groupBy("key").agg(lead("ord"), lead("name"), lead("category"), lead("info_hash"), sources.alias("sources"))
-    # the first known magnet, which may stand behind the first rows
-    known = keyed.where("magnet IS NOT NULL").select("key", "magnet", F.row_number().over(Window.partitionBy("key").orderBy(ord_)).alias("_m")).where("_m = 1").drop("_m")
-    out = heads.join(numbers, "key").join(distinct, "key").join(known, "key", "left")
-    plain = F.transform("sources", lambda s: F.struct(s["provider"].alias("provider"), s["magnet"].alias("magnet"), s["detail_url"].alias("detail_url"), s["id"].alias("id")))
-    return out.select(
-        "key", "ord", "name", "size", canon.format_size(F.col("size")).alias("size_text"), "seeders", "leechers", "date_ms", canon.format_date(F.col("date_ms")).alias("date_text"), "category", "files", "info_hash", "magnet",
-        (F.col("_magnet_at").isNull() & (F.col("_details") > 0)).alias("needs_magnet"), plain.alias("sources"), "n_sources", "n_providers",
+    rows = keyed.select("key", *fields, n.alias("_n")).where(F.col("_n") <= most)
+    heads = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("_n", *fields))).alias("sources"))
+    providers = keyed.select("key", "provider").distinct().groupBy("key").agg(F.count("provider").alias("n_providers"))
+    plain = F.transform("sources", lambda s: F.struct(*(s[c].alias(c) for c in fields)))
+    return merged.join(heads, "key").join(providers, "key").select(
+        "key", "ord", "first.name", "size", canon.format_size(F.col("size")).alias("size_text"), "seeders", "leechers", "date_ms", canon.format_date(F.col("date_ms")).alias("date_text"), "first.category", "files", "first.info_hash", "magnet",
+        (F.col("magnet").isNull() & F.col("_details")).alias("needs_magnet"), plain.alias("sources"), "n_sources", "n_providers",
     )
 
 

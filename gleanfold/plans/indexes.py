@@ -69,4 +69,4 @@ def merge_hot_hash(spark, sf_dir) -> DataFrame:
     """A merge in which one content hash has a third of all rows: its first five sources, and how many there are."""
     d = C.doc_listings(spark, sf_dir).withColumn("info_hash", F.when(F.col("ord") % 3 == 0, "HotHash").otherwise(F.col("info_hash")))
     names = F.array_join(F.transform("sources", lambda s: F.concat(s["provider"], F.lit("/"), s["id"])), " ")
-    return listings.merge_first(d, 5).select("key", "ord", "name", "size", "seeders", "leechers", "date_ms", "magnet", names.alias("source_list"), "n_sources", "n_providers")
+    return listings.merge_first(d, 5, fields=("provider", "id")).select("key", "ord", "name", "size", "seeders", "leechers", "date_ms", "magnet", names.alias("source_list"), "n_sources", "n_providers")
