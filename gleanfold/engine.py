@@ -138,30 +138,25 @@ class Engine:
         targets = federate.resolve(self.sources(), wanted, page)
         ranks = {r.id: r["rank"] for r in targets.select("id", "rank").collect()}  # the registry's size
         present = [r[0] for r in pages.select("source").distinct().collect() if r[0] in ranks]
-        parts, listed, match = [], [], "url" not in pages.columns if match is None else match
+        parts, asked, match = [], None, "url" not in pages.columns if match is None else match
         parsed = self.parsed(pages) if any(s in layouts.LAYOUTS for s in present) else None
-        for source in sorted(present, key=ranks.get):
-            raw = self.raw(pages, source, parsed)
-            rows = listings.normalize(raw.withColumn("place", F.col("place").cast("long")), self.now_ms, "mirror_rank", "place")
-            listed.append(rows.select("provider", "mirror_rank"))
-            parts.append((rows.where(refine.matches(query)) if match else rows).withColumn("source_rank", F.lit(ranks[source])))
+        if present:
+            raws = [self.raw(pages, s, parsed).withColumn("place", F.col("place").cast("long")).withColumn("mirror_rank", F.col("mirror_rank").cast("int")).withColumn("source_rank", F.lit(ranks[s])) for s in sorted(present, key=ranks.get)]
+            asked = listings.normalize_all(raws, self.now_ms, "mirror_rank", "place", "source_rank")
+            parts.append(asked.where(refine.matches(query)) if match else asked)
         if "demo" in ranks:
             pool = refine.page(demo.pool(self.spark, query, self.now_ms).orderBy("ord"), page, demo.PAGE)
             made = listings.normalize(pool, self.now_ms, "ord").withColumn("mirror_rank", F.lit(0)).withColumn("place", F.col("ord").cast("long")).drop("ord")
             parts.append(made.withColumn("source_rank", F.lit(ranks["demo"])))
         if not parts:
             empty = listings.normalize(self.spark.createDataFrame([], listings.RAW), self.now_ms)
-            found = empty.withColumns({c: F.lit(None).cast(k) for c, k in (("mirror_rank", "int"), ("place", "long"), ("source_rank", "int"))})
-        else:
-            found = parts[0]
-            for p in parts[1:]:
-                found = found.unionByName(p)
+            parts.append(empty.withColumns({c: F.lit(None).cast(k) for c, k in (("mirror_rank", "int"), ("place", "long"), ("source_rank", "int"))}))
+        found = reduce(DataFrame.unionByName, parts)
         found = federate.first_mirror(found, "provider")
         ordered = found.withColumn("ord", F.struct(F.lit(page).alias("page"), "source_rank", "place"))
         failed = None
-        if listed:
-            every = reduce(DataFrame.unionByName, listed)
-            failed = federate.source_errors(self.attempts(pages.where(F.col("source").isin(present)), every, parsed)).withColumnRenamed("source", "id")
+        if asked is not None:
+            failed = federate.source_errors(self.attempts(pages.where(F.col("source").isin(present)), asked.select("provider", "mirror_rank"), parsed)).withColumnRenamed("source", "id")
         statuses = federate.status(targets, found, failed, pages)
         more = F.when(F.col("demo"), F.lit(demo.has_more(page))).otherwise(F.lit(None).cast("boolean"))
         return Response(query, page, ordered, statuses.withColumn("has_more", more))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,13 @@ def normalize(raw: DataFrame, now_ms: int, *keep: str) -> DataFrame:
     )
 
 
+def normalize_all(raws: list[DataFrame], now_ms: int, *keep: str) -> DataFrame:
+    """Raw rows of many sources to listings: brought to one schema first, so that the rules are planned and compiled once."""
+    columns = [c.strip().split() for c in RAW.split(",")]
+    same = [raw.select(*(_col(raw, name, kind).alias(name) for name, kind in columns), *keep) for raw in raws]
+    return normalize(reduce(DataFrame.unionByName, same), now_ms, *keep)
+
+
 def dedupe_first(listings: DataFrame, order: str = "ord", key: str = "id") -> DataFrame:
     """The first arrival of each identifier; one aggregate, combined before its one shuffle. A null identifier counts as one; of rows with equal ``order`` one stays."""
     row = F.struct(*listings.columns)

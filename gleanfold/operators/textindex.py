@@ -58,7 +58,7 @@ class TextIndex:
         test = F.lit(True)
         for t in sorted(wanted):
             for h in _bits(F.lit(t)):
-                test = test & _has_bit(F.get("words", F.shiftright(h, 6).cast("int")), h.bitwiseAND(F.lit(63)))
+                test = test & _has_bit(F.coalesce(F.try_element_at("words", F.shiftright(h, 6).cast("int")), F.lit(0).cast("long")), h.bitwiseAND(F.lit(63)))
         return [r[0] for r in self.filters().where(test).select("segment").collect()]
 
     def candidates(self, query: str) -> DataFrame | None:
@@ -173,7 +173,6 @@ def build_index(table: DataFrame, text_col: str = "name", folder: str | None = N
     bits = index.masks().select("segment", F.explode(F.array(*_bits(F.col("trigram")))).alias("bit"))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int"))
     words = bits.groupBy("segment", F.shiftright("bit", 6).cast("int").alias("at")).agg(F.bit_or(one).alias("word"))
-    filters = words.groupBy("segment").agg(F.map_from_entries(F.collect_list(F.struct("at", "word"))).alias("m"))  # BLOOM_WORDS entries at most
-    whole = F.transform(F.sequence(F.lit(0), F.lit(BLOOM_WORDS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long")))
-    filters.select("segment", whole.alias("words")).write.parquet(f"{folder}/filters")
+    filters = words.groupBy("segment").agg(F.map_from_entries(F.collect_list(F.struct("at", "word"))).alias("words"))  # BLOOM_WORDS entries at most
+    filters.write.parquet(f"{folder}/filters")
     return index

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import SOURCE_GROUPS
 from ..operators import listings
+from ..shared import work_dir
 from ..sources import feeds, layouts
 from .catalogs import NOW_MS, encode_sql, read
 
@@ -136,8 +137,12 @@ SITE_GROUPS = {group: [s for s in members if s in SITES] for group, members in S
 
 
 def html_sites(spark: SparkSession, sf_dir: str, sources: list[str]) -> DataFrame:
-    """Listings of the sources' pages: made, read by their layouts, normalised."""
-    return _union([listings.normalize(layouts.html_listings(SITES[s].pages(spark, sf_dir), s), NOW_MS).select(*OUT) for s in sources])
+    """Listings of the sources' pages: made, read in one pass each by its layout, normalised together."""
+    made = _union([SITES[s].pages(spark, sf_dir).select(F.lit(s).alias("source"), "html") for s in sources])
+    parsed = work_dir(spark, "sites")
+    layouts.page_rows(made).write.partitionBy("source").parquet(parsed)
+    rows = spark.read.parquet(parsed)
+    return listings.normalize_all([layouts.row_listings(rows.where(F.col("source") == s), s) for s in sources], NOW_MS).select(*OUT)
 
 
 def html_sites_sql(sources: list[str]) -> str:
@@ -202,7 +207,7 @@ def json_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
         "bangumimoe": _bodies(v, alias(_id=col("k"), title=col("name"), infohash=F.when(key % 2 == 0, col("hash")).otherwise(""), magnet=col("magnet"), size=F.concat(F.lit(" "), "size"), seeders=col("seeders"), leechers=col("leechers"), publish_time=F.replace(F.concat("iso", F.lit(":00.000Z")), F.lit(" "), F.lit("T"))), '{"torrents": {items}}'),
         "internetarchive": _bodies(v, alias(identifier=F.concat(F.lit("id-"), "k"), title=col("name"), mediatype=_pick([m for m, _ in MEDIA], key), item_size=size, publicdate=F.replace(F.concat("iso", F.lit(":00Z")), F.lit(" "), F.lit("T")), btih=F.when(key % 3 != 0, col("upper"))), '{"response": {"docs": {items}}}'),
     }
-    return _union([listings.normalize(feeds.JSON_SOURCES[s](bodies), NOW_MS).select(*OUT) for s, bodies in made.items()])
+    return listings.normalize_all([feeds.JSON_SOURCES[s](bodies) for s, bodies in made.items()], NOW_MS).select(*OUT)
 
 
 def _listing_sql(source: str, where: str = "true", **given: str) -> str:
