@@ -1,8 +1,8 @@
 """The merge as keyed state: a batch emits the keys that it changes, and nothing else is written.
 
 Rows are first combined within their tasks, so that a very frequent content hash reaches its key as a
-few partial rows; then each (search, key) keeps its merged row in a state of its own, which ends some time after the search last
-added to it. The changes are appended; the newest of each key is the merged table.
+few partial rows; then each (search, key) keeps its merged numbers in a state of its own, which ends some time after the search last
+added to it. Texts aren't in the state: a change brings them when they are new. The changes are appended; what they come to is the merged table.
 """
 
 from __future__ import annotations
@@ -21,8 +21,12 @@ from ..shared import delete, work_dir
 #: Taken from the first row to arrive, null or not; and from the first that knows them.
 FIRST = {"name": "string", "category": "string", "info_hash": "string"}
 KNOWN = {"size": "long", "date_ms": "long", "files": "long", "magnet": "string"}
-STATE = "ord long, " + ", ".join(f"{c} {k}" for c, k in (FIRST | KNOWN).items()) + ", " + ", ".join(f"{c}_ord long" for c in KNOWN) + ", seeders long, leechers long, n_details long, n_rows long"
-PARTIAL = f"search_id long, key string, {STATE}"
+#: What is long and stays as it is: not in the state, but with the change that brought it.
+TEXTS = [*FIRST, "magnet"]
+_NUMBERS = "ord long, size long, date_ms long, files long, " + ", ".join(f"{c}_ord long" for c in KNOWN) + ", seeders long, leechers long, n_details long, n_rows long"
+STATE = _NUMBERS
+PARTIAL = f"search_id long, key string, {_NUMBERS}, " + ", ".join(f"{c} string" for c in TEXTS)
+CHANGE = f"{PARTIAL}, new_first boolean, new_magnet boolean"
 NAMES = [c.strip().split()[0] for c in STATE.split(",")]
 
 
@@ -44,7 +48,9 @@ def partial_rows(listings: DataFrame, order: str = "ord") -> DataFrame:
     o = F.col(order).cast("long")
     known = [F.when(F.col(c).isNotNull(), o).alias(f"{c}_ord") for c in KNOWN]
     search = F.col("search_id").cast("long") if "search_id" in listings.columns else F.lit(0).cast("long")
-    return listings.select(search.alias("search_id"), merge_key().alias("key"), o.alias("ord"), *[F.col(c).cast(k).alias(c) for c, k in (FIRST | KNOWN).items()], *known, F.col("seeders").cast("long").alias("seeders"), F.col("leechers").cast("long").alias("leechers"), F.col("detail_url").isNotNull().cast("long").alias("n_details"), F.lit(1).cast("long").alias("n_rows"))
+    own = {c: F.col(c).cast(k).alias(c) for c, k in (FIRST | KNOWN).items()}
+    counts = [F.col("seeders").cast("long").alias("seeders"), F.col("leechers").cast("long").alias("leechers"), F.col("detail_url").isNotNull().cast("long").alias("n_details"), F.lit(1).cast("long").alias("n_rows")]
+    return listings.select(search.alias("search_id"), merge_key().alias("key"), o.alias("ord"), *[own[c] for c in ("size", "date_ms", "files")], *known, *counts, *[own[c] for c in TEXTS])
 
 
 def combined(partials: DataFrame) -> DataFrame:
@@ -74,12 +80,16 @@ class MergeState(StatefulProcessor):
         self.merged = handle.getValueState("merged", STATE, ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        now = dict(zip(NAMES, self.merged.get())) if self.merged.exists() else None
+        before = dict(zip(NAMES, self.merged.get())) | dict.fromkeys(TEXTS) if self.merged.exists() else None
+        now = before
         for r in rows:
             r = r.asDict()
-            now = joined(now, r) if now else {c: r[c] for c in NAMES}
+            now = joined(now, r) if now else {c: r[c] for c in [*NAMES, *TEXTS]}
         self.merged.update(tuple(now[c] for c in NAMES))
-        yield Row(**{"search_id": key[0], "key": key[1]}, **{c: now[c] for c in NAMES})
+        first = before is None or now["ord"] < before["ord"]
+        magnet = now["magnet_ord"] is not None and (before is None or now["magnet_ord"] != before["magnet_ord"])
+        texts = {c: now[c] if (magnet if c == "magnet" else first) else None for c in TEXTS}
+        yield Row(search_id=key[0], key=key[1], **{c: now[c] for c in NAMES}, **texts, new_first=first, new_magnet=magnet)
 
     def close(self) -> None:
         pass
@@ -91,9 +101,7 @@ def merge_changes(listings: DataFrame, ttl_ms: int | None = None, order: str = "
     With ``ttl_ms`` the state of a search ends so long after its last rows. Such a query runs until it is stopped,
     as time alone can change its state; without, it can also run over what there is.
     """
-    spark = listings.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return combined(partial_rows(listings, order)).groupBy("search_id", "key").transformWithState(MergeState(ttl_ms), PARTIAL, "Update", "ProcessingTime" if ttl_ms else "None")
+    return combined(partial_rows(listings, order)).groupBy("search_id", "key").transformWithState(MergeState(ttl_ms), CHANGE, "Update", "ProcessingTime" if ttl_ms else "None")
 
 
 class Upserts:
@@ -121,13 +129,20 @@ class Upserts:
             self.live, self.compacted = [(epoch, whole)], epoch
 
     def _newest(self, schema: StructType) -> DataFrame:
+        """The newest numbers of each key, with the texts of the changes that brought its first row and its magnet."""
         rows = self.spark.read.schema(StructType([*schema.fields, StructField("epoch", LongType())])).parquet(*[p for _, p in self.live])
-        last = rows.groupBy("search_id", "key").agg(F.max("epoch").alias("epoch"))  # a key has one row in a batch
-        return rows.join(last, ["search_id", "key", "epoch"]).select(*schema.names, "epoch")
+        key = ["search_id", "key"]
+        last = rows.groupBy(*key).agg(F.max("epoch").alias("epoch"))  # a key has one row in a batch
+        numbers = rows.join(last, [*key, "epoch"]).drop(*TEXTS, "new_first", "new_magnet")
+        first = rows.where("new_first").groupBy(*key, "ord").agg(F.max_by(F.struct(*FIRST), "epoch").alias("first"))
+        magnets = rows.where("new_magnet").groupBy(*key, "magnet_ord").agg(F.max_by("magnet", "epoch").alias("magnet"))
+        whole = numbers.join(first, [*key, "ord"]).join(magnets, [*key, "magnet_ord"], "left")
+        return whole.select(*key, *NAMES, *[f"first.{c}" for c in FIRST], "magnet", F.lit(True).alias("new_first"), F.col("magnet_ord").isNotNull().alias("new_magnet"), "epoch")
 
     def table(self, schema: StructType) -> DataFrame:
-        """The newest row of each key."""
-        return self._newest(schema).drop("epoch") if self.live else self.spark.createDataFrame([], schema)
+        """The merged rows as they stand."""
+        whole = self._newest(schema) if self.live else self.spark.createDataFrame([], schema).withColumn("epoch", F.lit(None).cast("long"))
+        return whole.drop("new_first", "new_magnet", "epoch")
 
 
 def run_merge(listings: DataFrame, order: str = "ord") -> tuple[DataFrame, Upserts]:
@@ -140,5 +155,17 @@ def run_merge(listings: DataFrame, order: str = "ord") -> tuple[DataFrame, Upser
 
 
 def start_merge(changes: DataFrame, sink: Upserts, state: str, **trigger) -> StreamingQuery:
-    """A running merge that upserts into the sink; ``state`` is the folder of its checkpoint."""
-    return changes.writeStream.outputMode("update").option("checkpointLocation", f"{state}/checkpoint").foreachBatch(sink.keep).trigger(**trigger).start()
+    """A running merge that upserts into the sink; ``state`` is the folder of its checkpoint.
+
+    The state is in RocksDB, of which the query keeps the last two versions: what a restart needs.
+    """
+    conf = changes.sparkSession.conf
+    own = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.minBatchesToRetain": "2"}
+    before = {k: conf.get(k, None) for k in own}
+    for k, v in own.items():
+        conf.set(k, v)
+    try:
+        return changes.writeStream.outputMode("update").option("checkpointLocation", f"{state}/checkpoint").foreachBatch(sink.keep).trigger(**trigger).start()
+    finally:  # the query has taken the settings with it
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)

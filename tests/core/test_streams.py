@@ -112,7 +112,8 @@ def listing(i, key, search=1, **more):
 
 
 def test_joined_in_any_order():
-    rows = [dict(zip(upserts.NAMES, r)) for r in [(3, "c", None, "h", 9, None, None, "m", 3, None, None, 3, 1, None, 0, 1), (1, "a", "x", "h", None, 5, None, None, None, 1, None, None, 4, 2, 1, 1), (2, "b", "y", "H", 8, 6, 7, None, 2, 2, 2, None, None, 9, 0, 1)]]
+    names = "ord name category info_hash size date_ms files magnet size_ord date_ms_ord files_ord magnet_ord seeders leechers n_details n_rows".split()
+    rows = [dict(zip(names, r)) for r in [(3, "c", None, "h", 9, None, None, "m", 3, None, None, 3, 1, None, 0, 1), (1, "a", "x", "h", None, 5, None, None, None, 1, None, None, 4, 2, 1, 1), (2, "b", "y", "H", 8, 6, 7, None, 2, 2, 2, None, None, 9, 0, 1)]]
     want = None
     for order in itertools.permutations(rows):
         got = upserts.joined(upserts.joined(order[0], order[1]), order[2])
@@ -136,11 +137,15 @@ def test_batches_write_changed_keys_only(spark, tmp_path):
 def test_compaction_keeps_the_table(spark, tmp_path):
     sink = upserts.Upserts(spark, compact_every=2)
     for epoch in range(6):
-        part = upserts.combined(upserts.partial_rows(spark.createDataFrame([listing(0, "h", seeders=epoch)], LISTED))).withColumn("n_rows", F.lit(epoch + 1).cast("long"))
+        part = upserts.combined(upserts.partial_rows(spark.createDataFrame([listing(0, "h", seeders=epoch, magnet="m")], LISTED))).withColumn("n_rows", F.lit(epoch + 1).cast("long"))
+        part = part.withColumn("new_first", F.lit(epoch == 0)).withColumn("new_magnet", F.lit(epoch == 0))
+        if epoch:  # texts come with the change that brought them
+            part = part.withColumns({c: F.lit(None).cast("string") for c in upserts.TEXTS})
         sink.keep(part, epoch)
         sink.keep(part, epoch)  # the batch ran again
     table = sink.table(part.schema).collect()
-    assert len(table) == 1 and table[0].n_rows == 6 and len(sink.live) <= 3
+    assert len(table) == 1 and len(sink.live) <= 3
+    assert (table[0].n_rows, table[0].seeders, table[0].name, table[0].magnet) == (6, 5, "n0", "m")
 
 
 def test_state_of_a_search_ends(spark, tmp_path):
