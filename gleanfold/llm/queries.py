@@ -117,4 +117,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_conversation_trie": op13_conversation_trie,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_cover_tree": oracles.COVER_TREE, "op10_license_scan": oracles.LICENSE_SCAN}
+ORACLE_SQL: dict[str, str] = {"op3_cover_tree": oracles.COVER_TREE, "op10_license_scan": oracles.LICENSE_SCAN, "op12_vector_codes": oracles.VECTOR_CODES, "op13_conversation_trie": oracles.CONVERSATION_TRIE}
