@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import classify
+from .ordered import ordered_table
 
 
 def at_least(column: str, least: int) -> Column:
@@ -94,14 +95,7 @@ def places(merged: DataFrame, column: str, ascending: bool = False, order: str =
 
 def numbered(merged: DataFrame, *by: Column) -> DataFrame:
     """Every row with its ``place`` from 1 in a total order, without bringing all rows, or those of one key, into one task."""
-    n = int(merged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # kept, as another run of the range sampling might deal rows differently
-    dealt = merged.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()).persist()
-    part = F.shiftright("_at", 33)
-    sizes = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row per range
-    at = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return dealt.join(F.broadcast(before), part == F.col("_part")).withColumn("place", F.col("_before") + at + 1).drop("_at", "_part", "_before")
+    return ordered_table(merged, *by).rows()
 
 
 def page(ordered: DataFrame, number: int, size: int = 20) -> DataFrame:

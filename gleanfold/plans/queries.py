@@ -247,9 +247,11 @@ def _doc_sources(spark) -> DataFrame:
     return spark.range(25).select(F.concat(F.lit("src"), n).alias("id"), F.concat(F.lit("Source "), n).alias("name"), (F.col("id") != 3).alias("enabled"), F.lit(False).alias("demo"), (F.col("id") % 4 == 0).alias("paginated"), F.col("id").cast("int").alias("rank"))
 
 
-@query(f"SELECT id, name FROM (SELECT * FROM (VALUES {', '.join(f'({s!r}, {federate.LABELS[s]!r}, {str(s in federate.PAGINATED or s in federate.GENERATED).lower()})' for s in federate.REGISTRY)}) v(id, name, pages)) WHERE pages AND id IN ('nyaa', 'demo', 'tpb', 'rutor', 'nope')")
+@query(f"SELECT id, name FROM (VALUES {', '.join(f'({i}, {s!r}, {federate.LABELS[s]!r}, {str(s in federate.PAGINATED or s in federate.GENERATED).lower()})' for i, s in enumerate(federate.REGISTRY))}) v(place, id, name, pages) JOIN nation ON n_nationkey = place WHERE pages AND n_regionkey <> 3")
 def resolve_sources_semi(spark, sf_dir) -> DataFrame:
-    wanted = spark.createDataFrame([(i,) for i in ("nyaa", "demo", "tpb", "rutor", "nope")], "id string")
+    """The sources at the nations' numbers but for one region's, as far as they have a second page."""
+    n = read(spark, sf_dir, "nation").where("n_regionkey <> 3")
+    wanted = n.select(F.get(F.array(*map(F.lit, federate.REGISTRY)), F.col("n_nationkey").cast("int")).alias("id"))
     return federate.resolve(federate.registry(spark), wanted, page=2).select("id", "name")
 
 
@@ -506,9 +508,17 @@ def mirror_statuses(spark, sf_dir) -> DataFrame:
 
 @query("SELECT n_nationkey, 'http://h.test/' || n_nationkey || CASE WHEN n_nationkey % 3 = 1 THEN '/x' ELSE '' END || '/api?apikey=k%2B' || n_nationkey || '&extended=1&t=search&q=' || replace(n_name || '+a%26b', ' ', '+') AS address FROM nation")
 def indexer_addresses(spark, sf_dir) -> DataFrame:
+    """The addresses that a search asks of indexers, one for each nation."""
     n = F.col("n_nationkey").cast("string")
     ending = F.when(F.col("n_nationkey") % 3 == 0, "/api?t=caps").when(F.col("n_nationkey") % 3 == 1, "/x//").otherwise("/")
-    return read(spark, sf_dir, "nation").select("n_nationkey", feeds.indexer_addresses(F.concat(F.lit("http://h.test/"), n, ending), F.concat(F.lit("k+"), n), F.concat("n_name", F.lit(" a&b"))).alias("address"))
+
+    @F.pandas_udf("string")
+    def address(url, key, text):
+        import pandas as pd
+
+        return pd.Series([feeds.indexer_query(*row) for row in zip(url, key, text)])
+
+    return read(spark, sf_dir, "nation").select("n_nationkey", address(F.concat(F.lit("http://h.test/"), n, ending), F.concat(F.lit("k+"), n), F.concat("n_name", F.lit(" a&b"))).alias("address"))
 
 
 # ---- further dates, filters, lookups, counts and sinks
@@ -569,11 +579,16 @@ def source_status_ms(spark, sf_dir) -> DataFrame:
     return federate.status(federate.resolve(_doc_sources(spark)), d, pages=times).select("id", "ms", "count")
 
 
-@query("SELECT 23::BIGINT AS n_ok, 24::BIGINT AS n_total")
+@query("SELECT count(DISTINCT source) FILTER (source <> 'src5') AS n_ok, count(DISTINCT source) AS n_total FROM documents WHERE source <> 'src3'")
 def responded_counts(spark, sf_dir) -> DataFrame:
+    """How many of the sources that documents come from have answered; one is switched off, one fails."""
+    from ..engine import Response
+
+    id_ = F.col("source").alias("id")
+    sources = read(spark, sf_dir, "documents").where("source IS NOT NULL").select(id_).distinct().select("id", F.col("id").alias("name"), (F.col("id") != "src3").alias("enabled"), F.lit(False).alias("demo"), F.lit(False).alias("paginated"))
+    rows = C.doc_raw(spark, sf_dir)
     failed = spark.createDataFrame([("src5", "ETIMEDOUT")], "id string, error string")
-    statuses = federate.status(federate.resolve(_doc_sources(spark)), C.doc_raw(spark, sf_dir), failed)
-    return statuses.agg(F.count_if(F.col("status") == "ok").alias("n_ok"), F.count("*").alias("n_total"))
+    return spark.createDataFrame([Response("x", 1, rows, federate.status(federate.resolve(sources), rows, failed)).responded()], "n_ok long, n_total long")
 
 
 @query(f"SELECT ord, provider || ord % 100 AS id FROM ({PARTS_SQL}) WHERE provider || ord % 100 NOT IN (SELECT provider || ord % 100 FROM ({PARTS_SQL}) WHERE ord % 3 = 0)")

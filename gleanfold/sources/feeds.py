@@ -43,15 +43,8 @@ def rss_listings(feeds: DataFrame, provider: str, *keep: str, xml_col: str = "xm
 
 def indexer_url(url: str) -> str:
     """An indexer's address with its query dropped and /api at the end."""
-    base = url.split("?")[0].rstrip("/")
-    return base if base.endswith("/api") else base + "/api"
-
-
-def indexer_addresses(url: Column, api_key: Column, query: Column) -> Column:
-    """indexer_query over columns: the address of a search at a user's indexer."""
-    base = F.rtrim(F.regexp_replace(url, r"\?.*$", ""), F.lit("/"))
-    api = F.when(base.endswith("/api"), base).otherwise(F.concat(base, F.lit("/api")))
-    return F.concat(api, F.lit("?apikey="), F.url_encode(api_key), F.lit("&extended=1&t=search&q="), F.url_encode(query))
+    base = url.strip().split("?")[0].rstrip("/")
+    return base if base.lower().endswith("/api") else base + "/api"
 
 
 def indexer_query(url: str, api_key: str, query: str, mode: str = "search") -> str:
