@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from . import sinks
 from .functions.canon import page_number
 from .operators import federate, listings, refine
+from .operators.seen import SeenLog
 from .sources import demo, feeds, layouts
 from .sources.http import TIMEOUT_S, fetch_pages
 from .sources.indexers import Indexers
@@ -112,18 +113,15 @@ class Engine:
         return federate.first_mirror(self.raw(self._release_pages(query, timeout).persist(), "anilibria"), "provider")
 
     def pages(self, query: str, fetch: Callable[[str, int], DataFrame], most: int | None = None) -> Iterator[Response]:
-        """Page after page, until one adds no new row or no source has more."""
-        seen = None
+        """Page after page, until one adds no new row or no source has more. What was seen is logged, so no earlier page is computed again."""
+        log = SeenLog(self.spark)
         for number in count(1) if most is None else range(1, most + 1):
             r = self.search(query, fetch(query, number), number)
-            new = r.results if seen is None else self.new_rows(seen, r)
-            if not new.limit(1).count():
+            if not log.add(log.unseen(r.results.select("id"))):
                 return
             yield r
             if not r.has_more():
                 return
-            ids = r.results.select("id")
-            seen = ids if seen is None else seen.unionByName(ids)
 
     def search(self, query: str, pages: DataFrame, page: int = 1, providers: list[str] | None = None, match: bool | None = None) -> Response:
         """All targets' listings in registry order; a source's rows are those of its first mirror that has any.

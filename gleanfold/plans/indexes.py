@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import pushing
 from ..operators import listings, ordered, textindex
+from ..operators.seen import SeenLog
 from ..shared import work_dir
 from . import catalogs as C
 from .catalogs import DOC_LISTINGS_SQL, PARTS_SQL
@@ -70,3 +71,15 @@ def merge_hot_hash(spark, sf_dir) -> DataFrame:
     d = C.doc_listings(spark, sf_dir).withColumn("info_hash", F.when(F.col("ord") % 3 == 0, "HotHash").otherwise(F.col("info_hash")))
     names = F.array_join(F.transform("sources", lambda s: F.concat(s["provider"], F.lit("/"), s["id"])), " ")
     return listings.merge_first(d, 5, fields=("provider", "id")).select("key", "ord", "name", "size", "seeders", "leechers", "date_ms", "magnet", names.alias("source_list"), "n_sources", "n_providers")
+
+
+@query(f"SELECT page, ord, id FROM (SELECT ord % 5 + 1 AS page, ord, provider || ord % 97 AS id, min(ord % 5 + 1) OVER (PARTITION BY provider || ord % 97) AS first FROM ({PARTS_SQL})) WHERE page = first")
+def paging_log(spark, sf_dir) -> DataFrame:
+    """Five pages one after the other, each without what those before it have shown."""
+    parts = C.parts(spark, sf_dir).select((F.col("ord") % 5 + 1).alias("page"), "ord", F.concat("provider", (F.col("ord") % 97).cast("string")).alias("id"))
+    log, found = SeenLog(spark), None
+    for number in range(1, 6):
+        new = log.unseen(parts.where(F.col("page") == number))
+        log.add(new)
+        found = new if found is None else found.unionByName(new)
+    return found
