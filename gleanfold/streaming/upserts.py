@@ -118,26 +118,25 @@ class Upserts:
         if epoch <= self.compacted:  # it ran again, and its rows are in the whole already
             return
         path = f"{self.base}/batch={epoch}"
-        changes.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(path)
+        changes.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").option("compression", "zstd").parquet(path)
         n = self.spark.read.parquet(path).count()
         self.written.append((epoch, n))
         if n and (epoch, path) not in self.live:
             self.live.append((epoch, path))
         if len(self.live) > self.compact_every:
             whole = f"{self.base}/whole-{epoch}"
-            self._newest(changes.schema).write.mode("overwrite").parquet(whole)
+            self._newest(changes.schema).write.mode("overwrite").option("compression", "zstd").parquet(whole)
             self.live, self.compacted = [(epoch, whole)], epoch
 
     def _newest(self, schema: StructType) -> DataFrame:
         """The newest numbers of each key, with the texts of the changes that brought its first row and its magnet."""
         rows = self.spark.read.schema(StructType([*schema.fields, StructField("epoch", LongType())])).parquet(*[p for _, p in self.live])
-        key = ["search_id", "key"]
-        last = rows.groupBy(*key).agg(F.max("epoch").alias("epoch"))  # a key has one row in a batch
-        numbers = rows.join(last, [*key, "epoch"]).drop(*TEXTS, "new_first", "new_magnet")
-        first = rows.where("new_first").groupBy(*key, "ord").agg(F.max_by(F.struct(*FIRST), "epoch").alias("first"))
-        magnets = rows.where("new_magnet").groupBy(*key, "magnet_ord").agg(F.max_by("magnet", "epoch").alias("magnet"))
-        whole = numbers.join(first, [*key, "ord"]).join(magnets, [*key, "magnet_ord"], "left")
-        return whole.select(*key, *NAMES, *[f"first.{c}" for c in FIRST], "magnet", F.lit(True).alias("new_first"), F.col("magnet_ord").isNotNull().alias("new_magnet"), "epoch")
+        numbers = [c for c in NAMES if c != "magnet"]
+        whole = rows.groupBy("search_id", "key").agg(
+            F.max_by(F.struct(*numbers, "epoch"), "epoch").alias("now"), F.max_by(F.struct(*FIRST), F.when(F.col("new_first"), F.col("epoch"))).alias("first"), F.max_by("magnet", F.when(F.col("new_magnet"), F.col("epoch"))).alias("magnet")
+        )
+        there = F.col("now.magnet_ord").isNotNull()
+        return whole.select("search_id", "key", *[f"now.{c}" for c in numbers], *[f"first.{c}" for c in FIRST], F.when(there, F.col("magnet")).alias("magnet"), F.lit(True).alias("new_first"), there.alias("new_magnet"), "now.epoch")
 
     def table(self, schema: StructType) -> DataFrame:
         """The merged rows as they stand."""
