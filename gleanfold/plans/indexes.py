@@ -47,10 +47,10 @@ def keyword_index(spark, sf_dir) -> DataFrame:
 _PAGES = [1, 2, 7, 40, 100, 1000]
 
 
-@query(f"SELECT (place - 1) // 20 + 1 AS page, place, ord, name, seeders FROM (SELECT *, row_number() OVER (ORDER BY coalesce(seeders, -1) DESC, ord) AS place FROM ({PARTS_SQL})) WHERE (place - 1) // 20 + 1 IN ({', '.join(map(str, _PAGES))})")
+@query(f"SELECT (place - 1) // 20 + 1 AS page, place, ord, name, seeders FROM (SELECT *, row_number() OVER (ORDER BY coalesce(seeders, -1) DESC, ord) AS place FROM ({DOC_LISTINGS_SQL})) WHERE (place - 1) // 20 + 1 IN ({', '.join(map(str, _PAGES))})")
 def deep_pages(spark, sf_dir) -> DataFrame:
     """Pages from all over the order, each read from the ranges that hold it."""
-    table = ordered.ordered_table(C.parts(spark, sf_dir), F.coalesce("seeders", F.lit(-1)).desc(), F.col("ord"))
+    table = ordered.ordered_table(C.doc_listings(spark, sf_dir).select("ord", "name", "seeders"), F.coalesce("seeders", F.lit(-1)).desc(), F.col("ord"))
     found = None
     for number in _PAGES:
         rows = table.page(number).select(F.lit(number).cast("long").alias("page"), "place", "ord", "name", "seeders")
