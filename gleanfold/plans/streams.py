@@ -30,33 +30,33 @@ def stored_transport(began: float):
 
 
 @query(f"""
-  WITH p AS (SELECT 'site' || page_id % 5 AS source, [{", ".join(map(str, WAITS))}][page_id % 5 + 1] AS wait, html FROM pages)
-  SELECT source, row_number() OVER (ORDER BY wait) AS place, count(*) AS n_pages, coalesce(sum(strlen(html)), 0)::BIGINT AS n_bytes, min(md5(html)) AS low, max(md5(html)) AS high FROM p GROUP BY source, wait
+  WITH p AS (SELECT 'site' || page_id % 5 AS source, [{", ".join(map(str, WAITS))}][page_id % 5 + 1] AS wait, url, html FROM pages)
+  SELECT source, dense_rank() OVER (ORDER BY wait) AS place, url, strlen(html) AS n_bytes, md5(html) AS digest FROM p
 """)
 def fetch_stream(spark, sf_dir) -> DataFrame:
-    """All pages, fetched by a job and read as a stream while it runs: which source came at which place, and what it sent."""
+    """All pages, fetched by a job and read as a stream while it runs: each with the place at which its source came."""
     p = read(spark, sf_dir, "pages")
     k = F.col("page_id") % 5
     wait = F.get(F.array(*map(F.lit, WAITS)), k.cast("int"))
     asked = p.select(F.concat(F.lit("site"), k.cast("string")).alias("source"), "url", F.col("html").alias("body"), wait.alias("wait"))
-    asked = asked.repartition(8, "url").sortWithinPartitions("wait", "url")
+    asked = asked.repartition("url").sortWithinPartitions("wait", "url")
     live = arrivals.Arrivals(asked, stored_transport(time.time() + LEAD_S), size=256)
     out = work_dir(spark, "fetched")
-    rows = live.stream.select("source", "arrival", "body", "error", F.md5("body").alias("digest"))
+    rows = live.stream.select("source", "arrival", "url", "body", "error")
     live.finish(rows.writeStream.format("parquet").option("path", f"{out}/pages").option("checkpointLocation", f"{out}/checkpoint").trigger(processingTime="200 milliseconds").start())
     live.remove()
     arrived = spark.read.schema(rows.schema).parquet(f"{out}/pages")
-    digests = arrived.groupBy("source").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
-    return arrivals.completions(arrived).drop("error").join(digests, "source")
+    places = arrivals.completions(arrived).select("source", "place")
+    return arrived.join(places, "source").select("source", "place", "url", F.octet_length("body").cast("long").alias("n_bytes"), F.md5("body").alias("digest"))
 
 
-@query("SELECT 'site' || page_id % 5 AS source, count(*) AS n_pages, coalesce(sum(strlen(html)), 0)::BIGINT AS n_bytes FROM pages WHERE page_id % 5 IN (1, 4) GROUP BY 1")
+@query("SELECT 'site' || page_id % 5 AS source, url, strlen(html) AS n_bytes FROM pages WHERE page_id % 5 IN (1, 4)")
 def source_pruning(spark, sf_dir) -> DataFrame:
     """All pages landed by source; a query for two sources plans and reads only their files."""
     k = (F.col("page_id") % 5).cast("string")
     asked = read(spark, sf_dir, "pages").select(F.concat(F.lit("site"), k).alias("source"), "url", F.col("html").alias("body"), F.lit(0).alias("wait"))
-    stored = arrivals.stored_pages(asked.repartition(8, "url").sortWithinPartitions("source", "url"), stored_transport(0.0), size=256)
-    return stored.where(F.col("source").isin("site1", "site4")).groupBy("source").agg(F.count("*").alias("n_pages"), F.coalesce(F.sum(F.octet_length("body").cast("long")), F.lit(0)).alias("n_bytes"))
+    stored = arrivals.stored_pages(asked.repartition("url").sortWithinPartitions("source", "url"), stored_transport(0.0), size=256)
+    return stored.where(F.col("source").isin("site1", "site4")).select("source", "url", F.octet_length("body").cast("long").alias("n_bytes"))
 
 
 @query(f"SELECT key, ord, name, size, seeders, leechers, category, info_hash, magnet, n_rows, false AS needs_magnet FROM ({MERGED_SQL.replace('arg_min_null', 'arg_min')})")
