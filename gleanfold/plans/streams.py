@@ -47,7 +47,9 @@ def fetch_stream(spark, sf_dir) -> DataFrame:
     live.remove()
     arrived = spark.read.schema(rows.schema).parquet(f"{out}/pages")
     places = arrivals.completions(arrived).select("source", "place")
-    return arrived.join(places, "source").select("source", "place", "url", F.octet_length("body").cast("long").alias("n_bytes"), F.md5("body").alias("digest"))
+    return arrived.join(F.broadcast(places), "source").select(  # a row per source
+        "source", "place", "url", F.octet_length("body").cast("long").alias("n_bytes"), F.md5("body").alias("digest")
+    )
 
 
 @query("SELECT 'site' || page_id % 5 AS source, url, strlen(html) AS n_bytes FROM pages WHERE page_id % 5 IN (1, 4)")
