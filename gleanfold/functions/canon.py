@@ -39,13 +39,12 @@ def parse_size(text: Column, number: Column | None = None) -> Column:
 
 
 def _rounded(n: Column, unit: int) -> Column:
-    """n / unit to the nearest integer, half up, in integers."""
-    m = n + unit // 2
-    return F.shiftright(m, unit.bit_length() - 1)  # unit is a power of two
+    """n / unit to the nearest integer, half up, in integers; nothing is added to n, which may be the largest long."""
+    return F.call_function("div", n, F.lit(unit)) + F.when(n % unit >= unit // 2, 1).otherwise(0)
 
 
 def format_size(size: Column) -> Column:
-    """Bytes to text: no decimals from 100 of a unit on and for bytes, else one; exact, half up."""
+    """Bytes, a long or a decimal without places, to text: no decimals from 100 of a unit on and for bytes, else one; exact, half up."""
     out = F.when(size.isNull(), "—").when(size < _STEP, F.concat(size.cast("string"), F.lit(" B")))
     for i, unit in enumerate(UNITS[1:], 1):
         u = _STEP**i

@@ -19,6 +19,18 @@ def test_sizes(spark):
     assert values(spark, cases, canon.parse_size) == list(cases.values())
     text = {0: "0 B", 1023: "1023 B", 1024: "1.0 KB", 1536: "1.5 KB", 102400: "100 KB", 1484: "1.4 KB", 3_650_722_202: "3.4 GB", None: "—", 5 << 50: "5.0 PB", 2000 << 50: "2000 PB"}
     assert values(spark, text, canon.format_size, "bigint") == list(text.values())
+    assert values(spark, [(1 << 63) - 1, 1 << 62], canon.format_size, "bigint") == ["8192 PB", "4096 PB"]
+
+
+def test_sizes_beyond_a_long(spark, tmp_path):
+    from decimal import Decimal
+
+    from gleanfold.plans import queries
+
+    assert values(spark, [Decimal(x) for x in (1023, 1484, 102400, 5 << 50, 10**30)], canon.format_size, "decimal(38,0)") == ["1023 B", "1.4 KB", "100 KB", "5.0 PB", "888178419700125 PB"]
+    spark.createDataFrame([(9_000_000, 1_200_000, 7), (1, 1, 1)], "l_orderkey bigint, l_partkey bigint, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    exact = 9_000_001 * 1_200_003 * 10**7
+    assert {r.l_orderkey: r.size_text for r in queries.format_size_text(spark, str(tmp_path)).collect()} == {9_000_000: f"{(exact + (1 << 49)) >> 50} PB", 1: "80 B"}
 
 
 def test_dates(spark):
