@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .html import parse
 
 
-def page_facts(pages: DataFrame, *keep: str, html_col: str = "html") -> DataFrame:
-    """title, heading, first link, numbers of links and paragraphs of each page; null html counts as empty."""
+def page_facts(pages: DataFrame, *keep: str, html_col: str = "html", unclosed: bool = True) -> DataFrame:
+    """title, heading, first link, numbers of links and paragraphs of each page; null html counts as empty. unclosed: see parse."""
     kinds = dict(pages.dtypes)
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in keep), "title string, heading string, first_href string, n_links long, n_paragraphs long"])
 
@@ -19,7 +19,7 @@ def page_facts(pages: DataFrame, *keep: str, html_col: str = "html") -> DataFram
         for pdf in batches:
             rows = []
             for html in pdf[html_col]:
-                d = parse(html)
+                d = parse(html, unclosed)
                 title, heading, links = d.first("title"), d.first("h1"), d.select("a[href]")
                 rows.append((title and title.text().strip(), heading and heading.text().strip(), links[0].attrs["href"] if links else None, len(links), len(d.select("p"))))
             facts = pd.DataFrame(rows, columns=["title", "heading", "first_href", "n_links", "n_paragraphs"], index=pdf.index)

@@ -21,12 +21,21 @@ H = "0123456789abcdef0123456789abcdef01234567"
 MAG = f"magnet:?xt=urn:btih:{H}&dn=x"
 
 
+def test_page_facts_of_a_cut_reference(spark, tmp_path):
+    from gleanfold.plans.queries import html_title_links
+
+    spark.createDataFrame([(1, "u", "<title>one &amp;&amp</title><h1>x &lt y &#x27;z&#x27;</h1><a href='/a&amp;b'>k</a>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    r = html_title_links(spark, str(tmp_path)).first()
+    assert (r.title, r.heading, r.first_href, r.n_links) == ("one &&amp", "x &lt y 'z'", "/a&b", 1)
+
+
 def test_selectors():
     d = parse("<table class='a b'><tr><td>1<td><a href=/x>n <b>m</b></a><tr id=r2><td>2</table><p>one<p>two<br>three &amp; four")
     assert [n.text() for n in d.select("table.a tr > td")] == ["1", "n m", "2"]
     assert d.first("tr:nth-child(n+2)").attrs["id"] == "r2" and d.first("td:nth-child(2) > a").own_text() == "n "
     assert [p.text() for p in d.select("p")] == ["one", "twothree & four"] and d.first("a[href^=/y]") is None
     assert len(d.select("td:last-child, tr#r2")) == 3 and d.first("tr:not(.z)") is not None
+    assert parse("<h1>a&ampb &lt c &copy; &#x27;</h1>", unclosed=False).text() == "a&ampb &lt c © '" and parse("<h1>a &amp</h1>").text() == "a &"
     with pytest.raises(ValueError):
         d.select("a::b")
 
