@@ -15,6 +15,7 @@ from . import sinks
 from .functions.canon import page_number
 from .operators import federate, listings, refine
 from .operators.seen import SeenLog
+from .shared import work_dir
 from .sources import demo, feeds, layouts
 from .sources.http import TIMEOUT_S, fetch_pages
 from .sources.indexers import Indexers
@@ -51,6 +52,14 @@ class Engine:
         """Rows of all HTML sources' pages, read in one pass and kept."""
         return layouts.page_rows(pages.where("body IS NOT NULL"), "source", "body", "mirror_rank").persist()
 
+    def stored(self, pages: DataFrame) -> DataFrame:
+        """The same in a folder per source of the shared folder, so that reading one source costs nothing of the others: as many tasks as its rows need."""
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))  # parsing is slow for so few bytes, so tasks aren't joined by size
+        spread = pages.where("body IS NOT NULL").repartition(tasks, F.xxhash64("body"))
+        rows, folder = layouts.page_rows(spread, "source", "body", "mirror_rank"), work_dir(self.spark, "parsed")
+        rows.write.partitionBy("source").parquet(folder)
+        return self.spark.read.schema(rows.schema).parquet(folder)
+
     def raw(self, pages: DataFrame, source: str, parsed: DataFrame | None = None) -> DataFrame:
         """Raw listings of one source's pages, with mirror_rank."""
         if parsed is not None and source in layouts.LAYOUTS:
@@ -137,7 +146,7 @@ class Engine:
         ranks = {r.id: r["rank"] for r in targets.select("id", "rank").collect()}  # the registry's size
         present = [r[0] for r in pages.select("source").distinct().collect() if r[0] in ranks]
         parts, asked, match = [], None, "url" not in pages.columns if match is None else match
-        parsed = self.parsed(pages) if any(s in layouts.LAYOUTS for s in present) else None
+        parsed = self.stored(pages) if any(s in layouts.LAYOUTS for s in present) else None
         if present:
             raws = [self.raw(pages, s, parsed).withColumn("place", F.col("place").cast("long")).withColumn("mirror_rank", F.col("mirror_rank").cast("int")).withColumn("source_rank", F.lit(ranks[s])) for s in sorted(present, key=ranks.get)]
             asked = listings.normalize_all(raws, self.now_ms, "mirror_rank", "place", "source_rank")

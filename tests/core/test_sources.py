@@ -326,3 +326,13 @@ def test_first_container_and_mirror_address(spark):
     df = spark.createDataFrame([(1, page), (7, page)], "mirror_rank int, html string")
     got = layouts.html_listings(df, "uindex", "html", "mirror_rank").collect()
     assert [(r.mirror_rank, r.name, r.detail_url) for r in got] == [(1, "a", "https://uindex.to/t/a"), (7, "a", "https://uindex.org/t/a")]
+
+
+def test_sources_of_a_search_cost_their_own_tasks(spark):
+    """Each source's listings are read from its own rows: tasks don't multiply with the number of sources."""
+    row = "<tr><td class=name><a href=/torrent/{0}/x>Lamp {0}</a></td><td class=size>1 KB</td></tr>"
+    bodies = [(s, k, "<table><tbody>" + row.format(k) + "</tbody></table>", None) for s in ("1337x", "torrent9", "oxtorrent", "rutor", "eztv") for k in range(8)]
+    stored = spark.createDataFrame(bodies, "source string, mirror_rank int, body string, error string").repartition(40)
+    r = Engine(spark, NOW).search("lamp", stored, providers=["1337x", "torrent9", "oxtorrent", "rutor", "eztv"])
+    assert r.results.rdd.getNumPartitions() <= 45  # 8 cores a source at most, not 40 tasks each
+    assert {x.id: x["count"] for x in r.statuses.collect()} == {"1337x": 1, "torrent9": 1, "oxtorrent": 1, "rutor": 0, "eztv": 0}
