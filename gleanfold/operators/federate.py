@@ -73,7 +73,7 @@ def more_expected() -> Column:
 def first_mirror(results: DataFrame, source: str = "source", mirror_rank: str = "mirror_rank") -> DataFrame:
     """Rows of each source's first mirror, in declared order, that has rows."""
     first = results.groupBy(source).agg(F.min(mirror_rank).alias("_first"))
-    return results.join(first.withColumnRenamed(source, "_source"), (F.col(source) == F.col("_source")) & (F.col(mirror_rank) == F.col("_first"))).drop("_source", "_first")
+    return results.join(F.broadcast(first.withColumnRenamed(source, "_source")), (F.col(source) == F.col("_source")) & (F.col(mirror_rank) == F.col("_first"))).drop("_source", "_first")  # a row per source
 
 
 def mirror_errors(attempts: DataFrame) -> DataFrame:
