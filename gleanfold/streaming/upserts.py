@@ -1,6 +1,7 @@
-"""The merge as keyed state: a batch emits the keys that it changes, and nothing else is written.
+"""The merge of a stream. A search that goes on has keyed state: a batch emits the keys that it changes, and nothing else is written.
+A stream that ends is merged without state: batches leave partial merges (``run_merge``).
 
-Rows are first combined within their tasks, so that a very frequent content hash reaches its key as a
+With state, rows are first combined within their tasks, so that a very frequent content hash reaches its key as a
 few partial rows; then each (search, key) keeps its merged numbers in a state of its own, which ends some time after the search last
 added to it. Texts aren't in the state: a change brings them when they are new. The changes are appended; what they come to is the merged table.
 """
@@ -144,13 +145,42 @@ class Upserts:
         return whole.drop("new_first", "new_magnet", "epoch")
 
 
-def run_merge(listings: DataFrame, order: str = "ord") -> tuple[DataFrame, Upserts]:
-    """Run the merge over what the stream has; the merged table, and what each batch wrote. Its state goes with it."""
+def merged(partials: DataFrame) -> DataFrame:
+    """Partial merges as one for each (search, key), in any grouping and order: ``joined`` as an aggregate."""
+    first, known = F.min_by(F.struct(*FIRST), "ord").alias("_first"), [F.min_by(c, f"{c}_ord").alias(c) for c in KNOWN]
+    numbers = [F.min("ord").alias("ord"), *[F.min(f"{c}_ord").alias(f"{c}_ord") for c in KNOWN], *[F.max(c).alias(c) for c in ("seeders", "leechers")], *[F.sum(c).alias(c) for c in ("n_details", "n_rows")]]
+    return partials.groupBy("search_id", "key").agg(first, *known, *numbers).select("search_id", "key", *NAMES, *[f"_first.{c}" for c in FIRST], "magnet")
+
+
+class Partials:
+    """What each batch comes to, a folder a batch: its own rows merged by key, and nothing of the batches before. ``table`` merges the folders, once."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.base = spark, work_dir(spark, "partials")
+        self.written: list[tuple[int, int]] = []
+
+    def keep(self, partials: DataFrame, epoch: int) -> None:
+        """Write one batch; one that runs again replaces its own folder."""
+        path = f"{self.base}/batch-{epoch}"
+        merged(partials).write.mode("overwrite").option("compression", "zstd").parquet(path)
+        self.written = [(e, n) for e, n in self.written if e != epoch] + [(epoch, self.spark.read.schema(PARTIAL).parquet(path).count())]
+
+    def table(self) -> DataFrame:
+        """The merged rows as they stand."""
+        paths = [f"{self.base}/batch-{epoch}" for epoch, _ in self.written]
+        return merged(self.spark.read.schema(PARTIAL).parquet(*paths) if paths else self.spark.createDataFrame([], PARTIAL))
+
+
+def run_merge(listings: DataFrame, order: str = "ord") -> tuple[DataFrame, Partials]:
+    """Run the merge over what the stream has; the merged table, and what each batch wrote.
+
+    A run that ends needs no state: every text is written once by its batch and read once for the table, however many batches there are.
+    """
     spark = listings.sparkSession
-    changes, sink, state = merge_changes(listings, None, order), Upserts(spark), work_dir(spark, "merge")
-    start_merge(changes, sink, state, availableNow=True).awaitTermination()
+    sink, state = Partials(spark), work_dir(spark, "merge")
+    partial_rows(listings, order).writeStream.option("checkpointLocation", f"{state}/checkpoint").foreachBatch(sink.keep).trigger(availableNow=True).start().awaitTermination()
     delete(spark, state)
-    return sink.table(changes.schema), sink
+    return sink.table(), sink
 
 
 def start_merge(changes: DataFrame, sink: Upserts, state: str, **trigger) -> StreamingQuery:
