@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import classify
+from .listings import merge_key
 from .ordered import ordered_table
 
 
@@ -51,29 +52,28 @@ def refine(merged: DataFrame, min_seeders: int = 0, min_size: int = 0, contains:
     return out.where(safe(strict_compat)) if safe_mode else out
 
 
-def _tokens(text: str) -> list[str]:
-    return [t for t in re.split("[^a-z0-9一-鿿]+", text.lower()) if t]
+_TOKEN = "a-z0-9一-鿿"
 
 
-def _starts(w: str):
-    return lambda t: F.startswith(t, F.lit(w))
+def _tokens(text: str) -> list[str]:
+    return [t for t in re.split(f"[^{_TOKEN}]+", text.lower()) if t]
 
 
 def relevance(name: Column, query: str) -> Column:
     """Keyword score: 5 for the phrase, 3 for a name that begins with it; per query token 2 for an equal title token, 1 for a
-    prefix, 0.5 for a part; and 3 times the share of tokens found. Higher-order functions only."""
+    prefix, 0.5 for a part; and 3 times the share of tokens found. A title isn't split into its tokens: what a token is follows from the
+    characters before and after a part, and titles without the part aren't looked at further."""
     phrase = query.strip().lower()
     title = F.lower(F.coalesce(name, F.lit("")))
     wanted = _tokens(query)
     if not phrase:
         return F.lit(0.0)
-    tokens = F.filter(F.split(title, "[^a-z0-9一-鿿]+"), lambda t: t != "")
     score = F.when(F.contains(title, F.lit(phrase)), 5.0).otherwise(0.0) + F.when(F.startswith(title, F.lit(phrase)), 3.0).otherwise(0.0)
     hits = F.lit(0)
     for w in wanted:
-        equal, begins, part = F.array_contains(tokens, w), F.exists(tokens, _starts(w)), F.contains(title, F.lit(w))
-        score = score + F.when(equal, 2.0).when(begins, 1.0).when(part, 0.5).otherwise(0.0)
-        hits = hits + F.when(equal | begins | part, 1).otherwise(0)
+        part, begins = F.contains(title, F.lit(w)), f"(?<![{_TOKEN}]){w}"
+        score = score + F.when(part, F.when(title.rlike(f"{begins}(?![{_TOKEN}])"), 2.0).when(title.rlike(begins), 1.0).otherwise(0.5)).otherwise(0.0)
+        hits = hits + F.when(part, 1).otherwise(0)
     return score + hits * F.lit(3.0) / F.lit(len(wanted)) if wanted else score
 
 
@@ -102,6 +102,20 @@ def page(ordered: DataFrame, number: int, size: int = 20) -> DataFrame:
     return ordered.offset((number - 1) * size).limit(size)
 
 
+def best_merged(listings: DataFrame, score: Column, number: int = 1, size: int = 20, order: str = "ord") -> DataFrame:
+    """One page of the merged rows by score: key, order, name, seeders, score.
+
+    A score is a function of the first arrival's name, so it is known before the merge, and only numbers are shuffled and sorted;
+    the names of the page's few rows are looked up afterwards.
+    """
+    keyed = listings.withColumn("key", merge_key())
+    merged = keyed.groupBy("key").agg(F.min(order).alias(order), F.min_by(score, order).alias("score"), F.max("seeders").alias("seeders"))
+    by = [F.desc("score"), F.desc(F.coalesce("seeders", F.lit(-1))), order]
+    found = F.broadcast(page(merged.orderBy(*by), number, size).withColumnsRenamed({"key": "_key", order: "_order"}))  # a page
+    named = keyed.select("key", order, "name").join(found, F.col("key").eqNullSafe(F.col("_key")) & F.col(order).eqNullSafe(F.col("_order")))
+    return named.groupBy("key", order, "score", "seeders").agg(F.min("name").alias("name")).orderBy(*by).select("key", order, "name", "seeders", "score")
+
+
 def facets(merged: DataFrame) -> DataFrame:
     """Rows per bucket; none at all if only one bucket occurs."""
     counts = merged.groupBy(classify.bucket(F.col("category"), F.col("name")).alias("bucket")).agg(F.count("*").alias("n")).where("bucket IS NOT NULL")

@@ -133,3 +133,26 @@ def test_places_of_all_rows(spark):
         got = {r.ord: r.place for r in refine.places(df, "size", ascending).collect()}
         wanted = sorted(rows, key=lambda r: ((-1 if r[1] is None else r[1]) * (1 if ascending else -1), r[0]))
         assert got == {r[0]: i for i, r in enumerate(wanted, 1)}
+
+
+def test_relevance_by_neighbours_of_a_part(spark):
+    """Tokens as a split would give them: equal, at a token's start, inside one, none."""
+    from gleanfold.operators import refine
+
+    titles = ["red", "a-red.b", "redder", "inred", "电red", "red电 x", "RED", "été red", "éred", "", None, "blue", "inred red"]
+    df = spark.createDataFrame(list(enumerate(titles)), "i int, name string")
+    got = [r[0] for r in df.orderBy("i").select(refine.relevance(F.col("name"), "red x")).collect()]
+    assert got == [3.5, 3.5, 2.5, 2.0, 2.0, 1.0 + 2.0 + 3.0, 3.5, 3.5, 3.5, 0.0, 0.0, 0.0, 3.5]
+
+
+def test_best_merged_shuffles_no_names(spark):
+    from gleanfold.operators import refine
+
+    rows = [(f"i{i}", "red" if i in (3, 9) else f"n{i} " + "red " * (i % 2), "h" if i in (3, 9) else f"h{i}", i % 5, i) for i in range(40)]
+    df = spark.createDataFrame(rows, "id string, name string, info_hash string, seeders long, ord long")
+    score = refine.relevance(F.col("name"), "red")
+    for page in (1, 2):
+        best = refine.best_merged(df, score, page, 15)
+        full = listings.merge_sources(df.withColumns({c: F.lit(None).cast("string") for c in ("magnet", "category", "detail_url", "provider")} | {c: F.lit(None).cast("long") for c in ("leechers", "size", "date_ms", "files")}))
+        want = refine.page(refine.by_relevance(full, "red"), page, 15).select("key", "ord", "name", "seeders", "score").collect()
+        assert best.collect() == want and len(want) == 15
