@@ -25,6 +25,8 @@ from ..sources.http import SCHEMA, TIMEOUT_S, fetch, prune_sources, sources_of
 
 ARRIVED = f"{SCHEMA}, arrival long"
 _COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
+#: Rows of a batch that are Python objects at a time: a batch has up to 10,000, whatever their pages' sizes.
+ROWS_AT_ONCE = 64
 #: Files that one task of the stream reads.
 FILES_A_TASK = 16
 
@@ -41,7 +43,7 @@ def over_http(timeout: float = TIMEOUT_S) -> Callable[[dict], Iterable[tuple]]:
 
 def _units(batches, size: int) -> Iterator[list[dict]]:
     """Consecutive rows of one source, ``size`` at most. A task that runs again cuts its rows alike."""
-    rows = (r for b in batches for r in b.to_pylist())
+    rows = (r for b in batches for i in range(0, b.num_rows, ROWS_AT_ONCE) for r in b.slice(i, ROWS_AT_ONCE).to_pylist())
     for _, same in groupby(rows, lambda r: r["source"]):
         unit: list[dict] = []
         for r in same:

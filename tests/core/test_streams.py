@@ -47,6 +47,26 @@ def test_landed_pages(spark):
     assert names(files, f"{path}/pages") == []
 
 
+def test_a_batch_is_taken_in_slices():
+    """A large batch is never whole as Python objects; its units are as before."""
+    import pyarrow as pa
+
+    class Batch:
+        def __init__(self, rows):
+            self.rows, self.num_rows = rows, rows.num_rows
+
+        def slice(self, at, n):
+            return Batch(self.rows.slice(at, n))
+
+        def to_pylist(self):
+            assert self.num_rows <= arrivals.ROWS_AT_ONCE
+            return self.rows.to_pylist()
+
+    rows = pa.RecordBatch.from_pylist([{"source": f"s{i // 400}", "url": str(i)} for i in range(1000)])
+    units = list(arrivals._units([Batch(rows)], 256))
+    assert [len(u) for u in units] == [256, 144, 256, 144, 200] and [r["url"] for u in units for r in u] == [str(i) for i in range(1000)]
+
+
 def test_completion_order(spark):
     """Sources arrive as they complete, whatever their place among the requests, and before the slowest is done."""
     began = time.time() + 3
