@@ -16,13 +16,11 @@ from gleanfold.llm.langid import fit_languages, held_out, predict_column
 from gleanfold.llm.packing import pack_documents
 from gleanfold.llm.quality import fit_quality, verdict_column
 from gleanfold.llm.simhash import keep_one
-from gleanfold.llm.suffix import strip_repeats
+from gleanfold.llm.suffix import PASSAGE_BYTES, PASSAGE_WORDS, strip_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Below this coverage by the predicted language's n-grams a text counts as no language.
 LEAST_COVERAGE = 0.25
-#: A passage is a repeated run of at least PASSAGE_WORDS words; PASSAGE_BYTES is below the length of so many words (4.8 bytes each, space included).
-PASSAGE_WORDS, PASSAGE_BYTES = 50, 240
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

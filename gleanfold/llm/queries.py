@@ -41,11 +41,15 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: its bytes, what was removed, and the text that is left (a character that was cut in two shows as U+FFFD)."""
-    from .suffix import remove_repeats
+    """Per document: its bytes, what was removed, and the text that is left (a character that was cut in two shows as U+FFFD).
 
-    found = remove_repeats(_read(spark, sf_dir, "documents"))
-    return found.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
+    Repeated passages that are shorter than the window but have PASSAGE_WORDS words or more follow in columns of their own.
+    """
+    from .suffix import PASSAGE_BYTES, remove_repeats
+
+    found = remove_repeats(_read(spark, sf_dir, "documents"), passage_window=PASSAGE_BYTES)
+    text, left = (F.make_valid_utf8(F.col(c).cast("string")) for c in ("kept", "kept_passages"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", text.alias("text"), "n_passages", "passage_bytes", left.alias("text_without_passages"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,9 @@
 4. A key with more than ``max_contexts`` contexts isn't brought into one task: its windows' XXH64 are counted by Spark.
 5. Each text is covered by its repeated windows and what is left is returned.
 
+Passages of many words that are shorter than a window are found by the same steps with a shorter one. As a text that holds a repeated
+long window holds all its short ones, only texts with enough repeated short windows are searched for long ones.
+
 Only narrow rows are shuffled besides the texts, which are dealt by their key; keys that hold
 many rows (boilerplate, repeated rows) are salted. Equality rests on hashes: anchors meet by a 64-bit key
 and 64 more bits of their context's bytes.
@@ -24,6 +27,8 @@ from .anchors import WINDOW, Hashes, PrimeHashes, anchors, mix
 from .common import hot_hashes, materialize, release, salted_join
 
 BLOCK = 40
+#: A passage is a repeated run of at least PASSAGE_WORDS words; PASSAGE_BYTES is below the length of so many words (4.8 bytes each, space included).
+PASSAGE_WORDS, PASSAGE_BYTES = 50, 240
 
 
 def suffix_array(symbols) -> list[int]:
@@ -167,16 +172,17 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _anchor_rows(texts: DataFrame, window: int) -> DataFrame:
-    """(ref, ref2, key, context, n, width) of every text's anchors; equal ones of a text are one row."""
+    """(ref, ref2, key, context, n, width, offset, firsts) of every text's anchors; equal ones of a text are one row, firsts has their starts."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        names = ["ref", "ref2", "key", "context", "n", "width", "offset"]
         for batch in batches:
-            parts = []
+            parts, starts = [], []
             for ref, ref2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                _, first, last, key, context = anchors((text.as_py() or "").encode(), window)
+                place, first, last, key, context = anchors((text.as_py() or "").encode(), window)
                 if not len(key):
                     continue
                 if len(key) > 1:
@@ -185,13 +191,18 @@ def _anchor_rows(texts: DataFrame, window: int) -> DataFrame:
                     new = np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])))
                     at = np.flatnonzero(new)
                     n, pick = np.diff(np.append(at, len(k))), order[at]
+                    starts.append(first[order])
                 else:
                     n, pick = np.ones(1, np.int64), np.zeros(1, np.int64)
-                parts.append((np.full(len(pick), ref), np.full(len(pick), ref2), _signed(key[pick]), _signed(context[pick]), n, (last - first)[pick] + window))
+                    starts.append(first)
+                parts.append((np.full(len(pick), ref), np.full(len(pick), ref2), _signed(key[pick]), _signed(context[pick]), n, (last - first)[pick] + window, (place - first)[pick]))
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*parts)], names=["ref", "ref2", "key", "context", "n", "width"])
+                cols = [np.concatenate(c).astype(np.int64) for c in zip(*parts)]
+                ends = np.concatenate(([0], np.cumsum(cols[4]))).astype(np.int32)
+                firsts = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(starts).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), firsts], names=[*names, "firsts"])
 
-    return texts.select("ref", "ref2", "t").mapInArrow(run, "ref long, ref2 long, key long, context long, n long, width long")
+    return texts.select("ref", "ref2", "t").mapInArrow(run, "ref long, ref2 long, key long, context long, n long, width long, offset long, firsts array<int>")
 
 
 def _cut_contexts(met: DataFrame, window: int) -> DataFrame:
@@ -207,22 +218,20 @@ def _cut_contexts(met: DataFrame, window: int) -> DataFrame:
             rows, held = [], 0
             for text, wanted in zip(batch.column(0), batch.column(1)):
                 raw = text.as_py().encode()
-                many = {at: w["many"] for w in wanted.as_py() if (at := (w["key"], w["context"])) not in done}
-                if not many:
-                    continue
-                done.update(many)
                 view = memoryview(raw)
-                place, first, last, key, context = anchors(raw, window)
-                for p, a, b, k, c in zip(place.tolist(), first.tolist(), last.tolist(), _signed(key).tolist(), _signed(context).tolist()):
-                    kind = many.pop((k, c), None)
-                    if kind is False:
-                        rows.append({"key": k, "context": c, "offset": p - a, "bytes": raw[a : b + window], "windows": None})
-                    elif kind:
-                        hashes = [xxhash.xxh64_intdigest(view[x : x + window]) for x in range(a, b + 1)]
-                        rows.append({"key": k, "context": c, "offset": p - a, "bytes": None, "windows": [x - (1 << 64) if x >> 63 else x for x in hashes]})
-                    else:
+                for w in wanted.as_py():
+                    if (at := (w["key"], w["context"])) in done:
                         continue
-                    held += 2 * (b - a + window)
+                    done.add(at)
+                    row = {"key": at[0], "context": at[1], "offset": w["offset"], "bytes": None, "windows": None}
+                    a, end = w["first"], w["first"] + w["width"]
+                    if w["many"]:
+                        hashes = [xxhash.xxh64_intdigest(view[x : x + window]) for x in range(a, end - window + 1)]
+                        row["windows"] = [x - (1 << 64) if x >> 63 else x for x in hashes]
+                    else:
+                        row["bytes"] = raw[a:end]
+                    rows.append(row)
+                    held += 2 * w["width"]
                 if held > 8_000_000:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
                     rows, held = [], 0
@@ -253,64 +262,84 @@ def _by_counting(cut: DataFrame) -> DataFrame:
     return starts.select("key", "context", F.flatten(F.transform(F.array_sort("at"), lambda x: F.array(x, x + 1))).alias("ranges"))
 
 
-def cover(raw: bytes, repeated: dict, window: int = WINDOW, least_words: int = 0) -> list[tuple[int, int]]:
-    """Maximal [start, end) runs under the repeated windows; repeated: (key, context) to ranges, or None for all.
+def cover(places) -> list[tuple[int, int]]:
+    """Maximal [start, end) runs under the repeated windows; places: flattened (start, end) pairs in any order."""
+    import numpy as np
 
-    Runs with fewer than ``least_words`` words (parts of words count) are left out.
-    """
-    _, first, last, key, context = anchors(raw, window)
-    runs: list[list[int]] = []
-    for a, b, k, c in zip(first.tolist(), last.tolist(), _signed(key).tolist(), _signed(context).tolist()):
-        ranges = repeated.get((k, c), ())
-        ranges = [0, b - a + 1] if ranges is None else ranges
-        for x, y in zip(ranges[::2], ranges[1::2]):
-            x, y = a + x, a + y - 1 + window
-            if runs and x <= runs[-1][1]:
-                runs[-1][1] = max(y, runs[-1][1])
-            else:
-                runs.append([x, y])
+    pairs = np.asarray(places, np.int64).reshape(-1, 2)
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    start, end = pairs[:, 0], np.maximum.accumulate(pairs[:, 1])
+    at = np.flatnonzero(np.concatenate(([True], start[1:] > end[:-1])))
+    return list(zip(start[at].tolist(), end[np.append(at[1:], len(end)) - 1].tolist()))
+
+
+def _wordy(raw: bytes, runs: list[tuple[int, int]], least_words: int) -> list[tuple[int, int]]:
+    """Without the runs of fewer words (parts of words count)."""
     return [(x, y) for x, y in runs if not least_words or len(raw[x:y].split()) >= least_words]
 
 
-def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, max_contexts: int = 4096, bucket_bytes: int = 1 << 20) -> DataFrame:
-    """Every row's text with what repeats: ref, ref2, doc_id, t, rest, repeated (array of key, context, ranges; null: nothing)."""
+def _hot_rows(texts: DataFrame) -> list[int]:
+    return hot_hashes(texts.groupBy("ref", "ref2").count(), ["ref", "ref2"], "count", texts.count())
+
+
+def _repeats(texts: DataFrame, window: int, hot_rows: list[int], max_contexts: int = 4096, bucket_bytes: int = 1 << 20) -> DataFrame:
+    """The texts with repeated windows: ref, ref2, starts (how many windows repeat, at least), places (flattened [start, end) pairs under them)."""
     if window < 2 * BLOCK:
         raise ValueError(f"window must be {2 * BLOCK} bytes or more")
-    texts = keyed(docs, id_col, text_col)
     ref, at = ["ref", "ref2"], ["key", "context"]
     rows = materialize(_anchor_rows(texts, window), "anchors")
-    contexts = rows.groupBy(*at).agg(F.sum("n").alias("n"), F.count("*").alias("n_rows"), F.min(F.struct(*ref)).alias("one"), F.first("width").alias("width"))
+    one = F.struct(*ref, F.element_at("firsts", 1).alias("first"), "offset")
+    contexts = rows.groupBy(*at).agg(F.sum("n").alias("n"), F.count("*").alias("n_rows"), F.min(one).alias("one"), F.first("width").alias("width"))
     contexts = materialize(contexts.withColumn("twice", F.col("n") > 1), "contexts")
     shared = contexts.groupBy("key").agg(F.count("*").alias("d"), F.min("n").alias("least")).where("d > 1 AND least = 1").select("key", "d", (F.col("d") > max_contexts).alias("many"))
     shared = materialize(shared, "shared")
     n_contexts, n_rows = contexts.agg(F.count("*"), F.sum("n_rows")).first()
     wanted = salted_join(contexts, shared.drop("d"), ["key"], hot_hashes(shared, ["key"], "d", n_contexts), ["context"])
-    wanted = materialize(wanted.select("one.ref", "one.ref2", *at, "many", "width"), "wanted")
+    wanted = materialize(wanted.select("one.*", *at, "many", "width"), "wanted")
     release(shared)
     width, any_many = wanted.agg(F.sum("width"), F.coalesce(F.max("many"), F.lit(False))).first()
     n_buckets = 1 + (width or 0) // bucket_bytes
-    counts = texts.groupBy(*ref).count()
-    hot_rows = hot_hashes(counts, ref, "count", docs.count())
-    lists = wanted.groupBy(*ref).agg(F.collect_list(F.struct(*at, "many")).alias("wanted"))
+    lists = wanted.groupBy(*ref).agg(F.collect_list(F.struct(*at, "many", "first", "width", "offset")).alias("wanted"))
     cut = materialize(_cut_contexts(salted_join(texts, lists, ref, hot_rows, ["doc_id"]), window), "cut")
     release(wanted)
-    whole = contexts.where("twice").select(*at, F.lit(None).cast("array<int>").alias("ranges"))
+    whole = contexts.where("twice").select(*at, F.array(F.lit(0), F.col("width").cast("int")).alias("spans"), (F.col("width") - window + 1).alias("starts"))
     parts = _by_suffix_arrays(cut, n_buckets, window)
     if any_many:
         parts = parts.unionByName(_by_counting(cut))
+    signed = F.transform("ranges", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x))
+    spans = F.transform("ranges", lambda x, i: F.when(i % 2 == 1, x + (window - 1)).otherwise(x))
+    parts = parts.select(*at, spans.alias("spans"), F.aggregate(signed, F.lit(0), lambda a, x: a + x).cast("long").alias("starts"))
     found = whole.unionByName(parts.join(contexts.where("twice").select(*at), at, "left_anti"))
     hot = hot_hashes(contexts.where("twice"), at, "n_rows", n_rows or 0)
-    repeated = salted_join(rows.select(*ref, *at), found, at, hot, ref).groupBy(*ref).agg(F.collect_set(F.struct(*at, "ranges")).alias("repeated"))
+    moved = F.flatten(F.transform("firsts", lambda first: F.transform("spans", lambda x: first + x)))
+    placed = salted_join(rows.select(*ref, *at, "n", "firsts"), found, at, hot, ref).select(*ref, (F.col("n") * F.col("starts")).alias("starts"), moved.alias("places"))
+    repeated = placed.groupBy(*ref).agg(F.sum("starts").alias("starts"), F.flatten(F.collect_set("places")).alias("places"))
     repeated = materialize(repeated, "repeated")
     release(rows, contexts, cut)
-    return salted_join(texts, repeated, ref, hot_rows, ["doc_id"], "left")
+    return repeated
 
 
-def _covered(batch, window: int):
-    for text, repeated in zip(batch.column(1), batch.column(2)):
-        raw = (text.as_py() or "").encode()
-        found = repeated.as_py()
-        yield raw, cover(raw, {(r["key"], r["context"]): r["ranges"] for r in found}, window) if found else []
+def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, **options) -> DataFrame:
+    """Every row's text with what repeats: ref, ref2, doc_id, t, rest, starts, places (see _repeats; null: nothing)."""
+    texts = keyed(docs, id_col, text_col)
+    hot_rows = _hot_rows(texts)
+    return salted_join(texts, _repeats(texts, window, hot_rows, **options), ["ref", "ref2"], hot_rows, ["doc_id"], "left")
+
+
+def find_repeats_and_passages(docs: DataFrame, id_col: str, text_col: str, window: int, passage_window: int, **options) -> DataFrame:
+    """As find_repeats, with the column short: places under the repeated windows of ``passage_window`` bytes."""
+    if passage_window > window:
+        raise ValueError("passage_window must not be longer than window")
+    texts, ref = keyed(docs, id_col, text_col), ["ref", "ref2"]
+    hot_rows = _hot_rows(texts)
+    short = _repeats(texts, passage_window, hot_rows, **options)
+    joined = salted_join(texts, short.select(*ref, "starts", F.col("places").alias("short")), ref, hot_rows, ["doc_id"], "left")
+    joined = materialize(joined.withColumn("long", F.coalesce(F.col("starts"), F.lit(0)) > window - passage_window).drop("starts"), "joined")
+    release(short)
+    # a window that repeats holds window - passage_window + 1 short ones that do, in either text
+    long = _repeats(joined.where("long").drop("short", "long"), window, hot_rows, **options)
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in long.dtypes if c not in ref]
+    return joined.where("NOT long").select("*", *none).unionByName(salted_join(joined.where("long"), long, ref, hot_rows, ["doc_id"], "left"))
 
 
 def _kept(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
@@ -321,30 +350,56 @@ def _kept(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, raw[at:]])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, **options) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, passage_window: int | None = None, passage_words: int = PASSAGE_WORDS, **options) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left).
 
     A null text counts as empty. Texts shorter than the window keep everything; copies of longer ones go whole. Matches within
     one text count. Repeated rows count as copies of each other. An empty table gives no rows. Other columns are ignored,
     whatever their names. Very long texts are read in segments.
+
+    With ``passage_window`` follow n_passages, passage_bytes and kept_passages, of the maximal runs under repeated windows
+    of that many bytes that have ``passage_words`` words or more: how many there are, their bytes, and the bytes left without them.
     """
+    kind = dict(docs.dtypes)[id_col]
+    names, schema = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"], f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    if passage_window is not None:
+        names, schema = [*names, "n_passages", "passage_bytes", "kept_passages"], schema + ", n_passages long, passage_bytes long, kept_passages binary"
 
     def run(batches):
         import hashlib
 
         import pyarrow as pa
 
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+
+        def made(ids, rows):
+            return pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=names)
+
         for batch in batches:
-            cols: list[list] = [[], [], [], [], []]
-            for raw, runs in _covered(batch, window):
+            rows, at, held = [], 0, 0
+            for text, *places in zip(*batch.columns[1:]):
+                raw = (text.as_py() or "").encode()
+                runs, *short = [cover(p.values.to_numpy()) if p.is_valid else [] for p in places]
                 kept = _kept(raw, runs) if runs else raw
-                for c, v in zip(cols, (len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept)):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                row = (len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept)
+                if short:
+                    found = _wordy(raw, short[0], passage_words)
+                    left = _kept(raw, found) if found else raw
+                    row += (len(found), len(raw) - len(left), left)
+                rows.append(row)
+                held += len(raw)
+                if held > 8_000_000:
+                    yield made(batch.column(0).slice(at, len(rows)), rows)
+                    rows, at, held = [], at + len(rows), 0
+            if rows:
+                yield made(batch.column(0).slice(at), rows)
 
-    kind = dict(docs.dtypes)[id_col]
-    found = find_repeats(docs.select(id_col, text_col), id_col, text_col, window, **options).select("doc_id", "t", "repeated")
-    return found.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    chosen = docs.select(id_col, text_col)
+    if passage_window is None:
+        found = find_repeats(chosen, id_col, text_col, window, **options).select("doc_id", "t", "places")
+    else:
+        found = find_repeats_and_passages(chosen, id_col, text_col, window, passage_window, **options).select("doc_id", "t", "places", "short")
+    return found.mapInArrow(run, schema)
 
 
 def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, least_words: int = 0, **options) -> DataFrame:
@@ -354,16 +409,16 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
 
     @F.pandas_udf("string")
-    def stripped(texts: pd.Series, repeated: pd.Series) -> pd.Series:
+    def stripped(texts: pd.Series, places: pd.Series) -> pd.Series:
         out = []
-        for text, found in zip(texts, repeated):
+        for text, found in zip(texts, places):
             if text is not None and found is not None and len(found):
                 raw = text.encode()
-                text = _kept(raw, cover(raw, {(r["key"], r["context"]): r["ranges"] for r in found}, window, least_words)).decode("utf-8", "ignore")
+                text = _kept(raw, _wordy(raw, cover(found), least_words)).decode("utf-8", "ignore")
             out.append(text)
         return pd.Series(out, dtype=object)
 
     found = find_repeats(docs, id_col, text_col, window, **options)
     other = [F.col(f"rest.{c}").alias(c) for c in docs.columns if c not in (id_col, text_col)]
-    done = found.select(F.col("doc_id").alias(id_col), stripped("t", "repeated").alias(text_col), *other)
+    done = found.select(F.col("doc_id").alias(id_col), stripped("t", "places").alias(text_col), *other)
     return done.select(*docs.columns)

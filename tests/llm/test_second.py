@@ -124,6 +124,50 @@ def test_repeats(spark, limits):
         assert bytes(r.kept) == kept
 
 
+@pytest.mark.parametrize("limits", [{}, {"bucket_bytes": 3000}, {"max_contexts": 3}])
+def test_repeats_and_passages(spark, limits):
+    """Both windows in one table equal brute force, whether or not a text is searched for the longer one."""
+    from gleanfold.llm.suffix import remove_repeats
+
+    rng = random.Random(12)
+    short = [prose(rng, n) for n in (40, 52, 56, 60)]
+    texts = [" ".join([prose(rng, 30), short[i % 4], prose(rng, 20), *(short[:2] if i % 7 == 0 else [])]) for i in range(40)]
+    rows = [(i, t, None, None, None) for i, t in enumerate([*repeated_texts(), *texts, *(r[1] for r in awkward_rows())])]
+    raw = [(r[1] or "").encode() for r in rows]
+    got = {r.doc_id: r for r in remove_repeats(frame(spark, rows), passage_window=240, passage_words=50, **limits).collect()}
+    assert len(got) == len(rows)
+    only_short = 0
+    for i, (b, m, n) in enumerate(zip(raw, brute_cover(raw), brute_cover(raw, 240))):
+        r = got[i]
+        kept = bytes(c for c, x in zip(b, m) if not x)
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) == (len(b), sum(m), len(re.findall(b"\1+", m)), hashlib.sha256(kept).hexdigest(), kept), i
+        found = [x.span() for x in re.finditer(b"\1+", n) if len(b[x.start() : x.end()].split()) >= 50]
+        left = b"".join(b[x:y] for x, y in zip([0, *(y for _, y in found)], [*(x for x, _ in found), len(b)]))
+        assert (r.n_passages, r.passage_bytes, bytes(r.kept_passages)) == (len(found), sum(y - x for x, y in found), left), i
+        only_short += bool(found) and not any(m)
+    assert only_short > 10
+
+
+def test_planted_passages_of_the_query(spark, tmp_path):
+    """Passages of 51 to 59 words, all under 400 bytes, in two documents or more: found by the query, clean documents stay."""
+    from gleanfold.llm.queries import op5_suffix_array
+
+    rng = random.Random(13)
+    vary = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 7))) for _ in range(n))
+    planted = [vary(n) for n in range(51, 60)]
+    assert all(240 <= len(p.encode()) < 400 for p in planted)
+    texts = [" ".join([vary(80), planted[i % 9], vary(90)]) if i < 40 else vary(200) for i in range(80)]
+    frame(spark, [(i, t, "en", None, len(t)) for i, t in enumerate(texts)], extra=False).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op5_suffix_array(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        r = got[i]
+        assert (r.n_removed, r.text) == (0, t)  # the contract's 400 bytes
+        if i < 40:
+            assert r.n_passages == 1 and planted[i % 9] not in r.text_without_passages and len(t) - len(r.text_without_passages) == r.passage_bytes
+        else:
+            assert (r.n_passages, r.text_without_passages) == (0, t)
+
+
 def test_repeats_by_segments(spark, monkeypatch):
     from gleanfold.llm import anchors
     from gleanfold.llm.suffix import suffix_array, repeated_windows
